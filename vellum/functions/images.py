@@ -26,24 +26,35 @@ def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A lambda that mentions an outer expression re-evaluates it for every
+    array element; binding it first keeps each regex pass to one per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _clean_value(v: Column) -> Column:
     # strip whitespace, then commas, then whitespace again
     return py_strip(F.regexp_replace(py_strip(v), r"^,+|,+$", ""))
 
 
-def _last_wins(keys: Column, vals: Column) -> Column:
-    """map_from_arrays that keeps the last value of a repeated key."""
-    pairs = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.element_at(vals, i + 1).alias("v")))
-    kept = F.filter(pairs, lambda p, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["k"]))
-    return F.map_from_entries(kept)
+_EMPTY = "map<string,string>"
+
+
+def _pairs_to_map(pairs: Column) -> Column:
+    """array<struct<k,v>> -> map, a repeated key keeps its last value."""
+    empty = F.create_map().cast(_EMPTY)
+    return F.aggregate(pairs, empty, lambda acc, x: F.map_concat(
+        F.map_filter(acc, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
 
 
 def _with_fields(parsed: Column, fields: list[str]) -> Column:
-    """All known fields present ('' when absent) plus any extra parsed keys."""
-    keys = F.array_distinct(F.concat(_lit_array(fields), F.map_keys(parsed)))
-    vals = F.transform(keys, lambda k: F.coalesce(F.try_element_at(parsed, k), F.lit("")))
-    return F.map_from_arrays(keys, vals)
+    """All known fields present ('' when absent) plus every parsed key."""
+    defaults = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(""))])
+    return _let(parsed, lambda p: F.map_concat(
+        F.map_filter(defaults, lambda k, v: ~F.map_contains_key(p, k)), p))
 
 
 def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
@@ -56,20 +67,25 @@ def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
     (stripping shifts fields when the first one is blank).
     """
     fields = fields or LEGACY_FIELDS
-    s = py_strip(c)
-    empty = F.create_map().cast("map<string,string>")
-    content = py_strip(F.regexp_replace(s, r"^\{|\}$", ""))
-    brace_keys = F.regexp_extract_all(content, F.lit(BRACE_PAIR), 1)
-    brace_vals = F.transform(F.regexp_extract_all(content, F.lit(BRACE_PAIR), 2), _clean_value)
-    brace = F.when(content == "", empty).otherwise(
-        _with_fields(_last_wins(brace_keys, brace_vals), fields))
-    parts = F.transform(F.split(s, r"(?<!\\),"), lambda v: F.regexp_replace(v, r"\\(.)", "$1"))
-    comma = F.map_from_arrays(
-        _lit_array(fields),
-        F.transform(_lit_array(fields), lambda f, i: F.coalesce(F.try_element_at(parts, i + 1), F.lit(""))))
-    return (F.when(s.isNull() | s.isin(EMPTY_IMAGE_TEXTS), empty)
-            .when(s.startswith("{") & s.endswith("}"), brace)
-            .otherwise(comma))
+    empty = F.create_map().cast(_EMPTY)
+
+    def parse(s: Column) -> Column:
+        content = py_strip(F.regexp_replace(s, r"^\{|\}$", ""))
+        # whole 'key=value' matches; the value holds no '=', so split at the first
+        matches = F.regexp_extract_all(content, F.lit(BRACE_PAIR), 0)
+        pairs = F.transform(matches, lambda m: F.struct(
+            F.substring_index(m, "=", 1).alias("k"),
+            _clean_value(F.regexp_extract(m, r"^[^=]*=(.*)$", 1)).alias("v")))
+        brace = F.when(content == "", empty).otherwise(_with_fields(_pairs_to_map(pairs), fields))
+        comma = _let(F.split(s, r"(?<!\\),"), lambda parts: F.map_from_arrays(
+            _lit_array(fields),
+            F.transform(_lit_array(fields), lambda f, i: F.coalesce(
+                F.regexp_replace(F.try_element_at(parts, i + 1), r"\\(.)", "$1"), F.lit("")))))
+        return (F.when(s.isNull() | s.isin(EMPTY_IMAGE_TEXTS), empty)
+                .when(s.startswith("{") & s.endswith("}"), brace)
+                .otherwise(comma))
+
+    return _let(py_strip(c), parse)
 
 
 def pack_image(image: Column, fields: list[str] | None = None) -> Column:
