@@ -233,3 +233,17 @@ def test_diff_positional_and_summary(spark):
     assert diff.guess_key(["name", "valid", "x"]) == "valid" and diff.guess_key(["a", "b"]) == "a"
     w = diff.widen_types(spark.createDataFrame([(1, 2.0, [1])], "a int, b float, c array<int>"))
     assert w.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")]
+
+
+def test_with_position_spans_files(spark):
+    path = scratch_dir(spark, "pos")
+    spark.range(0, 10, 1, 3).selectExpr("id AS v").write.parquet(path)
+    pos = diff.with_position(spark.read.parquet(path)).collect()
+    assert sorted(r["row_index"] for r in pos) == list(range(10))
+
+
+def test_diff_rejects_duplicate_keys(spark):
+    b = spark.createDataFrame([("1", "a"), ("1", "b")], "id string, v string")
+    meta = diff.ChangeMeta("db", "t", "me", dt.datetime(2024, 1, 1), "s1")
+    with pytest.raises(ValueError):
+        diff.diff_updates(b, b, "id", meta)

@@ -100,3 +100,21 @@ def test_duplicate_base_key_rejected(spark):
     ldf = spark.createDataFrame([], LEDGER_SCHEMA)
     with pytest.raises(ValueError):
         replay(bdf, ldf, "id")
+
+
+def test_hot_key_third_of_ledger(spark):
+    """One key holds a third of all records, with deletes and re-inserts."""
+    rng = random.Random(11)
+    base, recs = random_case(rng, n_base=30, n_keys=40, n_rec=1500)
+    t0 = dt.datetime(2024, 1, 1)
+    for j in range(750):
+        op = ["UPDATE", "INSERT", "DELETE", "UPDATE", "INSERT"][j % 5]
+        recs.append({"id": f"h{j:05d}", "table_name": "t", "database_name": "d", "operation": op,
+                     "row_identifier": "hot", "before": {}, "after": {"name": f"h{j}", "seg": "" if j % 3 else "s"},
+                     "updated_by": "u", "updated_at": t0 + dt.timedelta(seconds=rng.randrange(3000)),
+                     "session_id": "s", "change_reason": "r"})
+    bdf = spark.createDataFrame(base, "id string, name string, seg string")
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA).repartition(8)
+    for prec in ["latest", "as_written"]:
+        got = {tuple(r) for r in replay(bdf, ldf, "id", precedence=prec).collect()}
+        assert got == model(base, recs, newest_first=(prec == "as_written"))

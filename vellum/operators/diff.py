@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,17 @@ def guess_key(columns: list[str]) -> str:
     return columns[0]
 
 
+def assert_unique_key(df: DataFrame, key: str) -> None:
+    """Raise when two rows share a key.
+
+    One partial (map-side) aggregation, stopped at the first duplicate; a
+    duplicated key would otherwise make the key join emit every pair.
+    """
+    dup = df.groupBy(F.col(f"`{key}`")).count().filter(F.col("count") > 1).limit(1)
+    if not dup.isEmpty():
+        raise ValueError(f"key column {key!r} is not unique")
+
+
 def norm(c: Column) -> Column:
     """Compare-normalise a cell: null -> '', everything else its text."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -104,21 +115,39 @@ def _aligned(before: DataFrame, after: DataFrame) -> tuple[DataFrame, list[str]]
     return after, cols
 
 
-def diff_updates(before: DataFrame, after: DataFrame, key: str | None, meta: ChangeMeta) -> DataFrame:
+def diff_updates(before: DataFrame, after: DataFrame, key: str | None, meta: ChangeMeta,
+                 check_key: bool = True) -> DataFrame:
     """Keyed diff (F2): one UPDATE record per key whose normalised row differs.
 
     Keys present on only one side are not changes (edits never insert or
-    delete).  The join is a shuffle on the key; keys must be unique.
+    delete).  The join is a shuffle on the key (none when both snapshots are
+    bucketed by it); keys must be unique, which ``check_key`` verifies.
     """
     key = key or guess_key(before.columns)
+    if check_key:
+        assert_unique_key(before, key)
+        assert_unique_key(after, key)
     after, cols = _aligned(before, after)
     j = before.alias("b").join(after.alias("a"), F.col(f"b.`{key}`") == F.col(f"a.`{key}`"), "inner")
     return _records(j, cols, F.col(f"a.`{key}`"), meta)
 
 
 def with_position(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Attach the Parquet row position of each row (file-scan DataFrames only)."""
-    return df.withColumn(name, F.col("_metadata.row_index"))
+    """Attach a global row position to a Parquet scan: files in name order,
+    rows in file order.
+
+    Position = rows in earlier files + ``_metadata.row_index``.  The per-file
+    offsets table has one row per file (bounded by the file listing, not by
+    the data), so its running sum and broadcast are cheap at any data size.
+    """
+    tagged = (df.withColumn("__file", F.col("_metadata.file_path"))
+              .withColumn("__row", F.col("_metadata.row_index")))
+    per_file = tagged.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_file.select("__file", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (tagged.join(F.broadcast(offsets), "__file", "inner")
+            .withColumn(name, F.col("__off") + F.col("__row"))
+            .drop("__file", "__row", "__off"))
 
 
 def diff_positional(before: DataFrame, after: DataFrame, position: str, meta: ChangeMeta,

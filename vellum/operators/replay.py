@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators.diff import guess_key
+from vellum.operators.diff import assert_unique_key, guess_key
 
 REQUIRED = ["operation", "row_identifier", "before", "after"]
 OPERATIONS = ["UPDATE", "INSERT", "DELETE"]
@@ -42,13 +42,6 @@ def ledger_has_shape(ledger: DataFrame) -> bool:
     return set(REQUIRED) <= set(ledger.columns)
 
 
-def assert_unique_key(df: DataFrame, key: str) -> None:
-    """Raise when two rows share a key (partial aggregation, stops at first hit)."""
-    dup = df.groupBy(F.col(f"`{key}`")).count().filter(F.col("count") > 1).limit(1)
-    if not dup.isEmpty():
-        raise ValueError(f"key column {key!r} is not unique")
-
-
 def _order(ledger: DataFrame) -> Column:
     # total order of records: time, then record id (one save shares a time)
     return F.struct(F.col("updated_at").alias("t"), F.col("id").alias("i"))

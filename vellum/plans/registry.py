@@ -250,7 +250,7 @@ def q_diff_updates(spark, sf):
 
 
 def q_diff_positional(spark, sf):
-    cust = _t(spark, sf, "customer").withColumn("row_index", F.col("_metadata.row_index"))
+    cust = diff.with_position(_t(spark, sf, "customer"), "row_index")
     b = spark.sql("SELECT row_index, " + fx.BASE.split("SELECT", 1)[1], customer=cust)
     e = spark.sql("SELECT row_index, " + fx.EDITED.split("SELECT", 1)[1], customer=cust)
     return _flat_changes(diff.diff_positional(b, e, "row_index", META, key="id"))
