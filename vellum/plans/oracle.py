@@ -266,6 +266,8 @@ ORACLE: dict[str, str] = {
         f"IN ('csv', 'xlsx', 'xls') AND file_size_bytes <= {R.MAX_MB * 1024 * 1024}"),
     "land_gated": ("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment, "
                    "CAST(c_nationkey AS VARCHAR) AS nation FROM customer"),
+    "stream_landing": ("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment, "
+                       "CAST(c_nationkey AS VARCHAR) AS nation FROM customer"),
     "manifest_derive": _m(
         "SELECT file_key, filename, extension, original_filename, upload_date, file_size_bytes, file_size_mb, "
         "size_label, schema_used, row_count, column_count, upload_timestamp FROM m"),

@@ -196,6 +196,17 @@ def q_land_gated(spark, sf):
     return spark.read.option("header", True).csv(res.data_path).select(*BASE_FIELDS)
 
 
+def q_stream_landing(spark, sf):
+    from vellum.streaming import land_stream
+    inbox = scratch_dir(spark, "inbox")
+    export_csv(_base(spark, sf), inbox)
+    root = scratch_dir(spark, "stream-landing")
+    q = land_stream(spark, inbox, BASE_CONTRACT, root, scratch_dir(spark, "stream-ckpt"),
+                    {"subject": "sistema", "sub_subject": "clientes"})
+    q.awaitTermination()
+    return spark.read.option("header", True).csv(root + "/data").select(*BASE_FIELDS)
+
+
 # ------------------------------------------------------------------ manifest
 def q_manifest_derive(spark, sf):
     return _manifest(spark, sf).select(
