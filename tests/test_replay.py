@@ -118,3 +118,32 @@ def test_hot_key_third_of_ledger(spark):
     for prec in ["latest", "as_written"]:
         got = {tuple(r) for r in replay(bdf, ldf, "id", precedence=prec).collect()}
         assert got == model(base, recs, newest_first=(prec == "as_written"))
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_replay_shuffle_path_matches_model(spark, seed):
+    """Same fold when the ledger summary is too big to broadcast."""
+    rng = random.Random(seed)
+    base, recs = random_case(rng)
+    bdf = spark.createDataFrame(base, "id string, name string, seg string")
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for prec in ["latest", "as_written"]:
+            out = replay(bdf, ldf, "id", precedence=prec)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" not in plan
+            got = {tuple(r) for r in out.collect()}
+            assert got == model(base, recs, newest_first=(prec == "as_written"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_replay_small_summary_streams_base(spark):
+    rng = random.Random(5)
+    base, recs = random_case(rng)
+    bdf = spark.createDataFrame(base, "id string, name string, seg string")
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    plan = replay(bdf, ldf, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "FullOuter" not in plan

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.diff import assert_unique_key, guess_key
+from vellum.operators.materialize import fits_broadcast, materialize
 
 REQUIRED = ["operation", "row_identifier", "before", "after"]
 OPERATIONS = ["UPDATE", "INSERT", "DELETE"]
@@ -102,53 +103,74 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
     ins = F.struct(o.alias("o"),
                    *[_val(img, c).alias(n) for c, n in zip(cols, names)],
                    *[F.map_contains_key(img, F.lit(c)).alias("h" + n) for c, n in zip(cols, names)])
+    # every summary column starts with "__" so it cannot collide with base columns
     upd = [later(F.when(is_upd & _nonblank(_val(img, c)),
-                        F.struct(o.alias("o"), _val(img, c).alias("v")))).alias("u" + n)
+                        F.struct(o.alias("o"), _val(img, c).alias("v")))).alias("__u" + n)
            for c, n in zip(cols, names)]
     stats = led.groupBy(k.alias("__k")).agg(
-        later(F.when(is_del, o)).alias("ld"),
-        earlier(F.when(is_ins, ins)).alias("fi_any"),
-        later(F.when(is_ins, o)).alias("li"),
+        later(F.when(is_del, o)).alias("__ld"),
+        earlier(F.when(is_ins, ins)).alias("__fi_any"),
+        later(F.when(is_ins, o)).alias("__li"),
         *upd)
+    ld, li, fi_any = F.col("__ld"), F.col("__li"), F.col("__fi_any")
 
     # keys with INSERTs both before and after the last DELETE: find the first
     # INSERT after it with a salted join, so a hot key spreads over tasks
-    amb = stats.filter(F.col("ld").isNotNull() & F.col("li").isNotNull()
-                       & after(F.col("li"), F.col("ld"))
-                       & ~after(F.col("fi_any.o"), F.col("ld"))).select("__k", "ld")
-    amb = amb.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+    amb = (stats.filter(ld.isNotNull() & li.isNotNull() & after(li, ld) & ~after(fi_any["o"], ld))
+           .select("__k", "__ld")
+           .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))))
     inserts = led.filter(is_ins).select(
-        k.alias("__k"), ins.alias("ins"),
+        k.alias("__k"), ins.alias("__ins"),
         F.pmod(F.xxhash64(F.col("id")), F.lit(SALT_BUCKETS)).cast("int").alias("__salt"))
     fixes = (inserts.join(amb, ["__k", "__salt"], "inner")
-             .filter(after(F.col("ins.o"), F.col("ld")))
-             .groupBy("__k").agg(earlier("ins").alias("fi_fix")))
+             .filter(after(F.col("__ins.o"), ld))
+             .groupBy("__k").agg(earlier("__ins").alias("__fi_fix")))
     stats = stats.join(fixes, "__k", "left")
-    fi = (F.when(F.col("ld").isNull(), F.col("fi_any"))
-          .when(after(F.col("fi_any.o"), F.col("ld")), F.col("fi_any"))
-          .when(F.col("li").isNotNull() & after(F.col("li"), F.col("ld")), F.col("fi_fix")))
-    stats = stats.select("__k", "ld", fi.alias("fi"), *["u" + n for n in names])
-
-    b = base.select(F.col(f"`{key}`").cast("string").alias("__bk"),
-                    *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)],
-                    F.lit(True).alias("__in_base"))
-    j = b.join(stats, F.col("__bk") == F.col("__k"), "full_outer")
-    alive0 = F.col("__in_base").isNotNull() & F.col("ld").isNull()
-    exists = alive0 | F.col("fi").isNotNull()
-    out = []
+    fi = (F.when(ld.isNull(), fi_any)
+          .when(after(fi_any["o"], ld), fi_any)
+          .when(li.isNotNull() & after(li, ld), F.col("__fi_fix")))
+    unames = ["__u" + n for n in names]
+    stats = stats.select("__k", "__ld", fi.alias("__fi"), *unames)
+
+    # per-key summary: written once, then joined by a size-checked strategy
+    summary, size = materialize(stats, "replay-summary")
+    small = fits_broadcast(summary, size)
     types = {f.name: f.dataType for f in base.schema.fields}
-    for c, n in zip(cols, names):
-        u = F.col("u" + n)
-        from_ledger_text = (F.when(u.isNotNull() & after(u["o"], F.col("fi.o")) & F.col(f"fi.h{n}"), u["v"])
-                            .otherwise(F.col(f"fi.{n}")))
-        if c == key:
-            from_ledger_text = F.when(F.col(f"fi.h{n}"), from_ledger_text).otherwise(F.col("__k"))
-        dt = types[c]
-        typed = from_ledger_text if isinstance(dt, T.StringType) else from_ledger_text.try_cast(dt)
-        upd_typed = u["v"] if isinstance(dt, T.StringType) else u["v"].try_cast(dt)
-        val = F.when(alive0, F.coalesce(upd_typed, F.col(n))).otherwise(typed)
-        out.append(val.alias(c))
-    return j.filter(exists).select(*out)
+    fi_ = F.col("__fi")
+
+    def values(alive0: Column, kcol: Column) -> list[Column]:
+        out = []
+        for c, n in zip(cols, names):
+            u = F.col("__u" + n)
+            text = F.when(u.isNotNull() & after(u["o"], fi_["o"]) & fi_[f"h{n}"], u["v"]).otherwise(fi_[n])
+            if c == key:
+                text = F.when(fi_[f"h{n}"], text).otherwise(kcol)
+            dt = types[c]
+            typed = text if isinstance(dt, T.StringType) else text.try_cast(dt)
+            upd_typed = u["v"] if isinstance(dt, T.StringType) else u["v"].try_cast(dt)
+            out.append(F.when(alive0, F.coalesce(upd_typed, F.col(f"`{c}`"))).otherwise(typed).alias(c))
+        return out
+
+    # rows of base: kept (with overlays), re-created after a delete, or dropped
+    bk = F.col(f"`{key}`").cast("string")
+    side = F.broadcast(summary) if small else summary
+    kept = base.join(side, bk == F.col("__k"), "left")
+    alive0 = F.col("__ld").isNull()
+    kept = kept.filter(alive0 | fi_.isNotNull()).select(*values(alive0, bk))
+
+    # keys only in the ledger: created by an INSERT
+    if small:
+        # base is streamed once against the broadcast key list; no base shuffle
+        present = (base.select(bk.alias("__bk"))
+                   .join(F.broadcast(summary.select("__k")), F.col("__bk") == F.col("__k"), "left_semi"))
+    else:
+        # key-only and de-duplicated map side, so a repeated base key cannot pile up
+        present = base.select(bk.alias("__bk")).distinct()
+    new = (summary.filter(fi_.isNotNull())
+           .join(present, F.col("__k") == F.col("__bk"), "left_anti"))
+    nulls = [F.lit(None).cast(types[c]).alias(c) for c in cols]
+    new = new.select(*nulls, "__k", "__ld", "__fi", *unames).select(*values(F.lit(False), F.col("__k")))
+    return kept.unionByName(new)
 
 
 def replay_as_written(base: DataFrame, ledger: DataFrame, key: str | None = None, **kw) -> DataFrame:
@@ -159,8 +181,9 @@ def overlay_updates(base: DataFrame, ledger: DataFrame, key: str | None = None,
                     table: str | None = None, database: str | None = None) -> DataFrame:
     """UPDATE-only overlay (G4): latest non-blank value per key and column.
 
-    The per-key aggregate is partial (map-side), then left-joined to base;
-    AQE turns that join into a broadcast when the measured aggregate is small.
+    The per-key aggregate is partial (map-side), written once to the shared
+    folder and sized; it is broadcast to a streamed base when under the
+    broadcast threshold, else hash-joined on the key.
     """
     cols = base.columns
     key = key or guess_key(cols)
@@ -170,13 +193,14 @@ def overlay_updates(base: DataFrame, ledger: DataFrame, key: str | None = None,
     names = [f"c{i}" for i in range(len(cols))]
     agg = led.groupBy(F.col("row_identifier").alias("__k")).agg(
         *[F.max(F.when(_nonblank(_val(img, c)), F.struct(o.alias("o"), _val(img, c).alias("v"))))
-          .alias("u" + n) for c, n in zip(cols, names)])
-    b = base.withColumn("__bk", F.col(f"`{key}`").cast("string"))
-    j = b.join(agg, F.col("__bk") == F.col("__k"), "left")
+          .alias("__u" + n) for c, n in zip(cols, names)])
+    summary, size = materialize(agg, "overlay-summary")
+    side = F.broadcast(summary) if fits_broadcast(summary, size) else summary
+    j = base.join(side, F.col(f"`{key}`").cast("string") == F.col("__k"), "left")
     types = {f.name: f.dataType for f in base.schema.fields}
     out = []
     for c, n in zip(cols, names):
-        v = F.col("u" + n)["v"]
+        v = F.col("__u" + n)["v"]
         if not isinstance(types[c], T.StringType):
             v = v.try_cast(types[c])
         out.append(F.coalesce(v, F.col(f"`{c}`")).alias(c))
