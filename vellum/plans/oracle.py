@@ -247,8 +247,8 @@ ORACLE: dict[str, str] = {
     "facet_filter": f"SELECT * FROM customer WHERE {FACET_PRED}",
     "filter_counts": (f"SELECT count(*) AS total_rows, count(*) FILTER (WHERE {FACET_PRED}) AS filtered_rows, "
                       f"{len(CUST_COLS)} AS column_count FROM customer"),
-    "stringify": ("SELECT coalesce(CAST(n_nationkey AS VARCHAR), '') AS n_nationkey, coalesce(n_name, '') AS n_name, "
-                  "coalesce(CAST(n_regionkey AS VARCHAR), '') AS n_regionkey FROM nation"),
+    "stringify": ("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in CUST_COLS)
+                  + " FROM customer"),
     "blank_counts": _blank_sql(),
     "cell_violations": _violations_sql(),
     "validation_report": (
@@ -331,7 +331,7 @@ ORACLE: dict[str, str] = {
           "AS changed"),
     "widen_types": ("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
                     "CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer"),
-    "external_table": "SELECT * FROM nation",
+    "external_table": "SELECT * FROM customer",
     "overlay_updates": _overlay_sql(),
     "replay_latest": _replay_sql(True),
     "replay_as_written": _replay_sql(False),

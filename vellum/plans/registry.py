@@ -156,7 +156,7 @@ def q_filter_counts(spark, sf):
 
 
 def q_stringify(spark, sf):
-    return profile.stringify(_t(spark, sf, "nation"))
+    return profile.stringify(_t(spark, sf, "customer"))
 
 
 # ----------------------------------------------------------------- contracts
@@ -298,11 +298,11 @@ def q_ledger_reset(spark, sf):
 
 def q_external_table(spark, sf):
     loc = scratch_dir(spark, "external")
-    nation = _t(spark, sf, "nation")
-    export_csv(nation, loc)
+    cust = _t(spark, sf, "customer")
+    export_csv(cust, loc)
     name = "ext_" + loc.rsplit("-", 1)[-1]
     register_external(spark, name, loc, [{"name": f.name, "type": f.dataType.simpleString()}
-                                         for f in nation.schema.fields], "csv")
+                                         for f in cust.schema.fields], "csv")
     return spark.table(name)
 
 
