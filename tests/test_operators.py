@@ -247,3 +247,13 @@ def test_diff_rejects_duplicate_keys(spark):
     meta = diff.ChangeMeta("db", "t", "me", dt.datetime(2024, 1, 1), "s1")
     with pytest.raises(ValueError):
         diff.diff_updates(b, b, "id", meta)
+
+
+def test_rename_frames(spark):
+    from vellum.operators.rename import rename_preview, rename_simple, rename_strict
+    df = spark.createDataFrame([(1, 2, 3, 4)], ["Valor (R$)", "a b", "a_b", "Ação"])
+    assert rename_strict(df).columns == ["valor_rs", "a_b", "a_b_1", "acao"]
+    s = rename_simple(df)
+    assert s.columns == ["valor_r", "a_b", "ação"] and tuple(s.first()) == (1, 3, 4)
+    assert [tuple(r) for r in rename_preview(df, {"ação": "action"}).collect()] == [
+        (0, "Valor (R$)", "valor_rs"), (1, "a b", "a_b"), (2, "a_b", "a_b_1"), (3, "Ação", "action")]

@@ -56,10 +56,12 @@ def field_changed(ledger: DataFrame, table: str, field: str) -> DataFrame:
     return _newest_first(out).drop("id")
 
 
-def row_history(ledger: DataFrame, table: str, row_id: str, fields: list[str]) -> DataFrame:
-    """Every change of one row, newest first."""
+def row_history(ledger: DataFrame, table: str, row_id: str, fields: list[str] | None = None) -> DataFrame:
+    """Every change of one row, newest first (whole images when no fields)."""
     cols = [F.col("operation")]
-    for f in fields:
+    if fields is None:
+        cols += [F.col("before"), F.col("after")]
+    for f in fields or []:
         cols += [_img("before", f).alias(f"{f}_before"), _img("after", f).alias(f"{f}_after")]
     cols += [F.col("updated_at"), F.col("change_reason"), F.col("id")]
     out = ledger.filter((F.col("table_name") == table) & (F.col("row_identifier") == row_id)).select(*cols)

@@ -53,8 +53,10 @@ class ChangeMeta:
         return self.changed_at.isoformat()
 
 
-def guess_key(columns: list[str]) -> str:
+def guess_key(columns: "list[str] | DataFrame") -> str:
     """First column whose lower-cased name contains id/key/pk, else the first."""
+    if isinstance(columns, DataFrame):
+        columns = columns.columns
     for c in columns:
         if any(h in c.lower() for h in KEY_HINTS):
             return c

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.images import LEGACY_FIELDS, clean_json, pack_image, unpack_image
 from vellum.functions.keys import landing_key
-from vellum.functions.names import simple_name, strict_names
 from vellum.functions import predicates as P
-from vellum.operators import audit, contract, diff, manifest as mf, profile, replay
+from vellum.operators import audit, contract, diff, manifest as mf, profile, rename, replay
 from vellum.plans import fixtures as fx
 from vellum.session import scratch_dir
 from vellum.sinks.csv_export import export_csv
@@ -108,20 +107,11 @@ def _odd(spark, sf):
 
 
 def q_rename_strict(spark, sf):
-    df = _odd(spark, sf)
-    return df.toDF(*strict_names(df.columns))
+    return rename.rename_strict(_odd(spark, sf))
 
 
 def q_rename_simple(spark, sf):
-    df = _odd(spark, sf)
-    # clashing names merge: first position, last value
-    order, src = [], {}
-    for c in df.columns:
-        n = simple_name(c)
-        if n not in src:
-            order.append(n)
-        src[n] = c
-    return df.select(*[F.col(f"`{src[n]}`").alias(n) for n in order])
+    return rename.rename_simple(_odd(spark, sf))
 
 
 # ------------------------------------------------------------------ profiling
