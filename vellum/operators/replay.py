@@ -112,29 +112,35 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
         earlier(F.when(is_ins, ins)).alias("__fi_any"),
         later(F.when(is_ins, o)).alias("__li"),
         *upd)
+    # the per-key summary is written once (one scan of the ledger) and sized;
+    # the size picks the join strategy below and the write cuts lineage
+    stats, size = materialize(stats, "replay-summary")
+    small = fits_broadcast(stats, size)
     ld, li, fi_any = F.col("__ld"), F.col("__li"), F.col("__fi_any")
 
     # keys with INSERTs both before and after the last DELETE: find the first
-    # INSERT after it with a salted join, so a hot key spreads over tasks
-    amb = (stats.filter(ld.isNotNull() & li.isNotNull() & after(li, ld) & ~after(fi_any["o"], ld))
-           .select("__k", "__ld")
-           .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))))
-    inserts = led.filter(is_ins).select(
-        k.alias("__k"), ins.alias("__ins"),
-        F.pmod(F.xxhash64(F.col("id")), F.lit(SALT_BUCKETS)).cast("int").alias("__salt"))
-    fixes = (inserts.join(amb, ["__k", "__salt"], "inner")
-             .filter(after(F.col("__ins.o"), ld))
-             .groupBy("__k").agg(earlier("__ins").alias("__fi_fix")))
-    stats = stats.join(fixes, "__k", "left")
+    # INSERT after it with a salted join, so a hot key spreads over tasks.
+    # Checked on the written summary (stops at the first hit); skipped, with no
+    # second ledger scan, when no key needs it.
+    amb = stats.filter(ld.isNotNull() & li.isNotNull() & after(li, ld) & ~after(fi_any["o"], ld))
+    if amb.isEmpty():
+        stats = stats.withColumn("__fi_fix", F.lit(None).cast(stats.schema["__fi_any"].dataType))
+    else:
+        amb = (amb.select("__k", "__ld")
+               .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))))
+        inserts = led.filter(is_ins).select(
+            k.alias("__k"), ins.alias("__ins"),
+            F.pmod(F.xxhash64(F.col("id")), F.lit(SALT_BUCKETS)).cast("int").alias("__salt"))
+        fixes = (inserts.join(amb, ["__k", "__salt"], "inner")
+                 .filter(after(F.col("__ins.o"), ld))
+                 .groupBy("__k").agg(earlier("__ins").alias("__fi_fix")))
+        stats = stats.join(fixes, "__k", "left")
     fi = (F.when(ld.isNull(), fi_any)
           .when(after(fi_any["o"], ld), fi_any)
           .when(li.isNotNull() & after(li, ld), F.col("__fi_fix")))
     unames = ["__u" + n for n in names]
-    stats = stats.select("__k", "__ld", fi.alias("__fi"), *unames)
+    summary = stats.select("__k", "__ld", fi.alias("__fi"), *unames)
 
-    # per-key summary: written once, then joined by a size-checked strategy
-    summary, size = materialize(stats, "replay-summary")
-    small = fits_broadcast(summary, size)
     types = {f.name: f.dataType for f in base.schema.fields}
     fi_ = F.col("__fi")
 
