@@ -91,23 +91,27 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
         return a > b if latest else a < b
 
     led = _usable(ledger, table, database)
-    k = F.col("row_identifier")
-    op = F.col("operation")
-    img = F.col("after")
-    o = _order(led)
-    is_ins = (op == "INSERT") & img.isNotNull() & (F.size(img) > 0)
-    is_del = op == "DELETE"
-    is_upd = (op == "UPDATE") & img.isNotNull()
     names = [f"c{i}" for i in range(len(cols))]
+    img = F.col("after")
+    op = F.col("operation")
+    # one flat projection: each image value is looked up once per record
+    flat = led.select(
+        F.col("row_identifier").alias("__k"), F.col("id").alias("__id"), _order(led).alias("__o"),
+        ((op == "INSERT") & img.isNotNull() & (F.size(img) > 0)).alias("__is_ins"),
+        (op == "DELETE").alias("__is_del"),
+        ((op == "UPDATE") & img.isNotNull()).alias("__is_upd"),
+        *[_val(img, c).alias("__v" + n) for c, n in zip(cols, names)],
+        *[F.map_contains_key(img, F.lit(c)).alias("__h" + n) for c, n in zip(cols, names)])
+    o, is_ins, is_del, is_upd = F.col("__o"), F.col("__is_ins"), F.col("__is_del"), F.col("__is_upd")
     # INSERT candidate: its order, then each column's value and presence
     ins = F.struct(o.alias("o"),
-                   *[_val(img, c).alias(n) for c, n in zip(cols, names)],
-                   *[F.map_contains_key(img, F.lit(c)).alias("h" + n) for c, n in zip(cols, names)])
+                   *[F.col("__v" + n).alias(n) for n in names],
+                   *[F.col("__h" + n).alias("h" + n) for n in names])
     # every summary column starts with "__" so it cannot collide with base columns
-    upd = [later(F.when(is_upd & _nonblank(_val(img, c)),
-                        F.struct(o.alias("o"), _val(img, c).alias("v")))).alias("__u" + n)
-           for c, n in zip(cols, names)]
-    stats = led.groupBy(k.alias("__k")).agg(
+    upd = [later(F.when(is_upd & _nonblank(F.col("__v" + n)),
+                        F.struct(o.alias("o"), F.col("__v" + n).alias("v")))).alias("__u" + n)
+           for n in names]
+    stats = flat.groupBy("__k").agg(
         later(F.when(is_del, o)).alias("__ld"),
         earlier(F.when(is_ins, ins)).alias("__fi_any"),
         later(F.when(is_ins, o)).alias("__li"),
@@ -128,9 +132,9 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
     else:
         amb = (amb.select("__k", "__ld")
                .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))))
-        inserts = led.filter(is_ins).select(
-            k.alias("__k"), ins.alias("__ins"),
-            F.pmod(F.xxhash64(F.col("id")), F.lit(SALT_BUCKETS)).cast("int").alias("__salt"))
+        inserts = flat.filter(is_ins).select(
+            "__k", ins.alias("__ins"),
+            F.pmod(F.xxhash64(F.col("__id")), F.lit(SALT_BUCKETS)).cast("int").alias("__salt"))
         fixes = (inserts.join(amb, ["__k", "__salt"], "inner")
                  .filter(after(F.col("__ins.o"), ld))
                  .groupBy("__k").agg(earlier("__ins").alias("__fi_fix")))
