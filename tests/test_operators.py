@@ -257,3 +257,12 @@ def test_rename_frames(spark):
     assert s.columns == ["valor_r", "a_b", "ação"] and tuple(s.first()) == (1, 3, 4)
     assert [tuple(r) for r in rename_preview(df, {"ação": "action"}).collect()] == [
         (0, "Valor (R$)", "valor_rs"), (1, "a b", "a_b"), (2, "a_b", "a_b_1"), (3, "Ação", "action")]
+
+
+def test_change_summary_with_repeated_keys(spark):
+    b = spark.createDataFrame([("1", "a")] * 50 + [("2", "b")], "id string, v string")
+    a = spark.createDataFrame([("1", "a")] * 50 + [("2", "c")], "id string, v string")
+    s = diff.change_summary(b, a, "id").first()
+    assert (s["n_before"], s["n_after"], s["n_differing"], s["changed"]) == (51, 51, 1, True)
+    s2 = diff.change_summary(b, b, "id").first()
+    assert s2["changed"] is False

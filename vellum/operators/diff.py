@@ -170,21 +170,32 @@ def diff_positional(before: DataFrame, after: DataFrame, position: str, meta: Ch
 def change_summary(before: DataFrame, after: DataFrame, key: str | None = None) -> DataFrame:
     """One row: sizes, differing rows and ``changed``.
 
-    Keyed: full outer join on the key, a row differs when one side is missing
-    or a normalised cell differs.  Unkeyed: multiset difference both ways
-    (``exceptAll``), which is what "any row differs" means without order.
+    Keyed: per key, a row differs when one side is missing or a normalised
+    cell differs (computed by one aggregation over both snapshots).
+    Unkeyed: multiset difference both ways, which is what "any row differs"
+    means without an order.
     """
     if key is not None:
+        # one aggregation over both snapshots keyed by the key (no join, so a
+        # repeated key is counted, never paired); a key differs when its row
+        # counts differ or its normalised rows differ
         after, cols = _aligned(before, after)
-        bk = before.select(*[F.col(f"`{c}`") for c in cols]).withColumn("__b", F.lit(True)).alias("b")
-        ak = after.select(*[F.col(f"`{c}`") for c in cols]).withColumn("__a", F.lit(True)).alias("a")
-        j = bk.join(ak, F.col(f"b.`{key}`") == F.col(f"a.`{key}`"), "full_outer")
-        differs = F.col("b.__b").isNull() | F.col("a.__a").isNull()
-        for c in cols:
-            differs = differs | (norm(F.col(f"b.`{c}`")) != norm(F.col(f"a.`{c}`")))
-        out = j.agg(F.count_if(F.col("b.__b").isNotNull()).alias("n_before"),
-                    F.count_if(F.col("a.__a").isNotNull()).alias("n_after"),
-                    F.count_if(differs).alias("n_differing"))
+        row = F.array(*[norm(F.col(f"`{c}`")) for c in cols])
+        u = (before.select(F.col(f"`{key}`").alias("__key"), row.alias("__r"), F.lit(True).alias("__b"))
+             .unionByName(after.select(F.col(f"`{key}`").alias("__key"), row.alias("__r"),
+                                       F.lit(False).alias("__b"))))
+        per = u.groupBy("__key").agg(
+            F.count_if(F.col("__b")).alias("nb"), F.count_if(~F.col("__b")).alias("na"),
+            F.min(F.when(F.col("__b"), F.col("__r"))).alias("b_lo"),
+            F.max(F.when(F.col("__b"), F.col("__r"))).alias("b_hi"),
+            F.min(F.when(~F.col("__b"), F.col("__r"))).alias("a_lo"),
+            F.max(F.when(~F.col("__b"), F.col("__r"))).alias("a_hi"))
+        differs = ((F.col("nb") != F.col("na")) | ~F.col("b_lo").eqNullSafe(F.col("a_lo"))
+                   | ~F.col("b_hi").eqNullSafe(F.col("a_hi")))
+        out = per.agg(F.coalesce(F.sum("nb"), F.lit(0)).alias("n_before"),
+                      F.coalesce(F.sum("na"), F.lit(0)).alias("n_after"),
+                      F.coalesce(F.sum(F.when(differs, F.greatest("nb", "na")).otherwise(0)), F.lit(0))
+                      .alias("n_differing"))
     else:
         # multiset difference as one aggregation: +1 per before row, -1 per
         # after row, grouped by the whole row (partial aggregation absorbs
