@@ -266,3 +266,13 @@ def test_change_summary_with_repeated_keys(spark):
     assert (s["n_before"], s["n_after"], s["n_differing"], s["changed"]) == (51, 51, 1, True)
     s2 = diff.change_summary(b, b, "id").first()
     assert s2["changed"] is False
+
+
+def test_land_rerun_is_idempotent(spark):
+    root = scratch_dir(spark, "land-rerun")
+    df = spark.createDataFrame([("1", "Ana", "a@b"), ("2", "Bo", "b@c")], "id string, first_name string, email string")
+    meta = {"subject": "s", "sub_subject": "ss", "original_filename": "u.csv"}
+    for _ in range(2):
+        assert land(df, CONTRACT, root, meta, dt.datetime(2024, 3, 1, 12)).ok
+    assert spark.read.option("header", True).csv(root + "/data").count() == 2
+    assert spark.read.parquet(root + "/manifest").count() == 1

@@ -99,12 +99,15 @@ def ledger_stats(ledger: DataFrame) -> DataFrame:
     with the newest record.  Two small aggregates; the per-operation one has
     at most a handful of groups.
     """
-    per_op = ledger.groupBy("operation").agg(
+    # one scan: (operation, table) groups, combined map side; everything after
+    # works on that small table
+    pt = ledger.groupBy("operation", "table_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.struct(F.col("updated_at"), F.col("id"))).alias("newest"))
+    per_op = pt.groupBy("operation").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
     top = per_op.agg(F.max_by(F.struct("operation", "n"), F.struct("n", "newest")).alias("top"))
-    tot = ledger.agg(F.count(F.lit(1)).alias("total_changes"),
-                     F.count_distinct("table_name").alias("tables_affected"))
+    tot = pt.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_changes"),
+                 F.count_distinct("table_name").alias("tables_affected"))
     # stitch the two one-row results with a union + aggregate (no join)
     u = (tot.select("total_changes", "tables_affected",
                     F.lit(None).cast("string").alias("top_operation"),

@@ -34,23 +34,26 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     """Write ``df`` under ``root`` when it passes ``contract``.
 
     ``meta`` holds ``subject``, ``sub_subject`` and ``original_filename``.
-    Layout: ``root/data/subject=/sub_subject=/landed_day=/part-*.csv`` plus
-    a manifest row (Parquet) under ``manifest_path`` (default
-    ``root/manifest``).  Nothing is written when there is any problem.
+    Layout: ``root/data/subject=/sub_subject=/landed_day=/upload=<name>_<time>/``
+    (CSV part files) plus one manifest row (Parquet) under
+    ``root/manifest/upload=<name>_<time>/``.  Each upload owns its folders and
+    writes them in overwrite mode, so re-running a failed or retried landing
+    replaces its own output instead of duplicating rows.  Nothing is written
+    when there is any problem.
     """
     problems = violation_count(df, contract)
     if problems:
         return LandResult(False, f"{problems} problem(s); nothing written", problems)
     spark = df.sparkSession
-    obs = Observation("landed")
     day = landed_at.strftime("%Y-%m-%d")
-    data_path = root.rstrip("/") + "/data"
-    out = (df.observe(obs, F.count(F.lit(1)).alias("rows"))
-           .withColumn("subject", F.lit(meta["subject"]))
-           .withColumn("sub_subject", F.lit(meta["sub_subject"]))
-           .withColumn("landed_day", F.lit(day)))
-    (out.write.mode("append").option("header", True)
-     .partitionBy("subject", "sub_subject", "landed_day").csv(data_path))
+    base_name = meta["original_filename"].rsplit(".", 1)[0]
+    upload = f"{base_name}_{landed_at.strftime('%Y%m%d_%H%M%S')}"
+    root = root.rstrip("/")
+    data_root = root + "/data"
+    target = (f"{data_root}/subject={meta['subject']}/sub_subject={meta['sub_subject']}"
+              f"/landed_day={day}/upload={upload}")
+    obs = Observation("landed")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(target)
     rows = int(obs.get["rows"])
     ts = F.lit(landed_at).cast("timestamp_ntz")
     manifest_row = spark.range(1).select(
@@ -65,5 +68,5 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
         F.lit(str(len(df.columns))).alias("column_count_text"),
         F.lit(landed_at.isoformat()).alias("upload_timestamp"))
     key = manifest_row.first()["file_key"]
-    manifest_row.write.mode("append").parquet(manifest_path or root.rstrip("/") + "/manifest")
-    return LandResult(True, f"landed {rows} rows", 0, rows, len(df.columns), data_path, key)
+    manifest_row.write.mode("overwrite").parquet(f"{manifest_path or root + '/manifest'}/upload={upload}")
+    return LandResult(True, f"landed {rows} rows", 0, rows, len(df.columns), data_root, key)
