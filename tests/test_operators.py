@@ -276,3 +276,21 @@ def test_land_rerun_is_idempotent(spark):
         assert land(df, CONTRACT, root, meta, dt.datetime(2024, 3, 1, 12)).ok
     assert spark.read.option("header", True).csv(root + "/data").count() == 2
     assert spark.read.parquet(root + "/manifest").count() == 1
+
+
+def test_bucketed_snapshots_diff_without_exchange(spark):
+    from vellum.sinks.snapshots import save_snapshot
+    b = spark.range(2000).selectExpr("CAST(id AS STRING) AS id", "CAST(id % 7 AS STRING) AS v")
+    a = b.selectExpr("id", "CASE WHEN CAST(id AS INT) % 100 = 0 THEN 'x' ELSE v END AS v")
+    tb = save_snapshot(b, "snap_before", "id", 8, scratch_dir(spark, "snap-b"))
+    ta = save_snapshot(a, "snap_after", "id", 8, scratch_dir(spark, "snap-a"))
+    meta = diff.ChangeMeta("db", "t", "me", dt.datetime(2024, 1, 1), "s1")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ch = diff.diff_updates(spark.table(tb), spark.table(ta), "id", meta, check_key=False)
+        plan = ch._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert ch.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

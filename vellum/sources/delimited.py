@@ -34,10 +34,16 @@ def byte_head(text: Column, n: int = SNIFF_BYTES) -> Column:
     return F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")
 
 
-def detect_separator(df: DataFrame, text_col: str, key: str | list[str]) -> DataFrame:
-    """A2 over a column of file heads: (key..., separator) per row."""
+def detect_separator(df: DataFrame, text_col: str, key: str | list[str],
+                     sniff_bytes: int | None = SNIFF_BYTES) -> DataFrame:
+    """A2 over a column of file texts: (key..., separator) per row.
+
+    The separator is defined by the first ``sniff_bytes`` bytes of each text
+    (as a file sniffer sees it); ``None`` counts over the whole text.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.select(*keys, separator_of(byte_head(F.col(text_col))).alias("separator"))
+    head = F.col(text_col) if sniff_bytes is None else byte_head(F.col(text_col), sniff_bytes)
+    return df.select(*keys, separator_of(head).alias("separator"))
 
 
 def _read_head(spark: SparkSession, path: str, n: int) -> bytes:
