@@ -115,42 +115,43 @@ def violations(df: DataFrame, contract: dict, key: list[str] | str | None = None
             .select(*out_schema, "ordinal", "field", "expected", "value"))
 
 
+def _invalid_input(spark) -> DataFrame:
+    return spark.createDataFrame([(0, 0, "invalid input", None, None, None, None)], REPORT_SCHEMA)
+
+
+REPORT_SCHEMA = ("section int, ordinal int, kind string, field string, row_key string, value string, "
+                 "n_blank long")
+
+
 def validation_report(df: DataFrame, contract: dict | None, key: list[str] | str | None = None) -> DataFrame:
     """All problems in reading order: required-field problems (missing,
     then blank counts, per contract field), then type problems per field.
 
     Columns: section (1 required, 2 type), ordinal, kind, field, row_key,
-    value, n_blank.  Empty input or no contract gives one 'invalid input' row.
+    value, n_blank.  Empty input or no contract gives one 'invalid input' row
+    and nothing else (emptiness is a ``limit 1`` probe).
     """
     spark = df.sparkSession
     keys = [key] if isinstance(key, str) else list(key or [])
-    schema = "section int, ordinal int, kind string, field string, row_key string, value string, n_blank long"
     fields = contract_fields(contract)
-    if not fields:
-        return spark.createDataFrame([(0, 0, "invalid input", None, None, None, None)], schema)
+    if not fields or df.isEmpty():
+        return _invalid_input(spark)
     miss = set(missing_columns(df, contract))
     miss_rows = [(1, i, "missing", f["name"], None, None, None)
                  for i, f in enumerate(fields) if f["name"] in miss]
-    parts = [spark.createDataFrame(miss_rows, schema)] if miss_rows else []
-    blanks = blank_counts(df, contract).select(
+    parts = [spark.createDataFrame(miss_rows, REPORT_SCHEMA)] if miss_rows else []
+    parts.append(blank_counts(df, contract).select(
         F.lit(1).alias("section"), "ordinal", F.lit("blank").alias("kind"), "field",
-        F.lit(None).cast("string").alias("row_key"), F.lit(None).cast("string").alias("value"), "n_blank")
-    parts.append(blanks)
+        F.lit(None).cast("string").alias("row_key"), F.lit(None).cast("string").alias("value"), "n_blank"))
     rk = (F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys]) if keys
           else F.lit(None).cast("string"))
-    v = violations(df, contract, keys).select(
+    parts.append(violations(df, contract, keys).select(
         F.lit(2).alias("section"), "ordinal", F.lit("type").alias("kind"), "field",
-        rk.alias("row_key"), "value", F.lit(None).cast("long").alias("n_blank"))
-    parts.append(v)
-    # empty input: a single 'invalid input' row, decided lazily by a count
-    empty = df.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0).select(
-        F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit("invalid input").alias("kind"),
-        F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("row_key"),
-        F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("n_blank"))
+        rk.alias("row_key"), "value", F.lit(None).cast("long").alias("n_blank")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.unionByName(empty)
+    return out
 
 
 def _bad_cells(df: DataFrame, contract: dict) -> Column:
@@ -167,12 +168,18 @@ def _bad_cells(df: DataFrame, contract: dict) -> Column:
     return sum(bads[1:], bads[0]) if bads else F.lit(0)
 
 
-def violation_count(df: DataFrame, contract: dict) -> int:
+def violation_count(df: DataFrame, contract: dict | None) -> int:
     """Number of reported problems (missing columns + required columns with
-    blanks + bad cells), from a single aggregation pass."""
+    blanks + bad cells), from a single aggregation pass.  Empty input or no
+    contract counts as one problem ('invalid input')."""
+    if not contract_fields(contract):
+        return 1
     n_missing = len(missing_columns(df, contract))
     req = [f["name"] for f in contract_fields(contract) if f.get("required") and f["name"] in df.columns]
     aggs = [F.coalesce(F.sum(_bad_cells(df, contract)), F.lit(0)).alias("cells")]
     aggs += [F.max(F.when(blank(F.col(f"`{n}`")), 1).otherwise(0)).alias(f"b{i}") for i, n in enumerate(req)]
+    aggs.append(F.count(F.lit(1)).alias("rows"))
     row = df.agg(*aggs).first()
+    if row["rows"] == 0:
+        return 1
     return n_missing + int(row["cells"]) + sum(int(row[f"b{i}"] or 0) for i in range(len(req)))

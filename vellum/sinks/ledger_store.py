@@ -53,8 +53,16 @@ def append_changes(changes: DataFrame, ledger_table: str) -> int:
 
 def register_external(spark: SparkSession, table: str, location: str, columns: list[dict],
                       fmt: str = "csv") -> None:
-    """(re)register files at ``location`` as a table; CSV skips its header."""
+    """(re)register files at ``location`` as a table; CSV skips its header.
+
+    ``location`` may name one file: the table then covers its folder.
+    """
     fmt = fmt.lower()
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(location)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        location = p.getParent().toString()
     if fmt not in EXTERNAL_FORMATS:
         raise ValueError(f"format must be one of {EXTERNAL_FORMATS}")
     cols = ", ".join(f"`{c['name']}` {c['type']}" for c in columns)
