@@ -9,6 +9,7 @@ is a top-n report.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -311,7 +312,7 @@ def q_replay_as_written(spark, sf):
 
 
 def _views(spark, sf, with_ledger: bool):
-    tag = scratch_dir(spark, "views").rsplit("-", 1)[-1]
+    tag = uuid.uuid4().hex[:12]
     b, l = f"base_{tag}", f"ledger_{tag}"
     _base(spark, sf).createOrReplaceTempView(b)
     if with_ledger:

@@ -35,21 +35,26 @@ def _problems_per_file(batch: DataFrame, contract: dict) -> DataFrame:
 
 
 def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, checkpoint: str,
-                meta: dict, sep: str = ",", trigger: dict | None = None) -> StreamingQuery:
+                meta: dict, sep: str = ",", trigger: dict | None = None,
+                max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the landing stream.  ``meta`` holds subject and sub_subject.
 
     ``trigger`` is passed to ``writeStream.trigger`` (default: process what
-    is available now, then stop).
+    is available now, then stop).  ``max_files_per_trigger`` bounds a
+    micro-batch, and with it the per-file verdict table that is broadcast.
     """
     fields = contract_fields(contract)
     schema = T.StructType([T.StructField(f["name"], T.StringType()) for f in fields])
-    src = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-           .csv(inbox).withColumn("__file", F.col("_metadata.file_path")))
+    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    src = reader.csv(inbox).withColumn("__file", F.col("_metadata.file_path"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         landed_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
         batch = batch.persist()
         verdict = _problems_per_file(batch, contract).persist()
+        # one row per file of this micro-batch: bounded by the batch's file count
         good = batch.join(F.broadcast(verdict.filter("problems = 0").select("__file")), "__file", "left_semi")
         (good.drop("__file")
          .withColumn("subject", F.lit(meta["subject"])).withColumn("sub_subject", F.lit(meta["sub_subject"]))
