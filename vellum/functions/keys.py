@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,9 @@ def landing_key(filename: Column, subject: Column, sub_subject: Column, ts: Colu
 def change_id(database: Column, table: Column, row_id: Column, ts_text: Column) -> Column:
     """md5 of ``{db}_{table}_{row}_{iso time}`` -- stable across reruns."""
     return F.md5(F.concat_ws("_", database, table, row_id, ts_text))
+
+
+def ntz_literal(value: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal built from ISO text: the wall-clock value is
+    kept whatever the Python or session time zone is."""
+    return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")

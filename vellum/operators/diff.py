@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.keys import change_id
+from vellum.functions.keys import change_id, ntz_literal
 
 # Name fragments that mark a key column.
 KEY_HINTS = ["id", "key", "pk"]
@@ -103,7 +103,7 @@ def _records(joined: DataFrame, cols: list[str], row_id: Column, meta: ChangeMet
         image_of("b", cols).alias("before"),
         image_of("a", cols).alias("after"),
         F.lit(meta.user).alias("updated_by"),
-        F.lit(meta.changed_at).cast("timestamp_ntz").alias("updated_at"),
+        ntz_literal(meta.changed_at).alias("updated_at"),
         F.lit(meta.session_id).alias("session_id"),
         F.lit(meta.reason).alias("change_reason"),
     )

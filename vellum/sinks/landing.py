@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vellum.functions.keys import landing_key
+from vellum.functions.keys import landing_key, ntz_literal
 from vellum.operators.contract import violation_count
 
 
@@ -55,7 +55,7 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     obs = Observation("landed")
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(target)
     rows = int(obs.get["rows"])
-    ts = F.lit(landed_at).cast("timestamp_ntz")
+    ts = ntz_literal(landed_at)
     manifest_row = spark.range(1).select(
         landing_key(F.lit(meta["original_filename"]), F.lit(meta["subject"]),
                     F.lit(meta["sub_subject"]), ts).alias("file_key"),

@@ -27,6 +27,6 @@ def read_legacy_log(spark: SparkSession, path: str, fields: list[str] | None = N
         else:
             v = F.replace(v, F.lit("\\|"), F.lit("|"))
             if name == "updated_at":
-                v = F.try_to_timestamp(v).cast("timestamp_ntz")
+                v = v.try_cast("timestamp_ntz")
             cols.append(v.alias(name))
     return text.select(*cols)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vellum.functions.keys import landing_key
+from vellum.functions.keys import landing_key, ntz_literal
 from vellum.functions.predicates import blank
 from vellum.operators.contract import _bad_cells, contract_fields
 
@@ -62,7 +62,7 @@ def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, chec
          .write.mode("overwrite").option("header", True)
          .partitionBy("subject", "sub_subject", "landed_day").csv(f"{root}/data/batch={batch_id}"))
         name = F.element_at(F.split("__file", "/"), -1)
-        ts = F.lit(landed_at).cast("timestamp_ntz")
+        ts = ntz_literal(landed_at)
         (verdict.filter("problems = 0").select(
             landing_key(name, F.lit(meta["subject"]), F.lit(meta["sub_subject"]), ts).alias("file_key"),
             name.alias("original_filename"), ts.alias("upload_date"),
