@@ -36,8 +36,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _clean_value(v: Column) -> Column:
-    # strip whitespace, then commas, then whitespace again
-    return py_strip(F.regexp_replace(py_strip(v), r"^,+|,+$", ""))
+    # strip whitespace, then commas, then whitespace again -- as one regex
+    return F.regexp_replace(v, r"^\s*,*\s*|\s*,*\s*$", "")
 
 
 _EMPTY = "map<string,string>"
@@ -75,7 +75,7 @@ def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
         matches = F.regexp_extract_all(content, F.lit(BRACE_PAIR), 0)
         pairs = F.transform(matches, lambda m: F.struct(
             F.substring_index(m, "=", 1).alias("k"),
-            _clean_value(F.regexp_extract(m, r"^[^=]*=(.*)$", 1)).alias("v")))
+            _clean_value(F.substring_index(m, "=", -1)).alias("v")))
         brace = F.when(content == "", empty).otherwise(_with_fields(_pairs_to_map(pairs), fields))
         comma = _let(F.split(s, r"(?<!\\),"), lambda parts: F.map_from_arrays(
             _lit_array(fields),
@@ -85,7 +85,10 @@ def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
                 .when(s.startswith("{") & s.endswith("}"), brace)
                 .otherwise(comma))
 
-    return _let(py_strip(c), parse)
+    # no lambda around the whole parser: expressions outside lambdas stay in
+    # generated code, and the repeated strip is shared by subexpression
+    # elimination
+    return parse(py_strip(c))
 
 
 def pack_image(image: Column, fields: list[str] | None = None) -> Column:
