@@ -8,22 +8,26 @@ files, not from the raw inputs), and its on-disk size decides the strategy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 from vellum.session import scratch_dir
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def materialize(df: DataFrame, name: str, metrics: list[Column] | None = None
+                ) -> tuple[DataFrame, int, dict]:
     """Write ``df`` as Parquet in the shared scratch folder; return the
-    re-read DataFrame and its size in bytes."""
+    re-read DataFrame, its size in bytes, and any ``metrics`` (aggregate
+    Columns) observed during that same write."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    obs = Observation(name) if metrics else None
+    (df.observe(obs, *metrics) if obs else df).write.mode("overwrite").parquet(path)
+    observed = dict(obs.get) if obs else {}
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     size = int(fs.getContentSummary(p).getLength())
-    return spark.read.parquet(path), size
+    return spark.read.schema(df.schema).parquet(path), size, observed
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -117,17 +117,19 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
         later(F.when(is_ins, o)).alias("__li"),
         *upd)
     # the per-key summary is written once (one scan of the ledger) and sized;
-    # the size picks the join strategy below and the write cuts lineage
-    stats, size = materialize(stats, "replay-summary")
-    small = fits_broadcast(stats, size)
+    # the size picks the join strategy below and the write cuts lineage.
+    # Keys with INSERTs both before and after their last DELETE need a second
+    # step; they are counted while the summary is written.
     ld, li, fi_any = F.col("__ld"), F.col("__li"), F.col("__fi_any")
+    amb_cond = ld.isNotNull() & li.isNotNull() & after(li, ld) & ~after(fi_any["o"], ld)
+    stats, size, seen = materialize(stats, "replay-summary", [F.count_if(amb_cond).alias("n_amb")])
+    small = fits_broadcast(stats, size)
 
-    # keys with INSERTs both before and after the last DELETE: find the first
-    # INSERT after it with a salted join, so a hot key spreads over tasks.
-    # Checked on the written summary (stops at the first hit); skipped, with no
-    # second ledger scan, when no key needs it.
-    amb = stats.filter(ld.isNotNull() & li.isNotNull() & after(li, ld) & ~after(fi_any["o"], ld))
-    if amb.isEmpty():
+    # for those keys, find the first INSERT after the last DELETE with a
+    # salted join, so a hot key spreads over tasks; skipped, with no second
+    # ledger scan, when no key needs it
+    amb = stats.filter(amb_cond)
+    if not seen["n_amb"]:
         stats = stats.withColumn("__fi_fix", F.lit(None).cast(stats.schema["__fi_any"].dataType))
     else:
         amb = (amb.select("__k", "__ld")
@@ -204,7 +206,7 @@ def overlay_updates(base: DataFrame, ledger: DataFrame, key: str | None = None,
     agg = led.groupBy(F.col("row_identifier").alias("__k")).agg(
         *[F.max(F.when(_nonblank(_val(img, c)), F.struct(o.alias("o"), _val(img, c).alias("v"))))
           .alias("__u" + n) for c, n in zip(cols, names)])
-    summary, size = materialize(agg, "overlay-summary")
+    summary, size, _ = materialize(agg, "overlay-summary")
     side = F.broadcast(summary) if fits_broadcast(summary, size) else summary
     j = base.join(side, F.col(f"`{key}`").cast("string") == F.col("__k"), "left")
     types = {f.name: f.dataType for f in base.schema.fields}
