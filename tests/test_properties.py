@@ -74,3 +74,23 @@ def test_replay_of_diff_rebuilds_edited(spark):
     ch = diff_updates(b, e, "id", ChangeMeta("d", "t", "u", dt.datetime(2024, 1, 1), "s"))
     out = replay(b, ch, "id")
     assert out.exceptAll(e).isEmpty() and e.exceptAll(out).isEmpty()
+
+
+def test_clean_cast_table_has_no_problems(spark):
+    """Text written from typed values always passes its own contract."""
+    from vellum.operators import contract
+    rng = random.Random(9)
+    rows = [(rng.randint(-10**12, 10**12), rng.uniform(-1e6, 1e6), rng.random() < 0.5,
+             dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(20000)),
+             dt.datetime(2000, 1, 1) + dt.timedelta(seconds=rng.randrange(10**9)))
+            for _ in range(500)]
+    typed = spark.createDataFrame(rows, "a long, b double, c boolean, d date, e timestamp_ntz")
+    text = typed.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"),
+                        F.col("c").cast("string").alias("c"), F.date_format("d", "yyyy-MM-dd").alias("d"),
+                        F.date_format("e", "yyyy-MM-dd HH:mm:ss").alias("e"))
+    c = {"schema": {"fields": [{"name": "a", "type": "int", "required": True},
+                               {"name": "b", "type": "float", "required": True},
+                               {"name": "c", "type": "bool"}, {"name": "d", "type": "date"},
+                               {"name": "e", "type": "datetime"}]}}
+    assert contract.violations(text, c).count() == 0
+    assert contract.violation_count(text, c) == 0

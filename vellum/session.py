@@ -51,8 +51,6 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="vellum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
     sub = f"{name or 'run'}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + sub
 
