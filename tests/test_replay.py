@@ -147,3 +147,47 @@ def test_replay_small_summary_streams_base(spark):
     ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
     plan = replay(bdf, ldf, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "FullOuter" not in plan
+
+
+def _rec(i, op, rid, after):
+    return {"id": f"r{i}", "table_name": "t", "database_name": "d", "operation": op, "row_identifier": rid,
+            "before": {}, "after": after, "updated_by": "u", "updated_at": dt.datetime(2024, 1, 1, 0, i),
+            "session_id": "s", "change_reason": "r"}
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_numeric_key_matches_by_text(spark, threshold):
+    bdf = spark.createDataFrame([(7, "a"), (8, "b")], "id long, v string")
+    recs = [_rec(1, "UPDATE", "007", {"v": "x"}),   # not the text of any key: no match
+            _rec(2, "UPDATE", "8", {"v": "y"}),
+            _rec(3, "INSERT", "007", {"v": "n"}),   # absent by text, so it is created
+            _rec(4, "INSERT", "7", {"v": "ignored"})]
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = sorted(tuple(r) for r in replay(bdf, ldf, "id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == [(7, "a"), (7, "n"), (8, "y")]
+
+
+def test_bucketed_numeric_base_is_not_shuffled(spark):
+    from vellum.session import scratch_dir
+    from vellum.sinks.snapshots import save_snapshot
+    base = spark.range(1000).selectExpr("id", "CAST(id % 5 AS STRING) AS v")
+    t = save_snapshot(base, "num_base_bkt", "id", 8, scratch_dir(spark, "num-bkt"))
+    recs = [_rec(i, "UPDATE", str(i * 3), {"v": "z"}) for i in range(50)]
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = replay(spark.table(t), ldf, "id")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the full-row read of base keeps its bucket layout (no shuffle of
+        # base rows); only key-only reads may be shuffled
+        full = [ln for ln in plan.splitlines() if "num_base_bkt" in ln and "v:string" in ln]
+        assert full and all("Bucketed: true" in ln for ln in full)
+        assert out.filter("v = 'z'").count() == 50 and out.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

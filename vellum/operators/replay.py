@@ -67,6 +67,21 @@ def _usable(ledger: DataFrame, table: str | None, database: str | None) -> DataF
                       & (F.col("row_identifier") != F.lit("")))
 
 
+def typed_key(base: DataFrame, key: str, row_id: Column) -> Column:
+    """The ledger's row identifier as a value of the base key's type.
+
+    The ledger records keys by their text, so an identifier matches a key
+    only when it is exactly that key's text; any other text (``'007'`` for
+    7) becomes NULL and matches nothing.  Joining on the raw key keeps a base
+    that is bucketed or partitioned by its key in that layout.
+    """
+    dt = base.schema[key].dataType
+    if isinstance(dt, T.StringType):
+        return row_id
+    typed = row_id.try_cast(dt)
+    return F.when(typed.cast("string") == row_id, typed)
+
+
 def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
            precedence: str = "latest", table: str | None = None,
            database: str | None = None, check_key: bool = True) -> DataFrame:
@@ -145,7 +160,8 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
           .when(after(fi_any["o"], ld), fi_any)
           .when(li.isNotNull() & after(li, ld), F.col("__fi_fix")))
     unames = ["__u" + n for n in names]
-    summary = stats.select("__k", "__ld", fi.alias("__fi"), *unames)
+    summary = stats.select("__k", typed_key(base, key, F.col("__k")).alias("__kt"), "__ld", fi.alias("__fi"),
+                           *unames)
 
     types = {f.name: f.dataType for f in base.schema.fields}
     fi_ = F.col("__fi")
@@ -166,22 +182,22 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
     # rows of base: kept (with overlays), re-created after a delete, or dropped
     bk = F.col(f"`{key}`").cast("string")
     side = F.broadcast(summary) if small else summary
-    kept = base.join(side, bk == F.col("__k"), "left")
+    kept = base.join(side, base[key] == F.col("__kt"), "left")
     alive0 = F.col("__ld").isNull()
     kept = kept.filter(alive0 | fi_.isNotNull()).select(*values(alive0, bk))
 
     # keys only in the ledger: created by an INSERT
     if small:
         # base is streamed once against the broadcast key list; no base shuffle
-        present = (base.select(bk.alias("__bk"))
-                   .join(F.broadcast(summary.select("__k")), F.col("__bk") == F.col("__k"), "left_semi"))
+        present = (base.select(F.col(f"`{key}`").alias("__pk"))
+                   .join(F.broadcast(summary.select("__kt")), F.col("__pk") == F.col("__kt"), "left_semi"))
     else:
         # key-only and de-duplicated map side, so a repeated base key cannot pile up
-        present = base.select(bk.alias("__bk")).distinct()
+        present = base.select(F.col(f"`{key}`").alias("__pk")).distinct()
     new = (summary.filter(fi_.isNotNull())
-           .join(present, F.col("__k") == F.col("__bk"), "left_anti"))
+           .join(present, F.col("__kt") == F.col("__pk"), "left_anti"))
     nulls = [F.lit(None).cast(types[c]).alias(c) for c in cols]
-    new = new.select(*nulls, "__k", "__ld", "__fi", *unames).select(*values(F.lit(False), F.col("__k")))
+    new = new.select(*nulls, "__k", "__kt", "__ld", "__fi", *unames).select(*values(F.lit(False), F.col("__k")))
     return kept.unionByName(new)
 
 
@@ -206,9 +222,10 @@ def overlay_updates(base: DataFrame, ledger: DataFrame, key: str | None = None,
     agg = led.groupBy(F.col("row_identifier").alias("__k")).agg(
         *[F.max(F.when(_nonblank(_val(img, c)), F.struct(o.alias("o"), _val(img, c).alias("v"))))
           .alias("__u" + n) for c, n in zip(cols, names)])
+    agg = agg.withColumn("__kt", typed_key(base, key, F.col("__k")))
     summary, size, _ = materialize(agg, "overlay-summary")
     side = F.broadcast(summary) if fits_broadcast(summary, size) else summary
-    j = base.join(side, F.col(f"`{key}`").cast("string") == F.col("__k"), "left")
+    j = base.join(side, base[key] == F.col("__kt"), "left")
     types = {f.name: f.dataType for f in base.schema.fields}
     out = []
     for c, n in zip(cols, names):
