@@ -296,3 +296,20 @@ def test_bucketed_snapshots_diff_without_exchange(spark):
         assert ch.count() == 20
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_legacy_log_roundtrip_with_escapes(spark):
+    from vellum.operators.diff import LEDGER_SCHEMA
+    from vellum.sinks.legacy_export import export_legacy_log
+    from vellum.sources.legacy import read_legacy_log
+    recs = [("a1", "users", "db", "UPDATE", "1", {"email": "x|y", "first_name": "A, B"},
+             {"email": "z", "first_name": "C"}, "me|you", dt.datetime(2024, 1, 2, 3, 4, 5, 6), "s", "why"),
+            ("a2", "users", "db", "DELETE", "2", {}, {}, "me", dt.datetime(2024, 1, 3), "s", "")]
+    led = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    path = scratch_dir(spark, "legacy-test")
+    export_legacy_log(led, path, ["email", "first_name"])
+    back = {r["id"]: r for r in read_legacy_log(spark, path, ["email", "first_name"]).collect()}
+    a1 = back["a1"]
+    assert a1["before"] == {"email": "x|y", "first_name": "A, B"} and a1["after"] == {"email": "z", "first_name": "C"}
+    assert a1["updated_by"] == "me|you" and a1["updated_at"] == dt.datetime(2024, 1, 2, 3, 4, 5, 6)
+    assert back["a2"]["before"] == {} and back["a2"]["operation"] == "DELETE"
