@@ -65,13 +65,19 @@ def guess_key(columns: "list[str] | DataFrame") -> str:
     return columns[0]
 
 
-def assert_unique_key(df: DataFrame, key: str) -> None:
-    """Raise when two rows share a key.
+def assert_unique_key(df: DataFrame, key: str, *others: DataFrame) -> None:
+    """Raise when two rows of one frame share a key.
 
-    One partial (map-side) aggregation, stopped at the first duplicate; a
-    duplicated key would otherwise make the key join emit every pair.
+    One job for all frames: their key columns tagged by frame, one partial
+    (map-side) aggregation, stopped at the first duplicate.  A duplicated
+    key would otherwise make the key join emit every pair.
     """
-    dup = df.groupBy(F.col(f"`{key}`")).count().filter(F.col("count") > 1).limit(1)
+    frames = [df, *others]
+    tagged = None
+    for i, f in enumerate(frames):
+        part = f.select(F.lit(i).alias("__frame"), F.col(f"`{key}`").alias("__key"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    dup = tagged.groupBy("__frame", "__key").count().filter(F.col("count") > 1).limit(1)
     if not dup.isEmpty():
         raise ValueError(f"key column {key!r} is not unique")
 
@@ -127,8 +133,7 @@ def diff_updates(before: DataFrame, after: DataFrame, key: str | None, meta: Cha
     """
     key = key or guess_key(before.columns)
     if check_key:
-        assert_unique_key(before, key)
-        assert_unique_key(after, key)
+        assert_unique_key(before, key, after)
     after, cols = _aligned(before, after)
     j = before.alias("b").join(after.alias("a"), F.col(f"b.`{key}`") == F.col(f"a.`{key}`"), "inner")
     return _records(j, cols, F.col(f"a.`{key}`"), meta)
