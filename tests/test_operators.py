@@ -179,7 +179,8 @@ def test_land_gate(spark):
     root = scratch_dir(spark, "land-test")
     bad = land(users(spark), CONTRACT, root, {"subject": "s", "sub_subject": "ss", "original_filename": "u.csv"},
                dt.datetime(2024, 3, 1, 12))
-    assert not bad.ok and bad.problems == 6 and not os.path.exists(local_path(root))
+    assert not bad.ok and bad.problems == 6
+    assert not os.path.exists(local_path(root) + "/data") and not os.path.exists(local_path(root) + "/manifest")
     ok_df = spark.createDataFrame([("1", "Ana", "a@b"), ("2", "Bo", "b@c")], "id string, first_name string, email string")
     res = land(ok_df, CONTRACT, root, {"subject": "s", "sub_subject": "ss", "original_filename": "u.csv"},
                dt.datetime(2024, 3, 1, 12))

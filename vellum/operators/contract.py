@@ -168,18 +168,30 @@ def _bad_cells(df: DataFrame, contract: dict) -> Column:
     return sum(bads[1:], bads[0]) if bads else F.lit(0)
 
 
+def problem_metrics(df: DataFrame, contract: dict | None):
+    """Aggregate Columns that count problems, and a function turning their
+    values into the problem total -- so a write can observe them in the same
+    pass (``DataFrame.observe``) instead of scanning twice."""
+    fields = contract_fields(contract)
+    req = [f["name"] for f in fields if f.get("required") and f["name"] in df.columns]
+    n_missing = len(missing_columns(df, contract)) if fields else 0
+    cols = [F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(_bad_cells(df, contract)), F.lit(0)).alias("cells")]
+    cols += [F.max(F.when(blank(F.col(f"`{n}`")), 1).otherwise(0)).alias(f"b{i}") for i, n in enumerate(req)]
+
+    def total(values: dict) -> int:
+        if not fields or not values.get("rows"):
+            return 1  # no contract or empty input: 'invalid input'
+        return n_missing + int(values["cells"] or 0) + sum(int(values[f"b{i}"] or 0) for i in range(len(req)))
+
+    return cols, total
+
+
 def violation_count(df: DataFrame, contract: dict | None) -> int:
     """Number of reported problems (missing columns + required columns with
     blanks + bad cells), from a single aggregation pass.  Empty input or no
     contract counts as one problem ('invalid input')."""
     if not contract_fields(contract):
         return 1
-    n_missing = len(missing_columns(df, contract))
-    req = [f["name"] for f in contract_fields(contract) if f.get("required") and f["name"] in df.columns]
-    aggs = [F.coalesce(F.sum(_bad_cells(df, contract)), F.lit(0)).alias("cells")]
-    aggs += [F.max(F.when(blank(F.col(f"`{n}`")), 1).otherwise(0)).alias(f"b{i}") for i, n in enumerate(req)]
-    aggs.append(F.count(F.lit(1)).alias("rows"))
-    row = df.agg(*aggs).first()
-    if row["rows"] == 0:
-        return 1
-    return n_missing + int(row["cells"]) + sum(int(row[f"b{i}"] or 0) for i in range(len(req)))
+    cols, total = problem_metrics(df, contract)
+    return total(df.agg(*cols).first().asDict())

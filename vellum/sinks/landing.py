@@ -1,21 +1,21 @@
 """Gated landing job.
 
-Violations are counted in one aggregation pass; only a clean input is
-written, partitioned by subject / sub_subject / day, and one manifest row is
-appended.  Row and column counts come from an ``Observation`` on the write
-itself, so the data is not scanned again to describe it.
+The input is read once: it is written to a hidden staging folder while an
+``Observation`` counts rows and problems on the same pass; only a clean
+upload is moved into the data layout and gets a manifest row.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellum.functions.keys import landing_key, ntz_literal
-from vellum.operators.contract import violation_count
+from vellum.operators.contract import contract_fields, problem_metrics
 
 
 @dataclass
@@ -31,20 +31,19 @@ class LandResult:
 
 def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.datetime,
          manifest_path: str | None = None) -> LandResult:
-    """Write ``df`` under ``root`` when it passes ``contract``.
+    """Write ``df`` under ``root`` when it passes ``contract``; one pass.
 
     ``meta`` holds ``subject``, ``sub_subject`` and ``original_filename``.
-    Layout: ``root/data/subject=/sub_subject=/landed_day=/upload=<name>_<time>/``
-    (CSV part files) plus one manifest row (Parquet) under
-    ``root/manifest/upload=<name>_<time>/``.  Each upload owns its folders and
-    writes them in overwrite mode, so re-running a failed or retried landing
-    replaces its own output instead of duplicating rows.  Nothing is written
-    when there is any problem.
+    The data is written once to a hidden staging folder next to its target
+    while the problem counts are observed on the same pass; a clean upload is
+    then renamed into ``root/data/subject=/sub_subject=/landed_day=/upload=<name>_<time>/``
+    and gets one manifest row under ``root/manifest/upload=<name>_<time>/``.
+    With any problem nothing appears under ``data`` or ``manifest``.  Each
+    upload owns its folders, so re-running it replaces its own output.
     """
-    problems = violation_count(df, contract)
-    if problems:
-        return LandResult(False, f"{problems} problem(s); nothing written", problems)
     spark = df.sparkSession
+    if not contract_fields(contract):
+        return LandResult(False, "1 problem(s); nothing written", 1)
     day = landed_at.strftime("%Y-%m-%d")
     base_name = meta["original_filename"].rsplit(".", 1)[0]
     upload = f"{base_name}_{landed_at.strftime('%Y%m%d_%H%M%S')}"
@@ -52,9 +51,24 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     data_root = root + "/data"
     target = (f"{data_root}/subject={meta['subject']}/sub_subject={meta['sub_subject']}"
               f"/landed_day={day}/upload={upload}")
-    obs = Observation("landed")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(target)
-    rows = int(obs.get["rows"])
+    # '_' keeps the staging folder invisible to readers of root/data
+    staging = f"{root}/_staging/{upload}-{uuid.uuid4().hex[:12]}"
+    cols, total = problem_metrics(df, contract)
+    obs = Observation("landing")
+    df.observe(obs, *cols).write.mode("overwrite").option("header", True).csv(staging)
+    seen = obs.get
+    problems = total(seen)
+    if problems:
+        return LandResult(False, f"{problems} problem(s); nothing written", problems)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tgt = jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(tgt):
+        fs.delete(tgt, True)
+    fs.mkdirs(tgt.getParent())
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), tgt):
+        raise IOError(f"could not move {staging} to {target}")
+    rows = int(seen["rows"])
     ts = ntz_literal(landed_at)
     manifest_row = spark.range(1).select(
         landing_key(F.lit(meta["original_filename"]), F.lit(meta["subject"]),
