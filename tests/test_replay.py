@@ -99,7 +99,7 @@ def test_duplicate_base_key_rejected(spark):
     bdf = spark.createDataFrame([("1", "a"), ("1", "b")], "id string, name string")
     ldf = spark.createDataFrame([], LEDGER_SCHEMA)
     with pytest.raises(ValueError):
-        replay(bdf, ldf, "id")
+        replay(bdf, ldf, "id", check_key=True)
 
 
 def test_hot_key_third_of_ledger(spark):

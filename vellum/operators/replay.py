@@ -84,11 +84,18 @@ def typed_key(base: DataFrame, key: str, row_id: Column) -> Column:
 
 def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
            precedence: str = "latest", table: str | None = None,
-           database: str | None = None, check_key: bool = True) -> DataFrame:
+           database: str | None = None, check_key: bool = False) -> DataFrame:
     """Current table = base with the ledger replayed over it.
 
     Output has the base's columns in order; image text is cast back to each
     column's type.  ``key`` defaults to the guessed key column (F1).
+
+    The per-key ledger summary is written to the shared folder and sized:
+    under the broadcast threshold it is broadcast and base is streamed with
+    no shuffle; above it, base is hash-joined on the key (AQE splits skewed
+    base partitions of the left join).  Neither path needs unique base keys
+    to stay bounded -- the summary has one row per key -- so the uniqueness
+    scan (one aggregation over all base keys) runs only with ``check_key``.
     """
     if precedence not in ("latest", "as_written"):
         raise ValueError("precedence must be 'latest' or 'as_written'")
