@@ -16,9 +16,12 @@ still spreads over every task:
   row is still alive (no DELETE) or when it is later than ``fi``.
 
 Only ``fi`` needs ``ld`` first.  Keys whose inserts lie on both sides of the
-last delete are rare; for those a second, salted join of their INSERT
-records against ``ld`` picks the right one.  The final step is one full outer
-join of base and the per-key summary, both unique on the key.
+last delete are rare; they are counted while the summary is written, and
+only then does a second, salted join of their INSERT records against ``ld``
+pick the right one.  The summary (one row per touched key) is written to the
+shared folder and sized: small summaries are broadcast to a streamed base,
+large ones are hash-joined on the key (a base bucketed by its key is read in
+place).  Keys only in the ledger come from an anti-join against base keys.
 
 ``precedence='as_written'`` replays newest-first (the order the original
 application walked the ledger): the same plan with earlier/later swapped.
