@@ -11,7 +11,7 @@ computes partially on the map side, so a key holding a third of the ledger
 still spreads over every task:
 
 * ``ld``   = last DELETE,
-* ``fi``   = first INSERT after ``ld`` (any INSERT when there is no DELETE),
+* ``fi``   = first INSERT after ``ld`` (the first INSERT at all when there is no DELETE),
 * per column, the latest non-blank UPDATE value; it applies when the base
   row is still alive (no DELETE) or when it is later than ``fi``.
 
