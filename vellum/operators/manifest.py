@@ -160,8 +160,8 @@ def schema_category(c: Column) -> Column:
 def metadata_map(manifest: DataFrame, subject: Column | None = None, sub_subject: Column | None = None,
                  processed_by: str = "vellum") -> DataFrame:
     """C14: landing metadata as a text map (what object stores keep per file)."""
-    subject = subject if subject is not None else F.element_at(F.split("file_key", "/"), 2)
-    sub_subject = sub_subject if sub_subject is not None else F.element_at(F.split("file_key", "/"), 3)
+    subject = subject if subject is not None else F.coalesce(F.try_element_at(F.split("file_key", "/"), F.lit(2)), F.lit(""))
+    sub_subject = sub_subject if sub_subject is not None else F.coalesce(F.try_element_at(F.split("file_key", "/"), F.lit(3)), F.lit(""))
     kv = [("original_filename", F.col("original_filename")),
           ("upload_timestamp", F.col("upload_timestamp")),
           ("schema_used", F.col("schema_used")),

@@ -167,7 +167,7 @@ def q_validation_report(spark, sf):
 def q_land_keys(spark, sf):
     m = _manifest(spark, sf)
     parts = F.split("file_key", "/")
-    return m.select("file_key", landing_key(F.col("filename"), F.element_at(parts, 2), F.element_at(parts, 3),
+    return m.select("file_key", landing_key(F.col("filename"), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3)),
                                             F.col("upload_date")).alias("landing_key"))
 
 
