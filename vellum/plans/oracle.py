@@ -235,6 +235,9 @@ ORACLE: dict[str, str] = {
     "read_delimited_auto": (
         "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
         "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"),
+    "read_delimited_preamble": (
+        "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
+        "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"),
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
     "rename_strict": "SELECT " + ", ".join(f"{s} AS {_ident(n)}" for s, n in zip(R.ODD_SOURCES, ODD_STRICT))
                      + " FROM customer",

@@ -93,6 +93,20 @@ def q_read_delimited_auto(spark, sf):
     return read_delimited(spark, path, sep="auto")
 
 
+PREAMBLE = ["relatorio de clientes", "fonte: customer"]
+
+
+def q_read_delimited_preamble(spark, sf):
+    """A1 with header_row=2: a ';'-separated export with two preamble lines."""
+    path = scratch_dir(spark, "csv-preamble")
+    cust = _t(spark, sf, "customer")
+    head = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in PREAMBLE + [";".join(cust.columns)]]))
+                                 .alias("value"))
+    body = cust.select(F.concat_ws(";", *[F.col(c).cast("string") for c in cust.columns]).alias("value"))
+    head.coalesce(1).unionByName(body).write.text(path)
+    return read_delimited(spark, path, sep="auto", header_row=len(PREAMBLE))
+
+
 def q_list_files(spark, sf):
     return list_files(spark, sf)
 
