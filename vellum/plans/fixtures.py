@@ -80,8 +80,43 @@ SELECT 'sistema/' || d.source || '/' || d.lang || '/' || CAST(d.doc_id AS STRING
 FROM {documents} d JOIN {events} e ON e.event_id = d.doc_id * 5
 """
 
+# Larger pair: orders snapshots, and a ledger with one record per lineitem.
+# Order keys are doubled, so about half the ledger keys are absent from the
+# base; lines 6 and 7 insert and delete, the rest update.  The record id
+# hashes every column that shapes a record, so two records with one id are
+# the same record.
+BASE_ORDERS = """
+SELECT CAST(o_orderkey AS STRING) AS id, o_orderstatus AS status, o_orderpriority AS priority,
+       CAST(o_custkey AS STRING) AS customer
+FROM {orders}
+"""
+
+EDITED_ORDERS = """
+SELECT CAST(o_orderkey AS STRING) AS id,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS status,
+       CASE WHEN o_orderkey % 17 = 0 THEN '9-EDITED' ELSE o_orderpriority END AS priority,
+       CAST(o_custkey AS STRING) AS customer
+FROM {orders}
+"""
+
+LEDGER_ORDERS_FLAT = """
+SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
+         CAST(l_suppkey AS STRING), l_linestatus, l_returnflag,
+         CAST(CAST(round(l_discount * 100) AS BIGINT) AS STRING), CAST(l_shipdate AS STRING))) AS id,
+  'orders' AS table_name, 'main' AS database_name,
+  CASE WHEN l_linenumber = 7 THEN 'DELETE' WHEN l_linenumber = 6 THEN 'INSERT' ELSE 'UPDATE' END AS operation,
+  CAST(l_orderkey * 2 AS STRING) AS row_identifier,
+  l_linestatus AS after_status,
+  CASE WHEN round(l_discount * 100) > 5 THEN '' ELSE l_returnflag || '-' || CAST(l_linenumber AS STRING) END
+    AS after_priority,
+  'clerk' || CAST(l_suppkey % 7 AS STRING) AS updated_by, l_shipdate AS updated_at,
+  'batch' AS session_id, 'fixture' AS change_reason
+FROM {lineitem}
+"""
+
 DERIVED = {"raw_customer": RAW_CUSTOMER, "base": BASE, "edited": EDITED,
-           "ledger_flat": LEDGER_FLAT, "manifest_raw": MANIFEST}
+           "ledger_flat": LEDGER_FLAT, "manifest_raw": MANIFEST,
+           "base_orders": BASE_ORDERS, "edited_orders": EDITED_ORDERS, "ledger_orders_flat": LEDGER_ORDERS_FLAT}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +148,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("name"), F.col("after_name")).alias("after"),
         "updated_by", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
         "session_id", "change_reason")
+
+
+def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem-derived ledger over orders, images packed as maps."""
+    flat = derive(spark, sf_dir, "ledger_orders_flat")
+    return flat.select(
+        "id", "table_name", "database_name", "operation", "row_identifier",
+        F.create_map().cast("map<string,string>").alias("before"),
+        F.create_map(F.lit("status"), F.col("after_status"),
+                     F.lit("priority"), F.col("after_priority")).alias("after"),
+        "updated_by", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+        "session_id", "change_reason")

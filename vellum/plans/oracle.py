@@ -204,6 +204,71 @@ def _replay_sql(latest: bool) -> str:
           "FROM s WHERE alive OR fi_ts IS NOT NULL")
 
 
+def _replay_ordered_sql(base: str, ledger: str, key: str, images: dict[str, str], others: list[str],
+                        latest: bool) -> str:
+    """Replay oracle with the full record order (time, then record id), for
+    ledgers whose times repeat within a key."""
+    later, earlier = ("max", "min") if latest else ("min", "max")
+    arg_later, arg_earlier = ("arg_max", "arg_min") if latest else ("arg_min", "arg_max")
+    after = ">" if latest else "<"
+    o, lo = "{'t': updated_at, 'i': id}", "{'t': l.updated_at, 'i': l.id}"
+    upd = "operation = 'UPDATE' AND {c} IS NOT NULL AND {c} <> ''"
+    fi_cols = ", ".join(f"{arg_earlier}(l.{src}, {lo}) AS fi_{c}" for c, src in images.items())
+    u_cols = ", ".join(f"{arg_later}({src}, {o}) FILTER (WHERE {upd.format(c=src)}) AS u_{c}, "
+                       f"{later}({o}) FILTER (WHERE {upd.format(c=src)}) AS uo_{c}" for c, src in images.items())
+    j_cols = ", ".join([f"b.{c} AS b_{c}" for c in [key] + list(images) + others]
+                       + [f"fi.fi_{c}" for c in images] + [f"u.u_{c}, u.uo_{c}" for c in images])
+    sel = [f"CASE WHEN alive THEN b_{key} ELSE lk END AS {key}"]
+    for c in images:
+        sel.append(f"CASE WHEN alive THEN coalesce(u_{c}, b_{c}) WHEN uo_{c} {after} fi_o THEN u_{c} "
+                   f"ELSE fi_{c} END AS {c}")
+    for c in others:
+        sel.append(f"CASE WHEN alive THEN b_{c} ELSE NULL END AS {c}")
+    return (_with(
+        b=base, l=ledger,
+        k=f"SELECT row_identifier AS k, {later}({o}) FILTER (WHERE operation = 'DELETE') AS ld "
+          "FROM l GROUP BY row_identifier",
+        fi=f"SELECT l.row_identifier AS k, {earlier}({lo}) AS fi_o, {fi_cols} "
+           f"FROM l JOIN k ON l.row_identifier = k.k WHERE l.operation = 'INSERT' "
+           f"AND (k.ld IS NULL OR {lo} {after} k.ld) GROUP BY l.row_identifier",
+        u=f"SELECT row_identifier AS k, {u_cols} FROM l GROUP BY row_identifier",
+        j=f"SELECT k.k AS lk, k.ld, fi.fi_o, {j_cols} "
+          f"FROM b FULL OUTER JOIN k ON b.{key} = k.k LEFT JOIN fi ON fi.k = k.k LEFT JOIN u ON u.k = k.k",
+        s=f"SELECT *, (b_{key} IS NOT NULL AND ld IS NULL) AS alive FROM j")
+        + "SELECT " + ", ".join(sel) + " FROM s WHERE alive OR fi_o IS NOT NULL")
+
+
+ORDER_IMAGES = {"status": "after_status", "priority": "after_priority"}
+LEDGER_ORDERS = (f"SELECT * FROM ({fx.duck('ledger_orders_flat')}) x WHERE table_name = 'orders' "
+                 "AND database_name = 'main' AND operation IN ('UPDATE', 'INSERT', 'DELETE') "
+                 "AND row_identifier IS NOT NULL AND row_identifier <> ''")
+
+
+def _overlay_orders_sql() -> str:
+    o = "{'t': updated_at, 'i': id}"
+    upd = "operation = 'UPDATE' AND {c} IS NOT NULL AND {c} <> ''"
+    return (_with(b=fx.duck("base_orders"), l=LEDGER_ORDERS,
+                  u="SELECT row_identifier AS k, " + ", ".join(
+                      f"arg_max({src}, {o}) FILTER (WHERE {upd.format(c=src)}) AS u_{c}"
+                      for c, src in ORDER_IMAGES.items()) + " FROM l GROUP BY row_identifier")
+            + "SELECT b.id, coalesce(u.u_status, b.status) AS status, coalesce(u.u_priority, b.priority) AS priority, "
+              "b.customer FROM b LEFT JOIN u ON b.id = u.k")
+
+
+def _changes_generic(base: str, edited: str, fields: list[str], meta, key: str = "id") -> str:
+    cols = []
+    for f in fields:
+        cols += [f"b.{f} AS before_{f}", f"e.{f} AS after_{f}"]
+    differs = " OR ".join(f"coalesce(b.{f}, '') <> coalesce(e.{f}, '')" for f in fields)
+    return (_with(b=base, e=edited)
+            + f"SELECT md5(concat_ws('_', '{meta.database}', '{meta.table}', e.{key}, '{meta.iso_time}')) AS id, "
+              f"'{meta.table}' AS table_name, '{meta.database}' AS database_name, 'UPDATE' AS operation, "
+              f"e.{key} AS row_identifier, " + ", ".join(cols)
+            + f", '{meta.user}' AS updated_by, TIMESTAMP '{meta.changed_at:%Y-%m-%d %H:%M:%S}' AS updated_at, "
+              f"'{meta.session_id}' AS session_id, '{meta.reason}' AS change_reason "
+              f"FROM b JOIN e ON b.{key} = e.{key} WHERE {differs}")
+
+
 def _overlay_sql() -> str:
     upd = "operation = 'UPDATE' AND {c} IS NOT NULL AND {c} <> ''"
     return (_with(b=BASE, l=LEDGER,
@@ -337,6 +402,13 @@ ORACLE: dict[str, str] = {
     "external_table": "SELECT * FROM customer",
     "overlay_updates": _overlay_sql(),
     "replay_latest": _replay_sql(True),
+    "replay_orders": _replay_ordered_sql(fx.duck("base_orders"), LEDGER_ORDERS, "id", ORDER_IMAGES,
+                                         ["customer"], True),
+    "replay_orders_as_written": _replay_ordered_sql(fx.duck("base_orders"), LEDGER_ORDERS, "id", ORDER_IMAGES,
+                                                    ["customer"], False),
+    "overlay_orders": _overlay_orders_sql(),
+    "diff_orders": _changes_generic(fx.duck("base_orders"), fx.duck("edited_orders"), R.ORDER_FIELDS,
+                                    R.META_ORDERS),
     "replay_as_written": _replay_sql(False),
     "current_view": _replay_sql(True),
     "current_view_fallback": _with(b=BASE) + "SELECT * FROM b",

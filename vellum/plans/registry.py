@@ -344,6 +344,39 @@ def q_current_view_fallback(spark, sf):
     return replay.current_view(spark, b, l, "id", database="main")
 
 
+ORDER_FIELDS = ["id", "status", "priority", "customer"]
+META_ORDERS = diff.ChangeMeta("main", "orders", "editor", dt.datetime(2024, 3, 2, 8, 30, 0), "sess0002")
+
+
+def _flat_order_changes(ch: DataFrame) -> DataFrame:
+    cols = [F.col(c) for c in ["id", "table_name", "database_name", "operation", "row_identifier"]]
+    for f in ORDER_FIELDS:
+        cols += [F.try_element_at("before", F.lit(f)).alias(f"before_{f}"),
+                 F.try_element_at("after", F.lit(f)).alias(f"after_{f}")]
+    cols += [F.col(c) for c in ["updated_by", "updated_at", "session_id", "change_reason"]]
+    return ch.select(*cols)
+
+
+def q_diff_orders(spark, sf):
+    return _flat_order_changes(diff.diff_updates(fx.derive(spark, sf, "base_orders"),
+                                                 fx.derive(spark, sf, "edited_orders"), "id", META_ORDERS))
+
+
+def q_replay_orders(spark, sf):
+    return replay.replay(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
+                         table="orders", database="main")
+
+
+def q_replay_orders_as_written(spark, sf):
+    return replay.replay(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
+                         precedence="as_written", table="orders", database="main")
+
+
+def q_overlay_orders(spark, sf):
+    return replay.overlay_updates(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
+                                  table="orders", database="main")
+
+
 # --------------------------------------------------------------------- audit
 def q_change_fields(spark, sf):
     return audit.change_fields(_ledger(spark, sf), IMAGE_FIELDS, "customer")
