@@ -435,6 +435,17 @@ ORACLE: dict[str, str] = {
         _with(l=LFLAT) + "SELECT id, table_name, operation, row_identifier, updated_by, updated_at, session_id, "
         "change_reason FROM l WHERE table_name LIKE '%cust%' AND operation = 'UPDATE' "
         "ORDER BY updated_at DESC, id DESC LIMIT 100"),
+    "changes_by_day_orders": (
+        _with(l=fx.duck("ledger_orders_flat")) + "SELECT CAST(updated_at AS DATE) AS change_date, "
+        "count(*) AS total_changes, count(DISTINCT row_identifier) AS rows_affected, "
+        "count(DISTINCT updated_by) AS editors FROM l WHERE table_name = 'orders' "
+        "AND CAST(updated_at AS DATE) >= DATE '1995-01-01' GROUP BY 1 ORDER BY 1 DESC"),
+    "ledger_stats_orders": (
+        _with(l=fx.duck("ledger_orders_flat"),
+              p="SELECT operation, count(*) AS n, max({'t': updated_at, 'i': id}) AS newest FROM l GROUP BY operation")
+        + "SELECT (SELECT count(*) FROM l) AS total_changes, (SELECT count(DISTINCT table_name) FROM l) "
+          "AS tables_affected, (SELECT operation FROM p ORDER BY n DESC, newest DESC LIMIT 1) AS top_operation, "
+          "(SELECT n FROM p ORDER BY n DESC, newest DESC LIMIT 1) AS top_operation_count"),
     "ledger_stats": (
         _with(l=LFLAT, p="SELECT operation, count(*) AS n, max(updated_at) AS newest FROM l GROUP BY operation")
         + "SELECT (SELECT count(*) FROM l) AS total_changes, (SELECT count(DISTINCT table_name) FROM l) "

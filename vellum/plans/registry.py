@@ -402,6 +402,14 @@ def q_ledger_filter(spark, sf):
     return audit.ledger_filter(_ledger(spark, sf), "cust", "UPDATE", 100)
 
 
+def q_changes_by_day_orders(spark, sf):
+    return audit.changes_by_day(fx.ledger_orders(spark, sf), "orders", dt.date(1995, 1, 1))
+
+
+def q_ledger_stats_orders(spark, sf):
+    return audit.ledger_stats(fx.ledger_orders(spark, sf))
+
+
 def q_ledger_stats(spark, sf):
     return audit.ledger_stats(_ledger(spark, sf))
 
