@@ -84,6 +84,9 @@ def test_facets(spark):
     assert fp["id"]["control"] == "search" and fp["id"]["pick_values"] is None
     assert fp["cat"]["control"] == "pick" and fp["cat"]["pick_values"] == "a|b"
     assert fp["one"]["control"] == "none" and fp["one"]["n_distinct"] == 1
+    empty_col = profile.facet_profile(df.selectExpr("id", "CAST(NULL AS STRING) AS nothing")).collect()
+    assert {r["column"]: (r["n_distinct"], r["control"]) for r in empty_col} == {"id": (60, "search"),
+                                                                                  "nothing": (0, "none")}
     out = profile.facet_filter(df, {"cat": ["a"]}, {"name": "N1"}).collect()
     assert sorted(r["id"] for r in out) == [12, 16]
     fc = profile.filter_counts(df, profile.facet_predicate({"cat": ["b"]})).first()
