@@ -317,3 +317,11 @@ def test_legacy_log_roundtrip_with_escapes(spark):
     assert a1["before"] == {"email": "x|y", "first_name": "A, B"} and a1["after"] == {"email": "z", "first_name": "C"}
     assert a1["updated_by"] == "me|you" and a1["updated_at"] == dt.datetime(2024, 1, 2, 3, 4, 5, 6)
     assert back["a2"]["before"] == {} and back["a2"]["operation"] == "DELETE"
+
+
+def test_read_delimited_glob(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x|y\n1|2\n")
+    (tmp_path / "b.csv").write_text("x|y\n3|4\n")
+    (tmp_path / "notes.txt").write_text("ignore me, really")
+    df = read_delimited(spark, str(tmp_path / "*.csv"))
+    assert df.columns == ["x", "y"] and sorted(r["x"] for r in df.collect()) == ["1", "3"]

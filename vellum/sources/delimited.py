@@ -46,21 +46,32 @@ def detect_separator(df: DataFrame, text_col: str, key: str | list[str],
     return df.select(*keys, separator_of(head).alias("separator"))
 
 
-def _read_head(spark: SparkSession, path: str, n: int) -> bytes:
-    """First n bytes of the first file under ``path`` (driver-side sniff of a
-    few bytes through the Hadoop file system, not a data read)."""
+def _first_file(spark: SparkSession, path: str):
+    """The first data file (by name) under a file, folder or glob path."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    st = fs.getFileStatus(p)
-    if st.isDirectory():
-        files = sorted((s.getPath().toString() for s in fs.listStatus(p)
-                        if s.isFile() and not s.getPath().getName().startswith(("_", "."))))
-        if not files:
-            return b""
-        p = jvm.org.apache.hadoop.fs.Path(files[0])
-    stream = fs.open(p)
+    matches = fs.globStatus(p) or []
+    files = []
+    for st in matches:
+        if st.isDirectory():
+            files += [c.getPath() for c in fs.listStatus(st.getPath()) if c.isFile()]
+        else:
+            files.append(st.getPath())
+    files = [f for f in files if not f.getName().startswith(("_", "."))]
+    if not files:
+        return fs, None
+    return fs, sorted(files, key=lambda f: f.toString())[0]
+
+
+def _read_head(spark: SparkSession, path: str, n: int) -> bytes:
+    """First n bytes of the first file under ``path`` (driver-side sniff of a
+    few bytes through the Hadoop file system, not a data read)."""
+    fs, first = _first_file(spark, path)
+    if first is None:
+        return b""
+    stream = fs.open(first)
     try:
         return bytes(stream.readNBytes(n))
     finally:
