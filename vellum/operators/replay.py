@@ -172,6 +172,11 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
     unames = ["__u" + n for n in names]
     summary = stats.select("__k", typed_key(base, key, F.col("__k")).alias("__kt"), "__ld", fi.alias("__fi"),
                            *unames)
+    if seen["n_amb"]:
+        # the fix-up reads the ledger again; write its result once so the two
+        # uses of the summary below read files instead of repeating that work
+        summary, size, _ = materialize(summary, "replay-summary-fixed")
+        small = fits_broadcast(summary, size)
 
     types = {f.name: f.dataType for f in base.schema.fields}
     fi_ = F.col("__fi")
