@@ -36,12 +36,14 @@ def _problems_per_file(batch: DataFrame, contract: dict) -> DataFrame:
 
 def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, checkpoint: str,
                 meta: dict, sep: str = ",", trigger: dict | None = None,
-                max_files_per_trigger: int | None = None) -> StreamingQuery:
+                max_files_per_trigger: int | None = 1000) -> StreamingQuery:
     """Start the landing stream.  ``meta`` holds subject and sub_subject.
 
     ``trigger`` is passed to ``writeStream.trigger`` (default: process what
     is available now, then stop).  ``max_files_per_trigger`` bounds a
-    micro-batch, and with it the per-file verdict table that is broadcast.
+    micro-batch, and with it the per-file verdict table, which is broadcast
+    only under that bound (``None`` lifts the cap and leaves the join to the
+    planner).
     """
     fields = contract_fields(contract)
     schema = T.StructType([T.StructField(f["name"], T.StringType()) for f in fields])
@@ -54,8 +56,9 @@ def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, chec
         landed_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
         batch = batch.persist()
         verdict = _problems_per_file(batch, contract).persist()
-        # one row per file of this micro-batch: bounded by the batch's file count
-        good = batch.join(F.broadcast(verdict.filter("problems = 0").select("__file")), "__file", "left_semi")
+        # one row per file of this micro-batch: bounded by the file cap
+        clean = verdict.filter("problems = 0").select("__file")
+        good = batch.join(F.broadcast(clean) if max_files_per_trigger else clean, "__file", "left_semi")
         (good.drop("__file")
          .withColumn("subject", F.lit(meta["subject"])).withColumn("sub_subject", F.lit(meta["sub_subject"]))
          .withColumn("landed_day", F.lit(landed_at.strftime("%Y-%m-%d")))
