@@ -290,10 +290,9 @@ def _esc(x: str) -> str:
 
 ORACLE: dict[str, str] = {
     "detect_separator": (
-        "WITH h AS (SELECT doc_id, regexp_extract_all(substring(hex(encode(text)), 1, 2048), '..') AS p "
-        "FROM documents), c AS (SELECT doc_id, "
-        "len(list_filter(p, lambda x: x = '2C')) AS n1, len(list_filter(p, lambda x: x = '3B')) AS n2, "
-        "len(list_filter(p, lambda x: x = '09')) AS n3, len(list_filter(p, lambda x: x = '7C')) AS n4 FROM h) "
+        "WITH c AS (SELECT doc_id, length(text) - length(replace(text, ',', '')) AS n1, "
+        "length(text) - length(replace(text, ';', '')) AS n2, length(text) - length(replace(text, chr(9), '')) AS n3, "
+        "length(text) - length(replace(text, '|', '')) AS n4 FROM documents) "
         "SELECT doc_id, CASE WHEN greatest(n1, n2, n3, n4) = 0 THEN ',' WHEN n1 = greatest(n1, n2, n3, n4) THEN ',' "
         "WHEN n2 = greatest(n1, n2, n3, n4) THEN ';' WHEN n3 = greatest(n1, n2, n3, n4) THEN chr(9) ELSE '|' END "
         "AS separator FROM c"),

@@ -84,7 +84,8 @@ def _flat_changes(ch: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- sources
 def q_detect_separator(spark, sf):
-    return detect_separator(_t(spark, sf, "documents"), "text", "doc_id")
+    # whole texts: every separator in every document counts
+    return detect_separator(_t(spark, sf, "documents"), "text", "doc_id", sniff_bytes=None)
 
 
 def q_read_delimited_auto(spark, sf):
