@@ -376,9 +376,10 @@ ORACLE: dict[str, str] = {
         "CAST(column_count AS VARCHAR), 'file_size_bytes', CAST(file_size_bytes AS VARCHAR), 'original_format', "
         "extension, 'processed_by', 'vellum') AS VARCHAR) AS metadata_json FROM m"),
     "manifest_attach": _m(
-        "SELECT file_key, filename, CASE WHEN doc_id % 17 = 0 THEN 'N/A' ELSE original_filename END "
-        "AS original_filename, file_size_mb, CASE WHEN doc_id % 17 = 0 THEN 'N/A' ELSE schema_used END "
-        "AS schema_used, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE row_count END AS row_count FROM m"),
+        "SELECT file_key, filename, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN original_filename "
+        "ELSE 'N/A' END AS original_filename, file_size_mb, CASE WHEN doc_id IN (SELECT doc_id FROM labels) "
+        "THEN schema_used ELSE 'N/A' END AS schema_used, CASE WHEN doc_id IN (SELECT doc_id FROM labels) "
+        "THEN row_count ELSE 0 END AS row_count FROM m"),
     "diff_updates": _changes_sql(),
     "diff_positional": _changes_sql(),
     "ledger_write_read": _changes_sql(),

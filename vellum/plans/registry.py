@@ -256,7 +256,10 @@ def q_metadata_map(spark, sf):
 def q_manifest_attach(spark, sf):
     raw = fx.derive(spark, sf, "manifest_raw")
     listing = raw.select("file_key", "file_size_bytes", "upload_date")
-    meta = raw.filter(F.col("doc_id") % 17 != 0).drop("file_size_bytes", "upload_date", "doc_id")
+    # metadata exists for the files whose document carries a label (a semi-join
+    # over whole tables); the other files keep the listing's defaults
+    labelled = _t(spark, sf, "labels").select("doc_id")
+    meta = raw.join(labelled, "doc_id", "left_semi").drop("file_size_bytes", "upload_date", "doc_id")
     return mf.attach_metadata(listing, meta).select(
         "file_key", "filename", "original_filename", "file_size_mb", "schema_used", "row_count")
 
