@@ -94,3 +94,87 @@ def test_clean_cast_table_has_no_problems(spark):
                                {"name": "e", "type": "datetime"}]}}
     assert contract.violations(text, c).count() == 0
     assert contract.violation_count(text, c) == 0
+
+
+def _py_formats(v, fmts):
+    if v.strip() == "":
+        return False
+    for f in fmts:
+        try:
+            dt.datetime.strptime(v, f)
+            return True
+        except ValueError:
+            pass
+    return False
+
+
+PART = st.one_of(st.integers(0, 39).map(str), st.integers(0, 9).map(lambda d: f"0{d}"),
+                 st.integers(1, 9).map(lambda d: f" {d}"), st.integers(1990, 2030).map(str),
+                 st.sampled_from(["0000", "00", "2024", "29", "30", "31", "12", "13", "60", "59", "x"]))
+SEP = st.sampled_from(["-", "/", ":", " ", "T", "t", "  ", ""])
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.tuples(PART, SEP), min_size=1, max_size=6).map(
+    lambda parts: "".join(p + s for p, s in parts)), min_size=60, max_size=60))
+def test_date_predicates_match_strptime(spark, values):
+    from tests.test_functions import DATE_FMTS, DATETIME_FMTS
+    from vellum.functions.predicates import is_date, is_datetime
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = df.select("i", is_date(F.col("v")).alias("d"), is_datetime(F.col("v")).alias("t")).collect()
+    for r in got:
+        v = values[r["i"]]
+        assert r["d"] == _py_formats(v, DATE_FMTS), ("date", v)
+        assert r["t"] == _py_formats(v, DATETIME_FMTS), ("datetime", v)
+
+
+FIELD = {
+    "Y": st.sampled_from(["2024", "2023", "1999", "0000", "0001", "999", "20245", "2o24"]),
+    "m": st.sampled_from(["1", "01", "12", "13", "00", "0", " 1", "7", "09"]),
+    "d": st.sampled_from(["1", "01", "28", "29", "30", "31", "32", "00", " 5", "9", "  5"]),
+    "H": st.sampled_from(["0", "00", "9", "23", "24", "12"]),
+    "M": st.sampled_from(["0", "00", "5", "59", "60"]),
+    "S": st.sampled_from(["0", "00", "7", "59", "60", "61"]),
+}
+LAYOUT_FMTS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y",
+               "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M",
+               "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ"]
+
+
+@st.composite
+def formatted(draw):
+    fmt = draw(st.sampled_from(LAYOUT_FMTS))
+    out, i = [], 0
+    while i < len(fmt):
+        if fmt[i] == "%":
+            out.append(draw(FIELD[fmt[i + 1]]))
+            i += 2
+        else:
+            out.append(fmt[i])
+            i += 1
+    s = "".join(out)
+    tweak = draw(st.sampled_from(["", "", "", "lead", "trail", "lower", "double_space"]))
+    if tweak == "lead":
+        s = " " + s
+    elif tweak == "trail":
+        s = s + " "
+    elif tweak == "lower":
+        s = s.lower()
+    elif tweak == "double_space":
+        s = s.replace(" ", "  ", 1)
+    return s
+
+
+@SETTINGS
+@given(st.lists(formatted(), min_size=80, max_size=80))
+def test_formatted_dates_match_strptime(spark, values):
+    from tests.test_functions import DATE_FMTS, DATETIME_FMTS
+    from vellum.functions.predicates import is_date, is_datetime
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = df.select("i", is_date(F.col("v")).alias("d"), is_datetime(F.col("v")).alias("t")).collect()
+    bad = []
+    for r in got:
+        v = values[r["i"]]
+        if r["d"] != _py_formats(v, DATE_FMTS) or r["t"] != _py_formats(v, DATETIME_FMTS):
+            bad.append((v, r["d"], r["t"], _py_formats(v, DATE_FMTS), _py_formats(v, DATETIME_FMTS)))
+    assert not bad, bad[:5]
