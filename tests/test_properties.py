@@ -178,3 +178,39 @@ def test_formatted_dates_match_strptime(spark, values):
         if r["d"] != _py_formats(v, DATE_FMTS) or r["t"] != _py_formats(v, DATETIME_FMTS):
             bad.append((v, r["d"], r["t"], _py_formats(v, DATE_FMTS), _py_formats(v, DATETIME_FMTS)))
     assert not bad, bad[:5]
+
+
+def _infer_model(values):
+    """The inference rules of SURVEY C4, directly in Python."""
+    import re as _re
+    vals = [v for v in values if v is not None]
+    if not vals:
+        return "object"
+    s = [v.strip() for v in vals]
+    if all(_re.match(r"^-?\d+$", x, _re.ASCII) for x in s):
+        return "int64"
+    if all(_re.match(r"^-?\d*\.?\d+([eE][+-]?\d+)?$", x.replace(",", "."), _re.ASCII) for x in s):
+        return "float64"
+    words = {"true", "false", "1", "0", "yes", "no", "sim", "não", "verdadeiro", "falso"}
+    if all(x.lower() in words for x in s):
+        return "bool"
+    pats = [r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}"]
+    if all(any(_re.match(p, x, _re.ASCII) for p in pats) for x in s):
+        return "datetime64"
+    return "object"
+
+
+CELL = st.one_of(st.none(), st.sampled_from(["1", "-2", " 3 ", "1.5", "2,5", ".5", "1e3", "true", "Sim", "NÃO",
+                                             "yes", "2024-01-05", "05/01/2024x", "05-01-2024", "abc", "", " ",
+                                             "0", "falso", "-", "1-2"]))
+
+
+@SETTINGS
+@given(st.lists(st.lists(CELL, min_size=6, max_size=6), min_size=1, max_size=12))
+def test_infer_types_matches_rules(spark, rows):
+    from vellum.operators.profile import infer_types
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    got = {r["column"]: r["inferred_type"] for r in infer_types(df).collect()}
+    for i, c in enumerate(cols):
+        assert got[c] == _infer_model([r[i] for r in rows]), (c, [r[i] for r in rows])
