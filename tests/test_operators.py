@@ -325,3 +325,22 @@ def test_read_delimited_glob(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("ignore me, really")
     df = read_delimited(spark, str(tmp_path / "*.csv"))
     assert df.columns == ["x", "y"] and sorted(r["x"] for r in df.collect()) == ["1", "3"]
+
+
+def test_empty_inputs(spark):
+    from vellum.operators.diff import LEDGER_SCHEMA
+    from vellum.operators.replay import replay
+    empty_base = spark.createDataFrame([], "id string, v string")
+    t = dt.datetime(2024, 1, 1)
+    led = spark.createDataFrame([("a", "t", "d", "INSERT", "9", {}, {"id": "9", "v": "new"}, "u", t, "s", "r")],
+                                LEDGER_SCHEMA)
+    assert [tuple(r) for r in replay(empty_base, led, "id").collect()] == [("9", "new")]
+    assert replay(empty_base, spark.createDataFrame([], LEDGER_SCHEMA), "id").count() == 0
+    none = spark.createDataFrame([], "a string, b string")
+    assert {r["inferred_type"] for r in profile.infer_types(none).collect()} == {"object"}
+    assert [(r["n_distinct"], r["control"]) for r in profile.facet_profile(none).collect()] == [(0, "none")] * 2
+    raw = spark.createDataFrame([], "file_key string, upload_date timestamp_ntz, file_size_bytes long")
+    st = mf.manifest_stats(mf.derive_manifest(raw), dt.date(2024, 1, 1)).first()
+    assert (st["total_files"], st["total_size_mb"], st["total_rows"], st["files_today"]) == (0, 0.0, 0, 0)
+    ls = audit.ledger_stats(spark.createDataFrame([], LEDGER_SCHEMA)).first()
+    assert (ls["total_changes"], ls["tables_affected"], ls["top_operation"], ls["top_operation_count"]) == (0, 0, None, 0)
