@@ -344,3 +344,12 @@ def test_empty_inputs(spark):
     assert (st["total_files"], st["total_size_mb"], st["total_rows"], st["files_today"]) == (0, 0.0, 0, 0)
     ls = audit.ledger_stats(spark.createDataFrame([], LEDGER_SCHEMA)).first()
     assert (ls["total_changes"], ls["tables_affected"], ls["top_operation"], ls["top_operation_count"]) == (0, 0, None, 0)
+
+
+def test_profile_file(spark, tmp_path):
+    from vellum.sources.delimited import profile_file
+    p = tmp_path / "p.csv"
+    p.write_text("a\tb\n1\tx\n2\ty\n")
+    r = profile_file(spark, str(p)).first()
+    assert (r["separator"], r["row_count"], r["column_count"]) == ("\t", 2, 2)
+    assert r["column_types"] == {"a": "int64", "b": "object"}

@@ -122,3 +122,13 @@ def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto
     text = spark.read.text(paths).filter(~F.col("value").isin(lines[: header_row + 1]))
     parsed = text.select(F.from_csv("value", schema.simpleString(), {"sep": sep}).alias("r"))
     return parsed.select("r.*")
+
+
+def profile_file(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0) -> DataFrame:
+    """C5 for files: read (A1, separator sniffed unless given) and profile in
+    one aggregation pass; the row carries the separator that was used."""
+    from vellum.operators.profile import profile
+
+    first = paths if isinstance(paths, str) else paths[0]
+    used = sniff_separator(spark, first) if sep == "auto" else sep
+    return profile(read_delimited(spark, paths, sep=used, header_row=header_row), fmt="csv", separator=used)
