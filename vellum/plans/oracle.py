@@ -133,6 +133,27 @@ def _profile_sql() -> str:
             f"CAST(json_object({obj}) AS VARCHAR) AS column_types_json, ',' AS separator FROM a")
 
 
+def _profile_customer_csv_sql() -> str:
+    """The same rules over customer's CSV text (doubles print alike in both engines)."""
+    from vellum.operators import profile as PR
+    labels = []
+    for c in CUST_COLS:
+        v = f"CAST({c} AS VARCHAR)"
+        s = _strip(v)
+        bools = ", ".join(f"'{w}'" for w in PR.INFER_BOOL_WORDS)
+        dates = " OR ".join(f"regexp_matches({s}, '{p}')" for p in PR.INFER_DATE_PREFIXES)
+        labels.append(
+            f"CASE WHEN count({v}) = 0 THEN 'object' "
+            f"WHEN bool_and(regexp_matches({s}, '{PR.INFER_INT}')) FILTER (WHERE {v} IS NOT NULL) THEN 'int64' "
+            f"WHEN bool_and(regexp_matches(replace({s}, ',', '.'), '{PR.INFER_FLOAT}')) FILTER (WHERE {v} IS NOT NULL) "
+            "THEN 'float64' "
+            f"WHEN bool_and(lower({s}) IN ({bools})) FILTER (WHERE {v} IS NOT NULL) THEN 'bool' "
+            f"WHEN bool_and({dates}) FILTER (WHERE {v} IS NOT NULL) THEN 'datetime64' ELSE 'object' END")
+    obj = ", ".join(f"'{c}', {lab}" for c, lab in zip(CUST_COLS, labels))
+    return (f"SELECT 'csv' AS format, {len(CUST_COLS)} AS column_count, count(*) AS row_count, "
+            f"CAST(json_object({obj}) AS VARCHAR) AS column_types_json, ',' AS separator FROM customer")
+
+
 def _type_labels_sql() -> str:
     from vellum.operators import profile as PR
     case = "CASE " + " ".join(f"WHEN contains(lower(inferred_type), '{f}') THEN '{lab}'" for f, lab in PR.FRIENDLY) \
@@ -309,6 +330,7 @@ ORACLE: dict[str, str] = {
                       "c_mktsegment AS ab, c_custkey AS \"___\", c_acctbal AS \"preçor\" FROM customer"),
     "infer_types": _infer_sql(),
     "profile": _profile_sql(),
+    "profile_file": _profile_customer_csv_sql(),
     "type_labels": _type_labels_sql(),
     "facet_profile": _facet_sql(),
     "facet_filter": f"SELECT * FROM customer WHERE {FACET_PRED}",

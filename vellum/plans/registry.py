@@ -94,6 +94,15 @@ def q_read_delimited_auto(spark, sf):
     return read_delimited(spark, path, sep="auto")
 
 
+def q_profile_file(spark, sf):
+    """C5 end to end: export customer as CSV, then sniff, read and profile it."""
+    from vellum.sources.delimited import profile_file
+    path = scratch_dir(spark, "csv-profile")
+    export_csv(_t(spark, sf, "customer"), path)
+    return profile_file(spark, path).select("format", "column_count", "row_count",
+                                            F.to_json("column_types").alias("column_types_json"), "separator")
+
+
 PREAMBLE = ["relatorio de clientes", "fonte: customer"]
 
 
