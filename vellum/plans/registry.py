@@ -83,18 +83,18 @@ def _flat_changes(ch: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- sources
-def q_detect_separator(spark, sf):
+def q_detect_separator(spark: SparkSession, sf: str) -> DataFrame:
     # whole texts: every separator in every document counts
     return detect_separator(_t(spark, sf, "documents"), "text", "doc_id", sniff_bytes=None)
 
 
-def q_read_delimited_auto(spark, sf):
+def q_read_delimited_auto(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "csv-roundtrip")
     export_csv(_t(spark, sf, "customer"), path)
     return read_delimited(spark, path, sep="auto")
 
 
-def q_profile_file(spark, sf):
+def q_profile_file(spark: SparkSession, sf: str) -> DataFrame:
     """C5 end to end: export customer as CSV, then sniff, read and profile it."""
     from vellum.sources.delimited import profile_file
     path = scratch_dir(spark, "csv-profile")
@@ -106,7 +106,7 @@ def q_profile_file(spark, sf):
 PREAMBLE = ["relatorio de clientes", "fonte: customer"]
 
 
-def q_read_delimited_preamble(spark, sf):
+def q_read_delimited_preamble(spark: SparkSession, sf: str) -> DataFrame:
     """A1 with header_row=2: a ';'-separated export with two preamble lines."""
     path = scratch_dir(spark, "csv-preamble")
     cust = _t(spark, sf, "customer")
@@ -117,11 +117,11 @@ def q_read_delimited_preamble(spark, sf):
     return read_delimited(spark, path, sep="auto", header_row=len(PREAMBLE))
 
 
-def q_list_files(spark, sf):
+def q_list_files(spark: SparkSession, sf: str) -> DataFrame:
     return list_files(spark, sf)
 
 
-def q_preview(spark, sf):
+def q_preview(spark: SparkSession, sf: str) -> DataFrame:
     return profile.preview(_t(spark, sf, "customer"), 10, order_by=["c_custkey"])
 
 
@@ -131,30 +131,30 @@ def _odd(spark, sf):
     return c.select(*[F.col(s).alias(n) for s, n in zip(ODD_SOURCES, ODD_NAMES)])
 
 
-def q_rename_strict(spark, sf):
+def q_rename_strict(spark: SparkSession, sf: str) -> DataFrame:
     return rename.rename_strict(_odd(spark, sf))
 
 
-def q_rename_simple(spark, sf):
+def q_rename_simple(spark: SparkSession, sf: str) -> DataFrame:
     return rename.rename_simple(_odd(spark, sf))
 
 
 # ------------------------------------------------------------------ profiling
-def q_infer_types(spark, sf):
+def q_infer_types(spark: SparkSession, sf: str) -> DataFrame:
     return profile.infer_types(_raw(spark, sf))
 
 
-def q_profile(spark, sf):
+def q_profile(spark: SparkSession, sf: str) -> DataFrame:
     p = profile.profile(_raw(spark, sf), fmt="csv", separator=",")
     return p.select("format", "column_count", "row_count",
                     F.to_json("column_types").alias("column_types_json"), "separator")
 
 
-def q_type_labels(spark, sf):
+def q_type_labels(spark: SparkSession, sf: str) -> DataFrame:
     return profile.type_labels(profile.infer_types(_raw(spark, sf)))
 
 
-def q_facet_profile(spark, sf):
+def q_facet_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.facet_profile(_t(spark, sf, "customer"))
 
 
@@ -162,46 +162,46 @@ FACET_PICKS = {"c_mktsegment": ["BUILDING", "MACHINERY"]}
 FACET_SEARCH = {"c_name": "00001"}
 
 
-def q_facet_filter(spark, sf):
+def q_facet_filter(spark: SparkSession, sf: str) -> DataFrame:
     return profile.facet_filter(_t(spark, sf, "customer"), FACET_PICKS, FACET_SEARCH)
 
 
-def q_filter_counts(spark, sf):
+def q_filter_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.filter_counts(_t(spark, sf, "customer"), profile.facet_predicate(FACET_PICKS, FACET_SEARCH))
 
 
-def q_stringify(spark, sf):
+def q_stringify(spark: SparkSession, sf: str) -> DataFrame:
     return profile.stringify(_t(spark, sf, "customer"))
 
 
 # ----------------------------------------------------------------- contracts
-def q_blank_counts(spark, sf):
+def q_blank_counts(spark: SparkSession, sf: str) -> DataFrame:
     return contract.blank_counts(_raw(spark, sf), fx.RAW_CONTRACT)
 
 
-def q_cell_violations(spark, sf):
+def q_cell_violations(spark: SparkSession, sf: str) -> DataFrame:
     return contract.violations(_raw(spark, sf), fx.RAW_CONTRACT, "row_key")
 
 
-def q_validation_report(spark, sf):
+def q_validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return contract.validation_report(_raw(spark, sf), fx.RAW_CONTRACT, "row_key")
 
 
 # ------------------------------------------------------------ landing, files
-def q_land_keys(spark, sf):
+def q_land_keys(spark: SparkSession, sf: str) -> DataFrame:
     m = _manifest(spark, sf)
     parts = F.split("file_key", "/")
     return m.select("file_key", landing_key(F.col("filename"), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3)),
                                             F.col("upload_date")).alias("landing_key"))
 
 
-def q_file_filters(spark, sf):
+def q_file_filters(spark: SparkSession, sf: str) -> DataFrame:
     m = _manifest(spark, sf)
     return accept_files(m, max_mb=MAX_MB, name_col="filename", size_col="file_size_bytes").select(
         "file_key", "filename", "file_size_bytes")
 
 
-def q_land_gated(spark, sf):
+def q_land_gated(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "landing")
     res = land(_base(spark, sf), BASE_CONTRACT, root,
                {"subject": "sistema", "sub_subject": "clientes", "original_filename": "clientes.csv"},
@@ -211,7 +211,7 @@ def q_land_gated(spark, sf):
     return spark.read.option("header", True).csv(res.data_path).select(*BASE_FIELDS)
 
 
-def q_stream_landing(spark, sf):
+def q_stream_landing(spark: SparkSession, sf: str) -> DataFrame:
     from vellum.streaming import land_stream
     inbox = scratch_dir(spark, "inbox")
     export_csv(_base(spark, sf), inbox)
@@ -223,46 +223,46 @@ def q_stream_landing(spark, sf):
 
 
 # ------------------------------------------------------------------ manifest
-def q_manifest_derive(spark, sf):
+def q_manifest_derive(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).select(
         "file_key", "filename", "extension", "original_filename", "upload_date", "file_size_bytes",
         "file_size_mb", "size_label", "schema_used", "row_count", "column_count", "upload_timestamp")
 
 
-def q_manifest_history(spark, sf):
+def q_manifest_history(spark: SparkSession, sf: str) -> DataFrame:
     return mf.history(_manifest(spark, sf), 50)
 
 
-def q_history_view(spark, sf):
+def q_history_view(spark: SparkSession, sf: str) -> DataFrame:
     return mf.history_view(_manifest(spark, sf))
 
 
-def q_manifest_stats(spark, sf):
+def q_manifest_stats(spark: SparkSession, sf: str) -> DataFrame:
     return mf.manifest_stats(_manifest(spark, sf), AS_OF)
 
 
-def q_top_schemas(spark, sf):
+def q_top_schemas(spark: SparkSession, sf: str) -> DataFrame:
     return mf.top_schemas(_manifest(spark, sf), 5)
 
 
-def q_landings_by_day(spark, sf):
+def q_landings_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return mf.landings_by_day(_manifest(spark, sf), AS_OF, RECENT_DAYS)
 
 
-def q_manifest_search(spark, sf):
+def q_manifest_search(spark: SparkSession, sf: str) -> DataFrame:
     return mf.search(_manifest(spark, sf), SEARCH_TERM, 20)
 
 
-def q_schema_category(spark, sf):
+def q_schema_category(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).select("file_key", "schema_used",
                                        mf.schema_category(F.col("schema_used")).alias("category"))
 
 
-def q_metadata_map(spark, sf):
+def q_metadata_map(spark: SparkSession, sf: str) -> DataFrame:
     return mf.metadata_map(_manifest(spark, sf)).select("file_key", F.to_json("metadata").alias("metadata_json"))
 
 
-def q_manifest_attach(spark, sf):
+def q_manifest_attach(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx.derive(spark, sf, "manifest_raw")
     listing = raw.select("file_key", "file_size_bytes", "upload_date")
     # metadata exists for the files whose document carries a label (a semi-join
@@ -274,30 +274,30 @@ def q_manifest_attach(spark, sf):
 
 
 # -------------------------------------------------------------------- ledger
-def q_diff_updates(spark, sf):
+def q_diff_updates(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_changes(diff.diff_updates(_base(spark, sf), _edited(spark, sf), "id", META))
 
 
-def q_diff_positional(spark, sf):
+def q_diff_positional(spark: SparkSession, sf: str) -> DataFrame:
     cust = diff.with_position(_t(spark, sf, "customer"), "row_index")
     b = spark.sql("SELECT row_index, " + fx.BASE.split("SELECT", 1)[1], customer=cust)
     e = spark.sql("SELECT row_index, " + fx.EDITED.split("SELECT", 1)[1], customer=cust)
     return _flat_changes(diff.diff_positional(b, e, "row_index", META, key="id"))
 
 
-def q_any_change(spark, sf):
+def q_any_change(spark: SparkSession, sf: str) -> DataFrame:
     return diff.change_summary(_base(spark, sf), _edited(spark, sf), "id")
 
 
-def q_any_change_multiset(spark, sf):
+def q_any_change_multiset(spark: SparkSession, sf: str) -> DataFrame:
     return diff.change_summary(_base(spark, sf), _edited(spark, sf))
 
 
-def q_widen_types(spark, sf):
+def q_widen_types(spark: SparkSession, sf: str) -> DataFrame:
     return diff.widen_types(_t(spark, sf, "customer"))
 
 
-def q_ledger_write_read(spark, sf):
+def q_ledger_write_read(spark: SparkSession, sf: str) -> DataFrame:
     loc = scratch_dir(spark, "ledger")
     name = "ledger_" + loc.rsplit("-", 1)[-1]
     create_ledger(spark, name, loc)
@@ -305,7 +305,7 @@ def q_ledger_write_read(spark, sf):
     return _flat_changes(spark.table(name))
 
 
-def q_ledger_reset(spark, sf):
+def q_ledger_reset(spark: SparkSession, sf: str) -> DataFrame:
     loc = scratch_dir(spark, "ledger")
     name = "ledger_" + loc.rsplit("-", 1)[-1]
     create_ledger(spark, name, loc)
@@ -314,7 +314,7 @@ def q_ledger_reset(spark, sf):
     return spark.table(name)
 
 
-def q_external_table(spark, sf):
+def q_external_table(spark: SparkSession, sf: str) -> DataFrame:
     loc = scratch_dir(spark, "external")
     cust = _t(spark, sf, "customer")
     export_csv(cust, loc)
@@ -325,15 +325,15 @@ def q_external_table(spark, sf):
 
 
 # ------------------------------------------------------------- merge on read
-def q_overlay_updates(spark, sf):
+def q_overlay_updates(spark: SparkSession, sf: str) -> DataFrame:
     return replay.overlay_updates(_base(spark, sf), _ledger(spark, sf), "id")
 
 
-def q_replay_latest(spark, sf):
+def q_replay_latest(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay(_base(spark, sf), _ledger(spark, sf), "id", table="customer", database="main")
 
 
-def q_replay_as_written(spark, sf):
+def q_replay_as_written(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay(_base(spark, sf), _ledger(spark, sf), "id", precedence="as_written",
                          table="customer", database="main")
 
@@ -347,12 +347,12 @@ def _views(spark, sf, with_ledger: bool):
     return b, l
 
 
-def q_current_view(spark, sf):
+def q_current_view(spark: SparkSession, sf: str) -> DataFrame:
     b, l = _views(spark, sf, True)
     return replay.current_view(spark, b, l, "id", database="main")
 
 
-def q_current_view_fallback(spark, sf):
+def q_current_view_fallback(spark: SparkSession, sf: str) -> DataFrame:
     b, l = _views(spark, sf, False)
     return replay.current_view(spark, b, l, "id", database="main")
 
@@ -370,72 +370,72 @@ def _flat_order_changes(ch: DataFrame) -> DataFrame:
     return ch.select(*cols)
 
 
-def q_diff_orders(spark, sf):
+def q_diff_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_order_changes(diff.diff_updates(fx.derive(spark, sf, "base_orders"),
                                                  fx.derive(spark, sf, "edited_orders"), "id", META_ORDERS))
 
 
-def q_replay_orders(spark, sf):
+def q_replay_orders(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
                          table="orders", database="main")
 
 
-def q_replay_orders_as_written(spark, sf):
+def q_replay_orders_as_written(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
                          precedence="as_written", table="orders", database="main")
 
 
-def q_overlay_orders(spark, sf):
+def q_overlay_orders(spark: SparkSession, sf: str) -> DataFrame:
     return replay.overlay_updates(fx.derive(spark, sf, "base_orders"), fx.ledger_orders(spark, sf), "id",
                                   table="orders", database="main")
 
 
 # --------------------------------------------------------------------- audit
-def q_change_fields(spark, sf):
+def q_change_fields(spark: SparkSession, sf: str) -> DataFrame:
     return audit.change_fields(_ledger(spark, sf), IMAGE_FIELDS, "customer")
 
 
-def q_change_view(spark, sf):
+def q_change_view(spark: SparkSession, sf: str) -> DataFrame:
     return audit.change_view(_ledger(spark, sf), "customer", IMAGE_FIELDS)
 
 
-def q_field_changed(spark, sf):
+def q_field_changed(spark: SparkSession, sf: str) -> DataFrame:
     return audit.field_changed(_ledger(spark, sf), "customer", "segment")
 
 
-def q_row_history(spark, sf):
+def q_row_history(spark: SparkSession, sf: str) -> DataFrame:
     return audit.row_history(_ledger(spark, sf), "customer", HISTORY_ROW, IMAGE_FIELDS)
 
 
-def q_changes_by_day(spark, sf):
+def q_changes_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return audit.changes_by_day(_ledger(spark, sf), "customer", SINCE)
 
 
-def q_ledger_filter(spark, sf):
+def q_ledger_filter(spark: SparkSession, sf: str) -> DataFrame:
     return audit.ledger_filter(_ledger(spark, sf), "cust", "UPDATE", 100)
 
 
-def q_changes_by_day_orders(spark, sf):
+def q_changes_by_day_orders(spark: SparkSession, sf: str) -> DataFrame:
     return audit.changes_by_day(fx.ledger_orders(spark, sf), "orders", dt.date(1995, 1, 1))
 
 
-def q_ledger_stats_orders(spark, sf):
+def q_ledger_stats_orders(spark: SparkSession, sf: str) -> DataFrame:
     return audit.ledger_stats(fx.ledger_orders(spark, sf))
 
 
-def q_ledger_stats(spark, sf):
+def q_ledger_stats(spark: SparkSession, sf: str) -> DataFrame:
     return audit.ledger_stats(_ledger(spark, sf))
 
 
 # -------------------------------------------------------------------- legacy
-def q_legacy_pack_unpack(spark, sf):
+def q_legacy_pack_unpack(spark: SparkSession, sf: str) -> DataFrame:
     led = _ledger(spark, sf)
     packed = led.select("id", pack_image(F.col("after"), BASE_FIELDS).alias("packed"))
     img = unpack_image(F.col("packed"), BASE_FIELDS)
     return packed.select("id", "packed", *[F.try_element_at(img, F.lit(f)).alias(f"u_{f}") for f in BASE_FIELDS])
 
 
-def q_legacy_brace_unpack(spark, sf):
+def q_legacy_brace_unpack(spark: SparkSession, sf: str) -> DataFrame:
     flat = fx.derive(spark, sf, "ledger_flat")
     text = F.concat(F.lit("{segment="), F.col("after_segment"), F.lit(" name="), F.col("after_name"), F.lit("}"))
     img = unpack_image(text, LEGACY_FIELDS)
@@ -445,7 +445,7 @@ def q_legacy_brace_unpack(spark, sf):
                        F.size(img).alias("n_fields"))
 
 
-def q_legacy_import(spark, sf):
+def q_legacy_import(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "legacy")
     export_legacy_log(_ledger(spark, sf), path, IMAGE_FIELDS)
     led = read_legacy_log(spark, path, IMAGE_FIELDS)
@@ -456,7 +456,7 @@ def q_legacy_import(spark, sf):
                       "updated_at")
 
 
-def q_json_clean(spark, sf):
+def q_json_clean(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").select("event_id", clean_json(F.col("props")).alias("props_clean"))
 
 
