@@ -353,3 +353,15 @@ def test_profile_file(spark, tmp_path):
     r = profile_file(spark, str(p)).first()
     assert (r["separator"], r["row_count"], r["column_count"]) == ("\t", 2, 2)
     assert r["column_types"] == {"a": "int64", "b": "object"}
+
+
+def test_facet_profile_approx_prefilter(spark):
+    df = spark.range(5000).selectExpr("id", "CAST(id % 3 AS STRING) AS small", "CAST(id % 70 AS STRING) AS mid")
+    exact = {r["column"]: (r["n_distinct"], r["control"], r["pick_values"]) for r in profile.facet_profile(df).collect()}
+    fast = {r["column"]: (r["n_distinct"], r["control"], r["pick_values"], r["n_distinct_exact"])
+            for r in profile.facet_profile(df, approx_prefilter=True).collect()}
+    # only the id column is far above the limit: estimated, still 'search'
+    assert fast["id"][1] == "search" and fast["id"][3] is False and abs(fast["id"][0] - 5000) < 250
+    for c in ["small", "mid"]:
+        assert fast[c][:3] == exact[c] and fast[c][3] is True
+    assert exact["small"][1] == "pick" and exact["mid"][1] == "search"
