@@ -214,3 +214,31 @@ def test_infer_types_matches_rules(spark, rows):
     got = {r["column"]: r["inferred_type"] for r in infer_types(df).collect()}
     for i, c in enumerate(cols):
         assert got[c] == _infer_model([r[i] for r in rows]), (c, [r[i] for r in rows])
+
+
+ROWS = st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", None, ""])), max_size=25)
+
+
+@SETTINGS
+@given(ROWS, ROWS)
+def test_change_summary_matches_python(spark, before_rows, after_rows):
+    from collections import Counter
+    from vellum.operators.diff import change_summary
+    b = spark.createDataFrame(before_rows, "k int, v string")
+    a = spark.createDataFrame(after_rows, "k int, v string")
+    # multiset form
+    cb, ca = Counter(before_rows), Counter(after_rows)
+    diff = sum(((cb - ca) + (ca - cb)).values())
+    s = change_summary(b, a).first()
+    assert (s["n_before"], s["n_after"], s["n_differing"]) == (len(before_rows), len(after_rows), diff)
+    assert s["changed"] == (len(before_rows) != len(after_rows) or diff > 0)
+    # keyed form on the first row per key (unique keys)
+    ub = list({k: (k, v) for k, v in reversed(before_rows)}.values())
+    ua = list({k: (k, v) for k, v in reversed(after_rows)}.values())
+    bk, ak = dict(ub), dict(ua)
+    norm = lambda v: "" if v is None else v
+    n_diff = sum(1 for k in set(bk) | set(ak)
+                 if k not in bk or k not in ak or norm(bk[k]) != norm(ak[k]))
+    s = change_summary(spark.createDataFrame(ub, "k int, v string"),
+                       spark.createDataFrame(ua, "k int, v string"), "k").first()
+    assert (s["n_before"], s["n_after"], s["n_differing"]) == (len(ub), len(ua), n_diff)
