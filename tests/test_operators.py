@@ -365,3 +365,21 @@ def test_facet_profile_approx_prefilter(spark):
     for c in ["small", "mid"]:
         assert fast[c][:3] == exact[c] and fast[c][3] is True
     assert exact["small"][1] == "pick" and exact["mid"][1] == "search"
+
+
+def test_ledger_files_sorted_by_row_identifier(spark):
+    import glob
+    import pyarrow.parquet as pq
+    from vellum.plans import fixtures as fx
+    loc = scratch_dir(spark, "ledger-sorted")
+    name = "ledger_sorted_" + loc.rsplit("-", 1)[-1]
+    create_ledger(spark, name, loc)
+    meta = diff.ChangeMeta("db", "t", "me", dt.datetime(2024, 1, 1), "s1")
+    base = fx.derive(spark, "/root/testdata/sf0.01", "base")
+    edited = fx.derive(spark, "/root/testdata/sf0.01", "edited")
+    assert append_changes(diff.diff_updates(base, edited, "id", meta).repartition(3), name) == 332
+    files = glob.glob(local_path(loc) + "/**/*.parquet", recursive=True)
+    assert files
+    for f in files:
+        ids = pq.read_table(f, columns=["row_identifier"]).column(0).to_pylist()
+        assert ids == sorted(ids)

@@ -42,11 +42,17 @@ def reset_ledger(spark: SparkSession, table: str, location: str | None = None, c
 
 def append_changes(changes: DataFrame, ledger_table: str) -> int:
     """Append one batch of change records; returns how many were written
-    (0 = no change).  The count is observed during the write, no extra scan."""
+    (0 = no change).  The count is observed during the write, no extra scan.
+
+    Records are sorted by row identifier within each written file, so the
+    Parquet min/max statistics let a row-history lookup (D9) skip most row
+    groups of a large ledger.
+    """
     obs = Observation("ledger_append")
     spark = changes.sparkSession
     target_cols = spark.table(ledger_table).columns
     (changes.select(*LEDGER_COLUMNS).observe(obs, F.count(F.lit(1)).alias("n"))
+     .sortWithinPartitions("database_name", "table_name", "row_identifier")
      .select(*target_cols).write.insertInto(ledger_table))
     return int(obs.get["n"])
 
