@@ -114,7 +114,32 @@ SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRIN
 FROM {lineitem}
 """
 
-DERIVED = {"raw_customer": RAW_CUSTOMER, "base": BASE, "edited": EDITED,
+# Larger text table with faults, for validation and inference at scale.
+RAW_LINEITEM = """
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS row_key,
+  CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(l_quantity AS STRING) END AS quantity,
+  CASE WHEN l_suppkey % 97 = 0 THEN '' WHEN l_suppkey % 89 = 0 THEN ' ' || CAST(l_partkey AS STRING)
+       ELSE CAST(l_partkey AS STRING) END AS part,
+  CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS STRING)
+       ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS shipped,
+  CASE WHEN l_discount > 0.08 THEN 'yes' WHEN l_discount < 0.02 THEN 'maybe' ELSE 'no' END AS discounted,
+  l_linestatus AS status
+FROM {lineitem}
+"""
+
+LINEITEM_CONTRACT = {
+    "description": "itens de pedido",
+    "schema": {"table_name": "lineitems", "fields": [
+        {"name": "row_key", "type": "str", "required": True},
+        {"name": "quantity", "type": "float", "required": True},
+        {"name": "part", "type": "int", "required": True},
+        {"name": "shipped", "type": "date", "required": False},
+        {"name": "discounted", "type": "bool", "required": False},
+        {"name": "status", "type": "str", "required": True},
+    ]},
+}
+
+DERIVED = {"raw_customer": RAW_CUSTOMER, "raw_lineitem": RAW_LINEITEM, "base": BASE, "edited": EDITED,
            "ledger_flat": LEDGER_FLAT, "manifest_raw": MANIFEST,
            "base_orders": BASE_ORDERS, "edited_orders": EDITED_ORDERS, "ledger_orders_flat": LEDGER_ORDERS_FLAT}
 

@@ -99,6 +99,45 @@ def _blank_sql() -> str:
     return _with(r=RAW) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t WHERE n_blank > 0"
 
 
+def _violations_generic(raw: str, typed: list[tuple[int, str, str]]) -> str:
+    parts = [f"SELECT row_key, {o} AS ordinal, '{c}' AS field, '{k}' AS expected, {c} AS value "
+             f"FROM r WHERE {_bad(c, k)}" for o, c, k in typed]
+    return _with(r=raw) + " UNION ALL ".join(parts)
+
+
+def _blank_generic(raw: str, required: list[tuple[int, str]]) -> str:
+    parts = [f"SELECT {o} AS ordinal, '{c}' AS field, "
+             f"count(*) FILTER (WHERE {c} IS NULL OR {_strip(c)} = '') AS n_blank FROM r" for o, c in required]
+    return _with(r=raw) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t WHERE n_blank > 0"
+
+
+def _infer_generic(raw: str, cols: list[str]) -> str:
+    from vellum.operators import profile as PR
+    aggs, labels = [], []
+    for i, c in enumerate(cols):
+        v = f"CAST({c} AS VARCHAR)"
+        s = _strip(v)
+        bools = ", ".join(f"'{w}'" for w in PR.INFER_BOOL_WORDS)
+        dates = " OR ".join(f"regexp_matches({s}, '{p}')" for p in PR.INFER_DATE_PREFIXES)
+        aggs += [f"count({v}) AS n{i}",
+                 f"bool_and(regexp_matches({s}, '{PR.INFER_INT}')) FILTER (WHERE {v} IS NOT NULL) AS i{i}",
+                 f"bool_and(regexp_matches(replace({s}, ',', '.'), '{PR.INFER_FLOAT}')) "
+                 f"FILTER (WHERE {v} IS NOT NULL) AS f{i}",
+                 f"bool_and(lower({s}) IN ({bools})) FILTER (WHERE {v} IS NOT NULL) AS b{i}",
+                 f"bool_and({dates}) FILTER (WHERE {v} IS NOT NULL) AS d{i}"]
+        labels.append(f"CASE WHEN n{i} = 0 THEN 'object' WHEN i{i} THEN 'int64' WHEN f{i} THEN 'float64' "
+                      f"WHEN b{i} THEN 'bool' WHEN d{i} THEN 'datetime64' ELSE 'object' END")
+    rows = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS \"column\", {lab} AS inferred_type FROM a"
+                              for i, (c, lab) in enumerate(zip(cols, labels)))
+    return _with(r=raw, a="SELECT " + ", ".join(aggs) + " FROM r") + rows
+
+
+RAW_LI = fx.duck("raw_lineitem")
+LI_TYPED = [(1, "quantity", "number"), (2, "part", "integer"), (3, "shipped", "date"), (4, "discounted", "boolean")]
+LI_REQUIRED = [(0, "row_key"), (1, "quantity"), (2, "part"), (5, "status")]
+LI_COLS = ["row_key", "quantity", "part", "shipped", "discounted", "status"]
+
+
 def _infer_cte() -> str:
     from vellum.operators import profile as PR
     aggs, labels = [], []
@@ -340,6 +379,12 @@ ORACLE: dict[str, str] = {
                   + " FROM customer"),
     "blank_counts": _blank_sql(),
     "cell_violations": _violations_sql(),
+    "cell_violations_lineitem": _violations_generic(RAW_LI, LI_TYPED),
+    "validation_report_lineitem": (
+        f"SELECT 1 AS section, ordinal, 'blank' AS kind, field, CAST(NULL AS VARCHAR) AS row_key, "
+        f"CAST(NULL AS VARCHAR) AS value, n_blank FROM ({_blank_generic(RAW_LI, LI_REQUIRED)}) bl "
+        f"UNION ALL SELECT 2, ordinal, 'type', field, row_key, value, NULL FROM ({_violations_generic(RAW_LI, LI_TYPED)}) vi"),
+    "infer_types_lineitem": _infer_generic(RAW_LI, LI_COLS),
     "validation_report": (
         "SELECT 1 AS section, 5 AS ordinal, 'missing' AS kind, 'email' AS field, CAST(NULL AS VARCHAR) AS row_key, "
         "CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS n_blank "

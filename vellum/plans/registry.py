@@ -187,6 +187,18 @@ def q_validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return contract.validation_report(_raw(spark, sf), fx.RAW_CONTRACT, "row_key")
 
 
+def q_cell_violations_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return contract.violations(fx.derive(spark, sf, "raw_lineitem"), fx.LINEITEM_CONTRACT, "row_key")
+
+
+def q_validation_report_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return contract.validation_report(fx.derive(spark, sf, "raw_lineitem"), fx.LINEITEM_CONTRACT, "row_key")
+
+
+def q_infer_types_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.infer_types(fx.derive(spark, sf, "raw_lineitem"))
+
+
 # ------------------------------------------------------------ landing, files
 def q_land_keys(spark: SparkSession, sf: str) -> DataFrame:
     m = _manifest(spark, sf)
