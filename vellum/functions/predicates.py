@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes surrounding whitespace.
-_STRIP = r"^\s+|\s+$"
-
 # Python int()/float() text grammar (ASCII digits).
 INT_RE = r"^[+-]?\d+(_\d+)*$"
 NUMBER_RE = (r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
@@ -39,8 +36,14 @@ _PART = {
 }
 
 
+# The whitespace Python's str.strip() removes in ASCII text
+# (the characters of Java's \s).
+_WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    """Python ``str.strip()`` for ASCII whitespace, without a regex."""
+    return F.btrim(c, F.lit(_WHITESPACE))
 
 
 def blank(c: Column) -> Column:
