@@ -81,23 +81,53 @@ def _layout_regex(layout: str) -> tuple[str, list[str]]:
     return "".join(out), order
 
 
-def _valid_layout(s: Column, layout: str) -> Column:
-    rx, order = _layout_regex(layout)
-    parts = {name: F.regexp_extract(s, rx, i + 1) for i, name in enumerate(order)}
-    # a real calendar day with year >= 1, checked by Spark's date parser
-    norm = F.concat_ws("-", parts["Y"],
-                       F.lpad(F.trim(parts["m"]), 2, "0"),
-                       F.lpad(F.trim(parts["d"]), 2, "0"))
-    return (s.rlike(rx) & (parts["Y"] != F.lit("0000"))
-            & F.try_to_timestamp(norm, F.lit("yyyy-MM-dd")).isNotNull())
+# Spark datetime patterns for each layout letter; single letters parse one or
+# two digits, and the shape regex has already fixed the widths.
+_SPARK_FIELD = {"Y": "yyyy", "m": "M", "d": "d", "H": "H", "M": "m", "S": "s"}
+
+
+def _spark_pattern(layout: str) -> str:
+    out = []
+    for ch in layout:
+        if ch in _SPARK_FIELD:
+            out.append(_SPARK_FIELD[ch])
+        elif ch in "TZ":
+            out.append(f"'{ch}'")  # parsing is case-blind, like strptime
+        else:
+            out.append(ch)
+    return "".join(out)
+
+
+def _shape(layout: str) -> str:
+    """The layout's anchored regex, with year 0000 excluded (no such year
+    exists for datetime())."""
+    rx, _ = _layout_regex(layout)
+    return rx.replace(r"(\d{4})", r"(?!0000)(\d{4})")
+
+
+def _valid_layout(s: Column, norm: Column, layout: str) -> Column:
+    # the shape guard keeps strptime's field widths; Spark's parser then
+    # rejects impossible days (Feb 30) and times
+    return s.rlike(_shape(layout)) & F.try_to_timestamp(norm, F.lit(_spark_pattern(layout))).isNotNull()
+
+
+def _normalised(s: Column) -> Column:
+    """Text Spark's parser reads as strptime does: a space-padded day loses
+    its pad, and any run of whitespace becomes one space.  Only text that
+    contains whitespace is rewritten."""
+    fixed = F.regexp_replace(F.regexp_replace(s, r"(^|[-/]) ([1-9])", "$1$2"), r"\s+", " ")
+    return F.when(s.rlike(r"\s"), fixed).otherwise(s)
 
 
 def _any_layout(c: Column, layouts: list[str]) -> Column:
     s = c.cast("string")
+    norm = _normalised(s)
+    anything = "|".join(f"(?:{_shape(layout)})" for layout in layouts)
     cond = F.lit(False)
     for layout in layouts:
-        cond = cond | F.coalesce(_valid_layout(s, layout), F.lit(False))
-    return cond
+        cond = cond | F.coalesce(_valid_layout(s, norm, layout), F.lit(False))
+    # one combined regex turns away text that fits no layout at all
+    return F.when(s.rlike(anything), cond).otherwise(F.lit(False))
 
 
 def is_date(c: Column) -> Column:
