@@ -26,3 +26,5 @@ def test_stream_lands_clean_files_and_rejects_bad(spark):
     assert [(r["original_filename"], r["row_count_text"]) for r in man] == [("good.csv", "2")]
     rej = spark.read.parquet(root + "/rejected").collect()
     assert len(rej) == 1 and rej[0]["file"].endswith("bad.csv") and rej[0]["problems"] == 2
+    dead = spark.read.option("header", True).csv(root + "/dead_letters").collect()
+    assert sorted(r["id"] for r in dead) == ["3", "x"] and all(r["source_file"].endswith("bad.csv") for r in dead)

@@ -5,7 +5,7 @@ The batch job (``sinks.landing.land``) gates one upload; here the file
 source delivers new files in micro-batches and ``foreachBatch`` gates each
 file separately: problem counts are one aggregation grouped by the file path
 (``_metadata.file_path``), clean files are written, rejected files get a
-report row.  Output paths carry the batch id and are overwritten on replay,
+report row and their rows are kept as dead letters.  Output paths carry the batch id and are overwritten on replay,
 so a retried batch (after an executor or driver loss) writes the same files
 again instead of duplicating them; the checkpoint records which files were
 consumed.
@@ -75,6 +75,11 @@ def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, chec
          .write.mode("overwrite").parquet(f"{root}/manifest/batch={batch_id}"))
         (verdict.filter("problems > 0").select(F.col("__file").alias("file"), "rows", "problems")
          .write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}"))
+        # dead letters: the rows of rejected files, kept with their source file
+        dirty = verdict.filter("problems > 0").select("__file")
+        (batch.join(F.broadcast(dirty) if max_files_per_trigger else dirty, "__file", "left_semi")
+         .withColumnRenamed("__file", "source_file")
+         .write.mode("overwrite").option("header", True).csv(f"{root}/dead_letters/batch={batch_id}"))
         verdict.unpersist()
         batch.unpersist()
 
