@@ -40,3 +40,28 @@ def byte_values(column) -> list[bytes]:
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_prefix(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over the rows of the same ``keys`` before this one.
+
+    Rows are dealt by range over ``keys`` and ``order`` (nulls last), summed
+    within each range, and the ranges' totals are summed in turn, so that a key
+    that holds most of the rows is spread over many tasks.
+    """
+    from pyspark.sql import Window as W
+
+    by = [F.col(c).asc_nulls_last() for c in [*keys, *order]]
+    dealt = materialize(df.withColumn("__amount", amount).repartitionByRange(shuffle_width(df), *by)
+                        .withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*keys, "__range").agg(F.sum("__amount").alias("__total"))
+    before = F.sum("__total").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__r"),
+                           F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum("__amount").over(W.partitionBy(*keys, "__range").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
+    dealt = dealt.withColumn("__within", F.coalesce(within, F.lit(0)))
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return (dealt.join(totals, same).withColumn(name, F.col("__before") + F.col("__within"))
+            .select(*[c for c in df.columns if c != name], name))

@@ -18,7 +18,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "failed_rules")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.mixing import mix, mix_totals
+
+    out = mix_totals(*mix(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 
