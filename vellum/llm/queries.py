@@ -31,9 +31,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op6_decontamination": op6_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
