@@ -160,7 +160,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("doc_id", "source_no", "start", "block",
                 F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")).alias("word_from"),
                 (F.least(end, (F.col("block") + 1) * block_words) - F.col("start")).alias("word_to")))
-    return documents, slots.join(cut, ["source_no", "block"])
+    # slots come out of a small table, from which the optimizer would infer that they can be broadcast
+    return documents, slots.join(cut.hint("merge"), ["source_no", "block"])
 
 
 def mix_totals(documents: DataFrame, pieces: DataFrame) -> DataFrame:
