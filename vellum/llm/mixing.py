@@ -134,6 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)).cast("long"), F.lit(0).cast("long"))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    sized = materialize(sized, "mix-sizes")  # else dealing by range would count the words twice
     placed = materialize(with_prefix(sized, ["source"], ["doc_id", "size"], F.col("size"), "start"), "mix-placed")
     targets = source_targets(placed, weights, cap)
     passes = F.floor(F.col("target") / F.col("source_size"))
