@@ -192,9 +192,13 @@ def _blocks(benchmark: DataFrame, block_words: int) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slack: int = SLACK,
-            block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """``(documents, matches)``: ``key, doc_id, n_words`` and ``key, item_id, start, length, exact``."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
+            block_words: int = BLOCK_WORDS, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(documents, matches)``: ``key, doc_id, n_words`` and ``key, item_id, start, length, exact``.
+
+    ``key_col``: a long that numbers the rows; without it they are numbered here.
+    """
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    keyed = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"),
                         F.col(text_col).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"),
                              F.coalesce(F.octet_length(item_text_col), F.lit(0)).cast("long").alias("size"))
@@ -220,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     documents, found = matches(docs, benchmark, **options)
     phrases = found.filter("exact")
     before = F.max("stop").over(W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
@@ -233,6 +237,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     zero = F.lit(0).cast("long")
     return (documents.join(hit, "key", "left").join(items, "key", "left").join(near, "key", "left")
             .withColumn("items", F.coalesce("items", none))
-            .select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+            .select("doc_id", "key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                     (F.coalesce("n_hit", zero) > 0).alias("contaminated"), F.coalesce("n_near", zero).alias("n_near")))

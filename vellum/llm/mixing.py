@@ -123,17 +123,18 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS,
-        shard_slots: int = SHARD_SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+        shard_slots: int = SHARD_SLOTS, seed: int = 7, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(documents, pieces)`` of the mix.
 
-    ``documents``: one row per input row: doc_id, source, size, source_size,
-    target, source_no, start (its first word's place in its source's stream).
+    ``documents``: one row per input row: doc_id, source, ``carry`` (columns
+    taken along), size, source_size, target, source_no, start (its first word's place in its source's stream).
     ``pieces``: the mix itself, one row per slot and document in it: shard,
     slot, source_no, block, start, doc_id, word_from, word_to (words of the
     document, end exclusive).
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)).cast("long"), F.lit(0).cast("long"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+                        *carry)
     sized = materialize(sized, "mix-sizes")  # else dealing by range would count the words twice
     placed = materialize(with_prefix(sized, ["source"], ["doc_id", "size"], F.col("size"), "start"), "mix-placed")
     targets = source_targets(placed, weights, cap)

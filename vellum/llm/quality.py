@@ -100,18 +100,16 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  stratum_col: str = "lang") -> DataFrame:
-    """One row per document: id, stratum, the counts and ``base_failed``."""
+                  stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, stratum, ``carry`` (columns taken along), the counts and ``base_failed``."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"),
-                        F.col(text_col).alias("text"))
-    schema = T.StructType([given.schema["doc_id"], T.StructField("stratum", T.StringType()),
-                           *(T.StructField(c, T.LongType()) for c in _COUNTS)])
+                        *carry, F.col(text_col).alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in _COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([text_counts(t) for t in byte_values(b.column(2))], np.int64).reshape(-1, len(_COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in rows.T)],
-                                             names=["doc_id", "stratum", *_COUNTS])
+            rows = np.array([text_counts(t) for t in byte_values(b.column(b.num_columns - 1))], np.int64).reshape(-1, len(_COUNTS))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c) for c in rows.T)], names=schema.names)
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return given.mapInArrow(count, schema).withColumn("base_failed", failed)
@@ -176,9 +174,10 @@ def fit_cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.02, erro
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  stratum_col: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+                  stratum_col: str = "lang", risk: float = 0.02, error: float = 0.05,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    features = materialize(text_features(docs, id_col, text_col, stratum_col), "quality-features")
+    features = materialize(text_features(docs, id_col, text_col, stratum_col, carry), "quality-features")
     cutoffs = fit_cutoffs(features, labels.withColumnRenamed(id_col, "doc_id"), risk, error)
     cutoffs = cutoffs.select("stratum", *(F.col(r).alias(f"__{r}") for r in RULES))
     failed = F.filter(F.array(*(F.when(F.expr(f"{RULES[r]} > __{r}"), F.lit(r)) for r in RULES)), lambda r: r.isNotNull())

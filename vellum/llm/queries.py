@@ -21,7 +21,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.decontaminate import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.lines import drop_repeated_runs
+
+    out = drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES = {
@@ -42,6 +50,43 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op6_decontamination": op6_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
+               FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS win
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw))),
+        hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x,
+                            unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+        full_lines AS (SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq
+                       FROM raw WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+        pairs AS (SELECT * FROM (SELECT doc_id, seq, x, lead(x) OVER (PARTITION BY doc_id ORDER BY seq) AS y FROM full_lines)
+                  WHERE y IS NOT NULL),
+        later AS (SELECT doc_id, seq FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, seq) AS k
+                                           FROM pairs) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, seq FROM later UNION ALL SELECT doc_id, seq + 1 FROM later)),
+        marked AS (SELECT raw.doc_id, raw.line, raw.x, f.seq IS NOT NULL AS has_word, g.seq IS NOT NULL AS gone
+                   FROM raw LEFT JOIN full_lines f ON f.doc_id = raw.doc_id AND f.line = raw.line
+                   LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.seq = f.seq)
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN (
+            SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                   string_agg(x, chr(10) ORDER BY line) FILTER (NOT gone) AS kept
+            FROM marked GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+}

@@ -64,15 +64,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's 64 bits as a long)."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([given.schema["doc_id"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``carry`` (columns taken along), ``fp`` (the fingerprint's 64 bits as a long)."""
+    given = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in byte_values(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in byte_values(b.column(b.num_columns - 1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -191,14 +192,14 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, fingerprint, component_id``, one row per document."""
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
+                    radius: int = RADIUS, bucket: int = BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``carry``, ``fingerprint, component_id, component`` (a fingerprint of it), one row per document."""
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, carry), "simhash")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     label = components(links(classes, radius, bucket))
     named = (classes.join(label, F.col("fp") == F.col("node"), "left")
              .select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(least, "label").select("fp", "component_id")
-    return marked.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                              "component_id")
+    of_class = named.join(least, "label").select("fp", "component_id", F.col("label").alias("component"))
+    return marked.join(of_class, "fp").select("doc_id", *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                              "component_id", "component")
