@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from vellum.llm.common import byte_values, materialize, with_prefix
+from vellum.llm.common import byte_values, materialize, slices, with_prefix
 
 WINDOW = 10
 SLACK = 2
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, term: dict[bytes, int], shard_words: int = SHAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, own, ids, held = known.value.get, [], [], 0
         schema = None
-        for b in batches:
+        for b in slices(batches):
             doc = pa.struct([("key", pa.int64()), ("n_words", pa.int64()), ("doc_id", b.column(1).type)])
             schema = pa.schema([("docs", pa.list_(doc)), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())),
                                 ("positions", pa.binary())])

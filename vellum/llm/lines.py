@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import byte_values, materialize, with_prefix
+from vellum.llm.common import byte_values, materialize, slices, with_prefix
 
 MIN_LINES = 2
 
@@ -53,21 +53,19 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
-            texts = byte_values(b.column(2))
-            for at in range(0, len(texts), 256):
-                names, lines, counts = [], [], []
-                for text in texts[at:at + 256]:
-                    own = [(i, xxh3_128_digest(x)) for i, x in enumerate(text.split(b"\n")) if x.strip()]
-                    lines += (i for i, _ in own)
-                    names += (x for _, x in own)
-                    counts.append(len(own))
-                name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-                row = np.repeat(np.arange(at, at + len(counts)), counts)
-                seq = np.arange(len(names)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(seq),
-                     pa.array(lines, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1])], names=schema.names)
+        for b in slices(batches):
+            names, lines, counts = [], [], []
+            for text in byte_values(b.column(2)):
+                own = [(i, xxh3_128_digest(x)) for i, x in enumerate(text.split(b"\n")) if x.strip()]
+                lines += (i for i, _ in own)
+                names += (x for _, x in own)
+                counts.append(len(own))
+            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            seq = np.arange(len(names)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(1).take(row), pa.array(seq), pa.array(lines, pa.int64()),
+                 pa.array(name[:, 0]), pa.array(name[:, 1])], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -115,7 +113,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept, total, removed = [], [], []
             for text, gone in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text is not None else []

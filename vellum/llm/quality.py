@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import SPACE_BYTES, byte_values, materialize
+from vellum.llm.common import SPACE_BYTES, byte_values, materialize, slices
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -107,7 +107,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in _COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = np.array([text_counts(t) for t in byte_values(b.column(b.num_columns - 1))], np.int64).reshape(-1, len(_COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c) for c in rows.T)], names=schema.names)
 
