@@ -14,8 +14,9 @@ written as Parquet and read again as the next one's ``docs``:
 
 All but the last return the columns of ``docs``, whatever these are beside
 ``doc_id, text, lang, source``; ``n_chars`` follows the text.  An empty table
-passes through every stage.  Rows are told apart by a number of their own, so
-rows that repeat and null ids neither multiply nor get lost.
+passes through every stage.  Documents are told apart by id and text, so null ids do
+not merge; rows that repeat are judged alike in stages 1, 2 and 4, and come out
+of stages 3 and 5 once (there with the words taken of all of them).
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize
 from vellum.llm.decontaminate import contamination
 from vellum.llm.lines import drop_repeated_runs
 from vellum.llm.mixing import mix, mix_totals
@@ -31,22 +31,24 @@ from vellum.llm.quality import quality_rules
 from vellum.llm.simhash import near_duplicates
 from vellum.session import scratch_dir
 
-ROW = "__pipeline_row"
+KEY = "__pipeline_key"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written down so that it stays the same."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit key of id and text; rows that share it are the same document."""
+    return docs.withColumn(KEY, F.struct(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("a"),
+                                         F.xxhash64("text", "doc_id").alias("b")))
 
 
 def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    return docs.join(chosen, ROW, "left_semi").drop(ROW)
+    return docs.join(chosen, KEY, "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    judged = quality_rules(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(ROW,))
-    return _rows(rows, judged.filter("kept").select(ROW))
+    rows = _keyed(docs).withColumn("__stratum", F.coalesce("lang", F.lit("")))
+    judged = quality_rules(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(KEY,))
+    kept = judged.filter("kept").select(KEY, F.col("stratum").alias("__stratum"))
+    return rows.join(kept, [KEY, "__stratum"], "left_semi").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,23 +60,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(ROW))).alias("first")
-    kept = near_duplicates(rows, carry=(ROW,)).groupBy("component").agg(first)
-    return _rows(rows, kept.select(f"first.{ROW}"))
+    rows = _keyed(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(KEY))).alias("first")
+    kept = near_duplicates(rows, carry=(KEY,)).groupBy("component").agg(first)
+    return _rows(rows, kept.select(f"first.{KEY}")).dropDuplicates([KEY]).drop(KEY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    judged = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key_col=ROW)
-    return _rows(rows, judged.filter("not contaminated").select(F.col("key").alias(ROW)))
+    rows = _keyed(docs)
+    judged = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    return _rows(rows, judged.filter("not contaminated").select(F.col("doc_id").alias(KEY))).drop(KEY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    taken = mix_totals(*mix(rows, carry=(ROW,))).filter("taken > 0")
-    return rows.drop("size", "source_size", "target", "taken").join(
-        taken.select(ROW, "size", "source_size", "target", "taken"), ROW).drop(ROW)
+    rows = _keyed(docs)
+    totals = mix_totals(*mix(rows, carry=(KEY,))).groupBy(KEY, F.struct("source").alias("__source")).agg(
+        F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.sum("taken").alias("taken")).filter("taken > 0")
+    rows = rows.withColumn("__source", F.struct("source")).drop("size", "source_size", "target", "taken")
+    return rows.join(totals, [KEY, "__source"]).dropDuplicates([KEY, "__source"]).drop(KEY, "__source")
 
 
 STAGES = [
