@@ -193,18 +193,18 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def repeated_starts(packed: DataFrame, symbols_of, width: int, gram: int, describe, judge, within: bool) -> DataFrame:
+def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int, gram: int, describe, judge,
+                    within: bool) -> DataFrame:
     """``slice, starts``: compressed runs (start, number) of windows that occur earlier, by slice.
 
     ``describe(slice, covers, chosen)`` gives the surroundings of the chosen
     cover positions: a key per position (equal keys, equal surroundings and
     windows) and a function from positions to bytes.  ``judge(bodies)`` reads
     the bodies of a bucket and gives, for each window in their order, its class.
-    ``within``: a window that starts earlier in the same document counts too.
+    ``symbol_bytes``: about how many bytes a symbol takes.  ``within``: a window that starts earlier in the same document counts too.
     """
     total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    per_byte = 2 / (width - gram + 2) / (1 if symbols_of(([b"a b"]))[1][0] == 3 else 6)
-    buckets = int(total * per_byte // BUCKET_COVERS) + 1
+    buckets = int(total / symbol_bytes * 2 / (width - gram + 2) // BUCKET_COVERS) + 1
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,13 +287,17 @@ def repeated_starts(packed: DataFrame, symbols_of, width: int, gram: int, descri
                 row = np.repeat(np.arange(len(at)), count)
                 start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
                 kind = judge(bodies, at, first, count)
-                order = np.lexsort([start, unique[row], ids[row], kind])
-                k, i, u = kind[order], ids[row][order], unique[row][order]
-                new = np.concatenate([[True], k[1:] != k[:-1]])
-                earlier = i > i[np.flatnonzero(new)][np.cumsum(new) - 1]
-                if within:
-                    earlier[1:] |= ~new[1:] & (u[1:] == u[:-1])
+                order = np.argsort(kind, kind="stable")
+                new = np.concatenate([[True], kind[order][1:] != kind[order][:-1]])
+                of_row = ids[row][order]
+                least = np.minimum.reduceat(of_row, np.flatnonzero(new))[np.cumsum(new) - 1]
+                earlier = of_row > least
                 found = order[earlier]
+                if within:  # among the windows of the smallest id, those that aren't their document's first
+                    rest = order[~earlier]
+                    rest = rest[np.lexsort([start[rest], unique[row[rest]], kind[rest]])]
+                    again = (kind[rest][1:] == kind[rest][:-1]) & (unique[row[rest]][1:] == unique[row[rest]][:-1])
+                    found = np.concatenate([found, rest[1:][again]])
                 for number, part in _by_bucket(np.concatenate(of)[row][found]):
                     mine = np.sort(start[found[part]])
                     cut = np.flatnonzero(np.concatenate([[True], np.diff(mine) != 1]))

@@ -82,15 +82,13 @@ def _surroundings(width: int, gram: int):
         far, n = at - first, len(rows)
         end = np.cumsum(count)
         out = np.zeros(end[-1], np.int64)
-        right, left, base = np.empty(n, np.int64), np.empty(n, np.int64), 0
+        right, left = np.empty(n, np.int64), np.empty(n, np.int64)
         for d in range(before + 1):
             right[after] = np.cumsum(shared_after < width - d)
             left[back] = np.cumsum(shared_back < d)
             own = np.flatnonzero((far >= d) & (far - count < d))
             if len(own):
-                _, kind = np.unique(left[own] * np.int64(n + 1) + right[own], return_inverse=True)
-                out[(end - count)[own] + far[own] - d] = kind.ravel() + base
-                base += int(kind.max()) + 1
+                out[(end - count)[own] + far[own] - d] = (d * (n + 1) + left[own]) * (n + 1) + right[own]
         return out
 
     return describe, judge
@@ -101,7 +99,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also the kept bytes and the
     removed spans (begin, end)."""
     describe, judge = _surroundings(width, gram)
-    found = repeated_starts(pack(docs, id_col, text_col), byte_symbols, width, gram, describe, judge, within=False)
+    found = repeated_starts(pack(docs, id_col, text_col), byte_symbols, 1, width, gram, describe, judge, within=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
