@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality import quality_rules
 
@@ -56,11 +62,24 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) AS h
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM win)
+                  WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+        removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op6_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
