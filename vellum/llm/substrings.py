@@ -37,6 +37,7 @@ from vellum.llm.passages import Covers, Slice, _slices, covered, pack, repeated_
 
 WIDTH = 20
 GRAM = 6
+BLOCK = 1 << 12  # windows that are searched at a time: their state stays in the processor's cache
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,24 +48,27 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0), ends
 
 
+_ONE, _SIX, _LOW = np.uint64(1), np.uint64(6), np.uint64(63)
+
+
 class WaveletMatrix:
     """Counts of a symbol before a place, from one packed bit row per bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, size: int):
-        self.rows, self.bits = [], max(1, int(size - 1).bit_length())
-        for b in range(self.bits - 1, -1, -1):
+        self.rows = []
+        for b in range(max(1, int(size - 1).bit_length()) - 1, -1, -1):
             bit = (symbols >> b) & 1 == 1
             words = np.packbits(np.pad(bit, (0, 64 - len(bit) % 64)), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]])
-            self.rows.append((b, words, before, int(len(bit) - bit.sum())))
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint64)
+            self.rows.append((np.uint64(b), words, before, np.uint64(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
-        self.base = self._down(np.arange(size), np.zeros(size, np.int64))
+        self.base = self._down(np.arange(size, dtype=np.uint64), np.zeros(size, np.uint64))
 
     def _down(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for b, words, before, zeros in self.rows:
-            at = place >> 6
-            ones = before[at] + np.bitwise_count(words[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
-            place = np.where((symbol >> b) & 1 == 1, zeros + ones, place - ones)
+            at = place >> _SIX
+            ones = before.take(at) + np.bitwise_count(words.take(at) & ((_ONE << (place & _LOW)) - _ONE))
+            place = np.where((symbol >> b) & _ONE, zeros + ones, place - ones)
         return place
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -90,19 +94,21 @@ class FMIndex:
             if h >= depth or new[-1] == n - 1:
                 break
         self.n, self.matrix = n, WaveletMatrix(text[order - 1], size)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))]).astype(np.uint64)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each pattern (a row) its interval; a search that is down to one row or none stops there."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.arange(len(patterns))
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[live, j]
+        patterns = patterns.T.astype(np.uint64, order="C")
+        low = self.smaller[patterns[-1]]
+        high = self.smaller[patterns[-1] + _ONE]
+        live = np.flatnonzero(high - low > 1)
+        for j in range(len(patterns) - 2, -1, -1):
+            symbol = patterns[j][live]
             both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
             low[live] = self.smaller[symbol] + both[:len(live)]
             high[live] = self.smaller[symbol] + both[len(live):]
             live = live[high[live] - low[live] > 1]
-        return low, high
+        return low.astype(np.int64), high.astype(np.int64)
 
 
 def _surroundings(width: int):
@@ -117,19 +123,25 @@ def _surroundings(width: int):
         return np.unique(name, return_inverse=True)[1].ravel(), lambda own: b"\n".join(map(piece, own))
 
     def judge(bodies: list[bytes], at: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        # equal surroundings have equal windows: each is indexed and searched once
+        own: dict[bytes, int] = {}
+        piece = np.array([own.setdefault(p, len(own)) for p in b"\n".join(bodies).split(b"\n")], np.int64)
+        windows = np.empty(len(own), np.int64)
+        windows[piece] = count
         number: dict[bytes, int] = {b"\n": 0}
-        words = b" \n ".join(b"\n".join(bodies).split(b"\n")).split(b" ")
+        words = b" \n ".join(own).split(b" ")
         text = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
         text = np.append(text, 0)
         index = FMIndex(text, len(number), width)
-        begin = np.cumsum(count + width) - (count + width)
-        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-        out = np.empty(len(start), np.int64)
-        for k in range(0, len(start), 1 << 15):
-            some = start[k:k + (1 << 15)]
+        begin = np.cumsum(windows + width) - (windows + width)
+        head = np.cumsum(windows) - windows
+        start = np.arange(windows.sum()) + np.repeat(begin - head, windows)
+        kind = np.empty(len(start), np.int64)
+        for k in range(0, len(start), BLOCK):
+            some = start[k:k + BLOCK]
             low, high = index.search(text[some[:, None] + np.arange(width)])
-            out[k:k + (1 << 15)] = np.where(high - low > 1, low, -1 - some)
-        return out
+            kind[k:k + BLOCK] = np.where(high - low > 1, low, -1 - some)
+        return kind[np.arange(count.sum()) + np.repeat(head[piece] - (np.cumsum(count) - count), count)]
 
     return describe, judge
 
