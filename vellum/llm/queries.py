@@ -35,6 +35,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "failed_rules")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.licenses import license_scan
+
+    # the documents table has no paths: source, language and hundred stand for directories
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), "doc_id")
+    return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.simhash import near_duplicates
 
@@ -48,6 +56,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.suffixes import remove_repeats
 
@@ -69,8 +83,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
