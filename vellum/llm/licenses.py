@@ -80,7 +80,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     holds = "(?i)(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"
     lines = (given.filter("text is not null").select("doc_id", "hash", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
              .filter(F.col("x").rlike(holds)).withColumn("words", in_line("x"))
-             .withColumn("share", F.length("x") / F.col("size")).dropDuplicates(["doc_id", "hash", "line"]))
+             .withColumn("share", F.try_divide(F.length("x"), F.col("size"))).dropDuplicates(["doc_id", "hash", "line"]))
     terms = (materialize(lines.select("doc_id", "hash", "line", "share", "words"), "license-lines")
              .withColumn("w", F.explode("words")).groupBy("doc_id", "hash", "line", "share", "w").agg(F.count("*").alias("tf")))
     at = ["doc_id", "hash", "line", "share"]

@@ -138,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = materialize(sized, "mix-sizes")  # else dealing by range would count the words twice
     placed = materialize(with_prefix(sized, ["source"], ["doc_id", "size"], F.col("size"), "start"), "mix-placed")
     targets = source_targets(placed, weights, cap)
-    passes = F.floor(F.col("target") / F.col("source_size"))
+    passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("long"))
     rest = F.round((F.col("target") - passes * F.col("source_size")) / block_words).cast("long")
     blocks = F.ceil(F.col("source_size") / block_words)
     quotas = materialize(targets.withColumn("blocks", blocks).withColumn("slots", F.when(

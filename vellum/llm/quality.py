@@ -49,10 +49,10 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
 #: what each rule compares with its cutoff
 RULES = {
-    "symbol_share": "n_symbols / n_words",
-    "upper_share": "n_upper / word_chars",
-    "dup_line_share": "n_dup_lines / n_lines",
-    "repeat_share": "n_repeat_words / n_words",
+    "symbol_share": "n_symbols / nullif(n_words, 0)",
+    "upper_share": "n_upper / nullif(word_chars, 0)",
+    "dup_line_share": "n_dup_lines / nullif(n_lines, 0)",
+    "repeat_share": "n_repeat_words / nullif(n_words, 0)",
 }
 #: the candidate cutoffs, lenient to strict
 GRID = tuple(round(1.0 - 0.04 * i, 2) for i in range(1, 25))
