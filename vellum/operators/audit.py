@@ -80,16 +80,16 @@ def changes_by_day(ledger: DataFrame, table: str, since: _dt.date) -> DataFrame:
 
 
 def ledger_filter(ledger: DataFrame, table_like: str | None = None, operation: str | None = None,
-                  limit: int = 100) -> DataFrame:
+                  limit: int | None = 100) -> DataFrame:
     """D4 + K3: table name contains (LIKE, case-sensitive), operation equals
-    (``None``/"All" = any), newest first, top ``limit`` (10..1000)."""
-    limit = max(10, min(1000, int(limit)))
+    (``None``/"All" = any), newest first, top ``limit`` as given (``None`` = all)."""
     led = ledger
     if table_like:
         led = led.filter(F.col("table_name").like(f"%{table_like}%"))
     if operation and operation != "All":
         led = led.filter(F.col("operation") == F.lit(operation))
-    return _newest_first(led.select(*AUDIT_COLUMNS)).limit(limit)
+    newest = _newest_first(led.select(*AUDIT_COLUMNS))
+    return newest if limit is None else newest.limit(limit)
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:
