@@ -17,7 +17,7 @@ MB = 1024 * 1024
 
 
 def _digits_or_zero(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit(0)).when(c.rlike(r"^\d+$"), c.try_cast("int")).otherwise(F.lit(0))
+    return F.when(c.isNull(), F.lit(0)).when(c.rlike(r"^\d+$"), c.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def size_label(n_bytes: Column) -> Column:

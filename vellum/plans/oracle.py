@@ -40,7 +40,7 @@ SELECT file_key, string_split(file_key, '/')[-1] AS filename,
        ELSE printf('%.1f MB', round_even(CAST(file_size_bytes AS DOUBLE) / 1048576, 1)) END AS size_label,
   coalesce(schema_used, 'N/A') AS schema_used,
   CASE WHEN row_count_text IS NULL THEN 0
-       WHEN regexp_full_match(row_count_text, '[0-9]+') THEN TRY_CAST(row_count_text AS INTEGER)
+       WHEN regexp_full_match(row_count_text, '[0-9]+') THEN TRY_CAST(row_count_text AS BIGINT)
        ELSE 0 END AS row_count,
   0 AS column_count,
   strftime(upload_date, '%Y-%m-%dT%H:%M:%S.%f') AS upload_timestamp,
