@@ -48,6 +48,8 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="vellum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
