@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from vellum.sinks.csv_export import TEXT_OPTIONS
+
 from vellum.functions.keys import landing_key, ntz_literal
 from vellum.operators.contract import contract_fields, problem_metrics
 
@@ -55,7 +57,7 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     staging = f"{root}/_staging/{upload}-{uuid.uuid4().hex[:12]}"
     cols, total = problem_metrics(df, contract)
     obs = Observation("landing")
-    df.observe(obs, *cols).write.mode("overwrite").option("header", True).csv(staging)
+    df.observe(obs, *cols).write.mode("overwrite").option("header", True).options(**TEXT_OPTIONS).csv(staging)
     seen = obs.get
     problems = total(seen)
     if problems:

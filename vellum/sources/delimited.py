@@ -109,7 +109,9 @@ def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto
     if sep == "auto":
         sep = sniff_separator(spark, paths[0])
     if header_row <= 0:
-        reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+        # doubled quotes, and newlines inside quotes (a file is then read by one task: cut large ones beforehand)
+        reader = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+                  .option("escape", '"').option("multiLine", True))
         if schema is None:
             names = spark.read.option("header", True).option("sep", sep).csv(paths).columns
             schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -120,7 +122,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto
         names = next(csv.reader([header], delimiter=sep))
         schema = T.StructType([T.StructField(str(c), T.StringType()) for c in names])
     text = spark.read.text(paths).filter(~F.col("value").isin(lines[: header_row + 1]))
-    parsed = text.select(F.from_csv("value", schema.simpleString(), {"sep": sep}).alias("r"))
+    parsed = text.select(F.from_csv("value", schema.simpleString(), {"sep": sep, "escape": '"'}).alias("r"))
     return parsed.select("r.*")
 
 
