@@ -27,7 +27,7 @@ from vellum.sinks.ledger_store import append_changes, create_ledger, register_ex
 from vellum.sinks.legacy_export import export_legacy_log
 from vellum.sources.delimited import SEPARATORS, detect_separator, read_delimited
 from vellum.sources.legacy import read_legacy_log
-from vellum.sources.listing import accept_files, list_files
+from vellum.sources.listing import accept_files
 
 # ---------------------------------------------------------------- parameters
 META = diff.ChangeMeta("main", "customer", "editor", dt.datetime(2024, 3, 1, 12, 0, 0), "sess0001")
@@ -117,10 +117,6 @@ def q_read_delimited_preamble(spark: SparkSession, sf: str) -> DataFrame:
     return read_delimited(spark, path, sep="auto", header_row=len(PREAMBLE))
 
 
-def q_list_files(spark: SparkSession, sf: str) -> DataFrame:
-    return list_files(spark, sf)
-
-
 def q_preview(spark: SparkSession, sf: str) -> DataFrame:
     return profile.preview(_t(spark, sf, "customer"), 10, order_by=["c_custkey"])
 
