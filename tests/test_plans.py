@@ -3,16 +3,16 @@ joins, no Python evaluation nodes, and scans read only needed columns."""
 
 import pytest
 
-import __spark_entry__ as E
+from vellum.plans.registry import QUERIES as REGISTERED
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTERED))
 def test_plan_rules(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = REGISTERED[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for node in FORBIDDEN:
         assert node not in plan, f"{name}: {node}"
@@ -20,7 +20,7 @@ def test_plan_rules(spark, name):
 
 def test_text_columns_are_pruned(spark):
     # the manifest derivation joins documents but must never read its text
-    plan = E.queries()["manifest_derive"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = REGISTERED["manifest_derive"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" in plan
     for line in plan.splitlines():
         if "documents.parquet" in line:

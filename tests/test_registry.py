@@ -51,7 +51,7 @@ def test_every_query_has_an_oracle_or_is_file_bound():
 
 @pytest.mark.parametrize("name", sorted(REGISTERED))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = REGISTERED[name](spark, SF)
     got = df.collect()
     sql = E.oracle_sql()[name]
     rel = duck.sql(sql)
