@@ -36,13 +36,12 @@ _PART = {
 }
 
 
-# The whitespace Python's str.strip() removes in ASCII text
-# (the characters of Java's \s).
-_WHITESPACE = " \t\n\x0b\x0c\r"
+# Every character that Python's str.strip() removes, from the rule itself.
+_WHITESPACE = "".join(map(chr, filter(lambda i: chr(i).isspace(), range(0x3001))))
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace, without a regex."""
+    """Python ``str.strip()``, Unicode whitespace included, without a regex."""
     return F.btrim(c, F.lit(_WHITESPACE))
 
 

@@ -2,9 +2,9 @@
 
 A contract is the YAML-shaped dict ``{"schema": {"fields": [{name, type,
 required}, ...]}, ...}``.  Missing columns are a plan-time set difference;
-blank counts are one aggregate; cell violations are one pass that builds an
-array of (field, value, bad) per row and keeps the bad ones -- no union per
-column, no Python per row.
+blank counts are one aggregate; cell violations are one pass that lays out
+(field, value, bad) per cell with ``inline`` and filters the bad ones inside
+generated code -- no union per column, no lambda, no Python per row.
 """
 
 from __future__ import annotations
@@ -70,10 +70,14 @@ def missing_columns(df: DataFrame, contract: dict) -> list[str]:
     return [f["name"] for f in contract_fields(contract) if f.get("required") and f["name"] not in present]
 
 
+def _required_present(df: DataFrame, contract: dict) -> list[tuple[int, str]]:
+    return [(i, f["name"]) for i, f in enumerate(contract_fields(contract))
+            if f.get("required") and f["name"] in df.columns]
+
+
 def blank_counts(df: DataFrame, contract: dict) -> DataFrame:
     """(ordinal, field, n_blank) for present required fields with blanks."""
-    fields = [(i, f["name"]) for i, f in enumerate(contract_fields(contract))
-              if f.get("required") and f["name"] in df.columns]
+    fields = _required_present(df, contract)
     if not fields:
         return df.sparkSession.createDataFrame([], "ordinal int, field string, n_blank long")
     one = df.agg(*[F.count_if(blank(F.col(f"`{n}`"))).alias(f"b{i}") for i, n in fields])
@@ -103,22 +107,17 @@ def violations(df: DataFrame, contract: dict, key: list[str] | str | None = None
         bad = ~skip & ~F.coalesce(_check(kind, c, dtypes[name]), F.lit(False))
         checks.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("field"),
                                F.lit(kind).alias("expected"), c.cast("string").alias("value"),
-                               bad.alias("bad")))
+                               bad.alias("__bad")))
     out_schema = [F.col(f"`{k}`") for k in keys]
     if not checks:
         return df.select(*out_schema, F.lit(None).cast("int").alias("ordinal"),
                          F.lit(None).cast("string").alias("field"),
                          F.lit(None).cast("string").alias("expected"),
                          F.lit(None).cast("string").alias("value")).limit(0)
-    cells = F.filter(F.array(*checks), lambda x: x["bad"])
-    return (df.select(*out_schema, F.inline(cells))
+    return (df.select(*out_schema, F.inline(F.array(*checks))).filter("__bad")
             .select(*out_schema, "ordinal", "field", "expected", "value"))
 
 
-def _invalid_input(spark) -> DataFrame:
-    return spark.createDataFrame([(0, 0, "invalid input", None, None, None, None)], REPORT_SCHEMA)
-
-
 REPORT_SCHEMA = ("section int, ordinal int, kind string, field string, row_key string, value string, "
                  "n_blank long")
 
@@ -129,20 +128,30 @@ def validation_report(df: DataFrame, contract: dict | None, key: list[str] | str
 
     Columns: section (1 required, 2 type), ordinal, kind, field, row_key,
     value, n_blank.  Empty input or no contract gives one 'invalid input' row
-    and nothing else (emptiness is a ``limit 1`` probe).
+    and nothing else; the rows are counted in the same aggregate as the blanks,
+    so a report is two scans and no job of its own.
     """
     spark = df.sparkSession
     keys = [key] if isinstance(key, str) else list(key or [])
     fields = contract_fields(contract)
-    if not fields or df.isEmpty():
-        return _invalid_input(spark)
+    if not fields:
+        return spark.createDataFrame([(0, 0, "invalid input", None, None, None, None)], REPORT_SCHEMA)
     miss = set(missing_columns(df, contract))
-    miss_rows = [(1, i, "missing", f["name"], None, None, None)
-                 for i, f in enumerate(fields) if f["name"] in miss]
-    parts = [spark.createDataFrame(miss_rows, REPORT_SCHEMA)] if miss_rows else []
-    parts.append(blank_counts(df, contract).select(
-        F.lit(1).alias("section"), "ordinal", F.lit("blank").alias("kind"), "field",
-        F.lit(None).cast("string").alias("row_key"), F.lit(None).cast("string").alias("value"), "n_blank"))
+    required = _required_present(df, contract)
+    one = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count_if(blank(F.col(f"`{n}`"))).alias(f"b{i}") for i, n in required])
+
+    def row(section: int, ordinal: int, kind: str, name: str | None, shown: Column, n_blank: Column) -> Column:
+        return F.struct(shown.alias("__shown"), F.lit(section).alias("section"), F.lit(ordinal).alias("ordinal"),
+                        F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("field"),
+                        F.lit(None).cast("string").alias("row_key"), F.lit(None).cast("string").alias("value"),
+                        n_blank.cast("long").alias("n_blank"))
+
+    some, none = F.col("n") > 0, F.lit(None)
+    rows = [row(0, 0, "invalid input", None, ~some, none)]
+    rows += [row(1, i, "missing", f["name"], some, none) for i, f in enumerate(fields) if f["name"] in miss]
+    rows += [row(1, i, "blank", n, F.col(f"b{i}") > 0, F.col(f"b{i}")) for i, n in required]
+    parts = [one.select(F.inline(F.array(*rows))).filter("__shown").drop("__shown")]
     rk = (F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys]) if keys
           else F.lit(None).cast("string"))
     parts.append(violations(df, contract, keys).select(
