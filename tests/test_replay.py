@@ -95,11 +95,31 @@ def test_typed_base_columns_cast_back(spark):
     assert out == {1: 99.25, 2: 3.0}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_uncastable_updates_are_reported_not_applied(spark, broadcast):
+    from vellum.operators.replay import uncastable
+    bdf = spark.createDataFrame([(1, 10)], "id long, v int")
+    recs = [{"id": f"r{i}", "table_name": "t", "database_name": "d", "operation": op, "row_identifier": key, "before": {},
+             "after": {"v": v}, "updated_by": "u", "updated_at": dt.datetime(2024, 1, 1 + i), "session_id": "s",
+             "change_reason": "r"} for i, (op, key, v) in enumerate([
+                 ("UPDATE", "1", "11"), ("UPDATE", "1", "abc"), ("INSERT", "x1", "3"), ("INSERT", "2", "4"), ("UPDATE", "2", "?")])]
+    ldf = spark.createDataFrame(recs, LEDGER_SCHEMA)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit if broadcast else "-1")
+        assert sorted(replay(bdf, ldf, "id").collect(), key=str) == [(1, 11), (2, 4), (None, 3)]
+        assert overlay_updates(bdf, ldf, "id").collect() == [(1, 11)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    got = [(r["id"], r["field"], r["value"]) for r in uncastable(bdf, ldf).collect()]
+    assert sorted(got) == [("r1", "v", "abc"), ("r4", "v", "?")]
+
+
 def test_duplicate_base_key_rejected(spark):
     bdf = spark.createDataFrame([("1", "a"), ("1", "b")], "id string, name string")
     ldf = spark.createDataFrame([], LEDGER_SCHEMA)
     with pytest.raises(ValueError):
-        replay(bdf, ldf, "id", check_key=True)
+        replay(bdf, ldf, "id")
 
 
 def test_hot_key_third_of_ledger(spark):

@@ -7,13 +7,14 @@ it) followed by a filter on normalised column text; no per-row Python.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.keys import change_id, ntz_literal
+from vellum.operators.materialize import materialize
 
 # Name fragments that mark a key column.
 KEY_HINTS = ["id", "key", "pk"]
@@ -46,7 +47,6 @@ class ChangeMeta:
     changed_at: _dt.datetime
     session_id: str
     reason: str = "manual edit"
-    extra: dict = field(default_factory=dict)
 
     @property
     def iso_time(self) -> str:
@@ -144,15 +144,24 @@ def with_position(df: DataFrame, name: str = "row_index") -> DataFrame:
     rows in file order.
 
     Position = rows in earlier files + ``_metadata.row_index``.  The per-file
-    offsets table has one row per file (bounded by the file listing, not by
-    the data), so its running sum and broadcast are cheap at any data size.
+    counts are summed in two levels: files fall into ranges by name, each range
+    is summed on its own, and only the ranges' totals (one row per shuffle
+    partition) pass a window without partition.  The offsets join is left to
+    the planner, which broadcasts it only when its measured size allows.
     """
     tagged = (df.withColumn("__file", F.col("_metadata.file_path"))
               .withColumn("__row", F.col("_metadata.row_index")))
     per_file = tagged.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.select("__file", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (tagged.join(F.broadcast(offsets), "__file", "inner")
+    # written, so that the ranges keep their files when they are read twice
+    dealt, _, _ = materialize(per_file.repartitionByRange("__file").withColumn("__range", F.spark_partition_id()),
+                              "file-rows")
+    before = Window.unboundedPreceding
+    ranges = dealt.groupBy("__range").agg(F.sum("__n").alias("__total")).select(
+        "__range", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(before, -1)), F.lit(0)).alias("__base"))
+    within = F.sum("__n").over(Window.partitionBy("__range").orderBy("__file").rowsBetween(before, -1))
+    offsets = dealt.withColumn("__within", F.coalesce(within, F.lit(0))).join(ranges, "__range").select(
+        "__file", (F.col("__base") + F.col("__within")).alias("__off"))
+    return (tagged.join(offsets, "__file", "inner")
             .withColumn(name, F.col("__off") + F.col("__row"))
             .drop("__file", "__row", "__off"))
 

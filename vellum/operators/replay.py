@@ -18,10 +18,14 @@ still spreads over every task:
 Only ``fi`` needs ``ld`` first.  Keys whose inserts lie on both sides of the
 last delete are rare; they are counted while the summary is written, and
 only then does a second, salted join of their INSERT records against ``ld``
-pick the right one.  The summary (one row per touched key) is written to the
-shared folder and sized: small summaries are broadcast to a streamed base,
-large ones are hash-joined on the key (a base bucketed by its key is read in
-place).  Keys only in the ledger come from an anti-join against base keys.
+pick the right one; only that small table is written beside the summary.  The
+summary (one row per touched key) is written to the shared folder and sized:
+small summaries are broadcast to a streamed base, whose keys then show which
+ledger keys are new; large ones meet the base in one full outer join on the key
+(one base scan, one exchange; a base bucketed by its key is read in place).
+
+An UPDATE whose text does not cast to its column's type changes nothing, and
+the newest one that does cast applies; ``uncastable`` lists the others.
 
 ``precedence='as_written'`` replays newest-first (the order the original
 application walked the ledger): the same plan with earlier/later swapped.
@@ -70,6 +74,30 @@ def _usable(ledger: DataFrame, table: str | None, database: str | None) -> DataF
                       & (F.col("row_identifier") != F.lit("")))
 
 
+def _casts(v: Column, dt: T.DataType) -> Column:
+    """A non-blank image value that its column can hold."""
+    return _nonblank(v) if isinstance(dt, T.StringType) else _nonblank(v) & v.try_cast(dt).isNotNull()
+
+
+def uncastable(base: DataFrame, ledger: DataFrame, table: str | None = None,
+               database: str | None = None) -> DataFrame:
+    """The image values that replay can't use: one row per ledger record and
+    column whose non-blank text does not cast to the base column's type.
+
+    Columns: id, operation, row_identifier, updated_at, field, value.
+    """
+    led = _usable(ledger, table, database).filter(F.col("operation") != "DELETE")
+    typed = [f for f in base.schema.fields if not isinstance(f.dataType, T.StringType)]
+    cells = [F.struct(F.lit(f.name).alias("field"), _val(F.col("after"), f.name).alias("value"),
+                      (_nonblank(_val(F.col("after"), f.name))
+                       & _val(F.col("after"), f.name).try_cast(f.dataType).isNull()).alias("__bad")) for f in typed]
+    head = ["id", "operation", "row_identifier", "updated_at"]
+    if not cells:
+        return led.select(*head, F.lit(None).cast("string").alias("field"),
+                          F.lit(None).cast("string").alias("value")).limit(0)
+    return led.select(*head, F.inline(F.array(*cells))).filter("__bad").drop("__bad")
+
+
 def typed_key(base: DataFrame, key: str, row_id: Column) -> Column:
     """The ledger's row identifier as a value of the base key's type.
 
@@ -87,7 +115,7 @@ def typed_key(base: DataFrame, key: str, row_id: Column) -> Column:
 
 def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
            precedence: str = "latest", table: str | None = None,
-           database: str | None = None, check_key: bool = False) -> DataFrame:
+           database: str | None = None, check_key: bool = True) -> DataFrame:
     """Current table = base with the ledger replayed over it.
 
     Output has the base's columns in order; image text is cast back to each
@@ -95,10 +123,11 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
 
     The per-key ledger summary is written to the shared folder and sized:
     under the broadcast threshold it is broadcast and base is streamed with
-    no shuffle; above it, base is hash-joined on the key (AQE splits skewed
-    base partitions of the left join).  Neither path needs unique base keys
-    to stay bounded -- the summary has one row per key -- so the uniqueness
-    scan (one aggregation over all base keys) runs only with ``check_key``.
+    no shuffle; above it, base and summary meet in one full outer join on the
+    key.  AQE can't split a hot key of that join, so base keys are checked to
+    be unique first (one aggregation over the key column, combined map side);
+    ``check_key=False`` skips the check where the caller knows.  A repeated key
+    then gets the same changes in each of its rows.
     """
     if precedence not in ("latest", "as_written"):
         raise ValueError("precedence must be 'latest' or 'as_written'")
@@ -133,9 +162,9 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
                    *[F.col("__v" + n).alias(n) for n in names],
                    *[F.col("__h" + n).alias("h" + n) for n in names])
     # every summary column starts with "__" so it cannot collide with base columns
-    upd = [later(F.when(is_upd & _nonblank(F.col("__v" + n)),
+    upd = [later(F.when(is_upd & _casts(F.col("__v" + n), base.schema[c].dataType),
                         F.struct(o.alias("o"), F.col("__v" + n).alias("v")))).alias("__u" + n)
-           for n in names]
+           for c, n in zip(cols, names)]
     stats = flat.groupBy("__k").agg(
         later(F.when(is_del, o)).alias("__ld"),
         earlier(F.when(is_ins, ins)).alias("__fi_any"),
@@ -165,6 +194,8 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
         fixes = (inserts.join(amb, ["__k", "__salt"], "inner")
                  .filter(after(F.col("__ins.o"), ld))
                  .groupBy("__k").agg(earlier("__ins").alias("__fi_fix")))
+        # written once: its two uses below must not read the ledger again
+        fixes, _, _ = materialize(fixes, "replay-fixes")
         stats = stats.join(fixes, "__k", "left")
     fi = (F.when(ld.isNull(), fi_any)
           .when(after(fi_any["o"], ld), fi_any)
@@ -172,11 +203,6 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
     unames = ["__u" + n for n in names]
     summary = stats.select("__k", typed_key(base, key, F.col("__k")).alias("__kt"), "__ld", fi.alias("__fi"),
                            *unames)
-    if seen["n_amb"]:
-        # the fix-up reads the ledger again; write its result once so the two
-        # uses of the summary below read files instead of repeating that work
-        summary, size, _ = materialize(summary, "replay-summary-fixed")
-        small = fits_broadcast(summary, size)
 
     types = {f.name: f.dataType for f in base.schema.fields}
     fi_ = F.col("__fi")
@@ -194,21 +220,20 @@ def replay(base: DataFrame, ledger: DataFrame, key: str | None = None,
             out.append(F.when(alive0, F.coalesce(upd_typed, F.col(f"`{c}`"))).otherwise(typed).alias(c))
         return out
 
-    # rows of base: kept (with overlays), re-created after a delete, or dropped
+    # rows of base: kept (with overlays), re-created after a delete, or dropped;
+    # keys only in the ledger: created by an INSERT
     bk = F.col(f"`{key}`").cast("string")
-    side = F.broadcast(summary) if small else summary
-    kept = base.join(side, base[key] == F.col("__kt"), "left")
+    if not small:
+        both = (base.withColumn("__here", F.lit(True))
+                .join(summary, F.col(f"`{key}`") == F.col("__kt"), "full"))
+        alive0 = F.coalesce(F.col("__here"), F.lit(False)) & F.col("__ld").isNull()
+        return both.filter(alive0 | fi_.isNotNull()).select(*values(alive0, F.coalesce(bk, F.col("__k"))))
+    kept = base.join(F.broadcast(summary), F.col(f"`{key}`") == F.col("__kt"), "left")
     alive0 = F.col("__ld").isNull()
     kept = kept.filter(alive0 | fi_.isNotNull()).select(*values(alive0, bk))
-
-    # keys only in the ledger: created by an INSERT
-    if small:
-        # base is streamed once against the broadcast key list; no base shuffle
-        present = (base.select(F.col(f"`{key}`").alias("__pk"))
-                   .join(F.broadcast(summary.select("__kt")), F.col("__pk") == F.col("__kt"), "left_semi"))
-    else:
-        # key-only and de-duplicated map side, so a repeated base key cannot pile up
-        present = base.select(F.col(f"`{key}`").alias("__pk")).distinct()
+    # base is streamed once against the broadcast key list; no base shuffle
+    present = (base.select(F.col(f"`{key}`").alias("__pk"))
+               .join(F.broadcast(summary.select("__kt")), F.col("__pk") == F.col("__kt"), "left_semi"))
     new = (summary.filter(fi_.isNotNull())
            .join(present, F.col("__kt") == F.col("__pk"), "left_anti"))
     nulls = [F.lit(None).cast(types[c]).alias(c) for c in cols]
@@ -235,7 +260,7 @@ def overlay_updates(base: DataFrame, ledger: DataFrame, key: str | None = None,
     img = F.col("after")
     names = [f"c{i}" for i in range(len(cols))]
     agg = led.groupBy(F.col("row_identifier").alias("__k")).agg(
-        *[F.max(F.when(_nonblank(_val(img, c)), F.struct(o.alias("o"), _val(img, c).alias("v"))))
+        *[F.max(F.when(_casts(_val(img, c), base.schema[c].dataType), F.struct(o.alias("o"), _val(img, c).alias("v"))))
           .alias("__u" + n) for c, n in zip(cols, names)])
     agg = agg.withColumn("__kt", typed_key(base, key, F.col("__k")))
     summary, size, _ = materialize(agg, "overlay-summary")
