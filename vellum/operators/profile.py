@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.predicates import py_strip
+from vellum.operators.materialize import materialize
 
 # Inference patterns and accepted boolean words.
 INFER_INT = r"^-?\d+$"
@@ -113,57 +114,31 @@ def _facet_values(df: DataFrame, cols: list[tuple[int, str]] | None = None) -> D
             .distinct())
 
 
-# HLL++ relative error used by the optional pre-pass; a column is sent to
-# 'search' without an exact count only when its estimate exceeds
-# ``APPROX_MARGIN`` times the pick-list limit, far beyond the estimator's error.
-APPROX_RSD = 0.01
-APPROX_MARGIN = 4
-
-
-def facet_profile(df: DataFrame, max_picks: int = 50, approx_prefilter: bool = False) -> DataFrame:
+def facet_profile(df: DataFrame, max_picks: int = 50) -> DataFrame:
     """H6: per column: distinct count and the control a filter UI would offer
     (none <= 1 < pick list <= max_picks < search); pick values are listed
     only for pick-list columns, so no unbounded set is ever collected.
 
-    Exact by default: every distinct (column, value) pair is shuffled once.
-    With ``approx_prefilter`` one aggregation first estimates each column's
-    distinct count (HyperLogLog++, no value shuffle); columns estimated above
-    ``APPROX_MARGIN * max_picks`` are reported as 'search' with the estimate
-    (``n_distinct_exact`` false) and only the remaining columns shuffle their
-    values -- the saving on wide tables with id-like columns.
+    Exact: distinct (column, value) pairs are shuffled once, and written, so
+    that the counts and the pick lists read them instead of finding them twice.
     """
-    spark = df.sparkSession
     names = df.columns
-    exact_cols = list(enumerate(names))
-    approx_rows = None
-    if approx_prefilter and names:
-        v = [F.when(_q(c).cast("string").isin("", "None"), None).otherwise(_q(c).cast("string")) for c in names]
-        est = df.agg(*[F.approx_count_distinct(x, APPROX_RSD).alias(f"e{i}") for i, x in enumerate(v)]).first()
-        wide = {i for i in range(len(names)) if est[f"e{i}"] > APPROX_MARGIN * max_picks}
-        exact_cols = [(i, c) for i, c in exact_cols if i not in wide]
-        approx_rows = [(i, names[i], int(est[f"e{i}"])) for i in sorted(wide)]
-    vals = _facet_values(df, exact_cols)
-    counts = vals.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, n_distinct long, pick_values string, control string")
+    vals, _, _ = materialize(_facet_values(df), "facet-values")
+    counts = vals.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"))
     small = counts.filter(F.col("n_distinct") <= max_picks).select("ordinal")
     # at most one row per column of df: bounded by the schema, safe to broadcast
     picks = (vals.join(F.broadcast(small), "ordinal", "left_semi")
              .groupBy("ordinal").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("pick_values")))
-    allcols = spark.createDataFrame([(i,) for i, _ in exact_cols], "ordinal int")
-    col_names = F.array(*[F.lit(c) for c in names]) if names else F.array().cast("array<string>")
-    out = (allcols.join(counts.drop("column"), "ordinal", "left").join(picks, "ordinal", "left")
-           .select("ordinal", F.element_at(col_names, F.col("ordinal") + 1).alias("column"),
-                   F.coalesce(F.col("n_distinct"), F.lit(0)).alias("n_distinct"),
-                   "pick_values", F.lit(True).alias("n_distinct_exact")))
-    if approx_rows:
-        out = out.unionByName(spark.createDataFrame(
-            approx_rows, "ordinal int, column string, n_distinct long").select(
-            "ordinal", "column", "n_distinct", F.lit(None).cast("string").alias("pick_values"),
-            F.lit(False).alias("n_distinct_exact")))
+    allcols = df.sparkSession.createDataFrame(list(enumerate(names)), "ordinal int, column string")
     control = (F.when(F.col("n_distinct") <= 1, "none")
                .when(F.col("n_distinct") <= max_picks, "pick").otherwise("search"))
-    out = out.withColumn("control", control).withColumn(
-        "pick_values", F.when(F.col("control") == "pick", F.col("pick_values")))
-    return out if approx_prefilter else out.drop("n_distinct_exact")
+    return (allcols.join(counts, "ordinal", "left").join(picks, "ordinal", "left")
+            .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+            .withColumn("control", control)
+            .select("ordinal", "column", "n_distinct",
+                    F.when(F.col("control") == "pick", F.col("pick_values")).alias("pick_values"), "control"))
 
 
 def facet_predicate(picks: dict[str, list[str]] | None = None,
