@@ -189,7 +189,7 @@ def test_land_gate(spark):
                dt.datetime(2024, 3, 1, 12))
     assert res.ok and res.rows == 2 and res.columns == 3
     assert res.object_key == "sistema/s/ss/2024-03-01/u_20240301_120000.csv"
-    back = spark.read.option("header", True).csv(res.data_path)
+    back = spark.read.option("header", True).option("basePath", root + "/data").csv(res.data_path)
     assert back.count() == 2 and {r["landed_day"] for r in back.collect()} == {dt.date(2024, 3, 1)}
     man = spark.read.parquet(root + "/manifest").first()
     assert man["row_count_text"] == "2" and man["schema_used"] == "users"
@@ -355,16 +355,52 @@ def test_profile_file(spark, tmp_path):
     assert r["column_types"] == {"a": "int64", "b": "object"}
 
 
-def test_facet_profile_approx_prefilter(spark):
+def test_facet_profile_controls(spark):
     df = spark.range(5000).selectExpr("id", "CAST(id % 3 AS STRING) AS small", "CAST(id % 70 AS STRING) AS mid")
-    exact = {r["column"]: (r["n_distinct"], r["control"], r["pick_values"]) for r in profile.facet_profile(df).collect()}
-    fast = {r["column"]: (r["n_distinct"], r["control"], r["pick_values"], r["n_distinct_exact"])
-            for r in profile.facet_profile(df, approx_prefilter=True).collect()}
-    # only the id column is far above the limit: estimated, still 'search'
-    assert fast["id"][1] == "search" and fast["id"][3] is False and abs(fast["id"][0] - 5000) < 250
-    for c in ["small", "mid"]:
-        assert fast[c][:3] == exact[c] and fast[c][3] is True
-    assert exact["small"][1] == "pick" and exact["mid"][1] == "search"
+    got = {r["column"]: (r["n_distinct"], r["control"], r["pick_values"]) for r in profile.facet_profile(df).collect()}
+    assert got == {"id": (5000, "search", None), "small": (3, "pick", "0|1|2"), "mid": (70, "search", None)}
+
+
+def test_mixed_layouts_in_one_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,ana\n")
+    (tmp_path / "b.csv").write_text("name;id\nbob;2\n")
+    (tmp_path / "c.csv").write_text("id|name|note\n3|cat|x\n")
+    (tmp_path / "d.csv").write_text("")
+    got = sorted(tuple(r) for r in read_delimited(spark, str(tmp_path)).select("id", "name", "note").collect())
+    assert got == [("1", "ana", None), ("2", "bob", None), ("3", "cat", "x")]
+
+
+def test_preamble_lines_go_by_position(spark, tmp_path):
+    for k, sep in enumerate(",;"):
+        (tmp_path / f"{k}.csv").write_text(f"title\nid{sep}t\n{k}{sep}u\nid{sep}t\n\ntitle{sep}\n")
+    got = sorted(tuple(r) for r in read_delimited(spark, str(tmp_path), header_row=1).collect())
+    assert got == [("0", "u"), ("1", "u"), ("id", "t"), ("id", "t"), ("title", None), ("title", None)]
+
+
+def test_landed_listing_meets_manifest(spark):
+    from vellum.operators import manifest as mf
+    from vellum.sources.listing import list_landed
+    root = scratch_dir(spark, "land-chain")
+    df = spark.createDataFrame([("1", "Ana", "a@b"), ("2", "Bo", "b@c")], "id string, first_name string, email string")
+    for subject in ("s", "t"):
+        assert land(df, CONTRACT, root, {"subject": subject, "sub_subject": "u", "original_filename": "u.csv"},
+                    dt.datetime(2024, 3, 1, 12)).ok
+        # the same upload again replaces its own output
+        assert land(df, CONTRACT, root, {"subject": subject, "sub_subject": "u", "original_filename": "u.csv"},
+                    dt.datetime(2024, 3, 1, 12)).ok
+    man = spark.read.parquet(root + "/manifest").drop("upload")
+    got = mf.attach_metadata(list_landed(spark, root), man)
+    assert got.filter("original_filename = 'u.csv' and file_size_bytes > 0").count() == got.count() == 2
+    assert mf.manifest_stats(mf.derive_manifest(man), dt.date(2024, 3, 1)).first()["total_rows"] == 4
+    assert mf.history(got, prefix="data/subject=t/").count() == 1
+    assert not os.listdir(local_path(root) + "/_staging")
+
+
+def test_unicode_blanks(spark):
+    df = spark.createDataFrame([("\u00a05", "\u00a0\u2003"), ("6\u3000", "x")], "id string, first_name string")
+    fields = [{"name": "id", "type": "int", "required": True}, {"name": "first_name", "type": "str", "required": True}]
+    got = contract.validation_report(df, {"schema": {"fields": fields}}).collect()
+    assert [(r["kind"], r["field"], r["n_blank"]) for r in got] == [("blank", "first_name", 1)]
 
 
 def test_ledger_files_sorted_by_row_identifier(spark):

@@ -79,8 +79,11 @@ HISTORY_COLUMNS = ["filename", "original_filename", "upload_date", "file_size_mb
                    "schema_used", "row_count", "column_count", "file_key"]
 
 
-def history(manifest: DataFrame, limit: int = 50) -> DataFrame:
-    """K1: newest first (sorted before the limit), ties by key."""
+def history(manifest: DataFrame, limit: int = 50, prefix: str | None = None) -> DataFrame:
+    """K1: newest first (sorted before the limit), ties by key; ``prefix``
+    keeps the files whose key starts with it."""
+    if prefix:
+        manifest = manifest.filter(F.col("file_key").startswith(prefix))
     return (manifest.select(*HISTORY_COLUMNS)
             .orderBy(F.col("upload_date").desc(), F.col("file_key").asc()).limit(limit))
 

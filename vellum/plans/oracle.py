@@ -361,7 +361,9 @@ ORACLE: dict[str, str] = {
         "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"),
     "read_delimited_preamble": (
         "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-        "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"),
+        "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer UNION ALL "
+        "SELECT 'c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment' "
+        "FROM (SELECT DISTINCT c_custkey % 4 FROM customer) p"),
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
     "rename_strict": "SELECT " + ", ".join(f"{s} AS {_ident(n)}" for s, n in zip(R.ODD_SOURCES, ODD_STRICT))
                      + " FROM customer",
@@ -500,10 +502,10 @@ ORACLE: dict[str, str] = {
         _with(l=LFLAT) + "SELECT CAST(updated_at AS DATE) AS change_date, count(*) AS total_changes, "
         "count(DISTINCT row_identifier) AS rows_affected, count(DISTINCT updated_by) AS editors FROM l "
         f"WHERE table_name = 'customer' AND CAST(updated_at AS DATE) >= DATE '{R.SINCE}' GROUP BY 1 ORDER BY 1 DESC"),
-    "ledger_filter": (
-        _with(l=LFLAT) + "SELECT id, table_name, operation, row_identifier, updated_by, updated_at, session_id, "
-        "change_reason FROM l WHERE table_name LIKE '%cust%' AND operation = 'UPDATE' "
-        "ORDER BY updated_at DESC, id DESC LIMIT 100"),
+    **{name: _with(l=LFLAT) + "SELECT id, table_name, operation, row_identifier, updated_by, updated_at, session_id, "
+       "change_reason FROM l WHERE table_name LIKE '%cust%' AND operation = 'UPDATE' "
+       f"ORDER BY updated_at DESC, id DESC LIMIT {limit}"
+       for name, limit in (("ledger_filter", 100), ("ledger_filter_few", 5), ("ledger_filter_many", 5000))},
     "changes_by_day_orders": (
         _with(l=fx.duck("ledger_orders_flat")) + "SELECT CAST(updated_at AS DATE) AS change_date, "
         "count(*) AS total_changes, count(DISTINCT row_identifier) AS rows_affected, "

@@ -107,13 +107,17 @@ PREAMBLE = ["relatorio de clientes", "fonte: customer"]
 
 
 def q_read_delimited_preamble(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 with header_row=2: a ';'-separated export with two preamble lines."""
+    """A1 with header_row=2: ';'-separated files, each with two preamble lines; the data repeat the header line."""
     path = scratch_dir(spark, "csv-preamble")
     cust = _t(spark, sf, "customer")
-    head = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in PREAMBLE + [";".join(cust.columns)]]))
-                                 .alias("value"))
-    body = cust.select(F.concat_ws(";", *[F.col(c).cast("string") for c in cust.columns]).alias("value"))
-    head.coalesce(1).unionByName(body).write.text(path)
+    header = ";".join(cust.columns)
+    part = F.pmod("c_custkey", F.lit(4)).alias("part")
+    heads = F.posexplode(F.array(*[F.lit(x) for x in PREAMBLE + [header, header]])).alias("place", "value")
+    head = cust.select(part).distinct().select("part", heads)
+    body = cust.select(part, F.lit(9).alias("place"),
+                       F.concat_ws(";", *[F.col(c).cast("string") for c in cust.columns]).alias("value"))
+    (head.unionByName(body).repartition("part").sortWithinPartitions("part", "place").select("part", "value")
+     .write.partitionBy("part").text(path))
     return read_delimited(spark, path, sep="auto", header_row=len(PREAMBLE))
 
 
@@ -423,6 +427,14 @@ def q_ledger_filter(spark: SparkSession, sf: str) -> DataFrame:
     return audit.ledger_filter(_ledger(spark, sf), "cust", "UPDATE", 100)
 
 
+def q_ledger_filter_few(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.ledger_filter(_ledger(spark, sf), "cust", "UPDATE", 5)
+
+
+def q_ledger_filter_many(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.ledger_filter(_ledger(spark, sf), "cust", "UPDATE", 5000)
+
+
 def q_changes_by_day_orders(spark: SparkSession, sf: str) -> DataFrame:
     return audit.changes_by_day(fx.ledger_orders(spark, sf), "orders", dt.date(1995, 1, 1))
 

@@ -39,9 +39,12 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     The data is written once to a hidden staging folder next to its target
     while the problem counts are observed on the same pass; a clean upload is
     then renamed into ``root/data/subject=/sub_subject=/landed_day=/upload=<name>_<time>/``
-    and gets one manifest row under ``root/manifest/upload=<name>_<time>/``.
-    With any problem nothing appears under ``data`` or ``manifest``.  Each
-    upload owns its folders, so re-running it replaces its own output.
+    and gets one manifest row under ``root/manifest``, whose ``file_key`` is
+    that folder below ``root`` and whose ``file_size_bytes`` is its size.
+    With any problem nothing appears under ``data`` or ``manifest`` and the
+    staging folder goes.  Each upload owns its folders, so re-running it
+    replaces its own output: the old folder is set aside until the new one is
+    in place, and comes back if that fails.
     """
     spark = df.sparkSession
     if not contract_fields(contract):
@@ -53,6 +56,9 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     data_root = root + "/data"
     target = (f"{data_root}/subject={meta['subject']}/sub_subject={meta['sub_subject']}"
               f"/landed_day={day}/upload={upload}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     # '_' keeps the staging folder invisible to readers of root/data
     staging = f"{root}/_staging/{upload}-{uuid.uuid4().hex[:12]}"
     cols, total = problem_metrics(df, contract)
@@ -61,20 +67,27 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
     seen = obs.get
     problems = total(seen)
     if problems:
+        fs.delete(path(staging), True)
         return LandResult(False, f"{problems} problem(s); nothing written", problems)
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    tgt = jvm.org.apache.hadoop.fs.Path(target)
-    if fs.exists(tgt):
-        fs.delete(tgt, True)
+    tgt, old = path(target), path(staging + "-replaced")
     fs.mkdirs(tgt.getParent())
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), tgt):
+    replaced = fs.exists(tgt)
+    if replaced and not fs.rename(tgt, old):
+        raise IOError(f"could not set {target} aside")
+    if not fs.rename(path(staging), tgt):
+        if replaced:
+            fs.rename(old, tgt)
         raise IOError(f"could not move {staging} to {target}")
+    if replaced:
+        fs.delete(old, True)
+    size = int(fs.getContentSummary(tgt).getLength())
     rows = int(seen["rows"])
     ts = ntz_literal(landed_at)
     manifest_row = spark.range(1).select(
+        F.lit(target[len(root) + 1:]).alias("file_key"),
         landing_key(F.lit(meta["original_filename"]), F.lit(meta["subject"]),
-                    F.lit(meta["sub_subject"]), ts).alias("file_key"),
+                    F.lit(meta["sub_subject"]), ts).alias("object_key"),
+        F.lit(size).cast("long").alias("file_size_bytes"),
         F.lit(meta["original_filename"]).alias("original_filename"),
         ts.alias("upload_date"),
         F.lit(contract.get("description", "N/A")).alias("schema_used"),
@@ -83,6 +96,8 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
         F.lit(str(rows)).alias("row_count_text"),
         F.lit(str(len(df.columns))).alias("column_count_text"),
         F.lit(landed_at.isoformat()).alias("upload_timestamp"))
-    key = manifest_row.first()["file_key"]
-    manifest_row.write.mode("overwrite").parquet(f"{manifest_path or root + '/manifest'}/upload={upload}")
-    return LandResult(True, f"landed {rows} rows", 0, rows, len(df.columns), data_root, key)
+    key = manifest_row.first()["object_key"]
+    # subject, sub_subject and name together: uploads of one name and second don't share a folder
+    owner = f"{meta['subject']}.{meta['sub_subject']}.{upload}"
+    manifest_row.write.mode("overwrite").parquet(f"{manifest_path or root + '/manifest'}/upload={owner}")
+    return LandResult(True, f"landed {rows} rows", 0, rows, len(df.columns), target, key)

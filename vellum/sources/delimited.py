@@ -7,7 +7,10 @@ Every column is read as STRING (explicit schema from the header), so no
 from __future__ import annotations
 
 import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,86 +49,139 @@ def detect_separator(df: DataFrame, text_col: str, key: str | list[str],
     return df.select(*keys, separator_of(head).alias("separator"))
 
 
-def _first_file(spark: SparkSession, path: str):
-    """The first data file (by name) under a file, folder or glob path."""
+def _data_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Every data file under files, folders or glob paths, by name (names that start with '_' or '.' are none)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    matches = fs.globStatus(p) or []
-    files = []
-    for st in matches:
+    files, todo = [], []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        todo += [(fs, st) for st in fs.globStatus(p) or []]
+    while todo:
+        fs, st = todo.pop()
+        if st.getPath().getName().startswith(("_", ".")):
+            continue
         if st.isDirectory():
-            files += [c.getPath() for c in fs.listStatus(st.getPath()) if c.isFile()]
-        else:
-            files.append(st.getPath())
-    files = [f for f in files if not f.getName().startswith(("_", "."))]
-    if not files:
-        return fs, None
-    return fs, sorted(files, key=lambda f: f.toString())[0]
+            todo += [(fs, c) for c in fs.listStatus(st.getPath())]
+        elif st.getLen() > 0:
+            files.append(st.getPath().toString())
+    return sorted(files)
 
 
 def _read_head(spark: SparkSession, path: str, n: int) -> bytes:
-    """First n bytes of the first file under ``path`` (driver-side sniff of a
-    few bytes through the Hadoop file system, not a data read)."""
-    fs, first = _first_file(spark, path)
-    if first is None:
-        return b""
-    stream = fs.open(first)
+    """The first n bytes of a file (a driver-side probe through the Hadoop file system, not a data read)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
     try:
         return bytes(stream.readNBytes(n))
     finally:
         stream.close()
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    head = _read_head(spark, path, SNIFF_BYTES).decode("utf-8", errors="ignore")
-    counts = {s: head.count(s) for s in SEPARATORS}
+def _separator(head: bytes) -> str:
+    text = head[:SNIFF_BYTES].decode("utf-8", errors="ignore")
+    counts = {s: text.count(s) for s in SEPARATORS}
     best = max(SEPARATORS, key=lambda s: (counts[s], -SEPARATORS.index(s)))
     return best if counts[best] > 0 else DEFAULT_SEP
 
 
-def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator of the first file under ``path``."""
+    files = _data_files(spark, [path])
+    return _separator(_read_head(spark, files[0], SNIFF_BYTES)) if files else DEFAULT_SEP
+
+
+def file_layout(spark: SparkSession, path: str, sep: str = "auto", header_row: int = 0) -> tuple[str, tuple[str, ...]]:
+    """``(separator, header names)`` of one file."""
     size = 1 << 16
     while True:
         raw = _read_head(spark, path, size)
-        lines = raw.decode("utf-8", errors="ignore").splitlines()
-        if len(lines) > n or len(raw) < size:
-            return lines[:n]
+        lines = re.split("\r\n|\n|\r", raw.decode("utf-8-sig", errors="ignore"))
+        if len(lines) > header_row + 1 or len(raw) < size:
+            break
         size *= 4
+    used = _separator(raw) if sep == "auto" else sep
+    header = lines[header_row] if len(lines) > header_row else ""
+    return used, tuple(next(csv.reader([header], delimiter=used), []))
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0,
-                   schema: T.StructType | None = None) -> DataFrame:
-    """A1: header on, all columns STRING.
+def _layouts(spark: SparkSession, files: list[str], sep: str, header_row: int) -> dict:
+    """Files by layout; the probes are short reads, taken a few at a time."""
+    groups: dict = {}
+    with ThreadPoolExecutor(16) as pool:
+        found = pool.map(lambda f: file_layout(spark, f, sep, header_row), files)
+        for f, layout in zip(files, found, strict=True):
+            groups.setdefault(layout, []).append(f)
+    return groups
+
+
+def _after_header(lines: DataFrame, skip: int) -> DataFrame:
+    """Lines (``value``, ``file``, ``start``) without the first ``skip`` of each file.
 
-    ``header_row=N`` skips N preamble lines before the header.  Spark's CSV
-    reader has no line skip, so those files are read as text, the preamble
-    and header lines are dropped by value, and the rest parsed with
-    ``from_csv`` (no quoted newlines on that path; files of one read share
-    the preamble).
+    Lines are told by their place: a task reads a file's lines in order, and
+    the split that begins at byte 0 holds the file's first ones (a preamble is
+    taken to be shorter than a split).
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if sep == "auto":
-        sep = sniff_separator(spark, paths[0])
+    def run(batches):
+        file, seen = None, 0
+        for b in batches:
+            keep = []
+            for f, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if f != file:
+                    file, seen = f, 0
+                keep.append(start > 0 or seen >= skip)
+                seen += 1
+            yield b.select([0]).filter(pa.array(keep, pa.bool_()))
+
+    return lines.mapInArrow(run, "value string")
+
+
+def _read_group(spark: SparkSession, files: list[str], sep: str, header: tuple[str, ...], header_row: int,
+                schema: T.StructType | None) -> DataFrame:
     if header_row <= 0:
         # doubled quotes, and newlines inside quotes (a file is then read by one task: cut large ones beforehand)
         reader = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
                   .option("escape", '"').option("multiLine", True))
         if schema is None:
-            names = spark.read.option("header", True).option("sep", sep).csv(paths).columns
+            names = spark.read.option("header", True).option("sep", sep).csv(files[:1]).columns
             schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        return reader.schema(schema).csv(paths)
-    lines = _first_lines(spark, paths[0], header_row + 1)
-    header = lines[header_row]
+        return reader.schema(schema).csv(files)
     if schema is None:
-        names = next(csv.reader([header], delimiter=sep))
-        schema = T.StructType([T.StructField(str(c), T.StringType()) for c in names])
-    text = spark.read.text(paths).filter(~F.col("value").isin(lines[: header_row + 1]))
-    parsed = text.select(F.from_csv("value", schema.simpleString(), {"sep": sep, "escape": '"'}).alias("r"))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("start"))
+    parsed = _after_header(lines, header_row + 1).filter("value <> ''").select(
+        F.from_csv("value", schema.simpleString(), {"sep": sep, "escape": '"'}).alias("r"))
     return parsed.select("r.*")
 
 
+def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0,
+                   schema: T.StructType | None = None) -> DataFrame:
+    """A1: header on, all columns STRING.
+
+    Every file has its own separator (with ``sep='auto'``) and header: files of
+    one layout are read together, and layouts are brought together by column
+    name (a column that a file lacks is null there).  Empty files hold no rows.
+    With ``schema`` columns are taken by position under the names given.
+
+    ``header_row=N`` skips the N lines before the header in each file.  Spark's
+    CSV reader has no line skip, so those files are read as text, the lines up
+    to the header are dropped by their place in the file, and the rest parsed
+    with ``from_csv`` (no quoted newlines on that path).
+    """
+    files = _data_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    if not files:
+        if schema is None:
+            raise ValueError(f"no data under {paths}")
+        return spark.createDataFrame([], schema)
+    out = None
+    for (used, header), own in _layouts(spark, files, sep, header_row).items():
+        part = _read_group(spark, own, used, header, header_row, schema)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def profile_file(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0) -> DataFrame:
     """C5 for files: read (A1, separator sniffed unless given) and profile in
     one aggregation pass; the row carries the separator that was used."""
@@ -133,4 +189,4 @@ def profile_file(spark: SparkSession, paths: str | list[str], sep: str = "auto",
 
     first = paths if isinstance(paths, str) else paths[0]
     used = sniff_separator(spark, first) if sep == "auto" else sep
-    return profile(read_delimited(spark, paths, sep=used, header_row=header_row), fmt="csv", separator=used)
+    return profile(read_delimited(spark, paths, sep=sep, header_row=header_row), fmt="csv", separator=used)

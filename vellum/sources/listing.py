@@ -12,10 +12,24 @@ MAX_MB = 50
 
 def list_files(spark: SparkSession, prefix: str, recursive: bool = True) -> DataFrame:
     """A3: (path, filename, length, modificationTime) of every file under
-    ``prefix``.  The content column is pruned, so no file is read."""
+    ``prefix``, and the same as a manifest names them (file_key,
+    file_size_bytes, upload_date).  The content column is pruned, so no file is
+    read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(prefix)
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"),
-                     "length", "modificationTime")
+                     "length", "modificationTime", F.col("path").alias("file_key"),
+                     F.col("length").alias("file_size_bytes"),
+                     F.col("modificationTime").cast("timestamp_ntz").alias("upload_date"))
+
+
+def list_landed(spark: SparkSession, root: str) -> DataFrame:
+    """A3 over a landing root: (file_key, file_size_bytes, upload_date), one row
+    per upload -- the folder below ``root`` that ``land`` wrote, which is the
+    ``file_key`` of its manifest row, so ``attach_metadata`` joins the two."""
+    files = list_files(spark, root.rstrip("/") + "/data")
+    key = F.regexp_extract("path", r"/(data/[^?]*)/[^/]*$", 1)
+    return files.groupBy(key.alias("file_key")).agg(
+        F.sum("file_size_bytes").alias("file_size_bytes"), F.max("upload_date").alias("upload_date"))
 
 
 def accept_files(files: DataFrame, formats: list[str] | None = None, max_mb: float = MAX_MB,
