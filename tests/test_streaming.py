@@ -26,5 +26,28 @@ def test_stream_lands_clean_files_and_rejects_bad(spark):
     assert [(r["original_filename"], r["row_count_text"]) for r in man] == [("good.csv", "2")]
     rej = spark.read.parquet(root + "/rejected").collect()
     assert len(rej) == 1 and rej[0]["file"].endswith("bad.csv") and rej[0]["problems"] == 2
-    dead = spark.read.option("header", True).csv(root + "/dead_letters").collect()
-    assert sorted(r["id"] for r in dead) == ["3", "x"] and all(r["source_file"].endswith("bad.csv") for r in dead)
+    dead = spark.read.parquet(root + "/dead_letters").collect()
+    assert sorted(r["line"] for r in dead) == ["3, ", "id,name", "x,Ana"]
+    assert all(r["source_file"].endswith("bad.csv") for r in dead)
+
+
+def test_stream_gate_goes_by_header_name(spark):
+    inbox = local_path(scratch_dir(spark, "inbox"))
+    os.makedirs(inbox)
+    files = {"reordered.csv": 'name,id\n"Ana ""A"", x",7\n', "missing.csv": "id\n1\n", "renamed.csv": "id,nome\n1,Bo\n",
+             "extra.csv": "id,name,x\n1,Bo,z\n", "header_only.csv": "id,name\n", "blank.csv": "\n"}
+    for name, text in files.items():
+        with open(os.path.join(inbox, name), "w") as f:
+            f.write(text)
+    root = scratch_dir(spark, "stream-out")
+    for run in (1, 2):  # a second checkpoint on one root overwrites nothing
+        land_stream(spark, inbox, CONTRACT, root, scratch_dir(spark, "stream-ckpt"),
+                    {"subject": "s", "sub_subject": "u"}, max_files_per_trigger=4).awaitTermination(240)
+        data = spark.read.option("header", True).option("escape", '"').csv(root + "/data").collect()
+        assert [(r["id"], r["name"]) for r in data] == [("7", 'Ana "A", x')] * run
+        rejected = spark.read.parquet(root + "/rejected").collect()
+        assert len(rejected) == 5 * run
+        assert {r["file"].rsplit("/", 1)[-1]: r["reason"] for r in rejected} == {
+            "missing.csv": "missing column name", "renamed.csv": "missing column name; extra column nome",
+            "extra.csv": "extra column x", "header_only.csv": "no data line",
+            "blank.csv": "missing column id; missing column name"}

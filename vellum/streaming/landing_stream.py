@@ -2,18 +2,25 @@
 is checked against the contract and landed, or rejected, as a whole file.
 
 The batch job (``sinks.landing.land``) gates one upload; here the file
-source delivers new files in micro-batches and ``foreachBatch`` gates each
-file separately: problem counts are one aggregation grouped by the file path
-(``_metadata.file_path``), clean files are written, rejected files get a
-report row and their rows are kept as dead letters.  Output paths carry the batch id and are overwritten on replay,
-so a retried batch (after an executor or driver loss) writes the same files
-again instead of duplicating them; the checkpoint records which files were
-consumed.
+source delivers the paths of new files in micro-batches (``binaryFile`` with
+its content pruned, so nothing is read twice) and ``foreachBatch`` gates each
+file separately.  A file's header decides first: a missing required column, a
+column that the contract doesn't have, or no data line rejects the file by
+name (a file of zero bytes is never delivered by Spark's file source).  The others are read by header name, whatever their columns' order,
+staged once in the shared folder, and their problems counted in one
+aggregation by file.  Clean files are written, rejected files get a report row
+and their lines are kept as dead letters.
+
+Output paths carry the id of the query (kept in its checkpoint) and of the
+batch and are overwritten on replay, so a retried batch (after an executor or
+driver loss) writes the same files again instead of duplicating them, and
+another checkpoint on the same root overwrites nothing.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +30,9 @@ from pyspark.sql.streaming import StreamingQuery
 from vellum.functions.keys import landing_key, ntz_literal
 from vellum.functions.predicates import blank
 from vellum.operators.contract import _bad_cells, contract_fields
+from vellum.operators.materialize import materialize
+from vellum.sinks.csv_export import TEXT_OPTIONS
+from vellum.sources.delimited import file_layout
 
 
 def _problems_per_file(batch: DataFrame, contract: dict) -> DataFrame:
@@ -34,54 +44,87 @@ def _problems_per_file(batch: DataFrame, contract: dict) -> DataFrame:
     return per.select("__file", "rows", (F.coalesce(F.col("bad_cells"), F.lit(0)) + blanks).alias("problems"))
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in the checkpoint's ``metadata`` file."""
+    return json.loads(spark.read.text(checkpoint.rstrip("/") + "/metadata", wholetext=True).first()["value"])["id"]
+
+
+def _header_problems(header: tuple[str, ...], contract: dict) -> list[str]:
+    names = [f["name"] for f in contract_fields(contract)]
+    missing = [f["name"] for f in contract_fields(contract) if f.get("required") and f["name"] not in header]
+    out = [f"missing column {n}" for n in missing] + [f"extra column {n}" for n in header if n not in names]
+    return out + [f"repeated column {n}" for n in dict.fromkeys(header) if header.count(n) > 1]
+
+
 def land_stream(spark: SparkSession, inbox: str, contract: dict, root: str, checkpoint: str,
                 meta: dict, sep: str = ",", trigger: dict | None = None,
-                max_files_per_trigger: int | None = 1000) -> StreamingQuery:
+                max_files_per_trigger: int = 1000) -> StreamingQuery:
     """Start the landing stream.  ``meta`` holds subject and sub_subject.
 
     ``trigger`` is passed to ``writeStream.trigger`` (default: process what
     is available now, then stop).  ``max_files_per_trigger`` bounds a
-    micro-batch, and with it the per-file verdict table, which is broadcast
-    only under that bound (``None`` lifts the cap and leaves the join to the
-    planner).
+    micro-batch and with it the list of paths whose headers the driver looks at;
+    files beyond it come in the next micro-batch.
     """
     fields = contract_fields(contract)
-    schema = T.StructType([T.StructField(f["name"], T.StringType()) for f in fields])
-    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    src = reader.csv(inbox).withColumn("__file", F.col("_metadata.file_path"))
+    names = [f["name"] for f in fields]
+    src = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+           .option("maxFilesPerTrigger", int(max_files_per_trigger)).load(inbox).select("path"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         landed_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
-        batch = batch.persist()
-        verdict = _problems_per_file(batch, contract).persist()
-        # one row per file of this micro-batch: bounded by the file cap
-        clean = verdict.filter("problems = 0").select("__file")
-        good = batch.join(F.broadcast(clean) if max_files_per_trigger else clean, "__file", "left_semi")
-        (good.drop("__file")
-         .withColumn("subject", F.lit(meta["subject"])).withColumn("sub_subject", F.lit(meta["sub_subject"]))
-         .withColumn("landed_day", F.lit(landed_at.strftime("%Y-%m-%d")))
-         .write.mode("overwrite").option("header", True)
-         .partitionBy("subject", "sub_subject", "landed_day").csv(f"{root}/data/batch={batch_id}"))
-        name = F.element_at(F.split("__file", "/"), -1)
+        own = f"run={_query_id(spark, checkpoint)}/batch={batch_id}"
+        groups: dict = {}
+        for r in batch.collect():  # one path per file: at most max_files_per_trigger
+            groups.setdefault(file_layout(spark, r.path, sep), []).append(r.path)
+        verdicts, staged = [], None
+        for (used, header), files in groups.items():
+            reasons = _header_problems(header, contract)
+            if reasons:
+                verdicts += [(f, 0, len(reasons), "; ".join(reasons)) for f in files]
+                continue
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+            rows = (spark.read.schema(schema).option("header", True).option("sep", used).option("escape", '"')
+                    .option("multiLine", True).csv(files).withColumn("__file", F.col("_metadata.file_path")))
+            rows = rows.select("__file", *[F.col(f"`{n}`") if n in header else F.lit(None).cast("string").alias(n) for n in names])
+            # every file is listed, so that one without a data line is rejected, too
+            rows = rows.withColumn("__row", F.lit(True)).unionByName(
+                spark.createDataFrame([(f,) for f in files], "__file string"), allowMissingColumns=True)
+            staged = rows if staged is None else staged.unionByName(rows)
+        known = spark.createDataFrame(verdicts, "file string, rows long, problems long, reason string")
+        if staged is not None:
+            staged, _, _ = materialize(staged.withColumn("__file", F.regexp_replace("__file", "^file:/+", "file:/")), "landing-batch")
+            found = _problems_per_file(staged.filter("__row"), contract)
+            listed = staged.select("__file").distinct().join(found, "__file", "left").select(
+                F.col("__file").alias("file"), F.coalesce("rows", F.lit(0)).alias("rows"),
+                F.coalesce("problems", F.lit(1)).alias("problems"),
+                F.when(F.col("rows").isNull(), "no data line").when(F.col("problems") > 0, "bad cells").alias("reason"))
+            known = known.unionByName(listed)
+        verdict, _, _ = materialize(known, "landing-verdict")
+        if staged is not None:
+            clean = verdict.filter("problems = 0").select(F.col("file").alias("__file"))
+            (staged.filter("__row").join(clean, "__file", "left_semi").drop("__file", "__row")
+             .withColumn("subject", F.lit(meta["subject"])).withColumn("sub_subject", F.lit(meta["sub_subject"]))
+             .withColumn("landed_day", F.lit(landed_at.strftime("%Y-%m-%d")))
+             .write.mode("overwrite").option("header", True).options(**TEXT_OPTIONS)
+             .partitionBy("subject", "sub_subject", "landed_day").csv(f"{root}/data/{own}"))
+        name = F.element_at(F.split("file", "/"), -1)
         ts = ntz_literal(landed_at)
         (verdict.filter("problems = 0").select(
-            landing_key(name, F.lit(meta["subject"]), F.lit(meta["sub_subject"]), ts).alias("file_key"),
+            F.concat(F.lit(f"data/{own}/"), name).alias("file_key"),
+            landing_key(name, F.lit(meta["subject"]), F.lit(meta["sub_subject"]), ts).alias("object_key"),
             name.alias("original_filename"), ts.alias("upload_date"),
             F.lit(contract.get("description", "N/A")).alias("schema_used"),
             F.col("rows").cast("string").alias("row_count_text"),
             F.lit(str(len(fields))).alias("column_count_text"))
-         .write.mode("overwrite").parquet(f"{root}/manifest/batch={batch_id}"))
-        (verdict.filter("problems > 0").select(F.col("__file").alias("file"), "rows", "problems")
-         .write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}"))
-        # dead letters: the rows of rejected files, kept with their source file
-        dirty = verdict.filter("problems > 0").select("__file")
-        (batch.join(F.broadcast(dirty) if max_files_per_trigger else dirty, "__file", "left_semi")
-         .withColumnRenamed("__file", "source_file")
-         .write.mode("overwrite").option("header", True).csv(f"{root}/dead_letters/batch={batch_id}"))
-        verdict.unpersist()
-        batch.unpersist()
+         .write.mode("overwrite").parquet(f"{root}/manifest/{own}"))
+        rejected = verdict.filter("problems > 0")
+        rejected.write.mode("overwrite").parquet(f"{root}/rejected/{own}")
+        # dead letters: the lines of rejected files as they came, with their source file
+        dead = [r.file for r in rejected.select("file").collect()]  # of the same bounded list
+        if dead:
+            (spark.read.text(dead).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
+             .write.mode("overwrite").parquet(f"{root}/dead_letters/{own}"))
 
     w = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
