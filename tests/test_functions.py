@@ -124,7 +124,8 @@ def model_unpack(text, fields):
 
 IMAGE_TEXTS = ["1\\,2,b,,d", "{id=1, email=a@b.c first_name=Ana Maria, is_active=}", ",", "{}", "", "null",
                None, "  {id=7 id=8}  ", "a,b,c,d,e,f,g,h,i,j", "x\\|y,z", "{first_name= , ,Bo,, }",
-               ",lead", "{ }", "{data=a b c last_name=Silva}"]
+               ",lead", "{ }", "{data=a b c last_name=Silva}", "C:\\\\,b", "a\\\\\\,b,c", "end\\", "a\\\nb,\nc", ",,x,",
+               "q" * 20000 + ",\\," * 5000]
 
 
 def test_unpack_matches_model(spark):
@@ -134,6 +135,13 @@ def test_unpack_matches_model(spark):
         assert (got[i] or {}) == model_unpack(t, LEGACY_FIELDS), t
 
 
+def test_unpack_sorted_image(spark):
+    from vellum.functions.images import unpack_sorted_image
+    df = spark.createDataFrame([(0, "1,x\\|y"), (1, " "), (2, None), (3, "a,b,c,d")], "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", unpack_sorted_image(F.col("t"), ["z", "a", "k"]).alias("m")).collect()}
+    assert got == {0: {"a": "1", "k": "x|y", "z": ""}, 1: {}, 2: {}, 3: {"a": "a", "k": "b", "z": "c"}}
+
+
 def test_pack_then_unpack_is_identity(spark):
     fields = ["a", "b", "c"]
     rows = [({"a": "1,2", "b": "x|y", "c": "plain"},), ({"a": "", "b": "only"},), ({},)]

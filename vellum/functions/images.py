@@ -42,6 +42,27 @@ def _clean_value(v: Column) -> Column:
 
 _EMPTY = "map<string,string>"
 
+# one comma-led field: plain text, then escaped characters with plain text behind them
+_FIELD = r"(?s),([^\\,]*+(?:\\.[^\\,]*+)*+)"
+
+
+def _escaped_fields(s: Column) -> Column:
+    """The fields of a comma list, ``\\x`` read as ``x`` (so ``\\\\,`` ends a field).  Texts without a backslash skip the regex."""
+    has = lambda c: c.contains("\\")
+    raw = F.regexp_extract_all(F.concat(F.lit(","), s), F.lit(_FIELD), 1)
+    plain = F.transform(raw, lambda x: F.when(has(x), F.regexp_replace(x, r"(?s)\\(.)", "$1")).otherwise(x))
+    return F.when(has(s), plain).otherwise(F.split(s, ","))
+
+
+def unpack_sorted_image(c: Column, columns: list[str]) -> Column:
+    """Legacy image text whose values follow the columns' names in alphabetical
+    order (F6): split on every comma, then ``\\|`` and ``\\,`` restored; absent
+    columns are ``''``, blank text is an empty map."""
+    names = _lit_array(sorted(columns))
+    filled = _let(F.split(c, ","), lambda parts: F.map_from_arrays(names, F.transform(names, lambda f, i: F.coalesce(
+        F.replace(F.replace(F.try_element_at(parts, i + 1), F.lit("\\|"), F.lit("|")), F.lit("\\,"), F.lit(",")), F.lit("")))))
+    return F.when(c.isNull() | (py_strip(c) == ""), F.create_map().cast(_EMPTY)).otherwise(filled)
+
 
 def _pairs_to_map(pairs: Column) -> Column:
     """array<struct<k,v>> -> map, a repeated key keeps its last value."""
@@ -61,7 +82,7 @@ def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
     """Legacy image text -> MAP<STRING,STRING>.
 
     brace form ``{k=v ...}``: pairs by regex, values trimmed of spaces and
-    commas; comma form: split on unescaped commas, ``\\x`` -> ``x``, mapped to
+    commas; comma form: read character by character (``\\x`` -> ``x``), mapped to
     ``fields`` in order.  Missing known fields become ''.  Blank, ``,``,
     ``{}`` and ``null`` give an empty map.  Outer commas are not stripped
     (stripping shifts fields when the first one is blank).
@@ -77,10 +98,9 @@ def unpack_image(c: Column, fields: list[str] | None = None) -> Column:
             F.substring_index(m, "=", 1).alias("k"),
             _clean_value(F.substring_index(m, "=", -1)).alias("v")))
         brace = F.when(content == "", empty).otherwise(_with_fields(_pairs_to_map(pairs), fields))
-        comma = _let(F.split(s, r"(?<!\\),"), lambda parts: F.map_from_arrays(
+        comma = _let(_escaped_fields(s), lambda parts: F.map_from_arrays(
             _lit_array(fields),
-            F.transform(_lit_array(fields), lambda f, i: F.coalesce(
-                F.regexp_replace(F.try_element_at(parts, i + 1), r"\\(.)", "$1"), F.lit("")))))
+            F.transform(_lit_array(fields), lambda f, i: F.coalesce(F.try_element_at(parts, i + 1), F.lit("")))))
         return (F.when(s.isNull() | s.isin(EMPTY_IMAGE_TEXTS), empty)
                 .when(s.startswith("{") & s.endswith("}"), brace)
                 .otherwise(comma))
