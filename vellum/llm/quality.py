@@ -162,7 +162,7 @@ def fit_cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.02, erro
             own = pdf[pdf["rule"] == r]
             n, best = int(own["n"].sum()), None
             for i, cutoff in enumerate(GRID):
-                rejected = int(own.loc[own["step"] > i, "n"].sum())
+                rejected = int(own.loc[own["step"] >= len(GRID) - i, "n"].sum())  # a step counts from the strict end
                 if binomial_cdf(rejected, n, risk / len(RULES)) > error / len(RULES):
                     break
                 best = cutoff
