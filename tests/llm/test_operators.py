@@ -192,6 +192,31 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: (None, None), 4: ("Apache-2.0", "own"), None: (None, None)}
 
 
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 4])
+def test_runs_by_words(spark, min_lines):
+    from vellum.llm.lines import drop_repeated_runs
+
+    long = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 50), ("b", 49), ("c", 30), ("d", 20))]
+    texts = ["\n".join(long), f"new\n{long[0]}\nother", f"{long[1]}\nx y", long[0], f"u\n{long[2]}\n\n{long[3]}\nv", f"{long[2]}\nw\n{long[3]}",
+             f"{long[0]}\nq\n{long[0]}", f"{long[1]}\n{long[2]}\ne"]
+    split = [[x for x in t.split("\n") if x] for t in texts]
+    first, want = {}, {}
+    for i, own in enumerate(split):
+        gone = set()
+        for k in range(len(own)):
+            for n in range(1, len(own) - k + 1):
+                run = tuple(own[k:k + n])
+                again = first.setdefault(run, (i, k)) != (i, k)
+                if again and (n == min_lines or n < min_lines and len(" ".join(run).split()) >= 50):
+                    gone |= set(range(k, k + n))
+        want[i] = (len(own), len(gone), [x for k, x in enumerate(own) if k not in gone])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, [x for x in r.text.split("\n") if x]) for r in drop_repeated_runs(docs, min_lines=min_lines, min_words=50).collect()}
+    assert got == want and want[1][1] == 1 and want[3][1] == 1
+    if min_lines == 2:  # without min_words the rule of the SQL
+        assert {r.doc_id: r.n_removed for r in drop_repeated_runs(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 2, 5: 0, 6: 0, 7: 2}
+
+
 def test_empty_tables(spark, docs, tmp_path):
     for t, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string"),
                       ("benchmark", "item_id long, text string")):

@@ -14,6 +14,12 @@ deeper only splits intervals.  Within an interval the start with the smallest
 that overlap or touch merge into maximal repeated runs, whose lines are
 deleted.  Runs are judged on the input, not on what is left.
 
+With ``min_words`` a run is measured by its words as well: one of fewer lines
+is a run too if it holds that many words in total.  Each depth below
+``min_lines`` is then visited (at 2, only the line ranks that are there
+already).  Without it, as SQL and tests have it for operator 10 and the
+pipeline, a repeated line of any length stays where its neighbours differ.
+
 Ranks come from counts per pair of ranks (combined map side), ordered by
 range, and are joined back: a line that a third of all documents share is one
 row on the counting side and is never gathered.
@@ -44,19 +50,22 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash")]
 
 
-def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, hash, seq, line, a, b``: each line with a word; 128 bits name its content."""
+def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
+    """``doc, hash, seq, line, a, b``: each line with a word; 128 bits name its content.  With ``words`` also its number of words."""
     given = docs.select(*_marked(docs, id_col, text_col), F.col(text_col).alias("text")).filter("text is not null")
     schema = T.StructType([given.schema["doc"], T.StructField("hash", T.LongType()), T.StructField("seq", T.LongType()),
-                           T.StructField("line", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+                           T.StructField("line", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
+                           *[T.StructField("words", T.LongType())] * words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in slices(batches):
-            names, lines, counts = [], [], []
+            names, lines, counts, sizes = [], [], [], []
             for text in byte_values(b.column(2)):
                 own = [(i, xxh3_128_digest(x)) for i, x in enumerate(text.split(b"\n")) if x.strip()]
+                if words:
+                    sizes += filter(None, (len(x.split()) for x in text.split(b"\n")))
                 lines += (i for i, _ in own)
                 names += (x for _, x in own)
                 counts.append(len(own))
@@ -65,7 +74,7 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             seq = np.arange(len(names)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(row), b.column(1).take(row), pa.array(seq), pa.array(lines, pa.int64()),
-                 pa.array(name[:, 0]), pa.array(name[:, 1])], names=schema.names)
+                 pa.array(name[:, 0]), pa.array(name[:, 1]), *[pa.array(sizes, pa.int64())] * words], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -77,35 +86,51 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     return materialize(rows.join(ranks, by).drop(*by), "line-ranks")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc, hash, seq, line, rank``: starts of ``min_lines`` lines that occur twice or more, ranked by content."""
-    at = ["doc", "hash", "seq"]
-    ranked = _ranked(line_ids(docs, id_col, text_col), ["a", "b"]).dropDuplicates(at)
-    depth = 1
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                  min_words: int | None = None) -> DataFrame:
+    """``doc, hash, seq, n, rank``: starts of runs of ``n`` lines that occur twice or more, ranked by content among those
+    of ``n`` lines.  ``n`` is ``min_lines``, or less if the run holds ``min_words`` words."""
+    at, by_words = ["doc", "hash", "seq"], min_words is not None
+    ranked = _ranked(line_ids(docs, id_col, text_col, by_words), ["a", "b"]).dropDuplicates(at)
+    if by_words:
+        ranked = ranked.withColumn("first", F.col("words"))  # of the run's first line
+    run = lambda n: [*at, F.lit(n).alias("n"), "rank"]
+    depth, short = 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
+        if by_words:
+            short.append(ranked.filter(F.col("words") >= min_words).select(*run(depth)))
+        step = 1 if by_words else min(depth, min_lines - depth)
+        more = [F.col("words").alias("rest")] * by_words
         here, there = ranked.alias("x"), ranked.select("doc", "hash", (F.col("seq") - step).alias("seq"),
-                                                       F.col("rank").alias("next")).alias("y")
+                                                       F.col("rank").alias("next"), *more).alias("y")
         same = (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.seq") == F.col("y.seq")))
-        pairs = here.join(there, same).select("x.*", F.col("y.next"))
+        pairs = here.join(there, same).select("x.*", F.col("y.next"), *["y.rest"] * by_words)
+        if by_words:
+            pairs = pairs.withColumn("words", F.col("first") + F.col("rest")).drop("rest")
         ranked = _ranked(pairs.withColumnRenamed("rank", "own"), ["own", "next"])
         depth += step
-    return ranked
+    out = ranked.select(*run(depth))
+    for more in short:
+        out = out.unionByName(more)
+    return out
 
 
-def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                  min_words: int | None = None) -> DataFrame:
     """``doc, hash, lines``: per document with later copies, the numbers among its lines with a word that go."""
-    starts = repeated_runs(docs, id_col, text_col, min_lines)
+    starts = repeated_runs(docs, id_col, text_col, min_lines, min_words)
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("hash"), F.col("seq"))
-    first = starts.groupBy("rank").agg(F.min(order).alias("first"))
-    later = starts.join(first, "rank").filter(~order.eqNullSafe(F.col("first")))
-    covered = later.select("doc", "hash", F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("at")).distinct()
+    content = ["rank"] if min_words is None else ["n", "rank"]
+    first = starts.groupBy(*content).agg(F.min(order).alias("first"))
+    later = starts.join(first, content).filter(~order.eqNullSafe(F.col("first")))
+    covered = later.select("doc", "hash", F.explode(F.sequence("seq", F.col("seq") + (F.col("n") - 1))).alias("at")).distinct()
     return covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_list("at")).alias("lines"))
 
 
-def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                       min_words: int | None = None) -> DataFrame:
     """``docs`` with the deleted lines taken out of the text, and ``n_lines``, ``n_removed`` beside it."""
-    gone = deleted_lines(docs, id_col, text_col, min_lines).select(
+    gone = deleted_lines(docs, id_col, text_col, min_lines, min_words).select(
         F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("lines").alias("__lines"))
     mine = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__hash"))
     joined = docs.join(gone, mine, "left").drop("__doc", "__hash")
