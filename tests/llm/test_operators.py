@@ -192,6 +192,24 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: (None, None), 4: ("Apache-2.0", "own"), None: (None, None)}
 
 
+def test_license_words_outside_the_templates(spark):
+    import math
+
+    from vellum.llm.licenses import license_scan
+
+    # a header whose other words every second text holds: their weight must not grow with the number of texts
+    prose, header = "you may not use this file except in compliance with what others said", "Licensed under the Apache License, you may not use this file"
+    template = (("Apache-2.0", "Licensed under the Apache License, Version 2.0."),)
+    for n in (60, 2000):
+        rows = [(i, prose if i % 2 else "other words", "x") for i in range(n)] + [(n, header, "x")]
+        got = {r.doc_id: r.score for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), templates=template).collect()}
+        split = lambda t: re.findall("[a-z0-9]+", t.lower())
+        idf = lambda w: math.log((2 + n) / (1 + sum(w in split(t) for _, t, _ in rows))) + 1
+        vectors = [{w: split(t).count(w) * idf(w) for w in split(t)} for t in (header, template[0][1])]
+        dot = sum(x * vectors[1].get(w, 0) for w, x in vectors[0].items())
+        assert got[n] == pytest.approx(dot / math.prod(math.sqrt(sum(x * x for x in v.values())) for v in vectors))
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 4])
 def test_runs_by_words(spark, min_lines):
     from vellum.llm.lines import drop_repeated_runs

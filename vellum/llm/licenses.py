@@ -1,7 +1,7 @@
 """License scans (operator 1), DataFrame functions only.
 
-1. Corpus document counts of the templates' words give the IDF weights (a word
-   of no template weighs as one that never occurs).
+1. Document counts of every word of the corpus, made by one group-by, give the
+   IDF weights of the templates' words and of the lines'.
 2. Every line of every text that could reach ``least`` (it must hold one of a
    template's heaviest words, chosen so that the rest of the template's weight
    can't reach it) is compared with the templates by sparse TF-IDF cosine; a
@@ -33,9 +33,22 @@ from vellum.llm.common import materialize
 #: licence and a line that grants it
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "Use of this source code is governed by the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -55,12 +68,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         F.col(text_col).alias("text"))
     vocabulary = sorted({w for _, t in templates for w in _words(t)})
     in_line = lambda c: F.filter(F.split(F.lower(c), _SPLIT), lambda w: w != "")
-    known = F.array(*map(F.lit, vocabulary))
-    counted = given.select(F.explode(F.array_append(F.array_intersect(F.split(F.lower("text"), _SPLIT), known), F.lit(""))).alias("w"))
-    df = {r.w: r.n for r in counted.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
+    held = given.filter("text is not null").select(F.explode(F.array_union(F.split(F.lower("text"), _SPLIT), F.array(F.lit("")))).alias("w"))
+    counts = materialize(held.groupBy("w").agg(F.count("*").alias("n")), "license-words")  # "": texts
+    df = {r.w: r.n for r in counts.filter(F.col("w").isin("", *vocabulary)).collect()}  # at most the vocabulary
     total = df.get("", 0)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    unknown = math.log(1 + total) + 1
 
     postings, needed = [], set()
     for number, (name, text) in enumerate(templates):
@@ -75,7 +87,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("template"), F.lit(n).alias("license"), F.lit(x).alias("x"))
                                for w, k, n, x in postings))).alias("p")
     index = docs.sparkSession.range(1).select(rows).select("p.*")
-    weights = F.create_map(*(F.lit(v) for w in vocabulary for v in (w, idf[w])))
+    weight_of = F.log(F.lit(1 + total) / (1 + F.col("n"))) + 1
 
     holds = "(?i)(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"
     lines = (given.filter("text is not null").select("doc_id", "hash", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
@@ -84,7 +96,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     terms = (materialize(lines.select("doc_id", "hash", "line", "share", "words"), "license-lines")
              .withColumn("w", F.explode("words")).groupBy("doc_id", "hash", "line", "share", "w").agg(F.count("*").alias("tf")))
     at = ["doc_id", "hash", "line", "share"]
-    norms = terms.groupBy(*at).agg(F.sqrt(F.sum((F.col("tf") * F.coalesce(weights[F.col("w")], F.lit(unknown))) ** 2)).alias("norm"))
+    norms = terms.join(counts, "w").groupBy(*at).agg(F.sqrt(F.sum((F.col("tf") * weight_of) ** 2)).alias("norm"))
     dots = terms.join(index, "w").groupBy(*at, "template", "license").agg(F.sum(F.col("tf") * F.col("x")).alias("dot"))
     both = dots.alias("d").join(norms.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.hash") == F.col("n.hash"))
                                 & (F.col("d.line") == F.col("n.line")))
