@@ -210,6 +210,25 @@ def test_license_words_outside_the_templates(spark):
         assert got[n] == pytest.approx(dot / math.prod(math.sqrt(sum(x * x for x in v.values())) for v in vectors))
 
 
+def test_license_files_and_headers(spark):
+    from vellum.llm.licenses import full_texts, license_scan
+
+    full = dict(full_texts())
+    code = "\n".join(f"def name{i}(value{i}): return value{i} + other{i}" for i in range(60))
+    notice = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+              "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    texts = {f"/{n}/LICENSE": f"Copyright (c) 2020 A. Person\n\n{t}" for n, t in full.items()} | {f"/{n}/src/a.py": code for n in full}
+    texts |= {"/h/a.py": "\n".join(f"# {x}" for x in notice) + "\n\n" + code, "/h/a.c": "/*\n * Copyright\n *\n" + "".join(f" * {x}\n" for x in notice) + " */\n" + code,
+              "/h/m.c": "/*\n" + "".join(f" * {x}\n" for x in full["MIT"].split("\n")) + " */\n" + code, "/h/b.py": code,
+              "/h/one.txt": code.replace("\n", " ") + ". Released under the MIT License. " + code.replace("\n", " ")}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string").join(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, path string"), "doc_id")
+    got = {r.path: (r.license, r.origin) for r in license_scan(docs).collect()}
+    want = {f"/{n}/LICENSE": (n, "file") for n in full} | {f"/{n}/src/a.py": (n, "inherited") for n in full}
+    want |= {"/h/a.py": ("GPL-3.0", "own"), "/h/a.c": ("GPL-3.0", "own"), "/h/m.c": ("MIT", "own"), "/h/b.py": (None, None), "/h/one.txt": ("MIT", "own")}
+    assert got == want
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 4])
 def test_runs_by_words(spark, min_lines):
     from vellum.llm.lines import drop_repeated_runs
