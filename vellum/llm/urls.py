@@ -12,7 +12,9 @@ most ``risk`` of them lie.
 
 Every distinct text is scored once, n-grams are counted before they are
 joined, and sums are exact decimals, so reruns agree.  ``rules`` is a
-parameter list (a chain of conditions); the counts cover all URLs.
+parameter list (a chain of conditions).  Models and cutoff are over the
+distinct texts of host and path, not over pages: a text that a third of all
+pages share counts once, and ``risk`` is a share of accepted texts.
 
 Defined results: null or no ``://`` gives empty host and path, no rule and
 "allow", as does everything that no rule fits while a model has no URLs;
@@ -81,7 +83,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = (pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
             .withColumn("rule", _by_rule(rules, lambda r: r[1] + r[2])).withColumn("by_rule", _by_rule(rules, lambda r: r[0]))
             .withColumn("part", F.concat("host", "path")))
-    texts = materialize(urls.groupBy("part").agg(F.min("by_rule").alias("label"), F.count("*").alias("n"))
+    texts = materialize(urls.groupBy("part").agg(F.min("by_rule").alias("label"))
                         .withColumn("held", F.pmod(F.xxhash64("part"), F.lit(5)) == 0), "url-texts")
     grams = _grams(texts.filter("part <> ''"), order).groupBy("part", "label", "held", "gram").agg(F.count("*").alias("times"))
     grams = materialize(grams, "url-grams")
