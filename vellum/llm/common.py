@@ -37,6 +37,22 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def sized_chunks(batches, column: int, size: int):
+    """Arrow batches in runs of about ``size`` bytes of text, a longer text by itself."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = int(total[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def byte_values(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
     import pyarrow as pa
