@@ -13,7 +13,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a stage boundary.
 
     The files outlive executors, so a lost executor never recomputes what lies
@@ -21,7 +21,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

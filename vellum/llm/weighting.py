@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from vellum.llm.common import byte_values, materialize, sized_chunks
 
 DEPTH = 4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 RUN_GRAMS = 1 << 19
 FOLDS, HELD_OUT = 7, 2
@@ -265,7 +265,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6: a gram is held in 63 bits")
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held
-    chunks = materialize(_chunked(docs, id_col, text_col, held_out, depth, chunk_bytes), "weighting-chunks")
+    chunks = materialize(_chunked(docs, id_col, text_col, held_out, depth, chunk_bytes), "weighting-chunks", "zstd")
     grams, words = _rows(chunks, "gram", "long"), _rows(chunks, "word", "binary")
     counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "weighting-grams")
     vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("count")), "weighting-words")
