@@ -82,6 +82,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.negatives import hard_negatives
+
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("embedding"))
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.alignment import align
 
@@ -107,6 +117,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_alignment": op12_alignment,
     "op13_lm_scoring": op13_lm_scoring,
 }
@@ -159,4 +170,19 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
                    string_agg(x, chr(10) ORDER BY line) FILTER (NOT gone) AS kept
             FROM marked GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+    "op11_hard_negatives": r"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id AS id, r.label, list_dot_product(a.e, r.e)::BIGINT AS score
+              FROM v a, v r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        p AS (SELECT * FROM (SELECT anchor_id, id AS positive_id, score AS positive_score,
+                                    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE label = own)
+              WHERE k <= 5),
+        n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own
+                   AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
