@@ -7,7 +7,7 @@ from vellum.plans.registry import QUERIES as REGISTERED
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"]
+             "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "PythonUDF"]
 
 
 @pytest.mark.parametrize("name", sorted(REGISTERED))

@@ -51,3 +51,31 @@ def test_stream_gate_goes_by_header_name(spark):
             "missing.csv": "missing column name", "renamed.csv": "missing column name; extra column nome",
             "extra.csv": "extra column x", "header_only.csv": "no data line",
             "blank.csv": "missing column id; missing column name"}
+
+
+def test_streamed_uploads_meet_their_manifest(spark):
+    from vellum.operators import manifest as mf
+    from vellum.sources.listing import list_landed
+    inbox = local_path(scratch_dir(spark, "inbox"))
+    os.makedirs(os.path.join(inbox, "sub"))
+    files = {"a b.csv": 'id,name\n1,"x\ny"\n2,z\n', "sub/a b.csv": "id,name\n3,w\n", "c;d.csv": "name,id\nq,4\n", "bad.csv": "id,name\nx,y\n"}
+    for name, text in files.items():
+        with open(os.path.join(inbox, name), "w") as f:
+            f.write(text)
+    root, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt")
+    run = lambda: land_stream(spark, inbox + "/{*,sub/*}", CONTRACT, root, checkpoint, {"subject": "s", "sub_subject": "u"},
+                              max_files_per_trigger=2).awaitTermination(240)
+    run()
+    data = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(root + "/data").collect()
+    assert sorted((r["id"], r["name"]) for r in data) == [("1", "x\ny"), ("2", "z"), ("3", "w"), ("4", "q")]
+    listed = list_landed(spark, root)
+    assert listed.count() == 3
+    got = mf.attach_metadata(listed, spark.read.parquet(root + "/manifest").drop("upload"))
+    assert sorted((r.original_filename, r.row_count, r.file_size_bytes > 0) for r in got.collect()) == [
+        ("a b.csv", 1, True), ("a b.csv", 2, True), ("c;d.csv", 1, True)]
+    sizes = {r.file_key: r.file_size_bytes for r in listed.collect()}
+    man = spark.read.parquet(root + "/manifest").collect()
+    assert {r.file_key: r.file_size_bytes for r in man} == sizes
+    assert mf.manifest_stats(got, got.first().upload_date.date()).first().total_rows == 4
+    run()  # nothing new: nothing changes
+    assert list_landed(spark, root).count() == 3

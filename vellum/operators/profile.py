@@ -1,9 +1,9 @@
 """Column profiling, display casting and faceted filtering
 (C4-C6, C8, C15, D3, H6, H7, K4).
 
-Type inference for every column is one ``agg`` pass: four ``bool_and``
-regex tests and a ``count`` per column, combined map-side like any other
-aggregate, then unpivoted to one row per column.
+Type inference for every column is one ``agg`` pass: each cell becomes four bits
+(what it can be read as), which a ``bit_and`` per column combines map side, then
+unpivoted to one row per column.
 """
 
 from __future__ import annotations
@@ -32,26 +32,48 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _type_exprs(df: DataFrame) -> tuple[list[Column], list[Column]]:
+#: what a cell's text can be read as: one bit each, in the order of ``LABELS``
+_INT, _FLOAT, _BOOL, _DATE = 1, 2, 4, 8
+
+
+# the same languages as INFER_INT and INFER_FLOAT (with its comma for a point), without backtracking
+_INT_RE = r"^-?\d++$"
+_FLOAT_RE = r"^-?(?:\d++(?:[.,]\d++)?|[.,]\d++)(?:[eE][+-]?\d++)?$"
+_WORD_BYTES = 24  # longer texts are no boolean word in any case
+
+
+def _cell_bits(s: Column) -> Column:
+    """What a stripped cell can be read as.
+
+    A cell's first characters decide which patterns it can meet, so most cells
+    meet one: numbers and dates begin with a digit, a sign, a point or a comma; a
+    date has its separator at the third or fifth place, where a number has none.
+    """
+    at = lambda i: F.substring(s, i, 1)
+    word = F.when((F.octet_length(s) <= _WORD_BYTES) & F.lower(s).isin(INFER_BOOL_WORDS), _BOOL).otherwise(0)
+    dates = "|".join(p.removeprefix("^") for p in INFER_DATE_PREFIXES)
+    dated = (at(5).isin("-", "/") | at(3).isin("-", "/")) & s.rlike(f"^(?:{dates})")
+    return (F.when(~at(1).between("!", "9"), word)
+            .when(dated, _DATE)
+            .when(s.rlike(_INT_RE), F.when(s.isin("0", "1"), _BOOL).otherwise(0) + (_INT + _FLOAT))
+            .when(s.rlike(_FLOAT_RE), _FLOAT).otherwise(0))
+
+
+def _type_exprs(df: DataFrame) -> tuple[DataFrame, list[Column], list[Column]]:
+    """``df``'s stripped texts, one aggregate pass over them, and the label of each column from its result.
+
+    The texts are projected first: inside the aggregates each test would strip its cell again.
+    """
+    texts = df.select(*[py_strip(_q(c).cast("string")).alias(f"s{i}") for i, c in enumerate(df.columns)])
     aggs, labels = [], []
-    for i, c in enumerate(df.columns):
-        v = _q(c).cast("string")
-        s = py_strip(v)
-        t_int = s.rlike(INFER_INT)
-        t_float = F.replace(s, F.lit(","), F.lit(".")).rlike(INFER_FLOAT)
-        t_bool = F.lower(s).isin(INFER_BOOL_WORDS)
-        t_date = F.lit(False)
-        for p in INFER_DATE_PREFIXES:
-            t_date = t_date | s.rlike(p)
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.bool_and(F.when(v.isNotNull(), t_int)).alias(f"i{i}"),
-                 F.bool_and(F.when(v.isNotNull(), t_float)).alias(f"f{i}"),
-                 F.bool_and(F.when(v.isNotNull(), t_bool)).alias(f"b{i}"),
-                 F.bool_and(F.when(v.isNotNull(), t_date)).alias(f"d{i}")]
-        labels.append(F.when(F.col(f"n{i}") == 0, "object").when(F.col(f"i{i}"), "int64")
-                      .when(F.col(f"f{i}"), "float64").when(F.col(f"b{i}"), "bool")
-                      .when(F.col(f"d{i}"), "datetime64").otherwise("object"))
-    return aggs, labels
+    for i in range(len(df.columns)):
+        s = F.col(f"s{i}")
+        aggs += [F.count(s).alias(f"n{i}"), F.bit_and(F.when(s.isNotNull(), _cell_bits(s))).alias(f"t{i}")]
+        label = F.when(F.col(f"n{i}") == 0, "object")
+        for bit, name in zip((_INT, _FLOAT, _BOOL, _DATE), LABELS):
+            label = label.when(F.col(f"t{i}").bitwiseAND(F.lit(bit)) > 0, name)
+        labels.append(label.otherwise("object"))
+    return texts, aggs, labels
 
 
 def infer_types(df: DataFrame, sample: int | None = None) -> DataFrame:
@@ -60,8 +82,8 @@ def infer_types(df: DataFrame, sample: int | None = None) -> DataFrame:
     Whole table by default; ``sample`` limits to the first n rows when asked.
     """
     src = df.limit(sample) if sample else df
-    aggs, labels = _type_exprs(src)
-    one = src.agg(*aggs)
+    texts, aggs, labels = _type_exprs(src)
+    one = texts.agg(*aggs) if aggs else src.agg(F.count(F.lit(1)))
     rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), lab.alias("inferred_type"))
                      for i, (c, lab) in enumerate(zip(df.columns, labels))])
     return one.select(F.inline(rows))
@@ -70,8 +92,8 @@ def infer_types(df: DataFrame, sample: int | None = None) -> DataFrame:
 def profile(df: DataFrame, fmt: str = "csv", separator: str | None = None) -> DataFrame:
     """Format, column count, row count and the type of every column, from
     the same single aggregation pass as C4."""
-    aggs, labels = _type_exprs(df)
-    one = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
+    texts, aggs, labels = _type_exprs(df)
+    one = texts.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
     types = F.create_map(*[x for c, lab in zip(df.columns, labels) for x in (F.lit(c), lab)])
     return one.select(F.lit(fmt).alias("format"), F.lit(len(df.columns)).alias("column_count"),
                       F.col("__rows").alias("row_count"), types.alias("column_types"),
@@ -141,6 +163,32 @@ def facet_profile(df: DataFrame, max_picks: int = 50) -> DataFrame:
                     F.when(F.col("control") == "pick", F.col("pick_values")).alias("pick_values"), "control"))
 
 
+def facet_controls(df: DataFrame, max_picks: int = 50) -> DataFrame:
+    """H6 without distinct counts: the control of each column, and a pick list's values.
+
+    A column's values are held in a frequent-items sketch that is exact while it
+    holds all of them, and is dropped to a bounded number otherwise; counts that
+    add up to the column's rows prove the first (what a full sketch throws away
+    is more than what its remaining items could make up for).  So no task holds
+    or sends more than the sketch of ``4 * max_picks`` items a column, however
+    many values a search column has.
+    """
+    names = df.columns
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, pick_values string, control string")
+    texts = df.select(*[F.when(~_q(c).cast("string").isin("", "None"), _q(c).cast("string")).alias(f"v{i}") for i, c in enumerate(names)])
+    held = [F.expr(f"approx_top_k(v{i}, {max_picks + 2}, {4 * (max_picks + 2)})").alias(f"k{i}") for i in range(len(names))]
+    one = texts.agg(F.count(F.lit(1)).alias("n"), *held)
+    rows = []
+    for i, c in enumerate(names):
+        all_ = F.aggregate(f"k{i}", F.lit(0).cast("long"), lambda a, x: a + x["count"]) == F.col("n")
+        values = F.sort_array(F.transform(F.filter(f"k{i}", lambda x: x["item"].isNotNull()), lambda x: x["item"]))
+        control = (F.when(~all_ | (F.size(values) > max_picks), "search").when(F.size(values) <= 1, "none").otherwise("pick"))
+        rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.when(control == "pick", F.array_join(values, "|")).alias("pick_values"),
+                             control.alias("control")))
+    return one.select(F.inline(F.array(*rows)))
+
+
 def facet_predicate(picks: dict[str, list[str]] | None = None,
                     searches: dict[str, str] | None = None) -> Column:
     """D3: AND over columns of 'text in picked set' / 'contains term, case-blind'."""

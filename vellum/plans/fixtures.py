@@ -139,7 +139,36 @@ LINEITEM_CONTRACT = {
     ]},
 }
 
-DERIVED = {"raw_customer": RAW_CUSTOMER, "raw_lineitem": RAW_LINEITEM, "base": BASE, "edited": EDITED,
+# Event times as text in every accepted layout, and some that no layout accepts.
+RAW_EVENTS = """
+SELECT CAST(event_id AS STRING) AS row_key,
+  CASE event_id % 10 WHEN 0 THEN substring(CAST(ts AS STRING), 1, 19) WHEN 1 THEN substring(CAST(ts AS STRING), 1, 16)
+       WHEN 2 THEN replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T')
+       WHEN 3 THEN replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T') || 'Z'
+       WHEN 4 THEN substring(CAST(ts AS STRING), 9, 2) || '/' || substring(CAST(ts AS STRING), 6, 2) || '/' ||
+                   substring(CAST(ts AS STRING), 1, 4) || ' ' || substring(CAST(ts AS STRING), 12, 5)
+       WHEN 5 THEN substring(CAST(ts AS STRING), 1, 10) || ' 25:00' WHEN 6 THEN substring(CAST(ts AS STRING), 1, 10)
+       WHEN 7 THEN '' WHEN 8 THEN '2023-02-29 ' || substring(CAST(ts AS STRING), 12, 8)
+       ELSE substring(CAST(ts AS STRING), 1, 11) || 'x' END AS happened,
+  CASE WHEN user_id % 7 = 3 THEN 'u' || CAST(user_id AS STRING) ELSE CAST(user_id AS STRING) END AS user_id
+FROM {events}
+"""
+
+EVENTS_CONTRACT = {
+    "description": "eventos",
+    "schema": {"table_name": "events", "fields": [
+        {"name": "row_key", "type": "str", "required": True},
+        {"name": "happened", "type": "datetime", "required": True},
+        {"name": "user_id", "type": "int", "required": True},
+    ]},
+}
+
+# Empty texts, nulls and names.
+EMPTY_TEXT = """
+SELECT CAST(c_custkey AS STRING) AS k, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_name END AS v FROM {customer}
+"""
+
+DERIVED = {"raw_events": RAW_EVENTS, "empty_text": EMPTY_TEXT, "raw_customer": RAW_CUSTOMER, "raw_lineitem": RAW_LINEITEM, "base": BASE, "edited": EDITED,
            "ledger_flat": LEDGER_FLAT, "manifest_raw": MANIFEST,
            "base_orders": BASE_ORDERS, "edited_orders": EDITED_ORDERS, "ledger_orders_flat": LEDGER_ORDERS_FLAT}
 

@@ -359,6 +359,30 @@ ORACLE: dict[str, str] = {
     "read_delimited_auto": (
         "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
         "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"),
+    "read_delimited_text": ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars "
+                            "FROM documents"),
+    "csv_empty_text": fx.duck("empty_text"),
+    "detect_separator_head": (
+        "WITH b AS (SELECT doc_id, regexp_extract_all(substr(hex(encode(text)), 1, 2048), '..') AS h FROM documents), "
+        "c AS (SELECT doc_id, len(list_filter(h, lambda x: x = '2C')) AS n1, len(list_filter(h, lambda x: x = '3B')) AS n2, "
+        "len(list_filter(h, lambda x: x = '09')) AS n3, len(list_filter(h, lambda x: x = '7C')) AS n4 FROM b) "
+        "SELECT doc_id, CASE WHEN greatest(n1, n2, n3, n4) = 0 THEN ',' WHEN n1 = greatest(n1, n2, n3, n4) THEN ',' "
+        "WHEN n2 = greatest(n1, n2, n3, n4) THEN ';' WHEN n3 = greatest(n1, n2, n3, n4) THEN chr(9) ELSE '|' END AS separator FROM c"),
+    "profile_mixed_files": ("SELECT format, column_count, 2 * row_count AS row_count, column_types_json, ', ;' AS separator FROM ("
+                            + _profile_customer_csv_sql() + ") t"),
+    "cell_violations_rows": _with(r=f"SELECT *, row_number() OVER (ORDER BY row_key) AS row FROM ({RAW}) x") + " UNION ALL ".join(
+        f"SELECT row, {o} AS ordinal, '{c}' AS field, '{k}' AS expected, {c} AS value FROM r WHERE {_bad(c, k)}" for o, c, k in RAW_TYPED),
+    "cell_violations_events": _violations_generic(fx.duck("raw_events"), [(1, "happened", "datetime"), (2, "user_id", "integer")]),
+    "landed_chain": "SELECT CAST(9 AS BIGINT) AS total_files, 2 * count(*) AS total_rows FROM customer",
+    "facet_controls": f"SELECT ordinal, \"column\", pick_values, control FROM ({_facet_sql()}) t",
+    "ledger_append_twice": (
+        f"SELECT 'save-1' AS batch, 'customer' AS table_name, count(*) AS n, count(DISTINCT row_identifier) AS n_rows FROM ({_changes_sql()}) c "
+        "UNION ALL SELECT 'save-2', 'orders', count(*), count(DISTINCT o_orderkey) FROM orders "
+        "WHERE (o_orderkey % 13 = 0 AND coalesce(o_orderstatus, '') <> 'X') OR (o_orderkey % 17 = 0 AND coalesce(o_orderpriority, '') <> '9-EDITED')"),
+    "ledger_reset_append": _changes_sql(),
+    "diff_guessed_key": _changes_sql(),
+    "external_table_parquet": "SELECT * FROM customer",
+    "legacy_sorted_unpack": _with(l=LFLAT) + "SELECT id, after_segment AS u_segment, after_name AS u_name FROM l",
     "read_delimited_preamble": (
         "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
         "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer UNION ALL "

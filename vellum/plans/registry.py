@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.images import LEGACY_FIELDS, clean_json, pack_image, unpack_image
+from vellum.functions.images import LEGACY_FIELDS, clean_json, pack_image, unpack_image, unpack_sorted_image
 from vellum.functions.keys import landing_key
 from vellum.functions import predicates as P
 from vellum.operators import audit, contract, diff, manifest as mf, profile, rename, replay
@@ -23,11 +23,11 @@ from vellum.plans import fixtures as fx
 from vellum.session import scratch_dir
 from vellum.sinks.csv_export import export_csv
 from vellum.sinks.landing import land
-from vellum.sinks.ledger_store import append_changes, create_ledger, register_external, reset_ledger
+from vellum.sinks.ledger_store import append_changes, committed_changes, create_ledger, register_external, reset_ledger
 from vellum.sinks.legacy_export import export_legacy_log
-from vellum.sources.delimited import SEPARATORS, detect_separator, read_delimited
+from vellum.sources.delimited import SEPARATORS, detect_separator, read_delimited, read_numbered
 from vellum.sources.legacy import read_legacy_log
-from vellum.sources.listing import accept_files
+from vellum.sources.listing import accept_files, list_landed
 
 # ---------------------------------------------------------------- parameters
 META = diff.ChangeMeta("main", "customer", "editor", dt.datetime(2024, 3, 1, 12, 0, 0), "sess0001")
@@ -94,6 +94,35 @@ def q_read_delimited_auto(spark: SparkSession, sf: str) -> DataFrame:
     return read_delimited(spark, path, sep="auto")
 
 
+def q_read_delimited_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents through one CSV file: records hold newlines, quotes and separators, and are read by splits."""
+    path = scratch_dir(spark, "csv-documents")
+    export_csv(_t(spark, sf, "documents"), path, single_file=True)
+    return read_delimited(spark, path)
+
+
+def q_csv_empty_text(spark: SparkSession, sf: str) -> DataFrame:
+    """B1 and A1: an empty text and a null are still told apart after a round trip."""
+    path = scratch_dir(spark, "csv-empty")
+    export_csv(fx.derive(spark, sf, "empty_text"), path)
+    return read_delimited(spark, path)
+
+
+def q_detect_separator_head(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 as a file is sniffed: by the first 1024 bytes of each text."""
+    return detect_separator(_t(spark, sf, "documents"), "text", "doc_id")
+
+
+def q_profile_mixed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """C5 over files of two separators."""
+    from vellum.sources.delimited import profile_file
+    path = scratch_dir(spark, "csv-mixed")
+    for sep in (";", ","):
+        _t(spark, sf, "customer").write.mode("append").option("header", True).option("sep", sep).csv(path)
+    return profile_file(spark, path).select("format", "column_count", "row_count",
+                                            F.to_json("column_types").alias("column_types_json"), "separator")
+
+
 def q_profile_file(spark: SparkSession, sf: str) -> DataFrame:
     """C5 end to end: export customer as CSV, then sniff, read and profile it."""
     from vellum.sources.delimited import profile_file
@@ -162,6 +191,10 @@ FACET_PICKS = {"c_mktsegment": ["BUILDING", "MACHINERY"]}
 FACET_SEARCH = {"c_name": "00001"}
 
 
+def q_facet_controls(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.facet_controls(_t(spark, sf, "customer"))
+
+
 def q_facet_filter(spark: SparkSession, sf: str) -> DataFrame:
     return profile.facet_filter(_t(spark, sf, "customer"), FACET_PICKS, FACET_SEARCH)
 
@@ -183,6 +216,18 @@ def q_cell_violations(spark: SparkSession, sf: str) -> DataFrame:
     return contract.violations(_raw(spark, sf), fx.RAW_CONTRACT, "row_key")
 
 
+def q_cell_violations_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """E6 for an upload without a key: its rows are told by their number in the file."""
+    path = scratch_dir(spark, "csv-upload")
+    export_csv(_raw(spark, sf).orderBy("row_key").drop("row_key"), path)
+    return contract.violations(read_numbered(spark, path), fx.RAW_CONTRACT, "row")
+
+
+def q_cell_violations_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A contract with a datetime."""
+    return contract.violations(fx.derive(spark, sf, "raw_events"), fx.EVENTS_CONTRACT, "row_key")
+
+
 def q_validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return contract.validation_report(_raw(spark, sf), fx.RAW_CONTRACT, "row_key")
 
@@ -234,6 +279,21 @@ def q_stream_landing(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.option("header", True).csv(root + "/data").select(*BASE_FIELDS)
 
 
+def q_landed_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight files landed by the stream and one by the batch job, listed, joined to their manifest and summed up."""
+    from vellum.streaming import land_stream
+    inbox, root = scratch_dir(spark, "inbox"), scratch_dir(spark, "landed")
+    meta = {"subject": "sistema", "sub_subject": "clientes"}
+    export_csv(_base(spark, sf).repartition(8), inbox)
+    land_stream(spark, inbox, BASE_CONTRACT, root, scratch_dir(spark, "stream-ckpt"), meta).awaitTermination()
+    res = land(_edited(spark, sf), BASE_CONTRACT, root, meta | {"original_filename": "clientes.csv"}, dt.datetime(2024, 3, 1, 12, 0, 0))
+    if not res.ok:
+        raise RuntimeError(res.message)
+    landed = mf.attach_metadata(list_landed(spark, root), spark.read.parquet(root + "/manifest").drop("upload"))
+    described = landed.filter((F.col("schema_used") == BASE_CONTRACT["description"]) & (F.col("file_size_bytes") > 0))
+    return mf.manifest_stats(described, AS_OF).select("total_files", "total_rows")
+
+
 # ------------------------------------------------------------------ manifest
 def q_manifest_derive(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).select(
@@ -317,6 +377,36 @@ def q_ledger_write_read(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_changes(spark.table(name))
 
 
+def q_ledger_append_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch that is sent twice is in the ledger once, beside another batch."""
+    loc = scratch_dir(spark, "ledger")
+    name = "ledger_" + loc.rsplit("-", 1)[-1]
+    create_ledger(spark, name, loc, by_batch=True)
+    changes = diff.diff_updates(_base(spark, sf), _edited(spark, sf), "id", META)
+    orders = diff.diff_updates(fx.derive(spark, sf, "base_orders"), fx.derive(spark, sf, "edited_orders"), "id", META_ORDERS)
+    for batch, rows in (("save-1", changes), ("save-2", orders), ("save-1", changes)):
+        append_changes(rows, name, batch)
+    return committed_changes(spark, name).groupBy("batch", "table_name").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("row_identifier").alias("n_rows"))
+
+
+def q_ledger_reset_append(spark: SparkSession, sf: str) -> DataFrame:
+    """After a reset only what is appended then is there."""
+    loc = scratch_dir(spark, "ledger")
+    name = "ledger_" + loc.rsplit("-", 1)[-1]
+    create_ledger(spark, name, loc)
+    append_changes(diff.diff_updates(fx.derive(spark, sf, "base_orders"), fx.derive(spark, sf, "edited_orders"), "id", META_ORDERS), name)
+    reset_ledger(spark, name, loc, confirm=True)
+    append_changes(diff.diff_updates(_base(spark, sf), _edited(spark, sf), "id", META), name)
+    return _flat_changes(spark.table(name))
+
+
+def q_diff_guessed_key(spark: SparkSession, sf: str) -> DataFrame:
+    """the key is guessed from the column names."""
+    base = _base(spark, sf).select("name", "segment", "id", "nation")
+    return _flat_changes(diff.diff_updates(base, _edited(spark, sf).select(*base.columns), diff.guess_key(base), META))
+
+
 def q_ledger_reset(spark: SparkSession, sf: str) -> DataFrame:
     loc = scratch_dir(spark, "ledger")
     name = "ledger_" + loc.rsplit("-", 1)[-1]
@@ -336,6 +426,16 @@ def q_external_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name)
 
 
+def q_external_table_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    loc = scratch_dir(spark, "external")
+    cust = _t(spark, sf, "customer")
+    cust.write.parquet(loc)
+    name = "ext_" + loc.rsplit("-", 1)[-1]
+    register_external(spark, name, loc, [{"name": f.name, "type": f.dataType.simpleString()}
+                                         for f in cust.schema.fields], "parquet")
+    return spark.table(name)
+
+
 # ------------------------------------------------------------- merge on read
 def q_overlay_updates(spark: SparkSession, sf: str) -> DataFrame:
     return replay.overlay_updates(_base(spark, sf), _ledger(spark, sf), "id")
@@ -465,6 +565,13 @@ def q_legacy_brace_unpack(spark: SparkSession, sf: str) -> DataFrame:
                        F.size(img).alias("n_fields"))
 
 
+def q_legacy_sorted_unpack(spark: SparkSession, sf: str) -> DataFrame:
+    """images whose values are in the alphabetical order of their fields."""
+    flat = fx.derive(spark, sf, "ledger_flat")
+    img = unpack_sorted_image(F.concat_ws(",", "after_name", "after_segment"), IMAGE_FIELDS)
+    return flat.select("id", *[F.try_element_at(img, F.lit(f)).alias(f"u_{f}") for f in IMAGE_FIELDS])
+
+
 def q_legacy_import(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "legacy")
     export_legacy_log(_ledger(spark, sf), path, IMAGE_FIELDS)

@@ -8,6 +8,7 @@ upload is moved into the data layout and gets a manifest row.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -97,7 +98,7 @@ def land(df: DataFrame, contract: dict, root: str, meta: dict, landed_at: _dt.da
         F.lit(str(len(df.columns))).alias("column_count_text"),
         F.lit(landed_at.isoformat()).alias("upload_timestamp"))
     key = manifest_row.first()["object_key"]
-    # subject, sub_subject and name together: uploads of one name and second don't share a folder
-    owner = f"{meta['subject']}.{meta['sub_subject']}.{upload}"
+    # one folder per data folder: no two uploads of other subjects, names or seconds share it
+    owner = hashlib.md5(target[len(root):].encode()).hexdigest()
     manifest_row.write.mode("overwrite").parquet(f"{manifest_path or root + '/manifest'}/upload={owner}")
     return LandResult(True, f"landed {rows} rows", 0, rows, len(df.columns), target, key)

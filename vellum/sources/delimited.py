@@ -8,19 +8,24 @@ from __future__ import annotations
 
 import csv
 import re
-from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.operators.materialize import materialize
+from vellum.sources.records import numbered, probe, records, scanned_file
+
 # Candidate separators in tie-break order, the fallback and the
 # number of leading bytes inspected.
 SEPARATORS = [",", ";", "\t", "|"]
 DEFAULT_SEP = ","
 SNIFF_BYTES = 1024
 
+#: doubled quotes; an empty field is null, a quoted empty one is not (the null text is one that no file holds)
+READ_OPTIONS = {"escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+
 
 def separator_of(head: Column) -> Column:
     """Most frequent candidate in ``head``; ties -> earlier candidate; none -> ','."""
@@ -69,16 +74,6 @@ def _data_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return sorted(files)
 
 
-def _read_head(spark: SparkSession, path: str, n: int) -> bytes:
-    """The first n bytes of a file (a driver-side probe through the Hadoop file system, not a data read)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
-
-
 def _separator(head: bytes) -> str:
     text = head[:SNIFF_BYTES].decode("utf-8", errors="ignore")
     counts = {s: text.count(s) for s in SEPARATORS}
@@ -89,71 +84,51 @@ def _separator(head: bytes) -> str:
 def sniff_separator(spark: SparkSession, path: str) -> str:
     """The separator of the first file under ``path``."""
     files = _data_files(spark, [path])
-    return _separator(_read_head(spark, files[0], SNIFF_BYTES)) if files else DEFAULT_SEP
-
-
-def file_layout(spark: SparkSession, path: str, sep: str = "auto", header_row: int = 0) -> tuple[str, tuple[str, ...]]:
-    """``(separator, header names)`` of one file."""
-    size = 1 << 16
-    while True:
-        raw = _read_head(spark, path, size)
-        lines = re.split("\r\n|\n|\r", raw.decode("utf-8-sig", errors="ignore"))
-        if len(lines) > header_row + 1 or len(raw) < size:
-            break
-        size *= 4
-    used = _separator(raw) if sep == "auto" else sep
-    header = lines[header_row] if len(lines) > header_row else ""
-    return used, tuple(next(csv.reader([header], delimiter=used), []))
-
-
-def _layouts(spark: SparkSession, files: list[str], sep: str, header_row: int) -> dict:
-    """Files by layout; the probes are short reads, taken a few at a time."""
-    groups: dict = {}
-    with ThreadPoolExecutor(16) as pool:
-        found = pool.map(lambda f: file_layout(spark, f, sep, header_row), files)
-        for f, layout in zip(files, found, strict=True):
-            groups.setdefault(layout, []).append(f)
+    return _separator(probe(spark, files[:1], SNIFF_BYTES, 0).first()["head"].encode()) if files else DEFAULT_SEP
+
+
+class Layout(NamedTuple):
+    """What files must share to be read together."""
+
+    sep: str
+    header: tuple[str, ...]
+    way: str  # 'lines': Spark's line-wise reader; 'records': records over splits; 'whole': Spark's whole-file reader
+
+
+def file_layouts(spark: SparkSession, files: list[str], sep: str = "auto", header_row: int = 0) -> dict[Layout, list[str]]:
+    """Files by layout, found by tasks in one pass over them; only names and headers come to the driver."""
+    groups: dict[Layout, list[str]] = {}
+    for r in probe(spark, files, SNIFF_BYTES, header_row).orderBy("file").collect():
+        used = _separator(r.head.encode()) if sep == "auto" else sep
+        way = "whole" if r.broken and not header_row else "records" if r.spans or header_row else "lines"
+        if way == "records" and r.header.count('"') % 2:
+            first = records(spark, [r.file], header_row).filter("number = 0").first()  # a header over several lines
+            header = first["record"]
+        else:
+            header = re.split("\r", r.header)[0] if way == "lines" else r.header.rstrip("\r")
+        names = tuple(next(csv.reader([header], delimiter=used), []))
+        groups.setdefault(Layout(used, names, way), []).append(r.file)
     return groups
 
 
-def _after_header(lines: DataFrame, skip: int) -> DataFrame:
-    """Lines (``value``, ``file``, ``start``) without the first ``skip`` of each file.
+def _all_text(names: tuple[str, ...]) -> T.StructType:
+    """A column per header name, named as Spark's reader does: empty ones by place, repeated ones with their place."""
+    named = [n or f"_c{i}" for i, n in enumerate(names)]
+    low = [n.lower() for n in named]
+    return T.StructType([T.StructField(n + str(i) if low.count(n.lower()) > 1 else n, T.StringType()) for i, n in enumerate(named)])
 
-    Lines are told by their place: a task reads a file's lines in order, and
-    the split that begins at byte 0 holds the file's first ones (a preamble is
-    taken to be shorter than a split).
-    """
-    def run(batches):
-        file, seen = None, 0
-        for b in batches:
-            keep = []
-            for f, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if f != file:
-                    file, seen = f, 0
-                keep.append(start > 0 or seen >= skip)
-                seen += 1
-            yield b.select([0]).filter(pa.array(keep, pa.bool_()))
-
-    return lines.mapInArrow(run, "value string")
-
-
-def _read_group(spark: SparkSession, files: list[str], sep: str, header: tuple[str, ...], header_row: int,
-                schema: T.StructType | None) -> DataFrame:
-    if header_row <= 0:
-        # doubled quotes, and newlines inside quotes (a file is then read by one task: cut large ones beforehand)
-        reader = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-                  .option("escape", '"').option("multiLine", True))
-        if schema is None:
-            names = spark.read.option("header", True).option("sep", sep).csv(files[:1]).columns
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        return reader.schema(schema).csv(files)
-    if schema is None:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"),
-                                          F.col("_metadata.file_block_start").alias("start"))
-    parsed = _after_header(lines, header_row + 1).filter("value <> ''").select(
-        F.from_csv("value", schema.simpleString(), {"sep": sep, "escape": '"'}).alias("r"))
-    return parsed.select("r.*")
+
+def read_layout(spark: SparkSession, files: list[str], layout: Layout, header_row: int = 0, schema: T.StructType | None = None,
+                file_col: str | None = None) -> DataFrame:
+    """Files of one layout (``file_layouts``), with their paths in ``file_col`` if that is given."""
+    schema = schema or _all_text(layout.header)
+    if layout.way == "records":
+        parsed = F.from_csv("record", schema.simpleString(), {"sep": layout.sep, **READ_OPTIONS})
+        found = records(spark, files, header_row).filter("number > 0").select(F.col("file").alias(file_col or "file"), parsed.alias("r"))
+        return found.select(*[file_col] * bool(file_col), "r.*")
+    reader = spark.read.option("header", True).option("sep", layout.sep).option("mode", "PERMISSIVE").options(**READ_OPTIONS)
+    rows = reader.option("multiLine", layout.way == "whole").schema(schema).csv(files)
+    return rows.withColumn(file_col, scanned_file()) if file_col else rows
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0,
@@ -163,12 +138,13 @@ def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto
     Every file has its own separator (with ``sep='auto'``) and header: files of
     one layout are read together, and layouts are brought together by column
     name (a column that a file lacks is null there).  Empty files hold no rows.
-    With ``schema`` columns are taken by position under the names given.
+    An empty field is null, a quoted empty field is ''.  With ``schema`` a file
+    whose header holds all of its names is read by name, any other by position.
 
-    ``header_row=N`` skips the N lines before the header in each file.  Spark's
-    CSV reader has no line skip, so those files are read as text, the lines up
-    to the header are dropped by their place in the file, and the rest parsed
-    with ``from_csv`` (no quoted newlines on that path).
+    Large files are read by many tasks: line by line where no record holds a
+    newline, else as ``records`` of splits.  Files whose quotes don't pair go to
+    Spark's whole-file reader.  ``header_row=N`` skips the N lines before the
+    header in each file (those files are read as ``records``).
     """
     files = _data_files(spark, [paths] if isinstance(paths, str) else list(paths))
     if not files:
@@ -176,17 +152,54 @@ def read_delimited(spark: SparkSession, paths: str | list[str], sep: str = "auto
             raise ValueError(f"no data under {paths}")
         return spark.createDataFrame([], schema)
     out = None
-    for (used, header), own in _layouts(spark, files, sep, header_row).items():
-        part = _read_group(spark, own, used, header, header_row, schema)
+    for layout, own in file_layouts(spark, files, sep, header_row).items():
+        if not layout.header:
+            continue  # empty lines only
+        by_name = schema is not None and len(set(layout.header)) == len(layout.header) and set(schema.names) <= set(layout.header)
+        if by_name:
+            types = {f.name: f for f in schema.fields}
+            wide = T.StructType([types.get(n, T.StructField(n, T.StringType())) for n in layout.header])
+            part = read_layout(spark, own, layout, header_row, wide).select(*(F.col(f"`{n}`") for n in schema.names))
+        else:
+            part = read_layout(spark, own, layout, header_row, schema)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return spark.createDataFrame([], schema or T.StructType([])) if out is None else out
+
+
+def read_numbered(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0,
+                  row_col: str = "row") -> DataFrame:
+    """A1 with row numbers: ``read_delimited`` and the number of each data record, from 1, over all files by name.
+
+    For uploads without a key: validation (E6) takes the number as the row's key.
+    Every file is read as ``records``, so its quotes must pair.
+    """
+    files = _data_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    if not files:
+        raise ValueError(f"no data under {paths}")
+    layouts = file_layouts(spark, files, sep, header_row)
+    broken = [f for layout, own in layouts.items() if layout.way == "whole" for f in own]
+    if broken:
+        raise ValueError(f"quotes don't pair in {broken[0]}" + f" and {len(broken) - 1} more" * (len(broken) > 1))
+    found, _, _ = materialize(numbered(records(spark, files, header_row)).filter("number > 0"), "file-records")
+    out = None
+    for layout, own in layouts.items():
+        if not layout.header:
+            continue
+        schema = _all_text(layout.header)
+        parsed = F.from_csv("record", schema.simpleString(), {"sep": layout.sep, **READ_OPTIONS})
+        mine = found if len(layouts) == 1 else found.join(spark.createDataFrame([(f,) for f in own], "file string"), "file", "left_semi")
+        part = mine.select(F.col("row").alias(row_col), parsed.alias("r")).select(row_col, "r.*")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], f"{row_col} long") if out is None else out
 
 
 def profile_file(spark: SparkSession, paths: str | list[str], sep: str = "auto", header_row: int = 0) -> DataFrame:
-    """C5 for files: read (A1, separator sniffed unless given) and profile in
-    one aggregation pass; the row carries the separator that was used."""
+    """C5 for files: read (A1, separators sniffed unless given) and profile in
+    one aggregation pass; the row carries the separator that was used, or where
+    files differ all that were, most preferred first, with a space between."""
     from vellum.operators.profile import profile
 
-    first = paths if isinstance(paths, str) else paths[0]
-    used = sniff_separator(spark, first) if sep == "auto" else sep
-    return profile(read_delimited(spark, paths, sep=sep, header_row=header_row), fmt="csv", separator=used)
+    files = _data_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    used = {lay.sep for lay in file_layouts(spark, files, sep, header_row) if lay.header} if files else set()
+    shown = " ".join(sorted(used, key=lambda x: (SEPARATORS + [x]).index(x))) or (DEFAULT_SEP if sep == "auto" else sep)
+    return profile(read_delimited(spark, paths, sep=sep, header_row=header_row), fmt="csv", separator=shown)

@@ -10,9 +10,9 @@ FORMATS = ["csv", "xlsx", "xls"]
 MAX_MB = 50
 
 
-def list_files(spark: SparkSession, prefix: str, recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, prefix: str | list[str], recursive: bool = True) -> DataFrame:
     """A3: (path, filename, length, modificationTime) of every file under
-    ``prefix``, and the same as a manifest names them (file_key,
+    ``prefix`` (or several), and the same as a manifest names them (file_key,
     file_size_bytes, upload_date).  The content column is pruned, so no file is
     read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(prefix)
@@ -22,11 +22,13 @@ def list_files(spark: SparkSession, prefix: str, recursive: bool = True) -> Data
                      F.col("modificationTime").cast("timestamp_ntz").alias("upload_date"))
 
 
-def list_landed(spark: SparkSession, root: str) -> DataFrame:
+def list_landed(spark: SparkSession, root: str, uploads: list[str] | None = None) -> DataFrame:
     """A3 over a landing root: (file_key, file_size_bytes, upload_date), one row
-    per upload -- the folder below ``root`` that ``land`` wrote, which is the
-    ``file_key`` of its manifest row, so ``attach_metadata`` joins the two."""
-    files = list_files(spark, root.rstrip("/") + "/data")
+    per upload -- the folder below ``root`` that ``land`` or ``land_stream`` wrote,
+    which is the ``file_key`` of its manifest row, so ``attach_metadata`` joins the
+    two.  ``uploads`` names some of these folders, to list no others."""
+    root = root.rstrip("/")
+    files = list_files(spark, [f"{root}/{u}" for u in uploads] if uploads else root + "/data")
     key = F.regexp_extract("path", r"/(data/[^?]*)/[^/]*$", 1)
     return files.groupBy(key.alias("file_key")).agg(
         F.sum("file_size_bytes").alias("file_size_bytes"), F.max("upload_date").alias("upload_date"))
