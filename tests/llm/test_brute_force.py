@@ -67,15 +67,20 @@ def plain_quality(docs, labels, risk=0.02, error=0.05):
             for d, c, failed, shares, s in rows]
 
 
+def runs_of(lines):
+    """Two lines, or one of 50 words."""
+    return [(k, p) for k, p in enumerate(zip(lines, lines[1:]))] + [(k, (x,)) for k, x in enumerate(lines) if len(words(x)) >= 50]
+
+
 def plain_lines(docs):
     seqs = {d["doc_id"]: [x for x in (d["text"] or "").split("\n") if x.strip(" \t\n\v\f\r")] for d in docs}
     first, out = {}, []
     for i in sorted(seqs):
-        for k, pair in enumerate(zip(seqs[i], seqs[i][1:])):
+        for k, pair in runs_of(seqs[i]):
             first.setdefault(pair, (i, k))
     for d in docs:
         own = seqs[d["doc_id"]]
-        gone = {k + j for k, pair in enumerate(zip(own, own[1:])) if first[pair] != (d["doc_id"], k) for j in (0, 1)}
+        gone = {k + j for k, run in runs_of(own) if first[run] != (d["doc_id"], k) for j in range(len(run))}
         if own and len(gone) == len(own):
             continue
         at, kept = -1, []
@@ -135,12 +140,14 @@ def plain_mix(docs, seed=7):
         stream = [i for i in sorted(d["doc_id"] for d in docs if d["source"] == s) for _ in range(size[i])]
         blocks = -(-len(stream) // mixing.BLOCK_WORDS)
         passes = int(target[s] // total[s]) if total[s] else 0
-        slots = min(passes * blocks + round((target[s] - passes * total[s]) / mixing.BLOCK_WORDS), 3 * blocks)
-        taken = Counter()
-        for k in range(slots):
+        due = passes * total[s] + math.floor(target[s] - passes * total[s] + 0.5)
+        taken, k = Counter(), -1
+        while taken.total() < due:
+            k += 1
             key = mixing._key(s, seed) + k // blocks * 1000003
             b = int(mixing.permuted(*(np.array([v], np.uint64) for v in (k % blocks, blocks, key)))[0])
-            taken.update(stream[b * mixing.BLOCK_WORDS:(b + 1) * mixing.BLOCK_WORDS])
+            block = stream[b * mixing.BLOCK_WORDS:(b + 1) * mixing.BLOCK_WORDS]
+            taken.update(block[:due - taken.total()])
         for d in docs:
             if d["source"] == s:
                 out[d["doc_id"]] = (size[d["doc_id"]], total[s], round(target[s], 6), taken[d["doc_id"]])

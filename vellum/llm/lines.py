@@ -14,11 +14,11 @@ deeper only splits intervals.  Within an interval the start with the smallest
 that overlap or touch merge into maximal repeated runs, whose lines are
 deleted.  Runs are judged on the input, not on what is left.
 
-With ``min_words`` a run is measured by its words as well: one of fewer lines
-is a run too if it holds that many words in total.  Each depth below
-``min_lines`` is then visited (at 2, only the line ranks that are there
-already).  Without it, as SQL and tests have it for operator 10 and the
-pipeline, a repeated line of any length stays where its neighbours differ.
+With ``min_words`` (operator 10 and the pipeline: 50) a run is measured by its
+words as well: one of fewer lines is a run too if it holds that many words in
+total, so that a long repeated paragraph without a newline goes wherever it
+stands.  Each depth below ``min_lines`` is then visited (at 2, only the line
+ranks that are there already).
 
 Ranks come from counts per pair of ranks (combined map side), ordered by
 range, and are joined back: a line that a third of all documents share is one
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from vellum.llm.common import byte_values, materialize, slices, with_prefix
 
-MIN_LINES = 2
+MIN_LINES, MIN_WORDS = 2, 50
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -128,14 +128,17 @@ def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
-                       min_words: int | None = None) -> DataFrame:
-    """``docs`` with the deleted lines taken out of the text, and ``n_lines``, ``n_removed`` beside it."""
+                       min_words: int | None = None, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the deleted lines taken out of the text, and beside it the numbers of its lines with a word and of
+    those deleted, in the columns ``counts`` (which ``docs`` may not have)."""
+    if clash := {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has columns of the names {sorted(clash)}: pass other counts")
     gone = deleted_lines(docs, id_col, text_col, min_lines, min_words).select(
         F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("lines").alias("__lines"))
     mine = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__hash"))
     joined = docs.join(gone, mine, "left").drop("__doc", "__hash")
     place = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -6,7 +6,8 @@ the corpus's size; no target passes ``cap`` times its source.  Then:
 1. each source's documents, in id order, are one stream of words, cut into
    blocks of ``block_words`` (a block may cross documents);
 2. a source with target t gets its quota of block slots: as many whole passes
-   as fit into t, then as many single blocks as the rest holds;
+   as fit into t, then single blocks until the rest is met, of which the last is
+   cut to the words still due, so that a source gets its target to the word;
 3. every output shard's count of slots per source is drawn: a source's quota is
    thrown into the shards at random (multinomial), so that, given a shard's
    size, its counts are a draw without replacement at the target shares and
@@ -42,6 +43,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
+ROUNDS = 6
+PASS_KEY = 1000003
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -73,7 +76,9 @@ def _key(source: str | None, seed: int) -> int:
 
 
 def shard_counts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``source_no, blocks, key, shard, first, count``: the slots of each source in each shard.
+    """``source_no, blocks, passes, rest, short, short_at, key, shard, first, count``: the slots of each source in each shard.
+
+    ``short`` is the size of the source's last block, ``short_at`` the slot that takes it in the pass that is not whole.
 
     A source's quota is halved over the shards by binomial draws, a range of
     shards at a time, so one step holds ``step`` numbers at most.
@@ -84,18 +89,49 @@ def shard_counts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 key = _key(r.source, seed)
+                last = (np.array([v], np.uint64) for v in (r.blocks - 1, r.blocks, key + int(r.passes) * PASS_KEY))
+                short_at = int(slot_of(*last)[0])
                 rng, left, first = np.random.Generator(np.random.Philox(key=key)), int(r.slots), 0
                 for at in range(0, shards, step):
                     n = min(step, shards - at)
                     here = left if at + n == shards else int(rng.binomial(left, n / (shards - at)))
                     count = rng.multinomial(here, np.full(n, 1 / n))
                     some = np.flatnonzero(count)
-                    yield pd.DataFrame({"source_no": r.source_no, "blocks": r.blocks, "key": key, "shard": at + some,
+                    yield pd.DataFrame({"source_no": r.source_no, "blocks": r.blocks, "passes": r.passes, "rest": r.rest,
+                                        "short": r.short, "short_at": short_at, "key": key, "shard": at + some,
                                         "first": first + (np.cumsum(count) - count)[some], "count": count[some]})
                     left, first = left - here, first + here
 
-    return quotas.select("source", "source_no", "blocks", "slots").mapInPandas(
-        draw, "source_no long, blocks long, key long, shard long, first long, count long")
+    return quotas.select("source", "source_no", "blocks", "passes", "rest", "short", "slots").mapInPandas(
+        draw, "source_no long, blocks long, passes long, rest long, short long, short_at long, key long, shard long, first long, count long")
+
+
+def _round(right: np.ndarray, key: np.ndarray, r: int, mask: np.ndarray) -> np.ndarray:
+    f = (right + key + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (f ^ (f >> np.uint64(32))) & mask
+
+
+def _half_bits(size: np.ndarray) -> np.ndarray:
+    bits = np.ones(len(size), np.uint64)
+    for b in range(1, 32):
+        bits[(np.uint64(1) << np.uint64(2 * b)) < size] = b + 1
+    return bits
+
+
+def slot_of(block: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The index that ``permuted`` sends to ``block``: the same rounds backwards."""
+    bits = _half_bits(size)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    out, todo = block.astype(np.uint64), np.arange(len(block))
+    while len(todo):
+        b, m, k = bits[todo], mask[todo], key[todo]
+        left, right = out[todo] >> b, out[todo] & m
+        for r in range(ROUNDS - 1, -1, -1):
+            left, right = right ^ _round(left, k, r, m), left
+        out[todo] = (left << b) | right
+        todo = todo[out[todo] >= size[todo]]
+    return out.astype(np.int64)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -104,18 +140,14 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     A balanced Feistel network over the next power of 4; values that fall
     outside the range go through it again until they are inside.
     """
-    bits = np.ones(len(index), np.uint64)
-    for b in range(1, 32):
-        bits[(np.uint64(1) << np.uint64(2 * b)) < size] = b + 1
+    bits = _half_bits(size)
     mask = (np.uint64(1) << bits) - np.uint64(1)
     out, todo = index.astype(np.uint64), np.arange(len(index))
     while len(todo):
         b, m, k = bits[todo], mask[todo], key[todo]
         left, right = out[todo] >> b, out[todo] & m
-        for r in range(6):
-            f = (right + k + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f ^ (f >> np.uint64(32))) & m)
+        for r in range(ROUNDS):
+            left, right = right, left ^ _round(right, k, r, m)
         out[todo] = (left << b) | right
         todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
@@ -139,10 +171,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = materialize(with_prefix(sized, ["source"], ["doc_id", "size"], F.col("size"), "start"), "mix-placed")
     targets = source_targets(placed, weights, cap)
     passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("long"))
-    rest = F.round((F.col("target") - passes * F.col("source_size")) / block_words).cast("long")
     blocks = F.ceil(F.col("source_size") / block_words)
-    quotas = materialize(targets.withColumn("blocks", blocks).withColumn("slots", F.when(
-        F.col("source_size") > 0, F.least(passes * blocks + rest, cap * blocks)).otherwise(0)), "mix-quotas")
+    quotas = targets.withColumn("blocks", blocks).withColumn("passes", passes).withColumn(
+        "rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    # the short last block may be among the slots that meet the rest: then one more is needed
+    single = F.when(F.col("rest") > 0, F.least(F.ceil(F.col("rest") / block_words) + 1, F.col("blocks"))).otherwise(0)
+    quotas = quotas.withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block_words)
+    quotas = materialize(quotas.withColumn("slots", F.when(F.col("source_size") > 0, F.col("passes") * F.col("blocks") + single).otherwise(0)),
+                         "mix-quotas")
     shards = -(-(quotas.agg(F.sum("slots")).first()[0] or 0) // shard_slots) or 1
     documents = (placed.join(quotas.select(F.col("source").alias("__source"), "source_no", "source_size", "target"),
                              F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
@@ -154,8 +190,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = materialize(shard_counts(quotas.filter("slots > 0"), shards, seed), "mix-counts")
     slots = (drawn.repartition("source_no", "shard")
              .withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
-             .select("shard", "slot", "source_no",
-                     block_of(F.expr("slot % blocks"), "blocks", F.expr("key + (slot div blocks) * 1000003")).alias("block")))
+             .withColumn("block", block_of(F.expr("slot % blocks"), "blocks", F.expr(f"key + (slot div blocks) * {PASS_KEY}"))))
+    # words of the rest before this slot of the pass that is not whole, and so what the slot takes of its block
+    place = F.col("slot") - F.col("passes") * F.col("blocks")
+    before = place * block_words - F.when(F.col("short_at") < place, block_words - F.col("short")).otherwise(0)
+    words = F.when(place < 0, F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - before))
+    slots = slots.select("shard", "slot", "source_no", "block", words.alias("words")).filter("words > 0")
     end = F.col("start") + F.col("size")
     cut = (documents.filter("size > 0").select("doc_id", "source_no", "start", "size", F.explode(F.sequence(
         F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
@@ -163,7 +203,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")).alias("word_from"),
                 (F.least(end, (F.col("block") + 1) * block_words) - F.col("start")).alias("word_to")))
     # slots come out of a small table, from which the optimizer would infer that they can be broadcast
-    return documents, slots.join(cut.hint("merge"), ["source_no", "block"])
+    due = F.col("block") * block_words + F.col("words") - F.col("start")  # the slot's end among the document's words
+    pieces = slots.join(cut.hint("merge"), ["source_no", "block"]).withColumn("word_to", F.least("word_to", due))
+    return documents, pieces.filter("word_to > word_from").drop("words")
 
 
 def mix_totals(documents: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -76,9 +76,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.llm.lines import drop_repeated_runs
+    from vellum.llm.lines import MIN_WORDS, drop_repeated_runs
 
-    out = drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=MIN_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -160,7 +160,11 @@ ORACLE: dict[str, str] = {
                   WHERE y IS NOT NULL),
         later AS (SELECT doc_id, seq FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, seq) AS k
                                            FROM pairs) WHERE k > 1),
-        gone AS (SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, seq FROM later UNION ALL SELECT doc_id, seq + 1 FROM later)),
+        long_later AS (SELECT doc_id, seq FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY x ORDER BY doc_id, seq) AS k
+                                                FROM full_lines WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50)
+                       WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, seq FROM later UNION ALL SELECT doc_id, seq + 1 FROM later
+                                                   UNION ALL SELECT doc_id, seq FROM long_later)),
         marked AS (SELECT raw.doc_id, raw.line, raw.x, f.seq IS NOT NULL AS has_word, g.seq IS NOT NULL AS gone
                    FROM raw LEFT JOIN full_lines f ON f.doc_id = raw.doc_id AND f.line = raw.line
                    LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.seq = f.seq)
