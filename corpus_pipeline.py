@@ -4,8 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``:
 
 1. ``quality_rules``: documents that the rules reject go.
-2. ``line_dedup``: later copies of repeated line runs leave the texts; a
-   document that loses all its lines goes.
+2. ``line_dedup``: later copies of repeated line runs (two lines, or 50 words)
+   leave the texts; a document that loses all its lines goes.
 3. ``simhash``: of each group of near duplicates one document stays, the one
    with the smallest id (null ids last).
 4. ``decontaminate``: documents with a benchmark phrase go.
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.decontaminate import contamination
-from vellum.llm.lines import drop_repeated_runs
+from vellum.llm.lines import MIN_WORDS, drop_repeated_runs
 from vellum.llm.mixing import mix, mix_totals
 from vellum.llm.quality import quality_rules
 from vellum.llm.simhash import near_duplicates
 from vellum.session import scratch_dir
 
 KEY = "__pipeline_key"
+LINE_COUNTS = ("__n_lines", "__n_removed")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -52,9 +53,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_repeated_runs(docs).filter("n_lines = 0 or n_removed < n_lines")
+    out = drop_repeated_runs(docs, min_words=MIN_WORDS, counts=LINE_COUNTS)
+    total, removed = (F.col(c) for c in LINE_COUNTS)
+    out = out.filter((total == 0) | (removed < total))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(removed > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
