@@ -77,7 +77,7 @@ SELECT 'sistema/' || d.source || '/' || d.lang || '/' || CAST(d.doc_id AS STRING
   CASE WHEN d.doc_id % 10 = 0 THEN NULL WHEN d.doc_id % 10 < 4 THEN 'vendas ' || d.source ELSE d.source END AS schema_used,
   CASE WHEN d.doc_id % 9 = 0 THEN 'n/a' ELSE CAST(d.doc_id % 500 AS STRING) END AS row_count_text,
   d.doc_id AS doc_id
-FROM {documents} d JOIN {events} e ON e.event_id = d.doc_id * 5
+FROM {documents} d LEFT JOIN {events} e ON e.event_id = d.doc_id * 5
 """
 
 # Larger pair: orders snapshots, and a ledger with one record per lineitem.
