@@ -161,6 +161,7 @@ class Automaton:
         block = swap[block]
         of = np.unique(block, return_index=True)[1]
         self.table, self.mask = block[table][of][:, column], mask[of]
+        self.dead = (self.table == np.arange(len(of))[:, None]).all(axis=1) & (self.mask == 0)
 
     def linked(self) -> list:
         """The start state as a list: the next state's list for each byte, then its rules."""
@@ -186,8 +187,7 @@ class Scanner:
     @staticmethod
     def _furthest(automaton: Automaton, text: bytes, at: int, step: int, stop: int) -> int | None:
         """The last place, from ``at`` on in steps of 1 or -1, where the automaton accepts."""
-        table, mask, state, found = automaton.table, automaton.mask, 0, None
-        dead = (table == np.arange(len(table))[:, None]).all(axis=1) & (mask == 0)
+        table, mask, dead, state, found = automaton.table, automaton.mask, automaton.dead, 0, None
         while at != stop and not dead[state]:
             state = table[state, text[at if step > 0 else at - 1]]
             at += step
@@ -209,7 +209,7 @@ class Scanner:
                         if begin is not None:
                             end_of[r] = self._furthest(ahead, text, begin, 1, len(text))
                             found.append((begin, end_of[r], r))
-        return sorted(x for x in found if self._long_enough(text, *x))
+        return sorted((x for x in found if self._long_enough(text, *x)), key=lambda x: (x[0], x[2]))
 
     def _long_enough(self, text: bytes, begin: int, end: int, rule: int) -> bool:
         least = MIN_VALUE.get(self.names[rule], 0)
