@@ -41,13 +41,18 @@ _WHITESPACE = "".join(map(chr, filter(lambda i: chr(i).isspace(), range(0x3001))
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``, Unicode whitespace included, without a regex.
+    """Python ``str.strip()``, Unicode whitespace included, without a regex."""
+    return F.btrim(c, F.lit(_WHITESPACE))
+
+
+def py_strip_some(c: Column) -> Column:
+    """``py_strip`` for columns whose cells seldom need it (``c`` is evaluated more than once: give it a plain column).
 
     Trimming compares each end with every whitespace character, so it runs only
     on texts with an end outside ``!`` to ``~``, which are all no whitespace.
     """
     solid = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
-    return F.when(solid, c).otherwise(F.btrim(c, F.lit(_WHITESPACE)))
+    return F.when(solid, c).otherwise(py_strip(c))
 
 
 def blank(c: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.predicates import py_strip
+from vellum.functions.predicates import py_strip_some
 from vellum.operators.materialize import materialize
 
 # Inference patterns and accepted boolean words.
@@ -64,7 +64,7 @@ def _type_exprs(df: DataFrame) -> tuple[DataFrame, list[Column], list[Column]]:
 
     The texts are projected first: inside the aggregates each test would strip its cell again.
     """
-    texts = df.select(*[py_strip(_q(c).cast("string")).alias(f"s{i}") for i, c in enumerate(df.columns)])
+    texts = df.select(*[py_strip_some(_q(c).cast("string")).alias(f"s{i}") for i, c in enumerate(df.columns)])
     aggs, labels = [], []
     for i in range(len(df.columns)):
         s = F.col(f"s{i}")
