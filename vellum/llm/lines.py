@@ -6,23 +6,27 @@ prefix doubling: the rank of a line, then of 2, 4, ... lines from the pair of
 ranks ``(rank of h lines here, rank of h lines h further on)``.  Positions
 whose rank nobody shares have no repeat of that length and leave the round.
 
-A run of ``min_lines`` lines that occurs twice is an interval of the suffix
-array whose longest common prefix is ``min_lines`` or more, so doubling stops
-at that depth (an odd rest is covered by two overlapping ranks): ranking
-deeper only splits intervals.  Within an interval the start with the smallest
-(document, place) is the original; all other starts are later copies.  Copies
-that overlap or touch merge into maximal repeated runs, whose lines are
-deleted.  Runs are judged on the input, not on what is left.
+Doubling goes on until no rank is shared, and the ranks of every depth are
+kept.  The suffixes that share a rank at depth ``h`` are an interval of the
+suffix array whose longest common prefix is ``h`` lines or more.  Within an
+interval the start with the smallest (document, place) is the original; every
+other start is a later copy of ``h`` lines.  A copy whose length is no depth of
+the doubling is covered by overlapping intervals of its starts, so copies of a
+document's lines that overlap or touch are merged into maximal repeated runs,
+and these are deleted.  Runs are judged on the input, not on what is left.
 
 With ``min_words`` (operator 10 and the pipeline: 50) a run is measured by its
-words as well: one of fewer lines is a run too if it holds that many words in
-total, so that a long repeated paragraph without a newline goes wherever it
-stands.  Each depth below ``min_lines`` is then visited (at 2, only the line
-ranks that are there already).
-
-Ranks come from counts per pair of ranks (combined map side), ordered by
-range, and are joined back: a line that a third of all documents share is one
-row on the counting side and is never gathered.
+words as well: one of fewer than ``min_lines`` lines is a run too if it holds
+that many words in total, so that a long repeated paragraph without a newline
+goes wherever it stands.  Each depth below ``min_lines`` is then visited (at 2,
+only the line ranks that are there already).
+
+Ranks come from counts per pair of ranks (combined map side, with the
+interval's first start), ordered by range, and are joined back: a line that a
+third of all documents share is one row on the counting side and is never
+gathered.  Deeper rounds hold only starts that are still shared, so their rows
+fall; there are about log2 (lines of the longest repeated run) rounds.  Runs
+are merged per document, in a window that spills.
 
 Defined results: null and empty texts have no lines and stay as they are;
 blank lines and those not deleted stay, in order; rows with the same id and
@@ -33,10 +37,12 @@ other columns pass; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,52 +85,77 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return given.mapInArrow(run, schema)
 
 
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` whose ``by`` occurs twice or more, with its ``rank`` in place of it."""
-    shared = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
-    ranks = with_prefix(shared, [], by, F.lit(1).cast("long"), "rank")
-    return materialize(rows.join(ranks, by).drop(*by), "line-ranks")
+def _order() -> Column:
+    return F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("hash"), F.col("seq"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
-                  min_words: int | None = None) -> DataFrame:
-    """``doc, hash, seq, n, rank``: starts of runs of ``n`` lines that occur twice or more, ranked by content among those
-    of ``n`` lines.  ``n`` is ``min_lines``, or less if the run holds ``min_words`` words."""
-    at, by_words = ["doc", "hash", "seq"], min_words is not None
-    ranked = _ranked(line_ids(docs, id_col, text_col, by_words), ["a", "b"]).dropDuplicates(at)
+def _ranked(rows: DataFrame, by: list[str], copies: bool) -> DataFrame:
+    """``rows`` whose ``by`` occurs twice or more, with its ``rank`` in place of it; with ``copies`` also whether a row is
+    a ``later`` one of its rank."""
+    first = [F.min(_order()).alias("first")] * copies
+    shared = rows.groupBy(*by).agg(F.count("*").alias("n"), *first).filter("n > 1").drop("n")
+    ranks = with_prefix(shared, [], by, F.lit(1).cast("long"), "rank")
+    out = rows.join(ranks, by).drop(*by)
+    if copies:
+        out = out.withColumn("later", ~_order().eqNullSafe(F.col("first"))).drop("first")
+    return materialize(out, "line-ranks")
+
+
+def _doubled(ranked: DataFrame, step: int, more: list[str]) -> DataFrame:
+    """``ranked`` with ``own``, its rank, and ``next``, the rank ``step`` lines further on; starts without one leave."""
+    there = ranked.select("doc", "hash", (F.col("seq") - step).alias("seq"), F.col("rank").alias("next"),
+                          *(F.col(c).alias(f"next_{c}") for c in more)).alias("y")
+    same = (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.seq") == F.col("y.seq")))
+    return ranked.alias("x").join(there, same).select(
+        "x.doc", "x.hash", "x.seq", *(f"x.{c}" for c in more), F.col("x.rank").alias("own"), "y.next", *(f"y.next_{c}" for c in more))
+
+
+def _long_copies(ranked: DataFrame, min_words: int) -> DataFrame:
+    """The later starts of ranks whose run holds ``min_words`` words."""
+    starts = ranked.filter(F.col("words") >= min_words)
+    first = starts.groupBy("rank").agg(F.min(_order()).alias("first"))
+    return starts.join(first, "rank").filter(~_order().eqNullSafe(F.col("first")))
+
+
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                 min_words: int | None = None) -> DataFrame:
+    """``doc, hash, seq, n``: a run of ``n`` lines at ``seq`` that occurs earlier too, for each depth ``n`` of the
+    doubling from ``min_lines`` on, and for each below where the run holds ``min_words`` words."""
+    by_words, found = min_words is not None, []
+    run = lambda n: ["doc", "hash", "seq", F.lit(n).cast("long").alias("n")]
+    lines = line_ids(docs, id_col, text_col, by_words)
+    ranked = _ranked(lines, ["a", "b"], min_lines == 1).dropDuplicates(["doc", "hash", "seq"])
+    ranked = ranked.drop("line")
     if by_words:
-        ranked = ranked.withColumn("first", F.col("words"))  # of the run's first line
-    run = lambda n: [*at, F.lit(n).alias("n"), "rank"]
-    depth, short = 1, []
+        ranked = ranked.withColumn("head", F.col("words"))  # of the run's first line
+    depth = 1
     while depth < min_lines:
         if by_words:
-            short.append(ranked.filter(F.col("words") >= min_words).select(*run(depth)))
+            found.append(_long_copies(ranked, min_words).select(*run(depth)))
         step = 1 if by_words else min(depth, min_lines - depth)
-        more = [F.col("words").alias("rest")] * by_words
-        here, there = ranked.alias("x"), ranked.select("doc", "hash", (F.col("seq") - step).alias("seq"),
-                                                       F.col("rank").alias("next"), *more).alias("y")
-        same = (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.seq") == F.col("y.seq")))
-        pairs = here.join(there, same).select("x.*", F.col("y.next"), *["y.rest"] * by_words)
+        pairs = _doubled(ranked, step, ["words", "head"] if by_words else [])
         if by_words:
-            pairs = pairs.withColumn("words", F.col("first") + F.col("rest")).drop("rest")
-        ranked = _ranked(pairs.withColumnRenamed("rank", "own"), ["own", "next"])
+            pairs = pairs.withColumn("words", F.col("head") + F.col("next_words")).drop("next_words", "next_head")
         depth += step
-    out = ranked.select(*run(depth))
-    for more in short:
-        out = out.unionByName(more)
-    return out
+        ranked = _ranked(pairs, ["own", "next"], depth == min_lines)
+    while not ranked.isEmpty():
+        found.append(ranked.filter("later").select(*run(depth)))
+        ranked = _ranked(_doubled(ranked, depth, []), ["own", "next"], True)
+        depth *= 2
+    return reduce(DataFrame.unionByName, found) if found else ranked.select(*run(depth))
 
 
-def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
                   min_words: int | None = None) -> DataFrame:
-    """``doc, hash, lines``: per document with later copies, the numbers among its lines with a word that go."""
-    starts = repeated_runs(docs, id_col, text_col, min_lines, min_words)
-    order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("hash"), F.col("seq"))
-    content = ["rank"] if min_words is None else ["n", "rank"]
-    first = starts.groupBy(*content).agg(F.min(order).alias("first"))
-    later = starts.join(first, content).filter(~order.eqNullSafe(F.col("first")))
-    covered = later.select("doc", "hash", F.explode(F.sequence("seq", F.col("seq") + (F.col("n") - 1))).alias("at")).distinct()
-    return covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_list("at")).alias("lines"))
+    """``doc, hash, begin, end``: the maximal runs of later copies, as numbers among a document's lines with a word
+    (``end`` exclusive)."""
+    at, end = W.partitionBy("doc", "hash").orderBy("seq"), F.col("seq") + F.col("n")
+    before = F.max(end).over(at.rowsBetween(W.unboundedPreceding, -1))
+    opened = later_copies(docs, id_col, text_col, min_lines, min_words).withColumn(
+        "opens", F.coalesce(F.col("seq") > before, F.lit(True)).cast("long"))
+    part = F.sum("opens").over(at.rowsBetween(W.unboundedPreceding, 0))
+    return (opened.withColumn("part", part).groupBy("doc", "hash", "part")
+            .agg(F.min("seq").alias("begin"), F.max(end).alias("end")).drop("part"))
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
@@ -133,8 +164,8 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     those deleted, in the columns ``counts`` (which ``docs`` may not have)."""
     if clash := {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has columns of the names {sorted(clash)}: pass other counts")
-    gone = deleted_lines(docs, id_col, text_col, min_lines, min_words).select(
-        F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("lines").alias("__lines"))
+    gone = repeated_runs(docs, id_col, text_col, min_lines, min_words).groupBy(
+        F.col("doc").alias("__doc"), F.col("hash").alias("__hash")).agg(F.collect_list(F.struct("begin", "end")).alias("__runs"))
     mine = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__hash"))
     joined = docs.join(gone, mine, "left").drop("__doc", "__hash")
     place = docs.columns.index(text_col)
@@ -143,10 +174,10 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             kept, total, removed = [], [], []
-            for text, gone in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, runs in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text is not None else []
                 full = [i for i, x in enumerate(lines) if x.strip()]
-                drop = {full[k] for k in gone or ()}
+                drop = {i for r in runs or () for i in full[r["begin"]:r["end"]]}
                 kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
                 total.append(len(full))
                 removed.append(len(drop))
