@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 
 from vellum.llm.common import byte_values, materialize, slices, with_prefix
 
-MIN_LINES, MIN_WORDS = 2, 50
+MIN_LINES, MIN_WORDS, SALTS = 2, 50, 32
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -111,10 +111,11 @@ def _doubled(ranked: DataFrame, step: int, more: list[str]) -> DataFrame:
 
 
 def _long_copies(ranked: DataFrame, min_words: int) -> DataFrame:
-    """The later starts of ranks whose run holds ``min_words`` words."""
-    starts = ranked.filter(F.col("words") >= min_words)
-    first = starts.groupBy("rank").agg(F.min(_order()).alias("first"))
-    return starts.join(first, "rank").filter(~_order().eqNullSafe(F.col("first")))
+    """The later starts of ranks whose run holds ``min_words`` words; a frequent rank's starts meet its first in ``SALTS`` parts."""
+    starts = ranked.filter(F.col("words") >= min_words).withColumn("salt", F.pmod(F.xxhash64("doc", "hash", "seq"), F.lit(SALTS)))
+    first = starts.groupBy("rank").agg(F.min(_order()).alias("first")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return starts.join(first, ["rank", "salt"]).filter(~_order().eqNullSafe(F.col("first")))
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
