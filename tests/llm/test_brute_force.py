@@ -2,14 +2,14 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from vellum.llm import licenses, mixing, quality, urls
+from vellum.llm import licenses, quality, urls
 from vellum.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +121,23 @@ def plain_clean(docs, benchmark):
     return [d for d in docs if not held(split(d["text"]))]
 
 
+def plain_index(i, size, key):
+    """A balanced Feistel network of 6 rounds over the next power of 4, walked until the value is below ``size``."""
+    bits, whole = 1, (1 << 64) - 1
+    while 1 << 2 * bits < size:
+        bits += 1
+    low = (1 << bits) - 1
+    while True:
+        left, right = i >> bits, i & low
+        for r in range(6):
+            f = (right + key + r + 1) * 0x9E3779B97F4A7C15 & whole
+            f = (f ^ f >> 29) * 0xBF58476D1CE4E5B9 & whole
+            left, right = right, left ^ ((f ^ f >> 32) & low)
+        i = left << bits | right
+        if i < size:
+            return i
+
+
 def plain_mix(docs, seed=7):
     size = {d["doc_id"]: len(words(d["text"])) for d in docs}
     sources = sorted({d["source"] for d in docs if d["source"] is not None}) + [None] * any(d["source"] is None for d in docs)
@@ -138,15 +155,15 @@ def plain_mix(docs, seed=7):
     out = {}
     for s in sources:
         stream = [i for i in sorted(d["doc_id"] for d in docs if d["source"] == s) for _ in range(size[i])]
-        blocks = -(-len(stream) // mixing.BLOCK_WORDS)
+        blocks = -(-len(stream) // 128)
         passes = int(target[s] // total[s]) if total[s] else 0
         due = passes * total[s] + math.floor(target[s] - passes * total[s] + 0.5)
         taken, k = Counter(), -1
         while taken.total() < due:
             k += 1
-            key = mixing._key(s, seed) + k // blocks * 1000003
-            b = int(mixing.permuted(*(np.array([v], np.uint64) for v in (k % blocks, blocks, key)))[0])
-            block = stream[b * mixing.BLOCK_WORDS:(b + 1) * mixing.BLOCK_WORDS]
+            key = zlib.crc32(b"\xff" if s is None else s.encode(), seed) + (seed << 32)
+            b = plain_index(k % blocks, blocks, key + k // blocks * 1000003)
+            block = stream[b * 128:(b + 1) * 128]
             taken.update(block[:due - taken.total()])
         for d in docs:
             if d["source"] == s:

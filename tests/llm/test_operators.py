@@ -186,6 +186,22 @@ def test_small_sources_meet_their_targets(spark, sizes):
         assert pieces.filter("word_to <= word_from").count() == 0
 
 
+def test_shards_of_a_mix(spark):
+    from vellum.llm.mixing import mix
+
+    # three sources of 3,000 words, weights 1, 2, 3: targets 1500, 3000, 4500, slots of 10 words
+    rows = [(100 * s + i, " ".join(["w"] * 60), "abc"[s]) for s in range(3) for i in range(50)]
+    documents, pieces = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=10, shard_slots=64)
+    slots = {(r.shard, r.place, r.source_no, r.slot) for r in pieces.collect()}
+    assert len(slots) == 900 and {x[1] for x in slots if x[0] == 3} == set(range(64))
+    # every shard but the last is full, and each place holds one slot
+    assert sorted((x[0], x[1]) for x in slots) == [(k // 64, k % 64) for k in range(900)]
+    # counts lie around the target shares, vary between shards, and sum to the quotas
+    counts = [[sum(x[0] == k and x[2] == s for x in slots) for s in range(3)] for k in range(15)]
+    assert [sum(c[s] for c in counts) for s in range(3)] == [150, 300, 450] and len({tuple(c) for c in counts}) > 5
+    assert all(abs(c[s] - 64 * (s + 1) / 6) < 18 for c in counts[:14] for s in range(3))
+
+
 def test_url_rules_and_model(spark):
     from vellum.llm.urls import judge_urls
 

@@ -8,10 +8,12 @@ the corpus's size; no target passes ``cap`` times its source.  Then:
 2. a source with target t gets its quota of block slots: as many whole passes
    as fit into t, then single blocks until the rest is met, of which the last is
    cut to the words still due, so that a source gets its target to the word;
-3. every output shard's count of slots per source is drawn: a source's quota is
-   thrown into the shards at random (multinomial), so that, given a shard's
-   size, its counts are a draw without replacement at the target shares and
-   the totals are met exactly instead of on average;
+3. output shards hold ``shard_slots`` slots each, the last one the rest, and
+   every shard's count of slots per source is drawn: a pseudorandom permutation
+   of all slots deals them into the shards' places.  A shard's counts are thus
+   multinomial at the target shares, corrected to meet every quota exactly (a
+   draw without replacement), and no task holds the counts of all shards or
+   sources;
 4. the source's k-th slot takes block ``perm(k mod blocks)`` of the pass
    ``k div blocks``, each pass of each source with its own pseudorandom
    permutation (Feistel network, walked until in range), so that no block is
@@ -43,6 +45,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
+SLOT_RUN = 4096
 ROUNDS = 6
 PASS_KEY = 1000003
 
@@ -75,37 +78,6 @@ def _key(source: str | None, seed: int) -> int:
     return zlib.crc32(b"\xff" if source is None else source.encode(), seed) + (seed << 32)
 
 
-def shard_counts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``source_no, blocks, passes, rest, short, short_at, key, shard, first, count``: the slots of each source in each shard.
-
-    ``short`` is the size of the source's last block, ``short_at`` the slot that takes it in the pass that is not whole.
-
-    A source's quota is halved over the shards by binomial draws, a range of
-    shards at a time, so one step holds ``step`` numbers at most.
-    """
-    step = 4096
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                key = _key(r.source, seed)
-                last = (np.array([v], np.uint64) for v in (r.blocks - 1, r.blocks, key + int(r.passes) * PASS_KEY))
-                short_at = int(slot_of(*last)[0])
-                rng, left, first = np.random.Generator(np.random.Philox(key=key)), int(r.slots), 0
-                for at in range(0, shards, step):
-                    n = min(step, shards - at)
-                    here = left if at + n == shards else int(rng.binomial(left, n / (shards - at)))
-                    count = rng.multinomial(here, np.full(n, 1 / n))
-                    some = np.flatnonzero(count)
-                    yield pd.DataFrame({"source_no": r.source_no, "blocks": r.blocks, "passes": r.passes, "rest": r.rest,
-                                        "short": r.short, "short_at": short_at, "key": key, "shard": at + some,
-                                        "first": first + (np.cumsum(count) - count)[some], "count": count[some]})
-                    left, first = left - here, first + here
-
-    return quotas.select("source", "source_no", "blocks", "passes", "rest", "short", "slots").mapInPandas(
-        draw, "source_no long, blocks long, passes long, rest long, short long, short_at long, key long, shard long, first long, count long")
-
-
 def _round(right: np.ndarray, key: np.ndarray, r: int, mask: np.ndarray) -> np.ndarray:
     f = (right + key + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
     f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -153,6 +125,30 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
+def slot_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """``targets`` with each source's ``blocks, passes, rest, short, short_at, key, slots``: whole passes over its blocks,
+    words due beyond them, the size of its last block and that block's slot in the pass that is not whole, the seed of
+    its permutations, and the number of slots that meet its target, each with a word at least."""
+    schema = T.StructType([*targets.schema.fields, *(T.StructField(c, T.LongType()) for c in ("blocks", "passes", "rest", "key", "short_at"))])
+    passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("long"))
+    counted = targets.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("passes", passes).withColumn(
+        "rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            key = np.array([_key(x, seed) for x in pdf["source"]], np.uint64)
+            at = slot_of(pdf["blocks"].to_numpy(np.uint64) - np.uint64(1), pdf["blocks"].to_numpy(np.uint64),
+                         key + pdf["passes"].to_numpy(np.uint64) * np.uint64(PASS_KEY))
+            yield pdf.assign(key=key.astype(np.int64), short_at=at)
+
+    out = counted.filter("source_size > 0").mapInPandas(keyed, schema)
+    out = out.withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block_words)
+    single = F.ceil(F.col("rest") / block_words)
+    # the short last block may be among the slots that meet the rest: then one more may be needed
+    lacking = (F.col("short_at") < single) & (single * block_words - (block_words - F.col("short")) < F.col("rest"))
+    return out.withColumn("slots", F.col("passes") * F.col("blocks") + single + lacking.cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS,
         shard_slots: int = SHARD_SLOTS, seed: int = 7, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``documents``: one row per input row: doc_id, source, ``carry`` (columns
     taken along), size, source_size, target, source_no, start (its first word's place in its source's stream).
     ``pieces``: the mix itself, one row per slot and document in it: shard,
-    slot, source_no, block, start, doc_id, word_from, word_to (words of the
+    place (in the shard), slot (of the source), source_no, block, start, doc_id, word_from, word_to (words of the
     document, end exclusive).
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)).cast("long"), F.lit(0).cast("long"))
@@ -170,32 +166,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = materialize(sized, "mix-sizes")  # else dealing by range would count the words twice
     placed = materialize(with_prefix(sized, ["source"], ["doc_id", "size"], F.col("size"), "start"), "mix-placed")
     targets = source_targets(placed, weights, cap)
-    passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("long"))
-    blocks = F.ceil(F.col("source_size") / block_words)
-    quotas = targets.withColumn("blocks", blocks).withColumn("passes", passes).withColumn(
-        "rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    # the short last block may be among the slots that meet the rest: then one more is needed
-    single = F.when(F.col("rest") > 0, F.least(F.ceil(F.col("rest") / block_words) + 1, F.col("blocks"))).otherwise(0)
-    quotas = quotas.withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block_words)
-    quotas = materialize(quotas.withColumn("slots", F.when(F.col("source_size") > 0, F.col("passes") * F.col("blocks") + single).otherwise(0)),
-                         "mix-quotas")
-    shards = -(-(quotas.agg(F.sum("slots")).first()[0] or 0) // shard_slots) or 1
-    documents = (placed.join(quotas.select(F.col("source").alias("__source"), "source_no", "source_size", "target"),
+    documents = (placed.join(targets.select(F.col("source").alias("__source"), "source_no", "source_size", "target"),
                              F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
+    quotas = slot_quotas(targets, block_words, seed).filter("slots > 0")
+    quotas = materialize(with_prefix(quotas, [], ["source_no"], F.col("slots"), "offset"), "mix-quotas")
+    total = quotas.agg(F.sum("slots")).first()[0] or 0
 
     @F.pandas_udf(T.LongType())
-    def block_of(index: pd.Series, of: pd.Series, key: pd.Series) -> pd.Series:
+    def index_of(index: pd.Series, of: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(np.uint64), of.to_numpy(np.uint64), key.to_numpy(np.uint64)))
 
-    drawn = materialize(shard_counts(quotas.filter("slots > 0"), shards, seed), "mix-counts")
-    slots = (drawn.repartition("source_no", "shard")
-             .withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
-             .withColumn("block", block_of(F.expr("slot % blocks"), "blocks", F.expr(f"key + (slot div blocks) * {PASS_KEY}"))))
+    # runs of slots first, so that one source's slots are dealt over many tasks
+    slots = (quotas.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_RUN).cast("long"))))
+             .repartition("source_no", "first")
+             .withColumn("slot", F.explode(F.sequence("first", F.least(F.col("first") + SLOT_RUN, F.col("slots")) - 1)))
+             .withColumn("dealt", index_of(F.col("offset") + F.col("slot"), F.lit(total), F.lit(seed).cast("long")))
+             .withColumn("shard", F.expr(f"dealt div {shard_slots}")).withColumn("place", F.expr(f"dealt % {shard_slots}"))
+             .withColumn("block", index_of(F.expr("slot % blocks"), "blocks", F.expr(f"key + (slot div blocks) * {PASS_KEY}"))))
     # words of the rest before this slot of the pass that is not whole, and so what the slot takes of its block
-    place = F.col("slot") - F.col("passes") * F.col("blocks")
-    before = place * block_words - F.when(F.col("short_at") < place, block_words - F.col("short")).otherwise(0)
-    words = F.when(place < 0, F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - before))
-    slots = slots.select("shard", "slot", "source_no", "block", words.alias("words")).filter("words > 0")
+    nth = F.col("slot") - F.col("passes") * F.col("blocks")
+    before = nth * block_words - F.when(F.col("short_at") < nth, block_words - F.col("short")).otherwise(0)
+    words = F.when(nth < 0, F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - before))
+    slots = slots.select("shard", "place", "slot", "source_no", "block", words.alias("words"))
     end = F.col("start") + F.col("size")
     cut = (documents.filter("size > 0").select("doc_id", "source_no", "start", "size", F.explode(F.sequence(
         F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
