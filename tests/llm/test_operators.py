@@ -186,6 +186,34 @@ def test_small_sources_meet_their_targets(spark, sizes):
         assert pieces.filter("word_to <= word_from").count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 5, 40])
+def test_hot_grams_are_split_without_loss(spark, monkeypatch, hot):
+    """One phrase between different texts in most documents: the same rows whether its grams are split or not."""
+    import random
+
+    from vellum.llm import passages, substrings, suffixes
+
+    rng = random.Random(5)
+    some = lambda n: [rng.choice(["ab", "cde", "fghi", "j", "klmno"]) + str(rng.randrange(40)) for _ in range(n)]
+    phrase, long = some(24), some(60)
+    rows = [(i, " ".join(some(rng.randrange(25)) + phrase + some(rng.randrange(25)) + long * (i % 5 == 0))) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(None, rows[3][1]), (7, rows[7][1]), (200, ""), (201, None)], "doc_id long, text string").repartition(6)
+    whole = [sorted(map(repr, op.remove_repeats(docs).collect())) for op in (suffixes, substrings)]
+    monkeypatch.setattr(passages, "HOT_COVERS", hot)
+    monkeypatch.setattr(passages, "BUCKET_COVERS", 100)
+    assert [sorted(map(repr, op.remove_repeats(docs).collect())) for op in (suffixes, substrings)] == whole
+    # plain Python: words covered by 20 words that start earlier, in order of (id, text's place)
+    given, first, want = sorted((i, t.split()) for i, t in rows if i != 7), {}, {}
+    for i, w in given:
+        gone = set()
+        for k in range(len(w) - 19):
+            if first.setdefault(tuple(w[k:k + 20]), (i, k)) != (i, k):
+                gone |= set(range(k, k + 20))
+        want[i] = len(gone)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs.filter("doc_id < 200 and doc_id <> 7")).collect()}
+    assert got == want
+
+
 def test_shards_of_a_mix(spark):
     from vellum.llm.mixing import mix
 

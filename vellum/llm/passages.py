@@ -17,9 +17,17 @@ moving every window:
    by the operator's method.  Equal surroundings within a slice go once, with
    the smallest document id, so that the copies of one passage are reduced
    before they meet.
-5. Starts of repeated windows go back to their slices, which remove.
-
-Bucket counts follow the input, so a bucket holds about the same at any size.
+5. A gram that occurs ``HOT_COVERS`` times or more is split: its surroundings
+   are cut by the windows' distance from the cover position into 2, 4, ...
+   parts, the more the oftener it occurs, and each part is dealt by the gram,
+   the distance and the symbols that all its windows share.  Equal windows have
+   these in common, so none is lost.  In the last resort a part is one window,
+   and what meets is equal windows, one a slice.
+6. Starts of repeated windows go back to their slices, which remove.
+
+Bucket counts follow the input, so a bucket holds about the same at any size;
+a gram or part brings at most ``HOT_COVERS`` times the windows of a position to
+one bucket, or one row a slice.
 """
 
 from __future__ import annotations
@@ -36,6 +44,7 @@ from vellum.llm.common import byte_values, materialize, slices
 SLICE_BYTES = 4 << 20
 CHUNK_SYMBOLS = 1 << 19
 BUCKET_COVERS = 300_000
+HOT_COVERS = 1 << 15
 NO_ID = np.iinfo(np.int64).max  # a null document id: after all others
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +181,34 @@ def covers_of(symbols_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def split_hot(covers: Covers, chosen: np.ndarray, level: np.ndarray, wide: int) -> tuple[Covers, np.ndarray, np.ndarray]:
+    """The chosen cover positions, those of ``level`` j > 0 cut into parts of ``wide / 2**j`` distances or fewer: the parts,
+    the least distance in each and how many distances it spans (0: not cut)."""
+    size = np.where(level > 0, -(-wide >> level), 0)
+    far, whole = covers.at[chosen] - covers.first[chosen], np.where(level > 0, size, wide)
+    near = far - covers.count[chosen] + 1
+    pieces = far // whole - near // whole + 1
+    own = np.repeat(np.arange(len(chosen)), pieces)
+    block = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + (near // whole)[own]
+    low, high = np.maximum(near[own], block * whole[own]), np.minimum(far[own], (block + 1) * whole[own] - 1)
+    out = Covers(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1)
+    out.at, out.doc, out.hash = covers.at[chosen][own], covers.doc[chosen][own], covers.hash[chosen][own]
+    out.first, out.count = out.at - high, high - low + 1
+    return out, block * whole[own], size[own]
+
+
+def part_hashes(symbols: np.ndarray, parts: Covers, least: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The hash that deals each part: its gram's, and for a cut one also of its distance and the symbols all its windows share."""
+    out = parts.hash.copy()
+    for n in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == n)
+        begin, h = parts.at[own] - least[own], mixed(out[own] + least[own].astype(np.uint64) * _K)
+        for k in range(width - n + 1):
+            h = mixed(h * _K + symbols[begin + k])
+        out[own] = h
+    return out
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -209,13 +246,13 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, _ in _slices(b):
-                hashes, first = np.unique(covers_of(symbols_of, s.texts, width, gram).hash, return_index=True)
+                hashes, first, times = np.unique(covers_of(symbols_of, s.texts, width, gram).hash, return_index=True, return_counts=True)
                 names, own = [], []
                 for k, part in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64)):
                     part = part[np.argsort(first[part])]
                     names.append(k)
                     own.append((hashes[part].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(),  # 48 bits and the bucket
-                                squeeze(np.diff(first[part], prepend=0).astype(np.uint32))))
+                                squeeze(np.concatenate([np.diff(first[part], prepend=0), times[part]]).astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array([s.number] * len(names), pa.int64()),
                      pa.array([x for x, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary())],
@@ -223,18 +260,21 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):
-            names = []
+            names, times = [], []
             for r in rows:
                 six = np.frombuffer(r[2], np.uint8).reshape(-1, 6)
                 names.append(np.pad(six, ((0, 0), (0, 2))).view(np.uint64).ravel())
+                times.append(np.frombuffer(unsqueeze(r[3]), np.uint32)[len(six):])
             _, inverse, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+            total = np.bincount(inverse, np.concatenate(times))
+            level = np.minimum(np.ceil(np.log2(np.maximum(total // HOT_COVERS + 1, 1))), 6).astype(np.uint8)[inverse]
             often, at, out = count[inverse] > 1, 0, []
             for r, own in zip(rows, names, strict=True):
-                chosen = often[at:at + len(own)]
+                chosen, high = often[at:at + len(own)], level[at:at + len(own)]
                 at += len(own)
                 if chosen.any():
-                    places = np.cumsum(np.frombuffer(unsqueeze(r[3]), np.uint32), dtype=np.int64)
-                    out.append((r[1], squeeze(places[chosen].astype(np.uint32))))
+                    places = np.cumsum(np.frombuffer(unsqueeze(r[3]), np.uint32)[:len(own)], dtype=np.int64)
+                    out.append((r[1], squeeze(places[chosen].astype(np.uint32).tobytes() + high[chosen].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())],
                                              names=["slice", "places"])
 
@@ -247,12 +287,16 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
             for s, replies in _slices(b):
                 covers = covers_of(symbols_of, s.texts, width, gram)
                 hashes, inverse, count = np.unique(covers.hash, return_inverse=True, return_counts=True)
-                told = np.zeros(len(covers.hash), bool)
+                known, level = count > 1, np.zeros(len(hashes), np.int64)
                 for r in replies:
-                    told[np.frombuffer(unsqueeze(r), np.uint32)] = True
-                known = count > 1
-                known[inverse[told]] = True
+                    r = unsqueeze(r)
+                    told = inverse[np.frombuffer(r, np.uint32, len(r) // 5)]
+                    known[told], level[told] = True, np.frombuffer(r, np.uint8, len(r) // 5, len(r) // 5 * 4)
                 chosen = np.flatnonzero(known[inverse])
+                covers, least, size = split_hot(covers, chosen, level[inverse][chosen], width - gram + 1)
+                symbols = np.concatenate([symbols_of([t])[0] for t in s.texts]) if size.any() else np.zeros(0, np.uint64)
+                dealt_by = part_hashes(symbols, covers, least, size, width)
+                chosen = np.arange(len(covers.at))
                 key, body_of = describe(s, covers, chosen)
                 ids = s.ids[covers.doc[chosen]]
                 order = np.lexsort([ids, key])
@@ -263,7 +307,7 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
                 sure = chosen[copy]
                 rows = [(int(s.number % buckets), s.number, True, squeeze(np.stack([covers.first[sure], covers.count[sure]])))]
                 chosen = chosen[~copy]
-                for k, part in _by_bucket((covers.hash[chosen] % np.uint64(buckets)).astype(np.int64)):
+                for k, part in _by_bucket((dealt_by[chosen] % np.uint64(buckets)).astype(np.int64)):
                     own = chosen[part]
                     head = np.stack([covers.at[own], covers.first[own], covers.count[own], s.ids[covers.doc[own]],
                                      s.unique[covers.doc[own]]])
