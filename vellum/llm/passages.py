@@ -242,6 +242,7 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
     """
     total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(total / symbol_bytes * 2 / (width - gram + 2) // BUCKET_COVERS) + 1
+    hot = min(HOT_COVERS, BUCKET_COVERS // 8 or 1)  # a fraction of a bucket, whatever its size
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,7 +268,7 @@ def repeated_starts(packed: DataFrame, symbols_of, symbol_bytes: int, width: int
                 times.append(np.frombuffer(unsqueeze(r[3]), np.uint32)[len(six):])
             _, inverse, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
             total = np.bincount(inverse, np.concatenate(times))
-            level = np.minimum(np.ceil(np.log2(np.maximum(total // HOT_COVERS + 1, 1))), 6).astype(np.uint8)[inverse]
+            level = np.minimum(np.ceil(np.log2(total // hot + 1)), 6).astype(np.uint8)[inverse]
             often, at, out = count[inverse] > 1, 0, []
             for r, own in zip(rows, names, strict=True):
                 chosen, high = often[at:at + len(own)], level[at:at + len(own)]
