@@ -507,6 +507,7 @@ ORACLE: dict[str, str] = {
     "replay_as_written": _replay_sql(False),
     "current_view": _replay_sql(True),
     "current_view_fallback": _with(b=BASE) + "SELECT * FROM b",
+    "replay_refused": _with(b=BASE) + "SELECT * FROM b",
     "change_fields": (
         _with(l=LFLAT) + "SELECT id, table_name, operation, row_identifier, before_segment AS segment_before, "
         "after_segment AS segment_after, CAST(NULL AS VARCHAR) AS name_before, after_name AS name_after, "

@@ -469,6 +469,15 @@ def q_current_view_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return replay.current_view(spark, b, l, "id", database="main")
 
 
+def q_replay_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """A ledger without one of the change-record columns is not replayed; the base comes back as it is."""
+    base, ledger = _base(spark, sf), _ledger(spark, sf)
+    out = replay.replay(base, ledger.drop(replay.REQUIRED[0]), "id", table="customer", database="main")
+    for missing in replay.REQUIRED[1:]:
+        out = replay.replay(out, ledger.drop(missing), "id", table="customer", database="main")
+    return out
+
+
 ORDER_FIELDS = ["id", "status", "priority", "customer"]
 META_ORDERS = diff.ChangeMeta("main", "orders", "editor", dt.datetime(2024, 3, 2, 8, 30, 0), "sess0002")
 
