@@ -242,6 +242,94 @@ def test_url_rules_and_model(spark):
     assert got[None].rule is None and got[2000].host == ""
 
 
+def test_url_grams_of_long_and_wide_texts(spark):
+    from vellum.llm.urls import _grams
+
+    parts = ["", "a", "a\nb\U0001F600\U0001F601c", "\u00e9/" * 40_000]
+    texts = spark.createDataFrame(list(enumerate(parts)), "n long, part string")
+    got = {r.n: r.grams for r in _grams(texts, 4).groupBy("n").agg({"gram": "collect_list"}).toDF("n", "grams").collect()}
+    for n, p in enumerate(parts):
+        padded = "\u0002" * 4 + p + "\u0003"
+        assert sorted(got[n]) == sorted(padded[i:i + 5] for i in range(len(padded) - 4))
+
+
+def test_url_scores_level_by_level(spark):
+    import math
+    import random
+
+    from vellum.llm.urls import gram_scores
+
+    pick = random.Random(5)
+    train = {"".join(pick.choices("abc", k=5)): (pick.randrange(4), pick.randrange(4)) for _ in range(60)}
+    wanted = ["".join(pick.choices("abcd", k=5)) for _ in range(80)]
+
+    def p(gram, side):
+        value = 1 / 4096
+        for k in range(1, 6):
+            tail = gram[-k:]
+            after = {}
+            for g, n in train.items():
+                if g[-k:][:-1] == tail[:-1]:
+                    after[g[-1]] = after.get(g[-1], 0) + n[side]
+            total, kinds = sum(after.values()), sum(n > 0 for n in after.values())
+            if total:
+                value = (after.get(gram[-1], 0) + kinds * value) / (total + kinds)
+        return value
+
+    got = gram_scores(spark.createDataFrame([(g, *n) for g, n in train.items()], "gram string, accepted long, rejected long"),
+                      spark.createDataFrame([(g,) for g in wanted], "gram string"), 4).collect()
+    assert sorted(r.gram for r in got) == sorted(set(wanted))
+    assert all(abs(float(r.score) - math.log(p(r.gram, 1) / p(r.gram, 0))) < 1e-8 for r in got)
+
+
+def near_by_brute_force(docs, items, window, slack):
+    """Proximity matches per document: every window laid at every place of its rarest word."""
+    from collections import Counter
+
+    often = Counter(w for _, t in docs for w in t.split())
+    out = Counter()
+    for text in items:
+        words = text.split()
+        n = min(window, len(words))
+        for i in range(len(words) - n + 1 if n else 0):
+            win = words[i:i + n]
+            rare = min(range(n), key=lambda o: (often[win[o]], o))
+            for key, t in docs:
+                d = t.split()
+                for s in (p - rare for p, w in enumerate(d) if w == win[rare]):
+                    if s < 0 or s + n > len(d):
+                        continue
+                    far = [min((abs(p - s - o) for p, w in enumerate(d) if w == x), default=99) for o, x in enumerate(win)]
+                    out[key] += max(far) <= slack and max(far) > 0
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 12}, {"block_words": 12, "max_terms": 3}])
+def test_proximity_matches(spark, options):
+    import random
+
+    from vellum.llm.decontaminate import contamination
+
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    items = [" ".join(pick.choices(words, k=k)) for k in (1, 2, 4, 6, 9, 12, 15)] + ["", "absent w1 w2"]
+    docs = [(i, " ".join(pick.choices(words, k=pick.randrange(40)))) for i in range(60)]
+    for i in range(60, 80):  # an item with two neighbours changed over, and one cut off at the end of its document
+        it = items[5].split()
+        at = pick.randrange(len(it) - 1)
+        docs.append((i, " ".join(it[:at] + [it[at + 1], it[at]] + it[at + 2:])))
+        docs.append((i + 100, " ".join(it[:at])))
+    out = contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2),
+                        spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string"),
+                        window=5, slack=2, **options).collect()
+    near = near_by_brute_force(docs, items, 5, 2)
+    assert {r.doc_id: r.n_near for r in out} == {i: near[i] for i, _ in docs} and sum(near.values()) > 20
+    for r in out:
+        d = f" {dict(docs)[r.doc_id]} "
+        own = {str(i) for i, t in enumerate(items) if any(f" {' '.join(t.split()[s:s + 5])} " in d for s in range(max(1, len(t.split()) - 4)) if t)}
+        assert r.n_items == len(own) and r.contaminated == bool(own)
+
+
 def test_licenses(spark):
     from vellum.llm.licenses import license_scan
 

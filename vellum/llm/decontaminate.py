@@ -5,15 +5,21 @@
    the sorted postings (term, position) of all terms that occur in the tests.
    The index is written to the shared folder.
 2. Corpus counts of the test terms come from the index, over all shards.
-3. ``find``: per shard, all test windows at once.  A window's postings lists
-   are taken from its rarest term (in the whole corpus) to its commonest; each
-   is shifted by the term's offset and intersected with the starts that are
-   left.  Starts that survive exactly are phrase matches; starts where every
-   term lies within ``slack`` words of its place are proximity matches.
-
-The tests are taken in blocks of ``block_words`` words, which bounds what is
-sent to the tasks (a single longer item is a block of its own); a larger
-benchmark means more blocks, each against all documents.
+3. ``find``: per shard, all windows of a block of tests at once.  A window's
+   postings lists are taken from its rarest term (in the whole corpus, ties by
+   place in the window) to its commonest; each is shifted by the term's offset
+   and intersected with the starts that are left.  Starts that survive exactly
+   are phrase matches; starts where the rarest term is in its place and every
+   other lies within ``slack`` words of its own, not all in place, are
+   proximity matches.  Either lies wholly in one document: documents of a shard
+   are ``slack`` positions apart.
+
+The tests are taken in blocks of ``block_words`` words, which bounds the windows
+sent to the tasks (a single longer item is a block of its own).  The documents
+are read once for all blocks: the index holds the terms of them all, and each
+block searches it.  Only where the tests have more than ``max_terms`` distinct
+terms, which bounds the dictionary sent to the tasks, does a further index
+follow for the blocks beyond (a block's terms stay together).
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered.
 A window is ``window`` consecutive words of an item, or the whole item if it
@@ -29,6 +35,7 @@ give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +50,7 @@ WINDOW = 10
 SLACK = 2
 BLOCK_WORDS = 250_000
 SHARD_WORDS = 500_000
+MAX_TERMS = 2_000_000
 
 #: what is no word character becomes a space, A-Z become a-z
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -55,11 +63,10 @@ def words_of(text: bytes) -> list[bytes]:
 class Tests:
     """The windows of one block of items, as arrays that are sent to the tasks."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        self.term: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int, term: dict[bytes, int]):
         rows, self.item, length = [], [], []
         for item, text in items:
-            ids = [self.term.setdefault(w, len(self.term)) for w in words_of(text)]
+            ids = [term[w] for w in words_of(text)]
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
                 rows.append(ids[i:i + n] + [-1] * (window - n))
@@ -77,8 +84,11 @@ class Tests:
         self.length, self.item = self.length[there], [self.item[i] for i in there]
 
 
-def build_index(docs: DataFrame, term: dict[bytes, int], shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per shard from ``key, doc_id, text``: its documents, its terms, how often each occurs, and where, term by term."""
+def build_index(docs: DataFrame, term: dict[bytes, int], gap: int = SLACK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per shard from ``key, doc_id, text``: its documents, its terms, how often each occurs, and where, term by term.
+
+    Positions run through a shard's documents with ``gap`` free ones after each.
+    """
     columns = (T.StructType().add("docs", T.ArrayType(T.StructType().add("key", T.LongType()).add("n_words", T.LongType())
                                                       .add("doc_id", docs.schema["doc_id"].dataType)))
                .add("terms", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.IntegerType()))
@@ -103,7 +113,9 @@ def build_index(docs: DataFrame, term: dict[bytes, int], shard_words: int = SHAR
             for key, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_values(b.column(2)), strict=True):
                 words = words_of(text)
                 own.append({"key": key, "n_words": len(words), "doc_id": doc_id})
-                ids.append(np.fromiter(map(get, words, iter(lambda: -1, None)), np.int32, len(words)))
+                found = np.full(len(words) + gap, -1, np.int32)
+                found[:len(words)] = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                ids.append(found)
                 held += len(words) + 1
                 if held >= shard_words:
                     yield pa.RecordBatch.from_pylist([shard(own, ids)], schema)
@@ -153,7 +165,7 @@ def intersect(tests: Tests, terms: np.ndarray, counts: np.ndarray, positions: np
 
 
 def find(index: DataFrame, tests: Tests, slack: int = SLACK) -> DataFrame:
-    """``key, item_id, start, length, exact``: every window's matches in the index."""
+    """``key, item_id, start, length, exact``: every window's matches in an index built with ``slack`` as its gap."""
     sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +174,15 @@ def find(index: DataFrame, tests: Tests, slack: int = SLACK) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 docs = b.column(0)[row].values
-                keys, ends = docs.field(0).to_numpy(), np.cumsum(docs.field(1).to_numpy())
+                keys, size = docs.field(0).to_numpy(), docs.field(1).to_numpy()
+                begins = np.cumsum(size + slack) - size - slack
                 terms, counts = (b.column(c)[row].values.to_numpy().astype(np.int64) for c in (1, 2))
                 positions = np.frombuffer(b.column(3)[row].as_py(), np.int32).astype(np.int64)
                 for window, start, exact in intersect(tests, terms, counts, positions, slack):
-                    doc = np.searchsorted(ends, start, "right")
-                    stop = start + tests.length[window]
-                    inside = (start >= 0) & (doc < len(ends))
-                    doc = np.minimum(doc, len(ends) - 1)
-                    inside &= stop <= ends[doc]
-                    window, doc, exact = window[inside], doc[inside], exact[inside]
-                    own = start[inside] - (ends[doc] - docs.field(1).to_numpy()[doc])
+                    doc = np.searchsorted(begins, start + tests.offsets[window, 0], "right") - 1  # where its rarest term is
+                    own = start - begins[doc]
+                    inside = (own >= 0) & (own + tests.length[window] <= size[doc])
+                    window, doc, exact, own = window[inside], doc[inside], exact[inside], own[inside]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[doc]), items.take(pa.array(window)), pa.array(own), pa.array(tests.length[window]),
                          pa.array(exact)], names=["key", "item_id", "start", "length", "exact"])
@@ -190,37 +200,59 @@ def _blocks(benchmark: DataFrame, block_words: int) -> DataFrame:
     return materialize(before.withColumn("block", F.expr(f"(before + size - 1) div {bound}")), "tests")
 
 
+def _groups(blocks: list[int], items, max_terms: int) -> Iterator[tuple[list[int], dict[bytes, int]]]:
+    """Runs of blocks with the numbers of their terms, ``max_terms`` at most or one block's."""
+    group, term = [], {}
+    for k in blocks:
+        own = {w for _, text in items(k) for w in words_of(text)}
+        if group and len(term) + sum(w not in term for w in own) > max_terms:
+            yield group, term
+            group, term = [], {}
+        group.append(k)
+        for w in own:
+            term.setdefault(w, len(term))
+    yield group, term
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slack: int = SLACK,
-            block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+            block_words: int = BLOCK_WORDS, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
     """``(documents, matches)``: ``key, doc_id, n_words`` and ``key, item_id, start, length, exact``."""
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
                         F.col(text_col).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"),
                              F.coalesce(F.octet_length(item_text_col), F.lit(0)).cast("long").alias("size"))
     tests = _blocks(tests, block_words)
-    blocks = [r.block for r in tests.select("block").distinct().collect()] or [0]
-    if len(blocks) > 1:
-        keyed = materialize(keyed, "keyed")  # one numbering for all blocks
+    blocks = sorted(r.block for r in tests.select("block").distinct().collect()) or [0]
+
+    def items(block: int) -> list[tuple[str | None, bytes]]:
+        return [(r.item_id, (r.text or "").encode()) for r in tests.filter(F.col("block") == block).select("item_id", "text").collect()]
+
     documents = found = None
-    for k in blocks:
-        items = tests.filter(F.col("block") == k).select("item_id", "text").collect()
-        block = Tests([(r.item_id, (r.text or "").encode()) for r in items], window)
-        index = build_index(keyed, block.term)
-        counts = np.zeros(len(block.term), np.int64)
+    for group, term in _groups(blocks, items, max_terms):
+        if documents is None and len(group) < len(blocks):
+            keyed = materialize(keyed, "keyed")  # one numbering for all indexes
+        index = build_index(keyed, term, slack)
+        counts = np.zeros(len(term), np.int64)
         total = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts"))
-        for term, n in total.collect():  # at most a block's distinct words
-            counts[term] = n
-        block.rank(counts)
-        own = materialize(find(index, block, slack), "test-matches")
-        found = own if found is None else found.union(own)
+        for number, n in total.collect():  # at most the dictionary's terms
+            counts[number] = n
+        for k in group:
+            block = Tests(items(k), window, term)
+            block.rank(counts)
+            own = materialize(find(index, block, slack), "test-matches")
+            found = own if found is None else found.union(own)
         if documents is None:
             documents = index.select(F.explode("docs").alias("d")).select("d.*")
     return documents, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    ``n_near`` counts the document's proximity matches, one per window of an
+    item and start; they don't make it contaminated.
+    """
     documents, found = matches(docs, benchmark, **options)
     phrases = found.filter("exact")
     before = F.max("stop").over(W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))

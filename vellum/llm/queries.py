@@ -72,7 +72,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.decontaminate import contamination
 
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +147,25 @@ ORACLE: dict[str, str] = {
         hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN bw USING (n, win)),
         words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
         items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h
-                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1),
+        dt AS (SELECT doc_id, len(w) AS words, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        often AS (SELECT x, count(*) AS c FROM dt GROUP BY 1),
+        win AS (SELECT row_number() OVER () AS id, w[s : s + n - 1] AS t, n
+                FROM (SELECT w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+        wt AS (SELECT id, n, x, o, c FROM (SELECT id, n, unnest(t) AS x, unnest(range(n)) AS o FROM win) JOIN often USING (x)),
+        rare AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c, o) AS k, count(*) OVER (PARTITION BY id) AS found FROM wt),
+        put AS (SELECT id, n, doc_id, p - o AS s FROM rare JOIN dt USING (x) WHERE k = 1 AND found = n AND p > o AND p - o + n - 1 <= words),
+        two AS (SELECT DISTINCT put.* FROM put LEFT JOIN rare r ON r.id = put.id AND r.k = 2
+                LEFT JOIN dt ON dt.doc_id = put.doc_id AND dt.x = r.x AND dt.p - put.s - r.o BETWEEN -2 AND 2
+                WHERE put.n = 1 OR dt.p IS NOT NULL),
+        off AS (SELECT two.id, two.n, two.doc_id, two.s, r.o, min(abs(dt.p - two.s - r.o)) AS far
+                FROM two JOIN rare r ON r.id = two.id AND r.k > 1
+                JOIN dt ON dt.doc_id = two.doc_id AND dt.x = r.x AND dt.p - two.s - r.o BETWEEN -2 AND 2 GROUP BY ALL),
+        near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT id, n, doc_id, s FROM off GROUP BY ALL HAVING count(*) = n - 1 AND max(far) > 0)
+                 GROUP BY 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+               coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op10_line_dedup": r"""
         WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x,
                             unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
