@@ -242,6 +242,35 @@ def test_url_rules_and_model(spark):
     assert got[None].rule is None and got[2000].host == ""
 
 
+@pytest.mark.parametrize("size, symbols", [(300, 3), (500, 40), (70_000, 900)])
+def test_matching_statistics(size, symbols):
+    import numpy as np
+
+    from vellum.llm.substrings import FMIndex, WaveletMatrix
+
+    pick = np.random.default_rng(size)
+    text = np.append(pick.integers(1, symbols, size), 0)
+    text[200:240] = text[100:140]
+    matrix = WaveletMatrix(text, symbols)
+    for place in (0, 1, 63, 64, 257, size):
+        assert [int(n) for n in matrix.rank(np.arange(symbols, dtype=np.uint64), np.full(symbols, place, np.uint64))] == \
+            np.bincount(text[:place], minlength=symbols).tolist()
+    plain = text.astype(">u2").tobytes()
+
+    def often(a, b):  # occurrences of text[a:b], 2 at most
+        i, n = plain.find(plain[2 * a:2 * b]), 0
+        while i >= 0 and n < 2:
+            n, i = n + (i % 2 == 0), plain.find(plain[2 * a:2 * b], i + 1)
+        return n
+
+    end = np.array([0, 5, 120, 139, 239, 260, size - 1])
+    begin = np.maximum(end - 33, 0)
+    length, row = FMIndex(text, symbols, 34).statistics(text, begin, end, 4)
+    for b, e, n in zip(begin, end, length, strict=True):
+        assert n == max(k for k in range(e - b + 2) if not k or often(e + 1 - k, e + 1) > 1)
+    assert ((row >= 0) == (length >= 4)).all() and row[3] == row[4] and length[3] == length[4] >= 34
+
+
 def test_url_grams_of_long_and_wide_texts(spark):
     from vellum.llm.urls import _grams
 

@@ -10,12 +10,16 @@ shard, and a document's windows are streamed only to the shards that can hold
 them (with shards of documents every document would have to visit all shards).
 
 A shard's index is the Burrows-Wheeler transform of its surroundings as a
-wavelet matrix: one bit row per bit of the word number, packed, with running
-counts.  Windows are matched by backward search, all windows of the shard at
-once, one word a step; a window whose interval shrinks to one row has its full
-matching statistic below the threshold and leaves.  Equal windows end at equal
-intervals.  A search extends over ``width`` words, so the suffixes need
-sorting to that depth only.
+wavelet matrix: one bit row per bit of the word number, packed, with sampled
+counts in two levels (a quarter of the bits).  The surroundings are streamed
+past it in blocks: for each place, backward search extends to the left, one word
+a step for the whole block, until the interval is down to one row (its own) or
+the surroundings begin.  That gives the matching statistics: the length of the
+longest string ending there that occurs elsewhere too.  Where it reaches
+``width``, the string is reported as an interval of repeated words; its last
+window's class is the search's interval after ``width`` words, which equal
+windows share.  Suffixes are sorted to the depth of the longest surroundings,
+beyond which no search goes.
 
 Defined results: null has no words; texts under ``width`` words lose nothing;
 matches never cross documents; documents of one id are not earlier than each
@@ -48,11 +52,15 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0), ends
 
 
-_ONE, _SIX, _LOW = np.uint64(1), np.uint64(6), np.uint64(63)
+_ONE, _SIX, _TEN, _LOW = np.uint64(1), np.uint64(6), np.uint64(10), np.uint64(63)
 
 
 class WaveletMatrix:
-    """Counts of a symbol before a place, from one packed bit row per bit of the symbols."""
+    """Counts of a symbol before a place, from one packed bit row per bit of the symbols.
+
+    Set bits before a word of 64 are counted in two levels: from the row's
+    begin for every 1,024th word, from there on in 16 bits for each word.
+    """
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.rows = []
@@ -60,14 +68,16 @@ class WaveletMatrix:
             bit = (symbols >> b) & 1 == 1
             words = np.packbits(np.pad(bit, (0, 64 - len(bit) % 64)), bitorder="little").view(np.uint64)
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint64)
-            self.rows.append((np.uint64(b), words, before, np.uint64(len(bit) - bit.sum())))
+            far = before[::1 << 10]
+            near = (before - far[np.arange(len(words)) >> 10]).astype(np.uint16)
+            self.rows.append((np.uint64(b), words, far, near, np.uint64(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
         self.base = self._down(np.arange(size, dtype=np.uint64), np.zeros(size, np.uint64))
 
     def _down(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for b, words, before, zeros in self.rows:
+        for b, words, far, near, zeros in self.rows:
             at = place >> _SIX
-            ones = before.take(at) + np.bitwise_count(words.take(at) & ((_ONE << (place & _LOW)) - _ONE))
+            ones = far.take(at >> _TEN) + near.take(at) + np.bitwise_count(words.take(at) & ((_ONE << (place & _LOW)) - _ONE))
             place = np.where((symbol >> b) & _ONE, zeros + ones, place - ones)
         return place
 
@@ -96,19 +106,30 @@ class FMIndex:
         self.n, self.matrix = n, WaveletMatrix(text[order - 1], size)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))]).astype(np.uint64)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each pattern (a row) its interval; a search that is down to one row or none stops there."""
-        patterns = patterns.T.astype(np.uint64, order="C")
-        low = self.smaller[patterns[-1]]
-        high = self.smaller[patterns[-1] + _ONE]
-        live = np.flatnonzero(high - low > 1)
-        for j in range(len(patterns) - 2, -1, -1):
-            symbol = patterns[j][live]
-            both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
-            low[live] = self.smaller[symbol] + both[:len(live)]
-            high[live] = self.smaller[symbol] + both[len(live):]
-            live = live[high[live] - low[live] > 1]
-        return low.astype(np.int64), high.astype(np.int64)
+    def statistics(self, numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of strings of ``numbers`` that end at ``end`` (included) and begin at ``begin`` at the earliest.
+
+        For each end: the length of the longest such string that the index
+        holds twice or more, and the first row of the interval of its last
+        ``mark`` numbers (-1 where the length is below).
+        """
+        symbol = numbers[end].astype(np.uint64)
+        low, high = self.smaller[symbol], self.smaller[symbol + _ONE]
+        length, row = np.zeros(len(end), np.int64), np.full(len(end), -1, np.int64)
+        live, done = np.arange(len(end)), 0
+        while len(live):
+            stay = high - low > 1
+            live, low, high = live[stay], low[stay], high[stay]
+            done += 1
+            length[live] = done
+            if done == mark:
+                row[live] = low
+            stay = end[live] - done >= begin[live]
+            live, low, high = live[stay], low[stay], high[stay]
+            symbol = numbers[end[live] - done].astype(np.uint64)
+            both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+            low, high = self.smaller[symbol] + both[:len(live)], self.smaller[symbol] + both[len(live):]
+        return length, row
 
 
 def _surroundings(width: int):
@@ -132,15 +153,16 @@ def _surroundings(width: int):
         words = b" \n ".join(own).split(b" ")
         text = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
         text = np.append(text, 0)
-        index = FMIndex(text, len(number), width)
+        index = FMIndex(text, len(number), int(windows.max()) + width - 1)
         begin = np.cumsum(windows + width) - (windows + width)
         head = np.cumsum(windows) - windows
         start = np.arange(windows.sum()) + np.repeat(begin - head, windows)
+        first_word = np.repeat(begin, windows)
         kind = np.empty(len(start), np.int64)
         for k in range(0, len(start), BLOCK):
             some = start[k:k + BLOCK]
-            low, high = index.search(text[some[:, None] + np.arange(width)])
-            kind[k:k + BLOCK] = np.where(high - low > 1, low, -1 - some)
+            length, row = index.statistics(text, first_word[k:k + BLOCK], some + width - 1, width)
+            kind[k:k + BLOCK] = np.where(length >= width, row, -1 - some)
         return kind[np.arange(count.sum()) + np.repeat(head[piece] - (np.cumsum(count) - count), count)]
 
     return describe, judge
