@@ -2,13 +2,13 @@
 
 These are written independently of the Spark operators -- plain SQL with
 windows-free aggregates, FILTER clauses and joins -- over the same derived
-inputs (``fixtures.duck``).  The file listing depends on the file system and has no entry; it gets a
+inputs (``fixtures.duck``) and with the parameters of the registered queries.
+Patterns, words and layouts are stated here, not taken from the operators.  The file listing depends on the file system and has no entry; it gets a
 row-count check only.
 """
 
 from __future__ import annotations
 
-from vellum.functions import predicates as P
 from vellum.plans import fixtures as fx
 from vellum.plans import registry as R
 
@@ -56,29 +56,49 @@ def _ident(n: str) -> str:
 
 
 # ------------------------------------------------------------- predicates
+# fixed values: what a cell of each type may be
+INTEGER = r"^[+-]?\d+(_\d+)*$"
+NUMBER = (r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+          r"|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$")
+DATES = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y"]
+DATETIMES = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ"]
+BOOLEANS = ["true", "false", "1", "0", "yes", "no", "sim", "não"]
+# fixed values: what makes a column an integer, a number, a boolean or a date
+WHOLE = r"^-?\d+$"
+DECIMAL = r"^-?\d*\.?\d+([eE][+-]?\d+)?$"
+TRUTHS = ["true", "false", "1", "0", "yes", "no", "sim", "não", "verdadeiro", "falso"]
+DAY_HEADS = [r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\d{2}/\d{4}", r"^\d{2}-\d{2}-\d{4}"]
+# fixed values: a part of the type's name and its label
+TYPE_LABELS = [("int", "Whole numbers"), ("float", "Decimal numbers"), ("object", "Text"), ("datetime", "Date/Time"), ("bool", "True/False")]
+
+
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def _date_ok(x: str, layouts: list[str]) -> str:
+    """Digits in the places of a layout, and a day that the calendar has (a one-digit day may follow a space)."""
+    tight = f"regexp_replace({x}, '(^|[-/]) ', '\\1', 'g')"
     ors = []
     for layout in layouts:
-        rx, order = P._layout_regex(layout)
-        g = {name: f"regexp_extract({x}, '{rx}', {i + 1})" for i, name in enumerate(order)}
-        norm = (f"{g['Y']} || '-' || lpad(trim({g['m']}), 2, '0') || '-' || lpad(trim({g['d']}), 2, '0')")
-        ors.append(f"(regexp_matches({x}, '{rx}') AND {g['Y']} <> '0000' "
-                   f"AND try_strptime({norm}, '%Y-%m-%d') IS NOT NULL)")
+        shape = layout.replace("%Y", r"\d{4}").replace("%d", r"( [1-9]|\d{1,2})")
+        for part in ("%m", "%H", "%M", "%S"):
+            shape = shape.replace(part, r"\d{1,2}")
+        ors.append(f"(regexp_full_match({x}, '{shape}') AND year(try_strptime({tight}, '{layout}')) > 0)")
     return "(" + " OR ".join(ors) + ")"
 
 
 def _bad(x: str, kind: str) -> str:
     if kind == "integer":
-        ok = f"regexp_matches({_strip(x)}, '{P.INT_RE}')"
+        ok = f"regexp_matches({_strip(x)}, '{INTEGER}')"
     elif kind == "number":
-        ok = f"regexp_matches({_strip(x)}, '{P.NUMBER_RE}')"
+        ok = f"regexp_matches({_strip(x)}, '{NUMBER}')"
     elif kind == "date":
-        ok = _date_ok(x, P.DATE_LAYOUTS)
+        ok = _date_ok(x, DATES)
     elif kind == "datetime":
-        ok = _date_ok(x, P.DATETIME_LAYOUTS)
+        ok = _date_ok(x, DATETIMES)
     else:
-        words = ", ".join(f"'{w}'" for w in P.BOOL_WORDS)
-        ok = f"lower({x}) IN ({words})"
+        ok = f"lower({x}) IN ({_words(BOOLEANS)})"
     return f"{x} IS NOT NULL AND {x} <> '' AND NOT coalesce({ok}, false)"
 
 
@@ -111,93 +131,44 @@ def _blank_generic(raw: str, required: list[tuple[int, str]]) -> str:
     return _with(r=raw) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t WHERE n_blank > 0"
 
 
-def _infer_generic(raw: str, cols: list[str]) -> str:
-    from vellum.operators import profile as PR
+def _infer_cte(cols: list[str]) -> tuple[str, list[str]]:
+    """The one-row aggregate over ``r`` and each column's label from it."""
     aggs, labels = [], []
     for i, c in enumerate(cols):
         v = f"CAST({c} AS VARCHAR)"
         s = _strip(v)
-        bools = ", ".join(f"'{w}'" for w in PR.INFER_BOOL_WORDS)
-        dates = " OR ".join(f"regexp_matches({s}, '{p}')" for p in PR.INFER_DATE_PREFIXES)
-        aggs += [f"count({v}) AS n{i}",
-                 f"bool_and(regexp_matches({s}, '{PR.INFER_INT}')) FILTER (WHERE {v} IS NOT NULL) AS i{i}",
-                 f"bool_and(regexp_matches(replace({s}, ',', '.'), '{PR.INFER_FLOAT}')) "
-                 f"FILTER (WHERE {v} IS NOT NULL) AS f{i}",
-                 f"bool_and(lower({s}) IN ({bools})) FILTER (WHERE {v} IS NOT NULL) AS b{i}",
-                 f"bool_and({dates}) FILTER (WHERE {v} IS NOT NULL) AS d{i}"]
-        labels.append(f"CASE WHEN n{i} = 0 THEN 'object' WHEN i{i} THEN 'int64' WHEN f{i} THEN 'float64' "
-                      f"WHEN b{i} THEN 'bool' WHEN d{i} THEN 'datetime64' ELSE 'object' END")
-    rows = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS \"column\", {lab} AS inferred_type FROM a"
-                              for i, (c, lab) in enumerate(zip(cols, labels)))
-    return _with(r=raw, a="SELECT " + ", ".join(aggs) + " FROM r") + rows
-
-
-RAW_LI = fx.duck("raw_lineitem")
-LI_TYPED = [(1, "quantity", "number"), (2, "part", "integer"), (3, "shipped", "date"), (4, "discounted", "boolean")]
-LI_REQUIRED = [(0, "row_key"), (1, "quantity"), (2, "part"), (5, "status")]
-LI_COLS = ["row_key", "quantity", "part", "shipped", "discounted", "status"]
-
-
-def _infer_cte() -> str:
-    from vellum.operators import profile as PR
-    aggs, labels = [], []
-    for i, c in enumerate(RAW_COLS):
-        v = f"CAST({c} AS VARCHAR)"
-        s = _strip(v)
-        bools = ", ".join(f"'{w}'" for w in PR.INFER_BOOL_WORDS)
-        dates = " OR ".join(f"regexp_matches({s}, '{p}')" for p in PR.INFER_DATE_PREFIXES)
-        aggs += [f"count({v}) AS n{i}",
-                 f"bool_and(regexp_matches({s}, '{PR.INFER_INT}')) FILTER (WHERE {v} IS NOT NULL) AS i{i}",
-                 f"bool_and(regexp_matches(replace({s}, ',', '.'), '{PR.INFER_FLOAT}')) "
-                 f"FILTER (WHERE {v} IS NOT NULL) AS f{i}",
-                 f"bool_and(lower({s}) IN ({bools})) FILTER (WHERE {v} IS NOT NULL) AS b{i}",
-                 f"bool_and({dates}) FILTER (WHERE {v} IS NOT NULL) AS d{i}"]
+        tests = {"i": f"regexp_matches({s}, '{WHOLE}')", "f": f"regexp_matches(replace({s}, ',', '.'), '{DECIMAL}')",
+                 "b": f"lower({s}) IN ({_words(TRUTHS)})", "d": " OR ".join(f"regexp_matches({s}, '{p}')" for p in DAY_HEADS)}
+        aggs += [f"count({v}) AS n{i}"] + [f"bool_and({t}) FILTER (WHERE {v} IS NOT NULL) AS {k}{i}" for k, t in tests.items()]
         labels.append(f"CASE WHEN n{i} = 0 THEN 'object' WHEN i{i} THEN 'int64' WHEN f{i} THEN 'float64' "
                       f"WHEN b{i} THEN 'bool' WHEN d{i} THEN 'datetime64' ELSE 'object' END")
-    return "SELECT " + ", ".join(aggs) + " FROM r", labels
+    return "SELECT count(*) AS n_rows, " + ", ".join(aggs) + " FROM r", labels
 
 
-def _infer_sql() -> str:
-    agg, labels = _infer_cte()
+def _infer_generic(raw: str, cols: list[str]) -> str:
+    agg, labels = _infer_cte(cols)
     rows = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS \"column\", {lab} AS inferred_type FROM a"
-                              for i, (c, lab) in enumerate(zip(RAW_COLS, labels)))
-    return _with(r=RAW, a=agg) + rows
+                              for i, (c, lab) in enumerate(zip(cols, labels)))
+    return _with(r=raw, a=agg) + rows
 
 
-def _profile_sql() -> str:
-    agg, labels = _infer_cte()
-    agg = agg.replace("SELECT ", "SELECT count(*) AS n_rows, ", 1)
-    obj = ", ".join(f"'{c}', {lab}" for c, lab in zip(RAW_COLS, labels))
-    return (_with(r=RAW, a=agg) + f"SELECT 'csv' AS format, {len(RAW_COLS)} AS column_count, n_rows AS row_count, "
+def _profile_generic(raw: str, cols: list[str]) -> str:
+    agg, labels = _infer_cte(cols)
+    obj = ", ".join(f"'{c}', {lab}" for c, lab in zip(cols, labels))
+    return (_with(r=raw, a=agg) + f"SELECT 'csv' AS format, {len(cols)} AS column_count, n_rows AS row_count, "
             f"CAST(json_object({obj}) AS VARCHAR) AS column_types_json, ',' AS separator FROM a")
 
 
-def _profile_customer_csv_sql() -> str:
-    """The same rules over customer's CSV text (doubles print alike in both engines)."""
-    from vellum.operators import profile as PR
-    labels = []
-    for c in CUST_COLS:
-        v = f"CAST({c} AS VARCHAR)"
-        s = _strip(v)
-        bools = ", ".join(f"'{w}'" for w in PR.INFER_BOOL_WORDS)
-        dates = " OR ".join(f"regexp_matches({s}, '{p}')" for p in PR.INFER_DATE_PREFIXES)
-        labels.append(
-            f"CASE WHEN count({v}) = 0 THEN 'object' "
-            f"WHEN bool_and(regexp_matches({s}, '{PR.INFER_INT}')) FILTER (WHERE {v} IS NOT NULL) THEN 'int64' "
-            f"WHEN bool_and(regexp_matches(replace({s}, ',', '.'), '{PR.INFER_FLOAT}')) FILTER (WHERE {v} IS NOT NULL) "
-            "THEN 'float64' "
-            f"WHEN bool_and(lower({s}) IN ({bools})) FILTER (WHERE {v} IS NOT NULL) THEN 'bool' "
-            f"WHEN bool_and({dates}) FILTER (WHERE {v} IS NOT NULL) THEN 'datetime64' ELSE 'object' END")
-    obj = ", ".join(f"'{c}', {lab}" for c, lab in zip(CUST_COLS, labels))
-    return (f"SELECT 'csv' AS format, {len(CUST_COLS)} AS column_count, count(*) AS row_count, "
-            f"CAST(json_object({obj}) AS VARCHAR) AS column_types_json, ',' AS separator FROM customer")
+RAW_LI = fx.duck("raw_lineitem")
+LI_TYPED = [(1, "quantity", "number"), (2, "part", "integer"), (3, "shipped", "date"), (4, "discounted", "boolean")]
+LI_REQUIRED = [(0, "row_key"), (1, "quantity"), (2, "part"), (5, "status")]
+LI_COLS = ["row_key", "quantity", "part", "shipped", "discounted", "status"]
 
 
 def _type_labels_sql() -> str:
-    from vellum.operators import profile as PR
-    case = "CASE " + " ".join(f"WHEN contains(lower(inferred_type), '{f}') THEN '{lab}'" for f, lab in PR.FRIENDLY) \
+    case = "CASE " + " ".join(f"WHEN contains(lower(inferred_type), '{f}') THEN '{lab}'" for f, lab in TYPE_LABELS) \
         + " ELSE inferred_type END"
-    return f"SELECT *, {case} AS label FROM ({_infer_sql()}) t"
+    return f"SELECT *, {case} AS label FROM ({_infer_generic(RAW, RAW_COLS)}) t"
 
 
 CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -369,7 +340,7 @@ ORACLE: dict[str, str] = {
         "SELECT doc_id, CASE WHEN greatest(n1, n2, n3, n4) = 0 THEN ',' WHEN n1 = greatest(n1, n2, n3, n4) THEN ',' "
         "WHEN n2 = greatest(n1, n2, n3, n4) THEN ';' WHEN n3 = greatest(n1, n2, n3, n4) THEN chr(9) ELSE '|' END AS separator FROM c"),
     "profile_mixed_files": ("SELECT format, column_count, 2 * row_count AS row_count, column_types_json, ', ;' AS separator FROM ("
-                            + _profile_customer_csv_sql() + ") t"),
+                            + _profile_generic("SELECT * FROM customer", CUST_COLS) + ") t"),
     "cell_violations_rows": _with(r=f"SELECT *, row_number() OVER (ORDER BY row_key) AS row FROM ({RAW}) x") + " UNION ALL ".join(
         f"SELECT row, {o} AS ordinal, '{c}' AS field, '{k}' AS expected, {c} AS value FROM r WHERE {_bad(c, k)}" for o, c, k in RAW_TYPED),
     "cell_violations_events": _violations_generic(fx.duck("raw_events"), [(1, "happened", "datetime"), (2, "user_id", "integer")]),
@@ -393,9 +364,9 @@ ORACLE: dict[str, str] = {
                      + " FROM customer",
     "rename_simple": ("SELECT c_custkey AS valor_r, c_name AS \"ação\", c_nationkey AS \"1st\", c_name AS a_b, "
                       "c_mktsegment AS ab, c_custkey AS \"___\", c_acctbal AS \"preçor\" FROM customer"),
-    "infer_types": _infer_sql(),
-    "profile": _profile_sql(),
-    "profile_file": _profile_customer_csv_sql(),
+    "infer_types": _infer_generic(RAW, RAW_COLS),
+    "profile": _profile_generic(RAW, RAW_COLS),
+    "profile_file": _profile_generic("SELECT * FROM customer", CUST_COLS),
     "type_labels": _type_labels_sql(),
     "facet_profile": _facet_sql(),
     "facet_filter": f"SELECT * FROM customer WHERE {FACET_PRED}",
