@@ -242,6 +242,37 @@ def test_url_rules_and_model(spark):
     assert got[None].rule is None and got[2000].host == ""
 
 
+@pytest.mark.parametrize("bucket", [7, 40, 8192])
+def test_crowded_fingerprints(spark, bucket):
+    import random
+
+    from vellum.llm.graph import components
+    from vellum.llm.simhash import links
+
+    pick = random.Random(bucket)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = pick.getrandbits(64)
+    fps = {base ^ pick.getrandbits(14) for _ in range(220)} | {pick.getrandbits(64) for _ in range(40)}  # 50 bits in common
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    want = {}
+    for x in fps:
+        want.setdefault(find(x), set()).add(signed(x))
+    got = {}
+    for r in components(links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), bucket=bucket)).collect():
+        got.setdefault(r.label, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
 @pytest.mark.parametrize("size, symbols", [(300, 3), (500, 40), (70_000, 900)])
 def test_matching_statistics(size, symbols):
     import numpy as np

@@ -12,8 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a``, ``b``): the least node reachable.
 
     Alternating large and small stars (Kiveris et al., 2014).  Each step takes
-    a minimum per node, combined map side, and joins it back, so the many links
-    of one node are never gathered into one group.  Every round is written to
+    a minimum per node, combined map side, and joins it back: no group is
+    gathered in memory.  The links of one node pass that join under one key; its
+    other side has one row per node, so AQE may split such a partition where it
+    is skewed.  Every round is written to
     the shared folder; it ends when a round changes nothing.
     """
     def stars(links: DataFrame, large: bool) -> DataFrame:

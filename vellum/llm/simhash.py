@@ -9,7 +9,9 @@ bits; a document's class is the smallest id it can reach over links.
   ``radius`` whole blocks, so they meet under one of the choices of ``radius``
   blocks (20 for radius 3, about 32 bits each).  Keys held by one node only are
   dropped; a key with more than ``bucket`` nodes is split exactly, by
-  ``radius + 1`` pieces of the remaining bits, one of which must agree.
+  ``radius + 1`` pieces of the remaining bits, one of which must agree; what is
+  still larger is cut into blocks of about ``bucket`` nodes, and every two blocks
+  are a bucket of their own, so no task holds more than about twice that.
 * Within a bucket the comparison is bit-sliced: one integer per bit position
   holds that bit of all members (a plane); the XOR of a plane and its shift
   gives that bit's difference for a whole block of pairs at once, carry-save
@@ -168,15 +170,29 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
                                for i, (m, _) in enumerate(choices)))).alias("k")
     keyed = fps.select("fp").distinct().select("fp", keys).select("fp", "k.*")
-    shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys")
     pieces = F.array(*(F.element_at(F.array(*(F.lit(p[i]) for _, p in choices)), F.col("choice") + 1)
                        for i in range(radius + 1)))
     split = F.when(F.col("n") > bucket, F.transform(pieces, lambda m, i: F.struct(
         (i + 1).alias("piece"), F.col("fp").bitwiseAND(m).alias("part")))).otherwise(
         F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).cast("long").alias("part"))))
-    members = (keyed.join(shared, ["choice", "key"]).select("fp", "choice", "key", F.explode(split).alias("s"))
-               .groupBy("choice", "key", "s.piece", "s.part").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-               .filter(F.size("fps") > 1).select("fps"))  # at most `bucket` lanes, or what agrees on a piece too
+    group = ["choice", "key", "piece", "part"]
+    parts = (keyed.join(shared, ["choice", "key"]).select("fp", "choice", "key", F.explode(split).alias("s"))
+             .select("fp", "choice", "key", "s.*"))
+
+    def gathered(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1).select("fps")
+
+    if shared.filter(F.col("n") > bucket).isEmpty():
+        members = gathered(parts, *group)
+    else:  # what agrees on a piece too may still be large: any two of its blocks meet as a group of their own
+        large = materialize(parts.filter("piece > 0").groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > bucket)
+                            .select(*group, F.ceil(F.col("n") / bucket).cast("long").alias("blocks")), "simhash-large")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        cut = (parts.join(large, group).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", other)
+               .select("fp", *group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+        members = gathered(parts.join(large, group, "left_anti"), *group).union(
+            gathered(cut.repartition(*group, "i", "j"), *group, "i", "j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
