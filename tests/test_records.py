@@ -104,3 +104,44 @@ def test_packing_setting_comes_back(spark):
     with pytest.raises(RuntimeError), R.one_split_per_task(spark):
         raise RuntimeError
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_documents_are_written_and_read_by_many_tasks(spark, tmp_path, splits, monkeypatch):
+    from vellum.plans import registry
+
+    rows = [(i, f'{i}: "x",\n\n{CELLS[i % len(CELLS)]}', "en", "web", i) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    wrote, export = [], registry.export_csv
+    monkeypatch.setattr(registry, "export_csv", lambda *a, **k: wrote.append(export(*a, **k)) or wrote[-1])
+    monkeypatch.setattr(registry, "_t", lambda s, sf, name: s.read.parquet(f"{sf}/{name}.parquet").repartition(5))
+    got = rows_of(registry.q_read_delimited_text(spark, str(tmp_path)))
+    assert sorted(got) == sorted(tuple(map(str, r)) for r in rows)
+    assert len(D._data_files(spark, wrote)) > 1
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_one_split_is_dealt_over_tasks(spark, tmp_path, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(bits)
+    rows = [("id", "t", "u")] + [(str(i), rng.choice(CELLS), rng.choice(CELLS)) for i in range(80)]
+    write(tmp_path / "a.csv", rows)
+    tasks, kept = [], R.materialize
+
+    def seen(df, name):
+        out = kept(df.withColumn("task", F.spark_partition_id()), name)
+        tasks.append(out[0].select("task").distinct().count())
+        return out
+
+    monkeypatch.setattr(R, "BLOCK_BITS", bits)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(R, "materialize", seen)
+    try:
+        found = R.records(spark, [str(tmp_path / "a.csv")])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert tasks[0] > 1
+    got = [next(csv.reader(io.StringIO(r.record))) for r in found.orderBy("number").collect()]
+    assert [tuple(x) for x in got] == rows

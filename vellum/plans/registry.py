@@ -95,9 +95,9 @@ def q_read_delimited_auto(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_read_delimited_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents through one CSV file: records hold newlines, quotes and separators, and are read by splits."""
+    """Whole documents through CSV files, one per writing task: records hold newlines, quotes and separators, and are read by splits."""
     path = scratch_dir(spark, "csv-documents")
-    export_csv(_t(spark, sf, "documents"), path, single_file=True)
+    export_csv(_t(spark, sf, "documents"), path)
     return read_delimited(spark, path)
 
 

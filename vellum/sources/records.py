@@ -1,11 +1,13 @@
 """Delimited records from splittable text (A1, E6): quoted newlines without whole-file readers.
 
-A file is read as lines by as many tasks as it has splits.  Quotes are counted
-per line; a line ends inside a quoted field if the quotes before its end are
-odd in number.  Splits don't know what came before them, so each is summarised
-both ways: its quotes' parity, and how many records start in it if it begins
-outside a quoted field and if it begins inside one.  A running sum over a
-file's splits (one row each) tells which holds and how many records lie before.
+A file is read as lines by as many tasks as it has splits; a split's lines are
+dealt on in blocks, so that no task takes a whole split, or several that hash
+alike.  Quotes are counted per line; a line ends inside a quoted field if the
+quotes before its end are odd in number.  Blocks don't know what came before
+them, so each is summarised both ways: its quotes' parity, and how many records
+start in it if it begins outside a quoted field and if it begins inside one.  A
+running sum over a file's blocks (one row each) tells which holds and how many
+records lie before.
 Lines then know the number of their record; a record of one line is done, the
 lines of the others are put together by (file, number).
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from vellum.operators.materialize import materialize
 
 _PACKING = "spark.sql.files.openCostInBytes"
+#: a block holds two to this many lines
+BLOCK_BITS = 12
 
 
 @contextmanager
@@ -102,23 +106,24 @@ def records(spark: SparkSession, files: list[str], skip: int = 0) -> DataFrame:
 
     Written to the shared folder: the numbers hold only for the scan that gave them.
     """
-    split = ["file", "start"]
+    block = ["file", "start", "block"]
     with one_split_per_task(spark):
         lines = numbered_lines(spark, files).filter((F.col("start") > 0) | (F.col("place") >= skip))
-        by = W.partitionBy(*split).orderBy("place")
+        lines = lines.withColumn("block", F.shiftright("place", BLOCK_BITS))
+        by = W.partitionBy(*block).orderBy("place")
         odd = F.coalesce(F.sum(_quotes(F.col("line")) % 2).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2
         lines = lines.withColumn("inside", odd).withColumn("odd", _quotes(F.col("line")) % 2)
         empty = F.rtrim("line", F.lit("\r")) == ""
-        for i in (0, 1):  # the split begins outside (0) or inside (1) a quoted field
+        for i in (0, 1):  # the block begins outside (0) or inside (1) a quoted field
             starts = (F.col("inside") == i) & ~empty
             lines = lines.withColumn(f"n{i}", F.sum(starts.cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0)))
         lines, _, _ = materialize(lines, "file-lines")
-    splits = lines.groupBy(*split).agg(F.sum("odd").alias("odds"), F.max("n0").alias("all0"), F.max("n1").alias("all1"))
-    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumn("enters", F.coalesce(F.sum("odds").over(before), F.lit(0)) % 2)
+    blocks = lines.groupBy(*block).agg(F.sum("odd").alias("odds"), F.max("n0").alias("all0"), F.max("n1").alias("all1"))
+    before = W.partitionBy("file").orderBy("start", "block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("enters", F.coalesce(F.sum("odds").over(before), F.lit(0)) % 2)
     own = F.when(F.col("enters") == 0, F.col("all0")).otherwise(F.col("all1"))
-    splits = splits.withColumn("offset", F.coalesce(F.sum(own).over(before), F.lit(0))).select(*split, "enters", "offset")
-    lines = lines.join(splits, split)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum(own).over(before), F.lit(0))).select(*block, "enters", "offset")
+    lines = lines.join(blocks, block)
     began = F.when(F.col("enters") == 0, F.col("n0")).otherwise(F.col("n1"))
     inside = (F.col("inside") + F.col("enters")) % 2 == 1
     lines = lines.select("file", "start", "place", "line", (F.col("offset") + began - 1).alias("number"), inside.alias("inside"),
