@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
-from vellum.llm.alignment import FOLDER, align, byte_level_bpe, leaf_groups, overlaps
+from vellum.llm.alignment import FOLDER, _ids, _tokenized, align, byte_level_bpe, leaf_groups, overlaps, piece_model
 from vellum.llm.queries import op12_alignment
 
 ROWS = [(1, "The quick brown fox", "x"), (2, None, "x"), (3, "", "x"), (4, "  two  spaces\n\nlines <|endoftext|> <s> </s>", "x"),
@@ -121,3 +121,45 @@ def test_engines_agree(text):
     tok = Tokenizer.from_file(f"{FOLDER}/byte_bpe_50k.json")
     tok.encode_special_tokens = True
     assert byte_level_bpe(f"{FOLDER}/byte_bpe_50k.json")[0](text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def tokenizers_of():
+    return byte_level_bpe(f"{FOLDER}/byte_bpe_50k.json"), piece_model(f"{FOLDER}/piece_bpe_32k.model")
+
+
+def per_text(texts, tok_a, tok_b):
+    """Each text's ids, put together from its entries'."""
+    word, to, a, b, ends = _tokenized(texts, tok_a, tok_b)
+    own = []
+    for ids, names in ((a, tok_a[1]), (b, tok_b[1])):
+        at = np.searchsorted(np.cumsum([len(names[i]) for i in ids]), ends, "right")
+        own.append([x.tolist() for x in np.split(ids, at)])
+    return [tuple([i for w in word[f:t] for i in o[w]] for o in own) for f, t in zip([0, *to[:-1]], to)]
+
+
+def whole(texts, tok_a, tok_b):
+    found = [_ids(b" " + x, tok_a, tok_b) if x else None for x in texts]
+    return [tuple(x.tolist() for x in f) if f else ([], []) for f in found]
+
+
+PARTS = st.sampled_from(["the", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x00", "'s", "'", "!", "...", "é", "ção", "東京", "▁", "12", "7",
+                         "\u0301", "\U0001f600", "fox", "a", "B", "#", "<s>", "<0x41>", "<|endoftext|>", "\r\n", "ﬁ", "\u2028", "\u200b", "\x7f"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=12).map("".join), max_size=6))
+def test_words_have_the_tokens_of_whole_texts(texts):
+    toks = tokenizers_of()
+    raw = [t.encode() for t in texts]
+    assert per_text(raw, *toks) == whole(raw, *toks)
+    uncut = [(*t[:2], False) for t in toks]
+    assert per_text(raw, *uncut) == whole(raw, *toks)
+
+
+def test_a_word_is_tokenized_once_per_chunk():
+    seen = []
+    toks = [(lambda text, f=t[0]: seen.append(text) or f(text), *t[1:]) for t in tokenizers_of()]
+    texts = [" ".join(f"word{(i * j) % 50}" for j in range(400)).encode() for i in range(40)]
+    got = per_text(texts, *toks)
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 10
+    assert got == whole(texts, *tokenizers_of())

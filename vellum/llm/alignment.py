@@ -9,6 +9,14 @@ doubling radius around the middle), and both halves are searched in turn; an
 interval without a cut inside is a group.  All open intervals of all texts of
 a chunk are handled together, level by level.
 
+Neither tokenizer's tokens reach over the place between a printable ASCII
+character and a space, and what lies on one side has no say in the tokens of
+the other (true for this pattern and for BPE models whose pieces don't hold
+such a place; other files' texts are not cut).  So these places are shared
+ends from the start, and a chunk's texts are rows of words: each distinct word
+of a chunk is tokenized, cut into groups and linked once, and texts take their
+words' tokens, groups and links.
+
 Inside a text an A and a B token are linked where their byte ranges overlap.
 The count of an id pair is the number of its links in the whole corpus.  Texts
 are taken in chunks of ``chunk_bytes``; a chunk names its distinct pairs once,
@@ -31,11 +39,13 @@ pass; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +53,8 @@ from pyspark.sql import types as T
 from vellum.llm.common import byte_values, materialize, sized_chunks
 
 CHUNK_BYTES = 4 << 20
+#: distinct words are tokenized this many bytes at a time
+GROUP_BITS = 12
 FOLDER = "/opt/tokenizers"
 #: fixed value: the pre-tokenization pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,9 +67,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _cuttable(names: list[bytes]) -> bool:
+    """No token holds a printable ASCII character with a space after it."""
+    return not any(re.search(rb"[!-~] ", x) for x in names)
+
+
 @lru_cache(maxsize=4)
-def byte_level_bpe(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
-    """``(encode, bytes of each id)`` of a byte-level BPE file; special tokens' strings are plain text."""
+def byte_level_bpe(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes], bool]:
+    """``(encode, bytes of each id, words are independent)`` of a byte-level BPE file; special tokens' strings are plain text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -74,17 +91,30 @@ def byte_level_bpe(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]
 
         ranks = {name: i for i, name in enumerate(names) if name}
         enc = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64), names
+        return lambda text: enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64), names, _cuttable(names)
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.int64), names
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.int64), names, False
+
+
+def _plain_bpe(path: str) -> bool:
+    """A sentencepiece model that is a BPE and changes nothing but the space it puts in front."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    with open(path, "rb") as f:
+        spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    how, kind = spec.normalizer_spec, spec.trainer_spec
+    return (kind.model_type == kind.BPE and not kind.treat_whitespace_as_suffix and how.add_dummy_prefix
+            and how.escape_whitespaces and not how.remove_extra_whitespaces and not how.precompiled_charsmap)
 
 
 @lru_cache(maxsize=4)
-def piece_model(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
-    """``(encode, bytes of each id)`` of a sentencepiece model; pieces that hold no bytes (control, unknown) are empty."""
+def piece_model(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes], bool]:
+    """``(encode, bytes of each id, words are independent)`` of a sentencepiece model; pieces that hold no bytes (control, unknown) are empty."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -97,7 +127,7 @@ def piece_model(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
             names.append(b"")
         else:
             names.append(piece.replace("▁", " ").encode())
-    return lambda text: np.array(sp.encode(text), np.int64), names
+    return lambda text: np.array(sp.encode(text), np.int64), names, _plain_bpe(path) and _cuttable(names)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -160,9 +190,10 @@ class _Writer:
         self.size_a, self.size_b = size_a, size_b
         a, b = [b"%d" % i for i in range(size_a)], [b"%d" % i for i in range(size_b)]
         self.table = [x + c for ids, follow in ((a, b",|"), (b, b",;")) for c in (bytes([f]) for f in follow) for x in ids]
+        self.length = np.array([len(x) for x in self.table], np.int64)
 
-    def write(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) -> bytes:
-        """One text's groups, from its ids and its groups' ends among them."""
+    def write(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Groups, each with the ';' behind it, from the ids and the groups' ends among them; cut where so many ids have come."""
         code_a, code_b = a.copy(), b + 2 * self.size_a
         code_a[a_to - 1] += self.size_a
         code_b[b_to - 1] += self.size_b
@@ -170,23 +201,88 @@ class _Writer:
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + np.repeat(b_from, a_to - a_from)] = code_a
         out[np.arange(len(b)) + np.repeat(a_to, b_to - b_from)] = code_b
-        return b"".join(map(self.table.__getitem__, out.tolist()))[:-1]
+        text = b"".join(map(self.table.__getitem__, out.tolist()))
+        to = np.concatenate(([0], np.cumsum(self.length[out])))[ends].tolist()
+        return [text[i:j] for i, j in zip([0, *to], to)]
 
 
-def _tokenized(texts: list[bytes], tok_a, tok_b) -> list[tuple[np.ndarray, np.ndarray]]:
-    (encode_a, names_a), (encode_b, names_b) = tok_a, tok_b
-    none = np.zeros(0, np.int64)
-    out = []
-    for raw in texts:
-        a = b = none
-        if raw:
-            text = raw.decode()
-            a, b = encode_a(" " + text), encode_b(text)
-            want = b" " + raw
-            if (b"".join(map(names_a.__getitem__, a.tolist())) != want or b"".join(map(names_b.__getitem__, b.tolist())) != want):
-                a = b = none
-        out.append((a, b))
-    return out
+def _ids(text: bytes, tok_a, tok_b) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of a text that starts with a space, if both tokenizers give it back byte by byte."""
+    (encode_a, names_a, _), (encode_b, names_b, _) = tok_a, tok_b
+    plain = text.decode()
+    a, b = encode_a(plain), encode_b(plain[1:])
+    same = b"".join(map(names_a.__getitem__, a.tolist())) == b"".join(map(names_b.__getitem__, b.tolist())) == text
+    return (a, b) if same else None
+
+
+def _words(texts: list[bytes], cut: bool) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """``(word, to, groups, count)``: the texts as distinct words' numbers, where each text's end, and the words
+    by number, in groups that can be tokenized as one text each, with their lengths.
+
+    A word that ends in a printable ASCII character can have another behind it; any other is a group by itself.
+    """
+    raw = b"".join(b" " + x for x in texts if x)
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts if x)])[:-1]
+    data = np.frombuffer(raw, np.uint8)
+    printable = (data > 0x20) & (data < 0x7F)
+    first = np.zeros(len(raw), bool)
+    if cut:
+        first[1:] = (data[1:] == 0x20) & printable[:-1]
+    first[begins] = True
+    starts = np.flatnonzero(first)
+    to = np.searchsorted(starts, np.cumsum([len(x) + 1 if x else 0 for x in texts]))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+    ends = np.append(starts, len(raw))[1:]
+    word = found.indices.to_numpy()
+    open_ = np.zeros(len(found.dictionary), bool)
+    open_[word] = ~printable[ends - 1] | (not cut)
+    order = np.argsort(open_, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ordered = found.dictionary.take(pa.array(order, pa.int64()))
+    size = pa.compute.binary_length(ordered).to_numpy()
+    at, alone = np.cumsum(size), np.sort(open_)
+    own = np.where(alone, np.arange(len(order)) + len(raw), (at - 1) >> GROUP_BITS)
+    last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) if len(own) else own
+    joined = b"".join(ordered.to_pylist())
+    bounds = [0, *at[last].tolist()]
+    return place[word], to, [joined[i:j] for i, j in zip(bounds, bounds[1:])], size
+
+
+def _tokenized(texts: list[bytes], tok_a, tok_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(word, to, a, b, ends)``: the texts as numbers of entries (distinct words, mostly), where each text's end,
+    the ids of all entries, and the entries' ends in bytes.  What has no tokens is an entry of no bytes."""
+    word, to, groups, size = _words(texts, tok_a[2] and tok_b[2])
+    parts, at, bad = [], 0, np.zeros(len(size) + 1, bool)
+    place = np.concatenate(([0], np.cumsum(size)))
+    for group in groups:
+        here = int(np.searchsorted(place, at))
+        at += len(group)
+        there = int(np.searchsorted(place, at))
+        ids = _ids(group, tok_a, tok_b)
+        if ids is not None:
+            parts.append(ids)
+            continue
+        for i in range(here, there):
+            start = int(place[i]) - at + len(group)
+            ids = _ids(group[start:start + int(size[i])], tok_a, tok_b) if there - here > 1 else None
+            bad[i] = ids is None
+            parts += [ids] * (not bad[i])
+    nothing = len(size)
+    size = [np.where(bad[:-1], 0, size), [0]]
+    if bad.any():  # a text with such a word is one entry, as a whole
+        hit = np.concatenate(([0], np.cumsum(bad[word])))
+        begin = np.concatenate(([0], to[:-1]))
+        for t in np.flatnonzero(hit[to] > hit[begin]).tolist():
+            ids = _ids(b" " + texts[t], tok_a, tok_b)
+            word[begin[t]:to[t]] = nothing
+            if ids is not None:
+                word[begin[t]] = nothing + len(size) - 1
+                parts.append(ids)
+                size.append([len(texts[t]) + 1])
+    a, b = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+    return word, to, a, b, np.cumsum(np.concatenate(size))
 
 
 def _aligned(given: DataFrame, a_file: str, b_file: str, chunk_bytes: int, digest: bool) -> DataFrame:
@@ -202,34 +298,37 @@ def _aligned(given: DataFrame, a_file: str, b_file: str, chunk_bytes: int, diges
         len_a, len_b = (np.array([len(x) for x in t[1]], np.int64) for t in (tok_a, tok_b))
         writer, seen = _Writer(len(len_a), len(len_b)), 0
         for c in sized_chunks(batches, 2, chunk_bytes):
-            ids = _tokenized(byte_values(c.column(2)), tok_a, tok_b)
+            word, to, a, b, ends = _tokenized(byte_values(c.column(2)), tok_a, tok_b)
             chunk, seen = (c.column(0)[0].as_py() << 32) + seen, seen + 1
-            n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
-            a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
             a_ends, b_ends = np.cumsum(len_a[a]), np.cumsum(len_b[b])
-            a_to, b_to, full = np.cumsum(n_a), np.cumsum(n_b), n_a > 0
+            a_to, b_to = np.searchsorted(a_ends, ends, "right"), np.searchsorted(b_ends, ends, "right")
+            full = np.diff(a_to, prepend=0) > 0
             ga, gb = leaf_groups(a_ends, b_ends, a_to[full], b_to[full])
             g_to = np.searchsorted(ga, a_to, "right")
             la, lb = overlaps(a_ends, b_ends)
             l_to = np.searchsorted(la, a_to, "left")
             pairs, number = np.unique(a[la] * len(len_b) + b[lb], return_inverse=True)
-            texts, own, own_n = [], [], []
-            for i in range(len(ids)):
-                g, links = slice(g_to[i - 1] if i else 0, g_to[i]), slice(l_to[i - 1] if i else 0, l_to[i])
-                text = writer.write(*ids[i], ga[g] - (a_to[i] - n_a[i]), gb[g] - (b_to[i] - n_b[i])) if n_a[i] else b""
+            written = writer.write(a, b, ga, gb, a_to + b_to)
+            links = number[_ranges(np.concatenate(([0], l_to))[word], np.diff(l_to, prepend=0)[word])]
+            # a text's figures are sums over its words
+            n_a, n_b, n_g, n_l = (np.diff(np.concatenate(([0], np.cumsum(np.diff(x, prepend=0)[word])))[to], prepend=0)
+                                  for x in (a_to, b_to, g_to, l_to))
+            texts, own, own_n, w, at = [], [], [], 0, 0
+            for end, n in zip(to.tolist(), n_l.tolist()):
+                text = b"".join(map(written.__getitem__, word[w:end].tolist()))[:-1]
                 texts.append(sha256(text).hexdigest() if digest and text else text.decode())
-                some, times = np.unique(number[links], return_counts=True)
+                some, times = np.unique(links[at:at + n], return_counts=True)
                 own.append(some.astype(np.int32).tobytes())
                 own_n.append(times.astype(np.int32).tobytes())
-            count = lambda to: pa.array(np.diff(to, prepend=0))
-            rows = len(ids)
+                w, at = end, at + n
+            rows = len(to)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(rows, chunk)), pa.array([True] * rows), c.column(1), pa.array(n_a), pa.array(n_b), count(g_to),
-                count(l_to), pa.array(texts, pa.string()), pa.array(own, pa.binary()), pa.array(own_n, pa.binary())], names=schema.names)
+                pa.array(np.full(rows, chunk)), pa.array([True] * rows), c.column(1), pa.array(n_a), pa.array(n_b), pa.array(n_g),
+                pa.array(n_l), pa.array(texts, pa.string()), pa.array(own, pa.binary()), pa.array(own_n, pa.binary())], names=schema.names)
             nulls = [pa.nulls(1, t) for t in (c.column(1).type, *[pa.int64()] * 4, pa.string())]
             yield pa.RecordBatch.from_arrays([
                 pa.array([chunk]), pa.array([False]), *nulls, pa.array([pairs.tobytes()]),
-                pa.array([np.bincount(number, minlength=len(pairs)).astype(np.int64).tobytes()])], names=schema.names)
+                pa.array([np.bincount(links, minlength=len(pairs)).astype(np.int64).tobytes()])], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
