@@ -109,7 +109,7 @@ def test_packing_setting_comes_back(spark):
 def test_documents_are_written_and_read_by_many_tasks(spark, tmp_path, splits, monkeypatch):
     from vellum.plans import registry
 
-    rows = [(i, f'{i}: "x",\n\n{CELLS[i % len(CELLS)]}', "en", "web", i) for i in range(60)]
+    rows = [(i, f'{i}: "x",\n\n{CELLS[i % len(CELLS)]}' + " ||| ;" * 20 * (i % 2), "en", "web", i) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(
         str(tmp_path / "documents.parquet"))
     wrote, export = [], registry.export_csv
