@@ -123,6 +123,7 @@ def records(spark: SparkSession, files: list[str], skip: int = 0) -> DataFrame:
     blocks = blocks.withColumn("enters", F.coalesce(F.sum("odds").over(before), F.lit(0)) % 2)
     own = F.when(F.col("enters") == 0, F.col("all0")).otherwise(F.col("all1"))
     blocks = blocks.withColumn("offset", F.coalesce(F.sum(own).over(before), F.lit(0))).select(*block, "enters", "offset")
+    blocks, _, _ = materialize(blocks, "file-blocks")  # its size is known before the lines are dealt for the join
     lines = lines.join(blocks, block)
     began = F.when(F.col("enters") == 0, F.col("n0")).otherwise(F.col("n1"))
     inside = (F.col("inside") + F.col("enters")) % 2 == 1
