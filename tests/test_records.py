@@ -129,8 +129,8 @@ def test_one_split_is_dealt_over_tasks(spark, tmp_path, monkeypatch, bits):
     write(tmp_path / "a.csv", rows)
     tasks, kept = [], R.materialize
 
-    def seen(df, name):
-        out = kept(df.withColumn("task", F.spark_partition_id()), name)
+    def seen(df, name, **how):
+        out = kept(df.withColumn("task", F.spark_partition_id()), name, **how)
         tasks.append(out[0].select("task").distinct().count())
         return out
 

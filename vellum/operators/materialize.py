@@ -18,8 +18,8 @@ from vellum.session import scratch_dir
 EXPANSION = 4
 
 
-def materialize(df: DataFrame, name: str, metrics: list[Column] | None = None
-                ) -> tuple[DataFrame, int, dict]:
+def materialize(df: DataFrame, name: str, metrics: list[Column] | None = None,
+                compression: str | None = None) -> tuple[DataFrame, int, dict]:
     """Write ``df`` as Parquet in the shared scratch folder; return the
     re-read DataFrame, its estimated size in memory in bytes, and any
     ``metrics`` (aggregate Columns) observed during that same write.
@@ -30,7 +30,7 @@ def materialize(df: DataFrame, name: str, metrics: list[Column] | None = None
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     obs = Observation(name)
-    df.observe(obs, F.count(F.lit(1)).alias("__rows"), *(metrics or [])).write.mode("overwrite").parquet(path)
+    df.observe(obs, F.count(F.lit(1)).alias("__rows"), *(metrics or [])).write.mode("overwrite").parquet(path, compression=compression)
     observed = dict(obs.get)
     rows = int(observed.pop("__rows"))
     jvm = spark.sparkContext._jvm

@@ -117,7 +117,7 @@ def records(spark: SparkSession, files: list[str], skip: int = 0) -> DataFrame:
         for i in (0, 1):  # the block begins outside (0) or inside (1) a quoted field
             starts = (F.col("inside") == i) & ~empty
             lines = lines.withColumn(f"n{i}", F.sum(starts.cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-        lines, _, _ = materialize(lines, "file-lines")
+        lines, _, _ = materialize(lines, "file-lines", compression="zstd")
     blocks = lines.groupBy(*block).agg(F.sum("odd").alias("odds"), F.max("n0").alias("all0"), F.max("n1").alias("all1"))
     before = W.partitionBy("file").orderBy("start", "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("enters", F.coalesce(F.sum("odds").over(before), F.lit(0)) % 2)
